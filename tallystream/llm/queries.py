@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from tallystream.llm.bpe import encode_documents
 from tallystream.llm.decontaminate import decontaminate
+from tallystream.llm.embed_dedup import embedding_duplicates
 from tallystream.llm.license_scan import scan_licenses
 from tallystream.llm.line_dedup import drop_boilerplate
 from tallystream.llm.secret_scan import scan_secrets
+from tallystream.llm.shared import new_path
+from tallystream.llm.simhash import near_duplicates
+from tallystream.llm.token_shards import write_shards
+from tallystream.llm.toxicity import fit_severity, score_severity
 from tallystream.llm.url_filter import judge_urls
 
 
@@ -48,22 +53,45 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a cosine of 0.9 or more, linked and united."""
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return judge_urls(_table(spark, sf_dir, "pages")).drop("listed")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_severity(docs, fit_severity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose 64-bit fingerprints differ in at most four bits, linked and united."""
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    little = F.lower(F.hex("print"))  # the lowest byte comes first
+    return found.select("doc_id", F.concat(*[F.substring(little, 15 - 2 * i, 2) for i in range(8)]).alias("fingerprint"), "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines of every source dropped from its documents."""
     out = drop_boilerplate(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token sequences in training order, written as shards in the shared folder."""
+    return write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "token-shards"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
@@ -111,7 +139,7 @@ SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_license_scan, op5_url_filter, op7_bpe, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_license_scan, op4_embedding_dedup, op5_url_filter, op6_toxicity, op7_bpe, op8_simhash, op9_line_dedup, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
