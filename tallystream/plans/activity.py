@@ -1,22 +1,84 @@
-"""Rolling and lifetime activity."""
+"""Rolling and lifetime activity, pointers and histories."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystream.operators import sequences
 from tallystream.operators.velocity import VelocityConfig, add_velocity, window_label
 from tallystream.plans import tables
 
 DAY = 86400
+EVENTS, ORDERS, LINES = (3600, 21600, 86400), (30 * DAY, 90 * DAY, 365 * DAY), (7 * DAY, 30 * DAY)
+CUSTOM = (90, 5400, 172800)
 
 
 def velocity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity of every user in the last hour, six hours, day and before."""
-    config = VelocityConfig(entity="user_id", time="t", amount="value")
+    config = VelocityConfig(EVENTS, "user_id", "t", "value")
     return add_velocity(tables.events(spark, sf_dir), config).select("event_id", "user_id", "t", *config.names())
 
 
+def velocity_events_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by running totals with expiry."""
+    config = VelocityConfig(EVENTS, "user_id", "t", "value")
+    return add_velocity(tables.events(spark, sf_dir), config, heavy=True).select("event_id", "user_id", "t", *config.names())
+
+
+def velocity_orders_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = VelocityConfig(ORDERS, "o_custkey", "t", "o_totalprice")
+    return add_velocity(tables.orders(spark, sf_dir), config).select("o_orderkey", "o_custkey", "t", *config.names())
+
+
+def velocity_lineitem_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many rows share a day: all of them see the same past."""
+    config = VelocityConfig(LINES, "l_suppkey", "t", "l_extendedprice")
+    out = add_velocity(tables.lineitem(spark, sf_dir), config, heavy=True)
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "t", *config.names())
+
+
+def custom_windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = VelocityConfig(CUSTOM, "user_id", "t", "value")
+    return add_velocity(tables.events(spark, sf_dir), config).select("event_id", *config.names())
+
+
+def prior_totals_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = VelocityConfig(ORDERS[:1], "o_custkey", "t", "o_totalprice")
+    return add_velocity(tables.orders(spark, sf_dir), config).select("o_orderkey", "cc_txn_count_prior", "cc_amt_sum_prior")
+
+
+_ORDER = {"entity": "o_custkey", "time": "t", "key": "o_orderpriority", "row": "o_orderkey"}
+
+
+def pointer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous order of each order's customer."""
+    return sequences.add_pointer(tables.orders(spark, sf_dir), **_ORDER).select("o_orderkey", "o_custkey", "previous")
+
+
+def sequence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twelve orders of each order's customer, oldest first, as text."""
+    out = sequences.add_history(tables.orders(spark, sf_dir), 12, **_ORDER)
+    return out.select("o_orderkey", F.size("history").cast("long").alias("length"), F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
+def sequence_values_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of the last four orders, filled up with zeros."""
+    out = sequences.add_history(tables.orders(spark, sf_dir), 4, **_ORDER, value="o_totalprice")
+    padded = sequences.pad_history(F.col("history"), 4, F.lit(0.0))
+    return out.select("o_orderkey", *[padded[i].alias(f"v{i}") for i in range(4)])
+
+
+def latest_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.latest_per_entity(tables.orders(spark, sf_dir), **_ORDER).select("o_custkey", "o_orderkey", "t")
+
+
+def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without a predecessor, by year."""
+    out = sequences.add_pointer(tables.orders(spark, sf_dir), **_ORDER)
+    return out.groupBy(F.year("o_orderdate").alias("year")).agg(F.count_if(F.col("previous") == -1).alias("cold"), F.count("*").alias("rows"))
+
+
 def _sql(source: str, entity: str, amount: str, columns: str, windows: tuple[int, ...]) -> str:
     parts = []
     for w in [*windows, None]:
@@ -26,5 +88,34 @@ def _sql(source: str, entity: str, amount: str, columns: str, windows: tuple[int
     return f"SELECT {columns}, {', '.join(parts)} FROM {source}"
 
 
-QUERIES = {"velocity_events": velocity_events}
-SQL = {"velocity_events": _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", (3600, 21600, 86400))}
+_REP = f"(SELECT *, first_value(o_orderkey) OVER (PARTITION BY o_custkey, t ORDER BY o_orderpriority, o_orderkey) AS rep FROM {tables.ORDERS})"
+_POINTER = f"(SELECT *, coalesce(last_value(rep) OVER (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS previous FROM {_REP})"
+_BUCKETS = f"(SELECT o_custkey, t, arg_min(struct_pack(k := o_orderkey, v := o_totalprice), (o_orderpriority, o_orderkey)) AS item FROM {tables.ORDERS} GROUP BY ALL)"
+
+
+def _history(length: int) -> str:
+    return f"""(SELECT o.o_orderkey, o.o_totalprice, list_concat(coalesce(b.past, []), [struct_pack(k := o.o_orderkey, v := o.o_totalprice)]) AS h
+      FROM {tables.ORDERS} o JOIN (SELECT o_custkey, t, list(item) OVER (PARTITION BY o_custkey ORDER BY t ROWS BETWEEN {length - 1} PRECEDING AND 1 PRECEDING) AS past FROM {_BUCKETS}) b USING (o_custkey, t))"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        velocity_events, velocity_events_heavy, velocity_orders_ties, velocity_lineitem_ties, custom_windows_events, prior_totals_orders,
+        pointer_orders, sequence_orders, sequence_values_padded, latest_per_entity, cold_starts,
+    )
+}
+_EVENTS_SQL = _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", EVENTS)
+SQL = {
+    "velocity_events": _EVENTS_SQL,
+    "velocity_events_heavy": _EVENTS_SQL,
+    "velocity_orders_ties": _sql(tables.ORDERS, "o_custkey", "o_totalprice", "o_orderkey, o_custkey, t", ORDERS),
+    "velocity_lineitem_ties": _sql(tables.LINEITEM, "l_suppkey", "l_extendedprice", "l_orderkey, l_linenumber, l_suppkey, t", LINES),
+    "custom_windows_events": "SELECT * EXCLUDE (user_id, t) FROM (" + _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", CUSTOM) + ")",
+    "prior_totals_orders": "SELECT o_orderkey, cc_txn_count_prior, cc_amt_sum_prior FROM (" + _sql(tables.ORDERS, "o_custkey", "o_totalprice", "o_orderkey", ORDERS[:1]) + ")",
+    "pointer_orders": f"SELECT o_orderkey, o_custkey, previous FROM {_POINTER}",
+    "sequence_orders": f"SELECT o_orderkey, len(h) AS length, array_to_string(list_transform(h, lambda x: CAST(x.k AS VARCHAR)), ',') AS history FROM {_history(12)}",
+    "sequence_values_padded": "SELECT o_orderkey, " + ", ".join(f"coalesce(h[{i + 1}].v, 0.0) AS v{i}" for i in range(4)) + f" FROM {_history(4)}",
+    "latest_per_entity": f"SELECT o_custkey, o_orderkey, t FROM {tables.ORDERS} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY t DESC, o_orderpriority, o_orderkey) = 1",
+    "cold_starts": f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) FILTER (WHERE previous = -1) AS BIGINT) AS cold, count(*) AS rows FROM {_POINTER} GROUP BY ALL",
+}
