@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import cuts, range_of
 from tallystream.functions.scalars import cents_valid, coordinates_valid, event_seconds
 
 #: Tokens for a missing and for an unseen category.
@@ -52,17 +53,15 @@ def distance_or_null(lat: Column, lon: Column, lat2: Column, lon2: Column, dista
 def backsteps(df: DataFrame, clocks: list[str], row: str) -> DataFrame:
     """One row: for each clock, how many rows are earlier than the row before.
 
-    Rows are compared with their neighbour of a range partition each, so no task sees all rows.
+    Rows are compared with their neighbour inside ranges of ``row``, and then the ranges' ends, so no task sees all rows.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(row, *clocks).repartitionByRange(parts, row).withColumn("__p", F.spark_partition_id())
+    rows = df.select(row, *clocks).withColumn("__p", range_of(F.col(row), cuts(df, row)))
     inside = Window.partitionBy("__p").orderBy(row)
     steps = rows.select("__p", row, *clocks, *[F.lag(c).over(inside).alias(f"__{c}") for c in clocks])
     first = [F.min_by(F.col(c), F.col(row)).alias(f"f_{c}") for c in clocks]
     last = [F.max_by(F.col(c), F.col(row)).alias(f"l_{c}") for c in clocks]
     parts_of = steps.groupBy("__p").agg(*[F.count_if(F.col(c) < F.col(f"__{c}")).alias(c) for c in clocks], *first, *last, F.min(row).alias("__start"))
-    seams = Window.orderBy("__start")  # one row per partition
+    seams = Window.orderBy("__start")  # one row per range
     whole = parts_of.select(*[(F.col(c) + F.coalesce((F.col(f"f_{c}") < F.lag(f"l_{c}").over(seams)).cast("int"), F.lit(0))).alias(c) for c in clocks])
     return whole.agg(*[F.sum(c).cast("long").alias(c) for c in clocks])
 

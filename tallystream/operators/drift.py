@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import cuts, range_of
 from tallystream.functions.scalars import drift_status, logit, sigmoid
 from tallystream.operators.profile import bottom_k
 from tallystream.sources.artifacts import opened, sealed
@@ -93,9 +94,8 @@ def distribution_distances(reference: DataFrame, current: DataFrame, value: str)
     counts = side(reference, 0).unionByName(side(current, 1)).groupBy("v").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
     total = counts.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     rows = _running(counts, ["a", "b"], "v", [], False)
-    # The next distinct value: inside a range partition by lead, across partitions by the next one's first.
-    parts = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "v").withColumn("__p", F.spark_partition_id())
+    # The next distinct value: inside a range by lead, across ranges the next one's first.
+    ranged = rows.withColumn("__p", range_of(F.col("v"), cuts(counts, "v")))
     firsts = ranged.groupBy("__p").agg(F.min("v").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("__p"))).select("__p", "after")
     nexts = ranged.withColumn("next", F.lead("v").over(Window.partitionBy("__p").orderBy("v"))).join(F.broadcast(firsts), "__p").crossJoin(F.broadcast(total))
     gap = F.abs(F.col("c_a") / F.col("n_a") - F.col("c_b") / F.col("n_b"))

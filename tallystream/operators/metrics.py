@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import cuts, range_of
 from tallystream.functions.scalars import safe_ratio
 
 RECALL_TARGETS, PRECISION_TARGETS = (0.80, 0.90, 0.95), (0.50, 0.75, 0.90)
@@ -34,11 +35,10 @@ def check_probabilities(df: DataFrame, label: str, p: str) -> None:
 def _running(df: DataFrame, values: list[str], order: str, by: list[str], descending: bool) -> DataFrame:
     """Add running sums ``c_<value>`` over ``order`` within ``by``; equal orders must not repeat.
 
-    Rows are summed within range partitions first, and the partitions' totals (a row each) are carried over.
+    Rows are summed within ranges of the order first, and the ranges' totals (a row each) are carried over.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.desc(order) if descending else F.asc(order)
-    rows = df.repartitionByRange(parts, *by, key).withColumn("__p", F.spark_partition_id())
+    key, at = F.desc(order) if descending else F.asc(order), range_of(F.col(order), cuts(df, order))
+    rows = df.withColumn("__p", -at if descending else at)
     inside = Window.partitionBy(*by, "__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "__p").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import cuts, range_of
+
 
 def label_counts(df: DataFrame, label: str, **keys: Column) -> DataFrame:
     """Rows by key and label, nulls included."""
@@ -72,11 +74,10 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str], row: str) -> DataFrame:
-    """Ranks of each column, ties averaged. Distinct values are ranked, not rows; the value table of a column is ordered in
-    range partitions, so no task sees all of it."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ranks of each column, ties averaged. Distinct values are ranked, not rows, in ranges of values, so no task sees all."""
+    at = F.coalesce(*[F.when(F.col("column") == c, range_of(F.col("value"), cuts(df, c))) for c in columns])
     long = df.select(row, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))).filter("value is not null")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n")).repartitionByRange(parts, "column", "value").withColumn("__p", F.spark_partition_id())
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("__p", at)
     inside = counts.withColumn("__upto", F.sum("n").over(Window.partitionBy("column", "__p").orderBy("value")))
     totals = counts.groupBy("column", "__p").agg(F.sum("n").alias("t"))
     before = totals.withColumn("before", F.sum("t").over(Window.partitionBy("column").orderBy("__p")) - F.col("t")).select("column", "__p", "before")

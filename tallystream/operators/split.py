@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import cuts, range_of
 from tallystream.operators.checks import duplicate_keys, require_columns, shared_keys
 from tallystream.sources.artifacts import ordered_digest
 
@@ -31,10 +32,9 @@ def boundary_time(df: DataFrame, time: str, fraction: float) -> int:
     counts = df.groupBy(time).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     position = int(total * (1 - fraction))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = counts.repartitionByRange(parts, time).withColumn("__p", F.spark_partition_id())
+    ranges = counts.withColumn("__p", range_of(F.col(time), cuts(counts, time)))
     before = 0
-    for r in ranges.groupBy("__p").agg(F.sum("n").alias("n")).orderBy("__p").collect():  # a row per partition
+    for r in ranges.groupBy("__p").agg(F.sum("n").alias("n")).orderBy("__p").collect():  # a row per range
         if position < before + r["n"]:
             upto = F.sum("n").over(Window.partitionBy("__p").orderBy(time))
             return ranges.filter(F.col("__p") == r["__p"]).withColumn("__u", upto + before).filter(F.col("__u") > position).agg(F.min(time)).first()[0]

@@ -66,13 +66,13 @@ def transform_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised numbers of all rows with training statistics."""
     fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
     names = [n for n in fitted.names() if n.startswith("num__")]
-    return preprocess.long_form(fitted.transform(_orders(spark, sf_dir), ["o_orderkey"]), "o_orderkey", names).withColumn("value", F.round("value", 3))
+    return preprocess.long_form(fitted.transform(_orders(spark, sf_dir), ["o_orderkey"]), "o_orderkey", names).withColumn("value", F.round("value", 3) + 0.0)
 
 
 def cyclical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.events(spark, sf_dir)
     derived = preprocess.derived_columns(F.col("ts"), F.lit("1980-05-17").cast("date"))
-    return rows.select("event_id", *[F.round(c, 6).alias(n) for n, c in derived.items()])
+    return rows.select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in derived.items()])
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ q AS (SELECT feature, quantile_cont(v, 0.005) AS low, quantile_cont(v, 0.995) AS
 s AS (SELECT feature, m.median, low, high, avg(least(greatest(v, low), high)) AS mean, stddev_pop(least(greatest(v, low), high)) AS scale FROM r JOIN q USING (feature) JOIN m USING (feature) GROUP BY ALL)"""
 _E = "(SELECT *, CAST(event_type = 'error' AND event_id % 3 = 0 AS INTEGER) AS label FROM events)"
 _N = f"(SELECT sum(1 - label) AS neg, sum(label) AS pos FROM {_E})"
-_ANGLE = lambda f, x, p: f"round({f}(2 * pi() / {p} * ({x})), 6)"
+_ANGLE = lambda f, x, p: f"round({f}(2 * pi() / {p} * ({x})), 6) + 0.0"
 
 SQL = {
     "chrono_split": f"SELECT o_orderkey, CASE WHEN t < {_AT} THEN 'train' ELSE 'validation' END AS partition FROM {tables.ORDERS}",
@@ -136,7 +136,7 @@ SQL = {
     "onehot_long": f"SELECT o_orderkey, 'cat__o_orderpriority__' || CASE WHEN o_orderpriority IN (SELECT o_orderpriority FROM {_T}) THEN o_orderpriority ELSE '__UNKNOWN__' END AS feature FROM {_O} WHERE t >= {_AT}",
     "transform_long": _STATS
     + f""", a AS (SELECT o_orderkey, 'num__log1p_o_totalprice' AS name, 'o_totalprice' AS feature, ln(1 + o_totalprice) AS v FROM {_O} UNION ALL SELECT o_orderkey, 'num__age', 'age', coalesce(age, (SELECT median FROM m WHERE feature = 'age')) FROM {_O})
-      SELECT o_orderkey, name AS feature, round(CAST(CAST((least(greatest(v, low), high) - mean) / scale AS FLOAT) AS DOUBLE), 3) AS value FROM a JOIN s USING (feature)""",
+      SELECT o_orderkey, name AS feature, round(CAST(CAST((least(greatest(v, low), high) - mean) / scale AS FLOAT) AS DOUBLE), 3) + 0.0 AS value FROM a JOIN s USING (feature)""",
     "cyclical_features": f"""SELECT event_id, round(date_diff('day', DATE '1980-05-17', CAST(ts AS DATE)) / 365.2425, 6) AS age_years, {_ANGLE('sin', 'hour(ts)', 24)} AS hour_sin, {_ANGLE('cos', 'hour(ts)', 24)} AS hour_cos,
       {_ANGLE('sin', 'isodow(ts) - 1', 7)} AS weekday_sin, {_ANGLE('cos', 'isodow(ts) - 1', 7)} AS weekday_cos, {_ANGLE('sin', 'month(ts) - 1', 12)} AS month_sin, {_ANGLE('cos', 'month(ts) - 1', 12)} AS month_cos FROM events""",
     "class_weights": f"SELECT label, count(*) AS rows, round((SELECT neg + pos FROM {_N}) / (2 * count(*)), 6) AS weight FROM {_E} GROUP BY 1",

@@ -110,7 +110,7 @@ def top_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two largest contributions to a linear score of each order."""
     parts = fusion.linear_contributions({"p": 1.5, "p2": -2.0, "p3": 0.25})
     rows = scored(spark, sf_dir).select("o_orderkey", F.posexplode(fusion.top_drivers(parts, 2)).alias("rank", "d"))
-    return rows.select("o_orderkey", F.col("rank").cast("long").alias("rank"), "d.feature", F.round("d.contribution", 6).alias("contribution"))
+    return rows.select("o_orderkey", F.col("rank").cast("long").alias("rank"), "d.feature", (F.round("d.contribution", 6) + 0.0).alias("contribution"))
 
 
 _LEDGER = {"key": "user_id", "at": "t", "created": "created", "label": "event_type", "fixed": ["value"]}
@@ -227,7 +227,7 @@ SQL = {
     "blend_probability": f"SELECT o_orderkey, round(0.5 * p + 0.3 * p2 + 0.2 * p3, 6) AS blend FROM {_S}",
     "blend_logit": f"SELECT o_orderkey, round(1 / (1 + exp(-{_MEAN})), 6) AS blend FROM {_S}",
     "blend_search": " UNION ALL ".join(_searched(i, w) for i, w in enumerate(_WSQL)),
-    "top_drivers": f"""SELECT o_orderkey, rank, feature, round(c, 6) AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(c) DESC, feature) - 1 AS rank FROM (
+    "top_drivers": f"""SELECT o_orderkey, rank, feature, round(c, 6) + 0.0 AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(c) DESC, feature) - 1 AS rank FROM (
       SELECT o_orderkey, 'p' AS feature, p * 1.5 AS c FROM {_S} UNION ALL SELECT o_orderkey, 'p2', p2 * -2.0 FROM {_S} UNION ALL SELECT o_orderkey, 'p3', p3 * 0.25 FROM {_S})) WHERE rank < 2""",
     "feedback_merge": f"SELECT * FROM {_MERGED}",
     "feedback_latest": f"SELECT user_id, t, event_type FROM {_MERGED} ORDER BY t DESC, user_id DESC LIMIT 20",
