@@ -51,15 +51,13 @@ class ActivityState:
         return [*out, self.total_n, self.total_cents]
 
 
-def stream_velocity(events: DataFrame, config: VelocityConfig, key: str, *, on_late: str = "raise", snapshot: DataFrame | None = None) -> DataFrame:
+def stream_velocity(events: DataFrame, config: VelocityConfig, key: str, *, on_late: str = "raise") -> DataFrame:
     """(entity, key, time, late, and the columns of ``config.names()``) of a stream of events.
 
     ``on_late``: raise, or mark (with nulls). Processed with the output mode append.
     """
     if on_late not in ("raise", "mark"):
         raise ValueError("late events are raised or marked")
-    if snapshot is not None:
-        raise NotImplementedError("start from a snapshot with velocity_from_snapshot")
     names, windows = config.names(), config.windows
     kinds = dict(events.dtypes)
     source = events.select(F.col(config.entity).alias("entity"), F.col(key).alias("key"), F.col(config.time).cast("long").alias("t"), cents(F.col(config.amount)).alias("cents"))
