@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallystream.llm.bpe import encode_documents
 from tallystream.llm.decontaminate import decontaminate
 from tallystream.llm.embed_dedup import embedding_duplicates
-from tallystream.llm.license_scan import scan_licenses
+from tallystream.llm.license_scan import PHRASES, TEMPLATES, _need, scan_licenses
 from tallystream.llm.line_dedup import drop_boilerplate
 from tallystream.llm.secret_scan import scan_secrets
 from tallystream.llm.shared import new_path
@@ -138,9 +138,38 @@ SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(
 """
 
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+
+def _license_sql(threshold: float = 0.85) -> str:
+    """Places by comparing slices, and templates by comparing every line with every template."""
+    lists = [(label, "[" + ", ".join(f"'{w}'" for w in phrase.split()) + "]", len(phrase.split())) for phrase, label in PHRASES]
+    places = ", ".join(f"list_transform(list_filter(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: w[i:i + {n - 1}] = {words}), lambda i: {{'pos': i - 1, 'label': '{label}'}})" for label, words, n in lists)
+    templates = ", ".join(f"({i}, '{label}', [{', '.join(chr(39) + w + chr(39) for w in sorted(set(t.split())))}], {_need(len(set(t.split())), threshold)})" for i, (label, t) in enumerate(TEMPLATES))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS.format('text')} AS w FROM documents),
+p AS (SELECT r, doc_id, text, len(w) AS n, flatten([{places}]) AS p FROM d),
+t AS (SELECT * FROM (VALUES {templates}) AS v(id, label, tokens, need)),
+l AS (SELECT r, list_distinct({_WORDS.format('line')}) AS held FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT r, label, len(list_intersect(held, tokens)) / len(tokens) AS share FROM l, t WHERE len(list_intersect(held, tokens)) >= need),
+g AS (SELECT r, max(share) AS best, list(DISTINCT label) AS more FROM m GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.pos)) AS BIGINT) AS first_word, CAST(list_max(list_transform(p, lambda x: x.pos)) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM p LEFT JOIN g USING (r)"""
+
+
+OP4_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.a = v.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_license_scan, op4_embedding_dedup, op5_url_filter, op6_toxicity, op7_bpe, op8_simhash, op9_line_dedup, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_license_scan": _license_sql(), "op4_embedding_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
