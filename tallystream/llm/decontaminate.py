@@ -100,8 +100,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str =
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose text holds any benchmark window; rows and columns are otherwise unchanged."""
-    bad = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("bad_key")) & (F.xxhash64(F.col(text)) == F.col("bad_hash")), "left_anti")
+    bad = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("__bad_key"), F.col("text_hash").alias("__bad_hash")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad_key")) & (F.xxhash64(F.col(text)) == F.col("__bad_hash")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -109,9 +109,9 @@ def remove_spans(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str =
 
     Rows without a hit keep their text as it is.
     """
-    found = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash"), "spans").dropDuplicates(["bad_key", "bad_hash"])
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("bad_key")) & (F.xxhash64(F.col(text)) == F.col("bad_hash")), "left")
-    pieces = joined.withColumn("pieces", F.explode(F.array(F.when(F.col("spans").isNotNull(), F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)))))
-    inside = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"]))
-    kept = F.array_join(F.filter("pieces", lambda p, i: ~inside(i)), "")
-    return pieces.withColumn(text, F.when(F.col("spans").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
+    found = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("__bad_key"), F.col("text_hash").alias("__bad_hash"), F.col("spans").alias("__spans")).dropDuplicates(["__bad_key", "__bad_hash"])
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__bad_key")) & (F.xxhash64(F.col(text)) == F.col("__bad_hash")), "left")
+    pieces = joined.withColumn("__pieces", F.explode(F.array(F.when(F.col("__spans").isNotNull(), F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)))))
+    inside = lambda i: F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"]))
+    kept = F.array_join(F.filter("__pieces", lambda p, i: ~inside(i)), "")
+    return pieces.withColumn(text, F.when(F.col("__spans").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)

@@ -36,27 +36,28 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.08, min_pages: int = 10,
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.08, min_pages: int = 10, *, text: str = "text", host: str = "source", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Drop from every text the lines that more than ``ratio`` of its host's pages, and at least ``min_pages``, hold.
 
-    Returns the rows and columns of ``docs`` with the new text, and ``n_lines`` and ``n_dropped`` (long). Blank lines always
+    Returns the rows and columns of ``docs`` with the new text, and ``n_lines`` and ``n_dropped`` (long; columns of these names
+    are replaced). Blank lines always
     stay; a text of boilerplate alone becomes empty and its row stays; a null text stays null with no lines; null hosts are
     one host; repeated rows are pages of their own and stay; a text without boilerplate stays as it is.
     """
-    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host).select(F.col("host").alias("bad_host"), "bad"), "boilerplate")
-    size = bad.agg(F.coalesce(F.sum(F.size("bad") + 1), F.lit(0))).first()[0]
+    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), "boilerplate")
+    size = bad.agg(F.coalesce(F.sum(F.size("__bad") + 1), F.lit(0))).first()[0]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = docs.select(*columns)
     if size <= broadcast_rows:
-        joined = docs.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col("bad_host")), "left")
+        joined = own.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col("__host")), "left")
     else:
-        salted = bad.withColumn("bad_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("own_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        joined = own.join(salted, F.col(host).eqNullSafe(F.col("bad_host")) & (F.col("own_salt") == F.col("bad_salt")), "left")
+        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("__own_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        joined = own.join(salted, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__own_salt") == F.col("__salt")), "left")
     lines = F.split(F.col(text), "\n")
-    found = F.when(F.col("bad").isNotNull(), F.array_intersect("bad", F.transform(lines, _line_id)))
-    marked = joined.select(*[F.col(c) for c in docs.columns], F.explode(F.array(found)).alias("found_ids"))
-    hit = F.size(F.coalesce("found_ids", F.array().cast("array<binary>"))) > 0
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("found_ids"), _line_id(x)), F.lit(False)))
-    out = marked.select(*[F.col(c) for c in docs.columns], F.when(hit, kept).alias("kept_lines"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
-    new = F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(F.col(text))
-    return out.select(
-        *[new.alias(c) if c == text else F.col(c) for c in docs.columns],
-        n_lines.cast("long").alias("n_lines"), F.when(F.col("kept_lines").isNotNull(), n_lines - F.size("kept_lines")).otherwise(0).cast("long").alias("n_dropped"),
-    )
+    found = F.when(F.col("__bad").isNotNull(), F.array_intersect("__bad", F.transform(lines, _line_id)))
+    marked = joined.select(*columns, F.explode(F.array(found)).alias("__found"))  # computed once, before it is used for each line
+    hit = F.size(F.coalesce("__found", F.array().cast("array<binary>"))) > 0
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__found"), _line_id(x)), F.lit(False)))
+    out = marked.select(*columns, F.when(hit, kept).alias("__kept"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    new = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text))
+    dropped = F.when(F.col("__kept").isNotNull(), n_lines - F.size("__kept")).otherwise(0)
+    return out.select(*[new.alias(c) if c == text else F.col(c) for c in columns], n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, forest: Forest = EXACT, *
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, forest: Forest = WIDE, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group: that of the smallest key. Rows with a null key stay."""
     found = near_duplicates(docs, shingle, forest, text=text, key=key)
-    kept = found.filter(F.col(key).cast("long") == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
-    rows = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("kept_key"), "left_semi")
+    kept = found.filter(F.col(key).cast("long") == F.col("component_id")).select(F.col(key).alias("__kept_key")).distinct()
+    rows = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept_key"), "left_semi")
     whole = F.struct(*docs.columns)
-    one = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(F.col(text))).alias("row")).select("row.*")
+    one = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(F.col(text))).alias("__row")).select("__row.*")
     return one.unionByName(docs.filter(F.col(key).isNull()))
