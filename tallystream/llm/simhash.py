@@ -9,7 +9,7 @@ fingerprints within R of each other are within r_b in some band b (pigeonhole),
 there: the search is exact. Equal fingerprints are one node throughout; shards yield stars, never all pairs.
 
 The 64-bit form links at up to 4 differing bits with bands of 16 bits and radii 1, 0, 0, 0. Near copies of 80 % similarity
-differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 256 bits, and 24 bands of 13
+differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 512 bits, and 24 bands of 13
 bits sampled from them: a pair of similarity 0.8 meets with a probability of about 0.95, a closer one almost surely.
 """
 
@@ -90,7 +90,7 @@ def _sampled(words: int, count: int, width: int) -> tuple[Band, ...]:
     return tuple(Band(tuple(sorted(int(x) for x in draw.choice(64 * words, width, replace=False))), 0, 8) for _ in range(count))
 
 
-WIDE = Forest(4, 42, _sampled(4, 24, 13))
+WIDE = Forest(8, 88, _sampled(8, 24, 13))
 
 
 def simhash(text: str | None, shingle: int, words: int, seed: int = 42) -> bytes:
