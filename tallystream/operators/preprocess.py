@@ -42,7 +42,7 @@ class PreprocessConfig:
 def derived_columns(display: Column, birth: Column) -> dict[str, Column]:
     """Age in years and the cyclical hour, weekday and month of a display time."""
     out = {"age_years": age_years(display.cast("date"), birth)}
-    for name, value, period in (("hour", F.hour(display), 24), ("weekday", F.weekday(display), 7), ("month", F.month(display) - 1, 12)):
+    for name, value, period in (("hour", F.hour(display), 24), ("day", F.weekday(display), 7), ("month", F.month(display) - 1, 12)):
         out[f"{name}_sin"], out[f"{name}_cos"] = cyclical(value, period)
     return out
 

@@ -109,8 +109,12 @@ def stratified_bottom_k(df: DataFrame, key: str, stratum: str, sizes: dict, seed
     return out
 
 
-#: Columns that may leave in samples: no names, streets, cities or identifiers.
-SAMPLE_COLUMNS = ["category", "amt", "gender", "state", "city_pop", "job", "unix_time", "is_fraud", "lat", "long", "merch_lat", "merch_long"]
+#: Columns that may leave in samples: no names, streets, cities or identifiers.
+SAMPLE_COLUMNS = [
+    "trans_date_trans_time", "category", "amt", "gender", "state", "city_pop", "merch_lat", "merch_long", "is_fraud", "distance_card_merchant_km",
+    "cc_txn_count_prev_1h", "cc_amt_sum_prev_1h", "cc_txn_count_prev_6h", "cc_amt_sum_prev_6h", "cc_txn_count_prev_24h", "cc_amt_sum_prev_24h", "cc_txn_count_prior", "cc_amt_sum_prior",
+    "age_years", "hour", "day_of_week", "log1p_amt", "log1p_city_pop", "hour_sin", "hour_cos", "day_sin", "day_cos",
+]
 
 
 def without_personal(df: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ SQL = {
     + f""", a AS (SELECT o_orderkey, 'num__log1p_o_totalprice' AS name, 'o_totalprice' AS feature, ln(1 + o_totalprice) AS v FROM {_O} UNION ALL SELECT o_orderkey, 'num__age', 'age', coalesce(age, (SELECT median FROM m WHERE feature = 'age')) FROM {_O})
       SELECT o_orderkey, name AS feature, round(CAST(CAST((least(greatest(v, low), high) - mean) / scale AS FLOAT) AS DOUBLE), 3) + 0.0 AS value FROM a JOIN s USING (feature)""",
     "cyclical_features": f"""SELECT event_id, round(date_diff('day', DATE '1980-05-17', CAST(ts AS DATE)) / 365.2425, 6) AS age_years, {_ANGLE('sin', 'hour(ts)', 24)} AS hour_sin, {_ANGLE('cos', 'hour(ts)', 24)} AS hour_cos,
-      {_ANGLE('sin', 'isodow(ts) - 1', 7)} AS weekday_sin, {_ANGLE('cos', 'isodow(ts) - 1', 7)} AS weekday_cos, {_ANGLE('sin', 'month(ts) - 1', 12)} AS month_sin, {_ANGLE('cos', 'month(ts) - 1', 12)} AS month_cos FROM events""",
+      {_ANGLE('sin', 'isodow(ts) - 1', 7)} AS day_sin, {_ANGLE('cos', 'isodow(ts) - 1', 7)} AS day_cos, {_ANGLE('sin', 'month(ts) - 1', 12)} AS month_sin, {_ANGLE('cos', 'month(ts) - 1', 12)} AS month_cos FROM events""",
     "class_weights": f"SELECT label, count(*) AS rows, round((SELECT neg + pos FROM {_N}) / (2 * count(*)), 6) AS weight FROM {_E} GROUP BY 1",
     "imbalance_projection": f"""SELECT strategy, CAST(n AS BIGINT) AS negatives, CAST(p AS BIGINT) AS positives, round(wn, 6) AS negative_weight, round(wp, 6) AS positive_weight FROM (
       SELECT 'none' AS strategy, neg AS n, pos AS p, 1.0::DOUBLE AS wn, 1.0::DOUBLE AS wp FROM {_N} UNION ALL SELECT 'class_weight', neg, pos, (neg + pos) / (2 * neg), (neg + pos) / (2 * pos) FROM {_N}

@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 
 from tallystream.operators.checks import enforce
 
-#: What a reviewer may say.
-LABELS = ("confirmed_fraud", "legitimate")
-FIXED = ["transaction_key", "hybrid_probability", "threshold", "predicted_fraud", "history_depth"]
-LEDGER_COLUMNS = ["prediction_id", "created_at", "updated_at", *FIXED, "reviewer_label"]
+#: What a reviewer may say, and the ledger's columns.
+LABELS = ("confirm_fraud", "false_positive")
+LEDGER_COLUMNS = [
+    "prediction_id", "created_at_utc", "updated_at_utc", "reviewer_label", "fraud_probability", "decision_threshold", "fraud_flag",
+    "model_config_sha256", "transaction_json", "engineered_features_json", "component_probabilities_json", "context_depth",
+]
+FIXED = LEDGER_COLUMNS[4:]
 
 
 def ledger_rules(labels: tuple[str, ...] = LABELS) -> dict[str, Column]:
     chance = lambda c: F.col(c).between(0, 1) & ~F.isnan(c)
     return {
         "prediction_id": F.length(F.trim("prediction_id")) > 0, "reviewer_label": F.col("reviewer_label").isin(*labels),
-        "hybrid_probability": chance("hybrid_probability"), "threshold": chance("threshold"), "history_depth": F.col("history_depth") >= 1,
+        "fraud_probability": chance("fraud_probability"), "decision_threshold": chance("decision_threshold"), "fraud_flag": F.col("fraud_flag").isin(0, 1), "context_depth": F.col("context_depth") >= 1,
     }
 
 
-def merge(ledger: DataFrame, reviews: DataFrame, *, key: str = "prediction_id", at: str = "updated_at", created: str = "created_at", label: str = "reviewer_label", fixed: list[str] = FIXED) -> DataFrame:
+def merge(ledger: DataFrame, reviews: DataFrame, *, key: str = "prediction_id", at: str = "updated_at_utc", created: str = "created_at_utc", label: str = "reviewer_label", fixed: list[str] = FIXED) -> DataFrame:
     """The ledger after the reviews: first creation and first fixed columns, last label. One shuffle, no gathered groups."""
     rows = ledger.unionByName(reviews.withColumn(created, F.col(at)) if created not in reviews.columns else reviews)
     first = [F.min_by(F.col(c), F.struct(F.col(created), F.col(at))).alias(c) for c in fixed]
@@ -37,7 +40,7 @@ def record(ledger: DataFrame, reviews: DataFrame) -> DataFrame:
     return merge(ledger, reviews).select(*LEDGER_COLUMNS)
 
 
-def newest(ledger: DataFrame, limit: int, *, key: str = "prediction_id", at: str = "updated_at") -> DataFrame:
+def newest(ledger: DataFrame, limit: int, *, key: str = "prediction_id", at: str = "updated_at_utc") -> DataFrame:
     if limit < 1:
         raise ValueError("the limit must be positive")
     return ledger.orderBy(F.desc(at), F.desc(key)).limit(limit)

@@ -110,14 +110,15 @@ def test_profile(spark):
 
 
 def test_ledger(spark):
-    columns = "prediction_id string, created_at long, updated_at long, transaction_key string, hybrid_probability double, threshold double, predicted_fraud boolean, history_depth int, reviewer_label string"
-    row = lambda at, label, p=0.9: ("p1", at, at, "t", p, 0.5, True, 3, label)
+    texts = [c for c in ledger.LEDGER_COLUMNS if c.endswith(("json", "sha256"))]
+    columns = "prediction_id string, created_at_utc string, updated_at_utc string, reviewer_label string, fraud_probability double, decision_threshold double, fraud_flag int, " + ", ".join(f"{c} string" for c in texts) + ", context_depth int"
+    row = lambda at, label, p=0.9: ("p1", f"2024-01-0{at}", f"2024-01-0{at}", label, p, 0.5, 1, *["{}"] * 4, 3)
     empty = spark.createDataFrame([], columns)
-    once = ledger.record(empty, spark.createDataFrame([row(1, "legitimate")], columns))
-    twice = ledger.record(once, spark.createDataFrame([row(5, "confirmed_fraud", 0.1)], columns)).collect()
-    assert len(twice) == 1 and (twice[0].reviewer_label, twice[0].hybrid_probability, twice[0].created_at, twice[0].updated_at) == ("confirmed_fraud", 0.9, 1, 5)
-    with pytest.raises(ValueError, match="hybrid_probability"):
-        ledger.record(empty, spark.createDataFrame([row(1, "legitimate", 1.5)], columns))
+    once = ledger.record(empty, spark.createDataFrame([row(1, "false_positive")], columns))
+    twice = ledger.record(once, spark.createDataFrame([row(5, "confirm_fraud", 0.1)], columns)).collect()
+    assert len(twice) == 1 and (twice[0].reviewer_label, twice[0].fraud_probability, twice[0].created_at_utc, twice[0].updated_at_utc) == ("confirm_fraud", 0.9, "2024-01-01", "2024-01-05")
+    with pytest.raises(ValueError, match="fraud_probability"):
+        ledger.record(empty, spark.createDataFrame([row(1, "false_positive", 1.5)], columns))
     with pytest.raises(ValueError):
         ledger.newest(once, 0)
 
