@@ -105,10 +105,12 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, text: str, key: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc", "toxic", *lows, "words", "counts"])
 
     schema = f"doc {docs.schema[key].dataType.simpleString()}, toxic int, {' long, '.join(lows)} long, words array<string>, counts array<int>"
-    out = rows.mapInArrow(run, schema)
+    every = written(rows.mapInArrow(run, schema), "severity-rows")
+    thin = every.select("doc", *lows)
     for low in lows:
-        out = out.groupBy(low).agg(F.min_by(F.struct("doc", "toxic", *lows, "words", "counts"), F.col("doc")).alias("row")).select("row.*")
-    return written(out.select("toxic", "words", "counts"), "severity-sample")
+        thin = thin.groupBy(low).agg(F.min_by(F.struct("doc", *lows), F.col("doc")).alias("row")).select("row.*")
+    one = every.join(thin.select("doc").distinct(), "doc").groupBy("doc").agg(F.first("toxic").alias("toxic"), F.min_by(F.struct("words", "counts"), F.col("low0")).alias("row"))
+    return written(one.select("toxic", "row.*"), "severity-sample")
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = FEATURES, text: str = "text", key: str = "doc_id", label: str = "toxic", ridge: float = 0.5, steps: int = 600) -> SeverityModel:
