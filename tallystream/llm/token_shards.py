@@ -1,22 +1,27 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Documents are cut into sequences of equally many tokens. Each sequence has an index, in the order of the scan, and a keyed
-Feistel permutation with cycle-walking maps the indexes 0 .. n-1 one to one to slots 0 .. n-1, the order of training. Slots
-are dealt to tasks by range, sorted there, and written one after another: slot s is record s mod S of shard s div S, so a
-reader seeks to any slot and goes on from there.
-
-The scan runs twice, once to count each partition's sequences and once to encode them for good: the counts make indexes
-dense without gathering or storing the tokens first. The second run checks itself against the counts.
+Documents are cut into sequences of equally many tokens. A text of b bytes has at most ceil(b / length) sequences, so running
+sums of that bound give each sequence a number of its own before anything is encoded. A keyed Feistel permutation with
+cycle-walking maps these numbers one to one onto themselves; the order of the permuted numbers is the order of training.
+Sequences are dealt to shards by ranges of permuted numbers and sorted there, and each shard is written as records of one size.
+Numbers that no sequence has close up: a sequence's slot (0 .. n-1) is its position plus the records of the shards before.
+A reader seeks to any slot and goes on from there.
+
+The texts are read twice, once for their lengths and once to be encoded; the second run checks itself against the first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 from tallystream.llm.bpe import codec
 from tallystream.llm.shared import written
 
-#: Tokens of a sequence, sequences of a shard, and the id that fills up a document's last sequence.
-LENGTH, SHARD_SLOTS, PAD = 512, 8192, 50256
+#: Tokens of a sequence, numbers to a shard (under a half of them are used), and the id that fills up a last sequence.
+LENGTH, SHARD_NUMBERS, PAD = 512, 32768, 50256
 CACHE = 400_000
 
 
@@ -60,8 +65,8 @@ class WordEncoder:
     """
 
     def __init__(self):
-        self.direct = lambda text: codec()._leaf(text).astype("<u2").tobytes()
-        self.known: dict[str, bytes | None] = {}
+        encode = codec().encoding.encode_ordinary
+        self.direct = lambda text: array("H", encode(text)).tobytes()
 
         class Words(dict):
             def __missing__(inner, word: str) -> bytes | None:  # noqa: N805
@@ -82,52 +87,58 @@ class WordEncoder:
             return self.direct(text)
 
 
-def _cut(encoder: WordEncoder, text: str | None, length: int) -> list[bytes]:
-    ids = encoder.encode(text or "")
-    return [ids[i : i + 2 * length] for i in range(0, len(ids), 2 * length)]
+def _bounds(lengths: np.ndarray, length: int) -> np.ndarray:
+    return -(-lengths // length)
+
+
+def _byte_lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, seqs = WordEncoder(), 0, 0
+        docs = numbers = 0
         for batch in batches:
-            for value in batch.column(1):
-                seqs += -(-len(encoder.encode(value.as_py() or "")) // (2 * length))
-                docs += 1
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs], pa.int64()), pa.array([seqs], pa.int64())], ["part", "docs", "seqs"])
+            docs += batch.num_rows
+            numbers += int(_bounds(_byte_lengths(batch.column(1)), length).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs], pa.int64()), pa.array([numbers], pa.int64())], ["part", "docs", "numbers"])
 
     return run
 
 
-def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int, int]], per_task: int):
+def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int, int]], per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at, docs = WordEncoder(), TaskContext.get().partitionId(), 0, 0
         start, want_docs, want = starts.get(part, (0, 0, 0))
         pad = np.full(length, PAD, dtype="<u2").tobytes()
+        stride = 2 * length
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 piece = batch.slice(begin, 256)
-                keys, numbers, sizes, records = [], [], [], []
+                bounds = _bounds(_byte_lengths(piece.column(1)), length)
+                firsts = start + at + np.cumsum(bounds) - bounds
+                rows, seqs, sizes, records = [], [], [], []
                 for i, value in enumerate(piece.column(1)):
-                    for number, ids in enumerate(_cut(encoder, value.as_py(), length)):
-                        keys.append(i), numbers.append(number), sizes.append(len(ids) // 2)
-                        records.append(ids + pad[len(ids) :])
+                    ids = encoder.encode(value.as_py() or "")
+                    for number, k in enumerate(range(0, len(ids), stride)):
+                        cut = ids[k : k + stride]
+                        rows.append(i), seqs.append(number), sizes.append(len(cut) // 2)
+                        records.append(cut if len(cut) == stride else cut + pad[len(cut) :])
                 docs += piece.num_rows
-                if not keys:
-                    continue
-                slots = feistel(np.arange(start + at, start + at + len(keys)), n, seed)
-                at += len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(slots // per_task, pa.int32()), pa.array(slots, pa.int64()), piece.column(0).take(pa.array(keys)), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(records, pa.binary())], ["task", "slot", "doc", "seq", "n_tokens", "record"])
+                at += int(bounds.sum())
+                if rows:
+                    order = feistel(firsts[rows] + np.array(seqs), n, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(order // per_shard, pa.int32()), pa.array(order, pa.int64()), piece.column(0).take(pa.array(rows)), pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(records, pa.binary())], ["shard", "at", "doc", "seq", "n_tokens", "record"])
         if (docs, at) != (want_docs, want):
-            raise RuntimeError(f"partition {part} held {want} sequences of {want_docs} documents and now {at} of {docs}")
+            raise RuntimeError(f"partition {part} held {want_docs} documents and now {docs}: the input must be the same at each reading")
 
     return run
 
 
-def _write(folder: str, shard_slots: int):
+def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        attempt, shard, sink, temp = TaskContext.get().taskAttemptId(), -1, None, ""
+        attempt, shard, position, sink, temp = TaskContext.get().taskAttemptId(), -1, 0, None, ""
 
         def close() -> None:
             if sink is not None:
@@ -135,59 +146,68 @@ def _write(folder: str, shard_slots: int):
                 store.move(temp, f"{root}/shard-{shard:08d}.bin")  # another attempt's file has the same bytes
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            slots, records = batch.column(1).to_numpy(), batch.column(5)
-            shards = slots // shard_slots
-            for s in np.unique(shards):
-                if s != shard:
+            shards, places = batch.column(0).to_numpy(), np.zeros(batch.num_rows, dtype=np.int64)
+            for begin, end in pairwise([0, *(np.flatnonzero(np.diff(shards)) + 1), batch.num_rows] if batch.num_rows else []):
+                if shards[begin] != shard:
                     close()
-                    shard, temp = int(s), f"{root}/.shard-{int(s):08d}.{attempt}"
+                    shard, position, temp = int(shards[begin]), 0, f"{root}/.shard-{int(shards[begin]):08d}.{attempt}"
                     sink = store.open_output_stream(temp)
-                sink.write(b"".join(records.take(pa.array(np.flatnonzero(shards == s))).to_pylist()))
-            digests = [hashlib.md5(r.as_py()).hexdigest() for r in records]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1), pa.array(shards, pa.int64()), pa.array(slots % shard_slots, pa.int64()), batch.column(4), pa.array(digests, pa.string())], ["doc", "seq", "slot", "shard", "position", "n_tokens", "md5"])
+                sink.write(b"".join(batch.column(5).slice(begin, end - begin).to_pylist()))
+                places[begin:end] = position + np.arange(end - begin)
+                position += end - begin
+            if batch.num_rows:
+                digests = [hashlib.md5(r).hexdigest() for r in batch.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(places), batch.column(4), pa.array(digests, pa.string())], ["doc", "seq", "shard", "position", "n_tokens", "md5"])
         close()
 
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write the shards below ``folder`` (a URI that driver and executors share) and return the manifest.
 
     One row per sequence: the key, ``seq`` (number within its document), ``slot``, ``shard``, ``position`` in the shard,
     ``n_tokens`` (without filling) and ``md5`` of the record. Records have ``length`` little-endian 16-bit ids. Null and empty
     texts have no sequences; repeated rows have sequences of their own; without sequences no shard is written. A task that is
-    run again writes the same bytes under the same names.
+    run again writes the same bytes under the same names. The order depends on the order in which ``docs`` is scanned.
     """
+    if sys.byteorder != "little":
+        raise RuntimeError("ids are written as they are in memory, which must be little-endian")
     spark = docs.sparkSession
     source = docs.select(key, text)
-    counts = source.mapInArrow(_counts(length), "part long, docs long, seqs long").collect()  # a row per partition of the scan
+    counts = source.mapInArrow(_counts(length), "part long, docs long, numbers long").collect()  # a row per partition of the scan
     starts, n = {}, 0
     for r in sorted(counts, key=lambda r: r["part"]):
-        starts[r["part"]] = (n, r["docs"], r["seqs"])
-        n += r["seqs"]
-    shards = max(1, -(-n // shard_slots))
-    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    per_task = shard_slots * -(-shards // tasks)
+        starts[r["part"]] = (n, r["docs"], r["numbers"])
+        n += r["numbers"]
+    shards = max(1, -(-n // shard_numbers))
+    tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     kind = docs.schema[key].dataType.simpleString()
-    rows = source.mapInArrow(_sequences(length, seed, n, starts, per_task), f"task int, slot long, doc {kind}, seq int, n_tokens int, record binary")
-    dealt = rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot")
-    manifest = dealt.mapInArrow(_write(folder, shard_slots), f"doc {kind}, seq int, slot long, shard long, position long, n_tokens int, md5 string")
-    return written(manifest, "manifest").withColumnRenamed("doc", key)
-
-
-def read_slots(folder: str, start: int, stop: int, *, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> Iterator[np.ndarray]:
+    rows = source.mapInArrow(_sequences(length, seed, n, starts, shard_numbers), f"shard int, at long, doc {kind}, seq int, n_tokens int, record binary")
+    dealt = rows.repartitionById(tasks, (F.col("shard") / -(-shards // tasks)).cast("int")).sortWithinPartitions("at")
+    manifest = written(dealt.mapInArrow(_write(folder), f"doc {kind}, seq int, shard int, position long, n_tokens int, md5 string"), "manifest")
+    sizes, starts_of, before = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect()}, [], 0  # a row per shard
+    for s in range(shards):
+        starts_of.append(before)
+        before += sizes.get(s, 0)
+    first = F.element_at(F.lit(starts_of), F.col("shard") + 1).cast("long")
+    return manifest.select(F.col("doc").alias(key), "seq", (first + F.col("position")).alias("slot"), F.col("shard").cast("long").alias("shard"), "position", "n_tokens", "md5")
+
+
+def read_slots(folder: str, start: int, stop: int, *, length: int = LENGTH) -> Iterator[np.ndarray]:
     """The records of the slots from ``start`` up to ``stop``, read one after another from there."""
     store, root = fs.FileSystem.from_uri(folder)
-    stride = 2 * length
-    while start < stop:
-        shard, position = divmod(start, shard_slots)
-        end = min(stop, (shard + 1) * shard_slots)
-        with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as file:
-            file.seek(position * stride)
-            for _ in range(start, end):
-                yield np.frombuffer(file.read(stride), dtype="<u2")
-        start = end
+    stride, before = 2 * length, 0
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+        if not info.base_name.startswith("shard-"):
+            continue
+        size = info.size // stride
+        low, high = max(start, before), min(stop, before + size)
+        if low < high:
+            with store.open_input_file(info.path) as file:
+                file.seek((low - before) * stride)
+                for _ in range(low, high):
+                    yield np.frombuffer(file.read(stride), dtype="<u2")
+        before += size

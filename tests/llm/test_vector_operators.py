@@ -206,9 +206,10 @@ def test_shards(spark):
     texts = ["alpha beta gamma " * k for k in range(0, 60)] + [None, "", "two  spaces\n and  more " * 50, "x" * 3000]
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, slot int").repartition(5)
     folder = new_path(spark, "shards")
-    manifest = write_shards(rows, folder, length=16, shard_slots=10).collect()
-    assert sorted(r.slot for r in manifest) == list(range(len(manifest))) and all((r.shard, r.position) == divmod(r.slot, 10) for r in manifest)
-    records = list(read_slots(folder, 0, len(manifest), length=16, shard_slots=10))
+    manifest = write_shards(rows, folder, length=16, shard_numbers=25).collect()
+    assert sorted(r.slot for r in manifest) == list(range(len(manifest))) and len({r.shard for r in manifest}) > 3
+    assert [(r.shard, r.position) for r in sorted(manifest, key=lambda r: r.slot)] == sorted((r.shard, r.position) for r in manifest)
+    records = list(read_slots(folder, 0, len(manifest), length=16))
     parts = {}
     for r in manifest:
         assert hashlib.md5(records[r.slot].tobytes()).hexdigest() == r.md5
@@ -217,9 +218,9 @@ def test_shards(spark):
         ids = codec().encoding.encode_ordinary(t or "")
         copies = 2 if i == 3 else 1
         assert [parts[i, s] for s in range(-(-len(ids) // 16))] == [[ids[k : k + 16]] * copies for k in range(0, len(ids), 16)]
-    resumed = list(read_slots(folder, 7, 23, length=16, shard_slots=10))
+    resumed = list(read_slots(folder, 7, 23, length=16))
     assert [a.tolist() for a in resumed] == [a.tolist() for a in records[7:23]]
-    again = write_shards(rows, folder, length=16, shard_slots=10)
+    again = write_shards(rows, folder, length=16, shard_numbers=25)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest))
     assert write_shards(rows.limit(0), new_path(spark, "shards")).count() == 0
 
