@@ -181,12 +181,12 @@ def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_nu
         starts[r["part"]] = (n, r["docs"], r["numbers"])
         n += r["numbers"]
     shards = max(1, -(-n // shard_numbers))
-    tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(shards, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # mostly one shard each
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     kind = docs.schema[key].dataType.simpleString()
     rows = source.mapInArrow(_sequences(length, seed, n, starts, shard_numbers), f"shard int, at long, doc {kind}, seq int, n_tokens int, record binary")
-    dealt = rows.repartitionById(tasks, (F.col("shard") / -(-shards // tasks)).cast("int")).sortWithinPartitions("at")
+    dealt = rows.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("at")
     manifest = written(dealt.mapInArrow(_write(folder), f"doc {kind}, seq int, shard int, position long, n_tokens int, md5 string"), "manifest")
     sizes, starts_of, before = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect()}, [], 0  # a row per shard
     for s in range(shards):
