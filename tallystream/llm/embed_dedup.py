@@ -1,11 +1,10 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Each pass orders the vectors by the signs of random projections, concatenated to one number, and compares every vector with
-the next ``window`` ones. Ranks come from one range sort of (pass, number, id) without the vectors; blocks of ranks with the
-following window make groups of one size, whatever the data. Verified pairs become links, and links of all passes are united
-into classes. Equal vectors are one node throughout. Windows are bounded, so a class of more vectors than a window is found
-through links in different passes; an exact check follows: inside each class, all vectors are compared in pairs of bounded
-blocks, which yields each vector's number of links (pairs are counted, never emitted).
+"""Embedding near-dedup by an exact comparison of all vectors.
+
+The distinct vectors are dealt into blocks by a hash of their names, and every pair of blocks is one group: any two vectors
+meet in exactly one group, whatever their number and however close they all lie. A group's cosines are a matrix product in
+single precision; those too close to the threshold for it are computed again in double precision. Groups yield stars of the
+links they hold and each vector's number of links, never the pairs; stars are united into classes. The work grows with the
+square of the number of vectors, the rows that are shuffled with that number times the number of blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from tallystream.llm.components import Labels, connected_components, each_group
 from tallystream.llm.shared import written
 
-PASSES, BITS, WINDOW, BLOCK, CLASS_BLOCK = 12, 48, 512, 2048, 2048
+#: Vectors of a block at most; blocks made anyway, so that a small table also has groups for many tasks; rows of a product.
+BLOCK, LEAST_BLOCKS, LEAST_ROWS, STEP = 65536, 8, 512, 128
 
 
 def _valid(vector: Column) -> Column:
@@ -33,67 +33,57 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dim)
 
 
-def _keys(passes: int, bits: int, seed: int):
-    planes: dict[int, np.ndarray] = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(bits, dtype=np.int64))[::-1]
-        for batch in batches:
-            nodes, dims = batch.column(0), batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = _matrix(batch.column(2).take(pa.array(rows)), int(dim))
-                if int(dim) not in planes:
-                    planes[int(dim)] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                keys = ((x @ planes[int(dim)]) > 0).reshape(len(x), passes, bits).astype(np.int64) @ weights
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p), pa.int32()), pa.array(np.full(len(x), dim), pa.int32()), pa.array(keys[:, p], pa.int64()), nodes.take(pa.array(rows))], ["pass", "dim", "key", "node"])
-
-    return run
-
-
 def _unit(rows: pa.Table, dim: int) -> np.ndarray:
     x = _matrix(rows["raw"], dim)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _compare(cosine: float, window: int):
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        order = rows["rank"].to_numpy()
-        dims, passes, nodes = rows["dim"].to_numpy(), rows["pass"].to_numpy(), rows["node"].to_numpy()
-        labels = Labels(len(nodes))
-        for p, dim in sorted(set(zip(passes.tolist(), dims.tolist(), strict=True))):
-            mine = np.flatnonzero((passes == p) & (dims == dim))
-            x, rank = _unit(rows.take(pa.array(mine)), dim), order[mine]
-            for start in range(0, len(mine), 512):
-                near = x[start : start + 512] @ x.T >= cosine
-                gap = rank[None, :] - rank[start : start + 512, None]
-                near &= (gap > 0) & (gap <= window)
-                for i in np.flatnonzero(near.any(axis=1)):
-                    labels.merge(mine[np.append(np.flatnonzero(near[i]), start + i)])
-        a, b = labels.edges(nodes)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _near(x: np.ndarray, y: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all cosines of at least ``cosine``, some rows of ``x`` at a time."""
+    single, other = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    slack = np.float32((x.shape[1] + 8) * 2.0**-23)  # bound of the error in single precision
+    for start in range(0, len(x), STEP):
+        found = single[start : start + STEP] @ other
+        at = np.flatnonzero(found >= np.float32(cosine) - slack)
+        i, j = at // len(y) + start, at % len(y)
+        unsure = np.flatnonzero(found.reshape(-1)[at] < np.float32(cosine) + slack)
+        if len(unsure):
+            low = np.concatenate([np.einsum("ij,ij->i", x[i[u]], y[j[u]]) < cosine for u in np.array_split(unsure, len(unsure) // 65536 + 1)])
+            keep = np.ones(len(at), dtype=bool)
+            keep[unsure[low]] = False
+            i, j = i[keep], j[keep]
+        yield i, j
 
-    return work
 
+def _compare(cosine: float):
+    """Links of a group as rows (a, b, 0), and numbers of links as rows (node, node, links)."""
 
-def _count(cosine: float):
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         nodes, copies, dims = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["dim"].to_numpy()
-        own, low, high = rows["own_block"].to_numpy(), int(rows["low"][0].as_py()), int(rows["high"][0].as_py())
+        own, low, high = rows["own_block"].to_numpy(), rows["low"][0].as_py(), rows["high"][0].as_py()
+        labels, links = Labels(len(nodes)), np.zeros(len(nodes))
         for dim in np.unique(dims):
             first, second = np.flatnonzero((own == low) & (dims == dim)), np.flatnonzero((own == high) & (dims == dim))
+            if not len(first) or not len(second):
+                continue
             x, y = _unit(rows.take(pa.array(first)), int(dim)), _unit(rows.take(pa.array(second)), int(dim))
-            near = (x @ y.T) >= cosine
-            if low == high:
-                np.fill_diagonal(near, False)
-                out = [(first, near @ copies[second])]
-            else:
-                out = [(first, near @ copies[second]), (second, near.T @ copies[first])]
-            for rows_at, n in out:
-                if len(rows_at):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[rows_at], pa.int64()), pa.array(n.astype(np.int64), pa.int64())], ["node", "links"])
+            for i, j in _near(x, y, cosine):
+                if low == high:
+                    i, j = i[i != j], j[i != j]
+                if not len(i):
+                    continue
+                links += np.bincount(first[i], weights=copies[second[j]], minlength=len(nodes))
+                if low != high:
+                    links += np.bincount(second[j], weights=copies[first[i]], minlength=len(nodes))
+                for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                    near = np.append(second[j[at]], first[i[at[0]]])
+                    if (labels.label[near] != labels.label[near[0]]).any():
+                        labels.merge(near)
+        a, b = labels.edges(nodes)
+        some = np.flatnonzero(links)
+        out = [np.concatenate([a, nodes[some]]), np.concatenate([b, nodes[some]]), np.concatenate([np.zeros(len(a), dtype=np.int64), links[some].astype(np.int64)])]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b", "links"])
 
     return work
 
@@ -112,14 +102,14 @@ def _raw(vectors: DataFrame) -> DataFrame:
     return vectors.select("node", "copies", "vector").mapInArrow(run, "node long, copies long, dim int, raw binary")
 
 
-def embedding_duplicates(rows: DataFrame, cosine: float = 0.9, *, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = 7, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def embedding_duplicates(rows: DataFrame, cosine: float = 0.9, *, block: int = BLOCK, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Link vectors of a cosine of at least ``cosine`` and unite them.
 
     Returns per input row the key (an integer), ``n_links`` (long: other rows linked directly), ``component_id`` (smallest key
     reachable by links, itself included) and ``kept`` (key = component_id). Vectors that are null or zero, or hold null or
     non-finite components, and rows with a null key, link with nothing; a null key has a null component and is kept. Vectors
-    of different lengths do not link. Rows that repeat a key are rows of their own, but share a component. Recall depends on
-    ``passes`` and ``window``; no pair below the threshold is linked. Other columns are not read.
+    of different lengths do not link. Rows that repeat a key are rows of their own, but share a component. Every pair that
+    reaches the threshold is linked, whatever ``block`` (vectors of a block at most), and no other. Other columns are not read.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,30 +120,14 @@ def embedding_duplicates(rows: DataFrame, cosine: float = 0.9, *, passes: int =
     reps = written(grouped.withColumn("node", F.xxhash64("first", "vector")), "vectors")
     raw = written(_raw(reps), "raw-vectors")
 
-    keys = raw.select("node", "dim", "raw").mapInArrow(_keys(passes, bits, seed), "pass int, dim int, key long, node long")
-    order = ["pass", "dim", "key", "node"]
-    placed = written(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()).select("pass", "node", "id"), "order")
-    part = F.shiftright("id", 33).cast("int")
-    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row per partition
-    offsets, total = [], 0
-    for i in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(i, 0)
-    before = F.element_at(F.lit(offsets) if offsets else F.array(F.lit(0)), part + 1).cast("long")
-    ranked = placed.select("pass", "node", (before + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
-    at = F.floor(F.col("rank") / BLOCK).cast("long")
-    # A block also needs the window before its first rank, so rows at a block's end go to the next one too.
-    groups = F.when(F.pmod("rank", F.lit(BLOCK)) >= BLOCK - window, F.array(at, at + 1)).otherwise(F.array(at))
-    spread = ranked.withColumn("at", F.explode(groups)).join(raw.select(F.col("node").alias("n"), "dim", "raw"), F.col("node") == F.col("n")).select("at", "rank", "pass", "dim", "node", "raw")
-    links = spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _compare(cosine, window)), "a long, b long")
-    classes = written(connected_components(links), "classes")
-
-    sized = classes.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.ceil(F.col("n") / CLASS_BLOCK).cast("int"), F.lit(1))
-    members = classes.join(sized.select(F.col("component").alias("c"), blocks.alias("s")), F.col("component") == F.col("c")).join(raw.select(F.col("node").alias("m"), "copies", "dim", "raw"), F.col("node") == F.col("m"))
-    members = members.withColumn("own_block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    members = members.select(F.xxhash64("component", F.least("own_block", "other"), F.greatest("own_block", "other")).alias("at"), F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"), "own_block", "node", "copies", "dim", "raw")
-    counted = members.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _count(cosine)), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    total = raw.count()
+    blocks = max(1, -(-total // block), min(LEAST_BLOCKS, total // LEAST_ROWS))
+    members = raw.withColumn("own_block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    members = members.select(F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"), "own_block", "node", "copies", "dim", "raw")
+    members = members.withColumn("at", F.col("low") * F.lit(blocks).cast("long") + F.col("high"))
+    found = written(members.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _compare(cosine)), "a long, b long, links long"), "links")
+    classes = written(connected_components(found.filter("a <> b").select("a", "b")), "classes")
+    counted = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
     named = reps.join(classes.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("component", F.coalesce("component", "node")).drop("member")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))

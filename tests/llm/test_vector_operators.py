@@ -244,3 +244,19 @@ def test_pipeline(spark, tmp_path):
     kept = {i: t.replace("\nsubscribe to our newsletter", "") for i, t, *_ in rows}
     assert all(out[i].decoded_sha256 == hashlib.sha256(kept[i].encode()).hexdigest() for i in out)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "bpe_encoding"]
+
+
+@pytest.mark.parametrize("block", [65536, 700])
+def test_every_pair_is_linked_in_a_hot_region(spark, block):
+    """All vectors lie around one centre (mutual cosine about 0.7); each second one has a partner of about 0.92."""
+    draw = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    n, dim = 6000, 64
+    base = unit(np.sqrt(0.7) * unit(draw.standard_normal((1, dim))) + np.sqrt(0.3) * unit(draw.standard_normal((n // 2, dim))))
+    x = np.concatenate([base, unit(base + 0.425 * unit(draw.standard_normal((n // 2, dim))))]).astype(np.float32).astype(np.float64)
+    near = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_duplicates(rows, block=block).collect()}
+    assert [got[i].n_links for i in range(n)] == near.sum(axis=1).tolist() and near.any(axis=1).sum() > n // 2
+    assert [got[i].component_id for i in range(n)] == classes(n, np.argwhere(near).tolist())
