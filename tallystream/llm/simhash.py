@@ -9,8 +9,10 @@ fingerprints within R of each other are within r_b in some band b (pigeonhole),
 there: the search is exact. Equal fingerprints are one node throughout; shards yield stars, never all pairs.
 
 The 64-bit form links at up to 4 differing bits with bands of 16 bits and radii 1, 0, 0, 0. Near copies of 80 % similarity
-differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 512 bits, and 24 bands of 13
-bits sampled from them: a pair of similarity 0.8 meets with a probability of about 0.95, a closer one almost surely.
+differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 512 bits, and 60 bands of 13
+bits sampled from them, and finds candidates only: a pair of similarity 0.8 differs in 78 bits on average, is within the
+radius of 112 but for four deviations, and meets with a probability of about 0.999. Candidates are united into classes, and
+all documents of a class are then compared by their sets of shingles, so what is linked has the similarity asked for.
 """
 
 from __future__ import annotations
@@ -90,25 +92,38 @@ def _sampled(words: int, count: int, width: int) -> tuple[Band, ...]:
     return tuple(Band(tuple(sorted(int(x) for x in draw.choice(64 * words, width, replace=False))), 0, 8) for _ in range(count))
 
 
-WIDE = Forest(8, 88, _sampled(8, 24, 13))
+WIDE = Forest(8, 112, _sampled(8, 60, 13))
+#: Documents of a class beyond which its shingles are compared in pairs of blocks.
+CLASS_BLOCK = 2048
 
 
-def simhash(text: str | None, shingle: int, words: int, seed: int = 42) -> bytes:
-    """The fingerprint as little-endian words: bit i is set if it is set in over half of the shingles' hashes.
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle in order.
 
     A-Z are lower-cased, words are separated by ASCII white space; a text with fewer words than a shingle is one shingle, one
-    without words has the fingerprint zero. The first word of 64 bits is of the shingles' XXH64, others of hashes of it.
+    without words has none.
     """
     import xxhash
 
     parts = (text or "").encode().lower().split()
-    if not parts:
-        return bytes(8 * words)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= shingle:
-        hashes = np.array([digest(b" ".join(parts), seed)], dtype=np.uint64)
-    else:
-        hashes = np.fromiter((digest(b" ".join(x), seed) for x in zip(*[parts[i:] for i in range(shingle)], strict=False)), dtype=np.uint64, count=len(parts) - shingle + 1)
+        return np.array([digest(b" ".join(parts), seed)] if parts else [], dtype=np.uint64)
+    return np.fromiter((digest(b" ".join(x), seed) for x in zip(*[parts[i:] for i in range(shingle)], strict=False)), dtype=np.uint64, count=len(parts) - shingle + 1)
+
+
+def simhash(text: str | None, shingle: int, words: int, seed: int = 42) -> bytes:
+    """The fingerprint as little-endian words: bit i is set if it is set in over half of the shingles' hashes.
+
+    See ``shingle_hashes``; a text without shingles has the fingerprint zero. The first word of 64 bits is of the shingles'
+    XXH64, others of hashes of it.
+    """
+    return _print(shingle_hashes(text, shingle, seed), words)
+
+
+def _print(hashes: np.ndarray, words: int) -> bytes:
+    if not len(hashes):
+        return bytes(8 * words)
     n, out = len(hashes), []
     for w in range(words):
         x = hashes if w == 0 else _mix(hashes, w)
@@ -210,11 +225,108 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, forest: Forest = EXACT, *
     return out.select(key, "print", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, forest: Forest = WIDE, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest key. Rows with a null key stay."""
-    found = near_duplicates(docs, shingle, forest, text=text, key=key)
-    kept = found.filter(F.col(key).cast("long") == F.col("component_id")).select(F.col(key).alias("__kept_key")).distinct()
-    rows = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept_key"), "left_semi")
+def _sketches(shingle: int, words: int):
+    """(key, text) to (key, node, print): the node is a hash of the set of shingles, 0 for none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                hashes = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
+                prints = pa.array([_print(x, words) for x in hashes], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_hash(np.unique(x)) for x in hashes], pa.int64()), prints], ["key", "node", "print"])
+
+    return run
+
+
+def _set_hash(grams: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes()) | 1).astype(np.int64)) if len(grams) else 0
+
+
+def _grams(shingle: int):
+    """(text, node) of the rows whose set of shingles has that node to (node, grams), the sorted hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                grams = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(0)]
+                same = pa.array([_set_hash(g) == n.as_py() for g, n in zip(grams, part.column(1), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([g.tobytes() for g in grams], pa.binary())], ["node", "grams"]).filter(same)
+
+    return run
+
+
+def _verify(similarity: float):
+    """Links of a group of one class that connect all its pairs of at least the similarity (exact Jaccard)."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes, own = rows["node"].to_numpy(), rows["own_block"].to_numpy()
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        sets = [np.frombuffer(g, dtype="<u8") for g in rows["grams"].to_pylist()]
+        sizes = np.array([len(g) for g in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark, labels = np.zeros(flat.max() + 1, dtype=bool), Labels(len(nodes))
+        for i in np.flatnonzero(own == low):
+            other = (labels.label != labels.label[i]) & (own == high) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+            if low == high:
+                other[: i + 1] = False
+            if not other.any():
+                continue
+            mine = flat[starts[i] : starts[i] + sizes[i]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[mine] = False
+            near = np.flatnonzero(other & (common >= similarity * (sizes + sizes[i] - common) - 1e-9))
+            if len(near):
+                labels.merge(np.append(near, i))
+        a, b = labels.edges(nodes)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return work
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, forest: Forest = WIDE, *, text: str = "text", key: str = "doc_id", class_block: int = CLASS_BLOCK) -> DataFrame:
+    """(key, component_id) per row with a key: the smallest key that links of at least ``similarity`` (Jaccard of the sets of
+    shingles, exact) reach. Candidates are the classes that fingerprints make; all pairs of a class are verified. Texts of
+    equal sets, and rows that repeat a key, are linked. Texts without words are one another's copies."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    sketches = written(own.mapInArrow(_sketches(shingle, forest.words), "key long, node long, print binary"), "prints")
+    nodes = written(sketches.groupBy("node").agg(F.min("key").alias("first"), F.min("print").alias("print")), "nodes")
+    classes = written(connected_components(link_prints(nodes.filter("node <> 0"), forest)), "classes")
+
+    wanted = classes.join(nodes.select(F.col("node").alias("n"), "first"), F.col("node") == F.col("n")).select("node", "first")
+    # A row that repeats its key with another text is left out by its node; rows that are wholly alike count once.
+    texts = own.join(wanted, F.col("key") == F.col("first")).select("text", "node").mapInArrow(_grams(shingle), "node long, grams binary")
+    texts = texts.groupBy(F.col("node").alias("m")).agg(F.min("grams").alias("grams"))
+    sized = classes.groupBy("component").agg(F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("n") / class_block).cast("int"), F.lit(1))
+    members = classes.join(sized.select(F.col("component").alias("c"), blocks.alias("s")), F.col("component") == F.col("c")).join(texts, F.col("node") == F.col("m"))
+    members = members.withColumn("own_block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    low, high = F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high")
+    members = members.select(F.xxhash64("component", low, high).alias("at"), low, high, "own_block", "node", "grams")
+    links = members.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _verify(similarity)), "a long, b long")
+
+    keyed = sketches.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("key", "a")
+    extra = sketches.join(keyed, "key").select("a", F.col("node").alias("b"))
+    groups = written(connected_components(links.unionByName(extra)).withColumnRenamed("node", "member"), "groups")
+    named = nodes.select("node", "first").join(groups, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(smallest, "component").select(F.col("node").alias("m"), "component_id")
+    return sketches.join(named, F.col("node") == F.col("m")).select("key", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, forest: Forest = WIDE, *, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: that of the smallest key. Rows with a null key stay."""
+    found = near_copies(docs, similarity, shingle, forest, text=text, key=key)
+    kept = found.filter("key = component_id").select(F.col("key").alias("__kept_key")).distinct()
+    rows = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("__kept_key"), "left_semi")
     whole = F.struct(*docs.columns)
     one = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(F.col(text))).alias("__row")).select("__row.*")
     return one.unionByName(docs.filter(F.col(key).isNull()))

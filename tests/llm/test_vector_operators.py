@@ -14,7 +14,7 @@ from tallystream.llm.bpe import TreeCodec, codec, decode_ids, encode_documents
 from tallystream.llm.components import connected_components
 from tallystream.llm.embed_dedup import embedding_duplicates
 from tallystream.llm.shared import new_path
-from tallystream.llm.simhash import EXACT, WIDE, drop_near_duplicates, link_prints, near_duplicates, simhash
+from tallystream.llm.simhash import EXACT, WIDE, drop_near_duplicates, link_prints, near_copies, near_duplicates, simhash
 from tallystream.llm.token_shards import WordEncoder, feistel, read_slots, write_shards
 from tallystream.llm.toxicity import SeverityModel, drop_toxic, fit_severity, score_severity
 
@@ -260,3 +260,40 @@ def test_every_pair_is_linked_in_a_hot_region(spark, block):
     got = {r.vec_id: r for r in embedding_duplicates(rows, block=block).collect()}
     assert [got[i].n_links for i in range(n)] == near.sum(axis=1).tolist() and near.any(axis=1).sum() > n // 2
     assert [got[i].component_id for i in range(n)] == classes(n, np.argwhere(near).tolist())
+
+
+def grams_of(words):
+    return {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+
+
+def similar_pair(draw, vocabulary, n, least):
+    """Two lists of words whose similarity is the smallest one not under ``least`` that changed words led to."""
+    w = [draw.choice(vocabulary) for _ in range(n)]
+    v = list(w)
+    for _ in range(400):
+        u = list(v)
+        u[draw.randrange(n)] = draw.choice(vocabulary)
+        a, b = grams_of(w), grams_of(u)
+        if len(a & b) >= least * len(a | b):
+            v = u
+        elif draw.random() < 0.2:
+            break
+    return w, v
+
+
+@pytest.mark.parametrize("least", [0.8, 0.82, 0.85])
+def test_copies_at_the_border_are_found_and_verified(spark, least):
+    """All 80 pairs at the border are found (the expected recall is about 0.999), and no pair under 0.8 is linked."""
+    draw = random.Random(int(100 * least))
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [x for i in range(80) for x in similar_pair(draw, vocabulary, draw.randrange(60, 400), least)]
+    unlike = [x for i in range(40) for x in similar_pair(draw, vocabulary, draw.randrange(100, 400), 0.68)]
+    share = lambda i, x: len(grams_of(x[i]) & grams_of(x[i + 1])) / len(grams_of(x[i]) | grams_of(x[i + 1]))
+    kept_pairs = [i for i in range(0, len(unlike), 2) if share(i, unlike) < 0.8]
+    assert len(kept_pairs) > 30
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + unlike)], "doc_id long, text string")
+    for block in (2048, 1):
+        got = {r.key: r.component_id for r in near_copies(rows, class_block=block).collect()}
+        assert sum(got[i + 1] == i for i in range(0, len(texts), 2)) >= 79
+        assert all(got[len(texts) + i + 1] == len(texts) + i + 1 for i in kept_pairs)
+    assert sorted(r.doc_id for r in drop_near_duplicates(rows).collect()) == sorted(k for k, c in got.items() if k == c)
