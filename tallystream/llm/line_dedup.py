@@ -24,24 +24,32 @@ def _line_id(line: Column) -> Column:
     return F.when(F.trim(line) != "", F.unhex(F.md5(F.trim(line).cast("binary"))))
 
 
-def boilerplate_lines(docs: DataFrame, ratio: float = 0.08, min_pages: int = 10, *, text: str = "text", host: str = "source") -> DataFrame:
+def boilerplate_lines(docs: DataFrame, ratio: float = 0.08, min_pages: int = 2, *, text: str = "text", host: str = "source", different: bool = True) -> DataFrame:
     """One row per host that has any: host, pages, and ``bad``, the ids of its boilerplate lines."""
-    ids = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.split(F.col(text), "\n"), _line_id)).alias("ids"))
-    counts = ids.select("host", F.explode("ids").alias("line")).filter(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    ids = docs.select(F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("page"), F.array_distinct(F.transform(F.split(F.col(text), "\n"), _line_id)).alias("ids"))
+    held = ids.select("host", "page", F.explode("ids").alias("line")).filter(F.col("line").isNotNull()).groupBy("host", "line")
+    if different:
+        counts = held.agg(F.count("*").alias("n"), F.min("page").alias("least"), F.max("page").alias("most")).filter("least <> most").drop("least", "most")
+    else:
+        counts = held.agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("n") >= min_pages)
     totals = docs.groupBy(F.col(host).alias("own_host")).agg(F.count("*").alias("pages"))
     above = counts.join(totals, F.col("host").eqNullSafe(F.col("own_host"))).filter(F.col("n") > ratio * F.col("pages"))
     return above.groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list("line")).alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.08, min_pages: int = 10, *, text: str = "text", host: str = "source", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.08, min_pages: int = 2, *, text: str = "text", host: str = "source", different: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Drop from every text the lines that more than ``ratio`` of its host's pages, and at least ``min_pages``, hold.
 
+    The ratio decides at every size of a host. ``different``: the pages with a line must not all be copies of one text, else
+    copies on a small host would lose all their lines.
+
     Returns the rows and columns of ``docs`` with the new text, and ``n_lines`` and ``n_dropped`` (long; columns of these names
     are replaced). Blank lines always
     stay; a text of boilerplate alone becomes empty and its row stays; a null text stays null with no lines; null hosts are
     one host; repeated rows are pages of their own and stay; a text without boilerplate stays as it is.
     """
-    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), "boilerplate")
+    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host, different=different).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), "boilerplate")
     size = bad.agg(F.coalesce(F.sum(F.size("__bad") + 1), F.lit(0))).first()[0]
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = docs.select(*columns)

@@ -82,8 +82,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of every source dropped from its documents."""
-    out = drop_boilerplate(_table(spark, sf_dir, "documents"))
+    """Boilerplate lines of every source, on at least ten pages as its SQL has it, dropped from its documents."""
+    out = drop_boilerplate(_table(spark, sf_dir, "documents"), min_pages=10, different=False)
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 

@@ -163,3 +163,11 @@ def test_digests(spark, tmp_path):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated, got[i].items_sha256) == (n, hit, len(items), hit > 0, hashlib.sha256(",".join(items).encode()).hexdigest())
     secrets = {r.doc_id: r for r in queries.op2_secret_scan(spark, str(tmp_path)).collect()}
     assert all(secrets[i].base_sha256 == hashlib.sha256(",".join(brute_secrets(t or "")).encode()).hexdigest() for i, t in enumerate(TEXTS))
+
+
+@pytest.mark.parametrize("pages", [5, 20, 60])
+def test_boilerplate_of_small_hosts(spark, pages):
+    """The ratio decides at every size of a host; lines of copies of one text stay."""
+    texts = ["\n".join([*(["footer"] if i < max(2, pages // 5) else []), f"own {i}"]) for i in range(pages)] + ["copied text"] * max(2, pages // 5)
+    out = drop_boilerplate(docs(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in out} == {i: t.removeprefix("footer\n") for i, t in enumerate(texts)}
