@@ -24,14 +24,12 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
 #: A run that could be a key or a token.
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
-#: Whole runs that are known digests or identifiers: MD5 to SHA-512 in hex, UUIDs, decimal numbers, words joined by - or _,
-#: paths of words.
+#: Whole runs that are known digests or identifiers: MD5 to SHA-512 in hex, UUIDs, decimal numbers. Words are left to the ratio.
 KNOWN = re.compile(
     r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
     r"|[0-9+/_=-]+"
-    r"|[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*"
 )
 _ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
@@ -43,7 +41,7 @@ class Scanner:
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access, self.hex = re.compile(ACCESS), re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)  # a maximal run either way
         self.run = re.compile(RUN % least)
-        self.ratio = ratio
+        self.least, self.ratio = least, ratio
         self.encode = codec().encoding.encode_ordinary
 
     def base(self, text: str) -> list[tuple[int, str, int]]:
@@ -54,13 +52,21 @@ class Scanner:
         return sorted(found, key=lambda s: (s[0], _ORDER[s[1]]))
 
     def random(self, text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-        found = []
+        found, at = [], 0
         for m in self.run.finditer(text):
-            a, b, run = m.start(), m.end(), m[0]
-            if any(s < b and a < e for s, _, e in taken) or KNOWN.fullmatch(run):
-                continue
-            if len(run) < self.ratio * len(self.encode(run)):
-                found.append((a, "random", b))
+            start, b = m.start(), m.end()
+            while at < len(taken) and taken[at][2] <= start:
+                at += 1
+            pieces = []  # what the base spans leave of the run
+            for s, _, e in taken[at:]:
+                if s >= b:
+                    break
+                pieces.append((start, s))
+                start = max(start, e)
+            for a, e in [*pieces, (start, b)]:
+                run = text[a : min(e, b)]
+                if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run)):
+                    found.append((a, "random", a + len(run)))
         return found
 
     def scan(self, text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:

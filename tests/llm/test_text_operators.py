@@ -171,3 +171,11 @@ def test_boilerplate_of_small_hosts(spark, pages):
     texts = ["\n".join([*(["footer"] if i < max(2, pages // 5) else []), f"own {i}"]) for i in range(pages)] + ["copied text"] * max(2, pages // 5)
     out = drop_boilerplate(docs(spark, texts)).collect()
     assert {r.doc_id: r.text for r in out} == {i: t.removeprefix("footer\n") for i, t in enumerate(texts)}
+
+
+def test_secrets_of_one_case(spark):
+    lower_key, upper_key, grouped, long = "qzjxkvwpyhgtmbrdnfqxzk", "QZXKVJWPLMHGTBRDNFCYQX", "QZXKV-1234-WJPLM-9876", "wJ8r4kQ2zXv7Lp9TnB3cYd6H"
+    texts = [f"key {k} end" for k in (lower_key, upper_key, grouped)] + ["some_long_identifier_name_here and plain-words-in-a-row", f"key {long}/0123456789abcdef/{long} end"]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan_secrets(docs(spark, texts)).collect()}
+    assert [found[i] for i in range(3)] == [[("random", 4, 4 + len(k))] for k in (lower_key, upper_key, grouped)] and found[3] == []
+    assert found[4] == [("random", 4, 29), ("hex", 29, 45), ("random", 45, 70)]
