@@ -1,7 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document. A template is found in a block when the block holds at least ``threshold`` of the
-template's distinct words. Tokens are ordered by how many documents hold them, rarest first. A block that reaches the
+A block is a line of a document, or any window of twice a template's words, across line breaks, so that a notice wrapped
+over lines is compared whole. A template is found in a block when the block holds at least ``threshold`` of the template's
+distinct words. For windows the filters below apply to the document first, then its windows are counted. Tokens are ordered by how many documents hold them, rarest first. A block that reaches the
 threshold must hold one of the first |T| - need + 1 words of the template (prefix filter), at least ``need`` distinct
 words (length filter), and its first common word must leave enough words behind it (positional filter); only blocks that
 pass are verified. Templates are a parameter of known size, so their index is broadcast.
@@ -34,6 +35,10 @@ TEMPLATES = [
 ]
 
 
+#: Words of a window, in words of the template: a wrapped notice has further words (names, marks of a comment).
+WINDOW = 2
+
+
 def _need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
@@ -73,9 +78,9 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
     """
     rank = {w: i for i, w in enumerate(token_order(docs, templates, text))}
     sets = [(i, label, sorted(set(t.split()), key=rank.__getitem__)) for i, (label, t) in enumerate(templates)]
-    index = [(w, i, label, at, len(words), _need(len(words), threshold), words) for i, label, words in sets for at, w in enumerate(words[: len(words) - _need(len(words), threshold) + 1])]
+    index = [(w, i, label, at, len(words), _need(len(words), threshold), words, WINDOW * len(templates[i][1].split())) for i, label, words in sets for at, w in enumerate(words[: len(words) - _need(len(words), threshold) + 1])]
     spark = docs.sparkSession
-    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, size int, need int, tokens array<string>")
+    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, size int, need int, tokens array<string>, span int")
     seen = _strings(sorted({row[0] for row in index}))
 
     base = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("whole"), F.lower(text).alias("lower"), F.explode(F.array(word_array(F.col(text)))).alias("words"))
@@ -87,16 +92,29 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
             possible = possible & F.contains(F.col("lower"), F.lit(part))
         found = F.when(possible & (F.size("words") >= len(parts)), _places(parts, label))
         places.append(F.coalesce(found, F.array().cast("array<struct<at:bigint,label:string>>")))
-    blocks = F.when(F.arrays_overlap("words", seen), F.split("whole", "\n"))
-    none = F.array(F.lit(None).cast("string"))
-    rows = base.select(key, "text_hash", F.size("words").cast("long").alias("n_words"), F.array_sort(F.concat(*places)).alias("places"), F.explode(F.concat(none, F.coalesce(blocks, F.array().cast("array<string>")))).alias("block"))
-    rows = rows.withColumn("held", F.when(F.col("block").isNotNull(), F.array_distinct(word_array(F.col("block"))))).filter(F.col("block").isNull() | F.arrays_overlap("held", seen))
+    possible = F.arrays_overlap("words", seen)
+    entry = "array<struct<block:string,run:array<string>>>"
+    lines = F.transform(F.split("whole", "\n"), lambda x: F.struct(x, F.lit(None).cast("array<string>"))).cast(entry)
+    whole = F.array(F.struct(F.lit(None).cast("string"), F.col("words"))).cast(entry)
+    wrapped = F.when(possible & F.contains("whole", F.lit("\n")), whole)
+    none, marker = F.array().cast(entry), F.array(F.struct(F.lit(None).cast("string"), F.lit(None).cast("array<string>"))).cast(entry)
+    entries = F.concat(marker, F.coalesce(F.when(possible, lines), none), F.coalesce(wrapped, none))
+    rows = base.select(key, "text_hash", F.size("words").cast("long").alias("n_words"), F.array_sort(F.concat(*places)).alias("places"), F.explode(entries).alias("entry"))
+    rows = rows.select(key, "text_hash", "n_words", "places", F.col("entry.block").alias("block"), F.col("entry.run").alias("run"))
+    marked = F.col("block").isNull() & F.col("run").isNull()
+    rows = rows.withColumn("held", F.when(~marked, F.array_distinct(F.coalesce("run", word_array(F.col("block")))))).filter(marked | F.arrays_overlap("held", seen))
     rows = rows.withColumn("word", F.explode_outer(F.array_intersect("held", seen)))
     after = F.col("size") - F.col("at")  # common words at most, from the first common one on
-    pairs = rows.join(F.broadcast(prefixes), (rows["word"] == prefixes["word"]) & (F.size("held") >= F.col("need")) & (after >= F.col("need")), "left")
-    common = F.size(F.array_intersect("held", "tokens"))
+    pairs = rows.join(F.broadcast(prefixes), (rows["word"] == prefixes["word"]) & (F.size("held") >= F.col("need")) & (after >= F.col("need")), "left").drop(prefixes["word"])
+    shared = F.array_intersect("tokens", "held")
+    starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains(F.col("tokens"), F.get("run", i - 1)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("span")), F.col("tokens")))))
+    # Windows are counted once, at the template's first word in the document.
+    once = (F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("word"))
+    pairs = pairs.withColumn("common", F.when(F.col("run").isNull(), F.size(shared)).when(once, most))
+    common = F.col("common")
     good = common >= F.col("need")
-    per_doc = pairs.groupBy(key, "text_hash").agg(F.max("n_words").alias("n_words"), F.max("places").alias("places"), F.count_if(F.col("block").isNull()).alias("copies"), F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max(F.when(good, common / F.col("size"))).alias("best"))
+    per_doc = pairs.groupBy(key, "text_hash").agg(F.max("n_words").alias("n_words"), F.max("places").alias("places"), F.count_if(marked).alias("copies"), F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max(F.when(good, common / F.col("size"))).alias("best"))
     own = F.array_distinct(F.transform("places", lambda p: p["label"]))
     out = per_doc.select(key, "n_words", F.transform("places", lambda p: p["at"]).alias("places"), F.array_sort(own).alias("base_labels"), F.array_sort(F.array_union(own, "more")).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")

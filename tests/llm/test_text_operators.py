@@ -179,3 +179,15 @@ def test_secrets_of_one_case(spark):
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan_secrets(docs(spark, texts)).collect()}
     assert [found[i] for i in range(3)] == [[("random", 4, 4 + len(k))] for k in (lower_key, upper_key, grouped)] and found[3] == []
     assert found[4] == [("random", 4, 29), ("hex", 29, 45), ("random", 45, 70)]
+
+
+def test_wrapped_licenses(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or"""
+    apart = "\n".join(["released", "w " * 40, "under the", "w " * 40, "mit license"])
+    found = {r.doc_id: r for r in scan_licenses(docs(spark, [f"before\n{mit}\nafter", f"before\n\n{gpl}\n", apart, mit.replace("\n", " ")])).collect()}
+    assert [found[i].labels for i in range(4)] == [["mit"], ["gpl"], [], ["mit"]] and found[0].score == found[1].score == found[3].score == 1.0
