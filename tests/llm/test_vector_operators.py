@@ -297,3 +297,39 @@ def test_copies_at_the_border_are_found_and_verified(spark, least):
         assert sum(got[i + 1] == i for i in range(0, len(texts), 2)) >= 79
         assert all(got[len(texts) + i + 1] == len(texts) + i + 1 for i in kept_pairs)
     assert sorted(r.doc_id for r in drop_near_duplicates(rows).collect()) == sorted(k for k, c in got.items() if k == c)
+
+
+@pytest.mark.parametrize("window", [512, 8])
+def test_passes_follow_the_order(spark, window, monkeypatch):
+    """With a window of 8 of 4,000 rows one round of passes loses pairs at the threshold; those that follow find them."""
+    from tallystream.llm import embed_dedup
+
+    draw, n, pairs, dim = np.random.default_rng(3), 4000, 300, 32
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(draw.standard_normal((n - pairs, dim)))
+    off = unit(draw.standard_normal((pairs, dim)))
+    off = unit(off - (off * base[:pairs]).sum(axis=1)[:, None] * base[:pairs])
+    share = draw.uniform(0.9005, 0.91, pairs)[:, None]
+    x = np.concatenate([base, share * base[:pairs] + np.sqrt(1 - share**2) * off])
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    near = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(near, False)
+    found = lambda: {r.vec_id: r for r in embedding_duplicates(rows, window=window, ranks=64 if window == 8 else 4096).collect()}
+    got = found()
+    assert sum(got[i].n_links for i in range(n)) >= 0.99 * near.sum() and all(got[i].n_links <= near[i].sum() for i in range(n))
+    if window == 8:
+        monkeypatch.setattr(embed_dedup, "_more_passes", lambda *a: 0)
+        monkeypatch.setattr(embed_dedup, "_rest", lambda raw, left, n_left, *a: spark.createDataFrame([], "a long, b long"))
+        once = found()
+        assert sum(once[i].n_links for i in range(n)) < 0.95 * near.sum()
+
+
+def test_exact_embeddings(spark):
+    x = np.random.default_rng(5).standard_normal((600, 3))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_duplicates(rows, exact=True, block=100).collect()}
+    assert [got[i].n_links for i in range(600)] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(600)] == classes(600, np.argwhere(near).tolist())
