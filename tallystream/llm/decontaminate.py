@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.llm.shared import word_array, written
+from tallystream.llm.shared import drop_rows, word_array, written
 
 #: Bytes of benchmark windows up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -100,8 +100,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str =
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose text holds any benchmark window; rows and columns are otherwise unchanged."""
-    bad = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("__bad_key"), F.col("text_hash").alias("__bad_hash")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad_key")) & (F.xxhash64(F.col(text)) == F.col("__bad_hash")), "left_anti")
+    bad = decontaminate(docs, bench, n, text=text, key=key).filter("n_hit > 0").select(F.col(key).alias("key"), "text_hash").distinct()
+    return drop_rows(docs, written(bad, "contaminated"), key, text)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -47,6 +47,35 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of names of rows up to which these are broadcast.
+NAMES_ROWS = 500_000
+
+
+def _named(docs: DataFrame, names: DataFrame, key: str, text: str) -> tuple[DataFrame, Column]:
+    """``names`` (key, text_hash), broadcast if it was counted to be small, and the condition that a row has such a name (null keys are names)."""
+    names = names.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
+    small = names.limit(NAMES_ROWS + 1).count() <= NAMES_ROWS
+    same = F.col(key).cast(names.schema["__key"].dataType).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    return F.broadcast(names) if small else names, same
+
+
+def drop_rows(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose key and xxhash64 of the text are in ``names`` (key, text_hash; each once)."""
+    names, same = _named(docs, names, key, text)
+    return docs.join(names, same, "left_anti")
+
+
+def keep_one(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each name in ``names`` (key, text_hash); other rows stay."""
+    if names.isEmpty():
+        return docs
+    names, same = _named(docs, names, key, text)
+    rest, some = docs.join(names, same, "left_anti"), docs.join(names, same, "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = some.groupBy(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__hash")).agg(F.first(whole).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -1,25 +1,34 @@
-"""SimHash near-dedup with a forest of vantage-point trees over the fingerprints.
-
-A fingerprint's bits are cut into bands, and each band has a vantage-point tree. The distance of two fingerprints in a band
-(differing bits there) obeys the triangle inequality. A node of a band's tree has a fixed vantage point and a branch for each
-distance to it; the leaves are shards, named by the distances to all vantage points on the way. Two fingerprints within r in
-a band differ by at most r in every such distance, so a query enters only the branches within r of its own distances, and
-with them the neighbouring shards across the boundary. If the bands' radii r_b satisfy sum(r_b + 1) > R, then any two
-fingerprints within R of each other are within r_b in some band b (pigeonhole), meet in one of its shards, and are compared
-there: the search is exact. Equal fingerprints are one node throughout; shards yield stars, never all pairs.
-
-The 64-bit form links at up to 4 differing bits with bands of 16 bits and radii 1, 0, 0, 0. Near copies of 80 % similarity
-differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 512 bits, and 60 bands of 13
-bits sampled from them, and finds candidates only: a pair of similarity 0.8 differs in 78 bits on average, is within the
-radius of 112 but for four deviations, and meets with a probability of about 0.999. Candidates are united into classes, and
-all documents of a class are then compared by their sets of shingles, so what is linked has the similarity asked for.
+"""SimHash near-dedup with vantage-point trees over the fingerprints.
+
+A fingerprint's bits are cut into bands, and each band has a vantage-point tree. A node of a tree has a vantage point and a
+branch for every distance to it (differing bits in the band); the leaves are shards. Vantage points are members of their node,
+taken from a bounded sample of the data, and a node is divided as long as it is expected to hold more than ``leaf_rows`` of all
+rows, so shards grow in number, and not in size, with the corpus. Where a single row of the sample stands for more rows than
+that, every leaf is divided further by distances to a few vantage points that all leaves share.
+
+Distances in a band obey the triangle inequality: what lies within r of a query differs from it by at most r in its distance
+to every vantage point. A query enters those branches only, and of them those that hold a point within r, which are the shards
+whose boundary its neighbourhood overlaps. Of two fingerprints that differ, only the one with a 0 at the first differing bit
+looks for the other. If the bands' radii r_b satisfy sum(r_b + 1) > R, then any two fingerprints within R of each other are
+within r_b in some band b (pigeonhole), meet in one of its shards, and are compared there: the search is exact. Equal
+fingerprints are one node throughout; shards yield stars, never all pairs.
+
+``EXACT`` links 64-bit fingerprints at up to 4 differing bits with bands of 22, 21 and 21 bits and radii 0, 1 and 1. Near copies
+of 80 % similarity differ in some ten of 64 bits, where no exact search is cheaper than comparing all; ``WIDE`` has 512 bits,
+and trees over bits sampled from them, and finds candidates only. Its bands have more bits in a larger corpus; trees are added
+until simulated copies of the similarity, made from the sample by flipping each bit with the chance arccos(2 s / (1 + s)) / pi,
+meet in one of them with the chance ``recall``; the radius of 112 is four deviations above the 78 bits in which such copies
+differ. Candidates are united into classes, and all documents of a class are then compared by their sets of shingles, so what
+is linked has the similarity asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.llm.components import Labels, connected_components, each_group, split_hot
-from tallystream.llm.shared import written
+from tallystream.llm.shared import drop_rows, keep_one, written
 
 #: Rows of a shard beyond which it is compared in pairs of blocks.
 SHARD_ROWS = 16384
+#: Fingerprints of the sample that trees are grown from, about; those of them that are copied to measure recall, at most.
+SAMPLE, COPIES = 16384, 2048
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -43,56 +54,123 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Band:
-    """Bits of a band, its radius, and how many vantage points lie on the way to a leaf."""
+class Tree:
+    """Bits of a band, the radius of its queries, and nodes: the branch of node i for distance d is node first[i] + d, and a leaf
+    has first[i] = -1. ``levels`` are the vantage points that all leaves share. Fingerprints are given as rows of words."""
 
     bits: tuple[int, ...]
     radius: int
-    depth: int
+    points: np.ndarray
+    first: np.ndarray
+    levels: np.ndarray
+
+    def codes(self, prints: np.ndarray) -> np.ndarray:
+        """The band's bits of every fingerprint as one number."""
+        out = np.zeros(len(prints), dtype=np.uint64)
+        for i, bit in enumerate(self.bits):
+            out |= ((prints[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(i)
+        return out
+
+    def leaves(self, codes: np.ndarray) -> np.ndarray:
+        """The shard that each code lies in."""
+        node, active = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
+        while len(active := active[self.first[node[active]] >= 0]):
+            at = node[active]
+            node[active] = self.first[at] + np.bitwise_count(codes[active] ^ self.points[at])
+        for point in self.levels:
+            node = node * (len(self.bits) + 1) + np.bitwise_count(codes ^ point)
+        return node
+
+    def overlapping(self, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, shards) of the other shards that hold a point within the radius, for each row the ones it looks into."""
+        found = []
+        for flips in range(1, self.radius + 1):
+            for places in combinations(range(len(self.bits)), flips):
+                rows = np.flatnonzero((codes >> np.uint64(places[0])) & np.uint64(1) == 0)
+                shards = self.leaves(codes[rows] ^ np.uint64(sum(1 << p for p in places)))
+                other = shards != own[rows]
+                found.append((rows[other] << 48) | shards[other])
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return both >> 48, both & ((1 << 48) - 1)
+
+
+def grow(bits: tuple[int, ...], radius: int, sample: np.ndarray, n: int, leaf_rows: int, draw: np.random.Generator) -> Tree:
+    """The tree of a band for ``n`` fingerprints of which ``sample`` is a part."""
+    tree = Tree(bits, radius, np.zeros(1, dtype=np.uint64), np.full(1, -1), np.zeros(0, dtype=np.uint64))
+    codes, share = tree.codes(sample), n / max(1, len(sample))
+    points, first, open_nodes = [0], [-1], [(0, np.arange(len(sample)))]
+    while open_nodes:
+        node, members = open_nodes.pop()
+        if len(members) * share <= leaf_rows or not len(members):
+            continue
+        point = codes[members[draw.integers(len(members))]]
+        far = np.bitwise_count(codes[members] ^ point)
+        if not far.any():  # one value
+            continue
+        points[node], first[node] = int(point), len(points)
+        points += [0] * (len(bits) + 1)
+        first += [-1] * (len(bits) + 1)
+        open_nodes += [(first[node] + int(d), members[far == d]) for d in np.unique(far)]
+    more = max(0, math.ceil(math.log(share / leaf_rows) / math.log(8))) if len(sample) and share > leaf_rows else 0
+    levels = draw.choice(codes, more) if more else np.zeros(0, dtype=np.uint64)
+    return Tree(bits, radius, np.array(points, dtype=np.uint64), np.array(first, dtype=np.int64), levels)
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Width of the fingerprint in words of 64 bits, differing bits up to which fingerprints link, and the bands."""
+    """Width of the fingerprint in words of 64 bits, differing bits up to which fingerprints link, and the trees."""
 
     words: int
     radius: int
-    bands: tuple[Band, ...]
-
-    def vantages(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The band's mask and its vantage points, as rows of words."""
-        mask = np.zeros(self.words, dtype=np.uint64)
-        for bit in self.bands[b].bits:
-            mask[bit // 64] |= np.uint64(1 << (bit % 64))
-        seeds = np.arange(self.bands[b].depth * self.words, dtype=np.uint64)
-        return mask, _mix(seeds, 1000 + b).reshape(-1, self.words) & mask
+    trees: tuple[Tree, ...]
 
     def shards(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(rows, shard, home): each row's own shard in every band, and those that its query enters besides."""
-        for b, band in enumerate(self.bands):
-            mask, points = self.vantages(b)
-            far = np.stack([np.bitwise_count((prints & mask) ^ p).sum(axis=1, dtype=np.int64) for p in points], axis=1)
-            base = len(band.bits) + 1
-            scale = base ** np.arange(band.depth, dtype=np.int64)
-            start = np.int64(b) << 48
-            yield np.arange(len(prints)), start + far @ scale, True
-            for flips in range(1, band.radius + 1):
-                # As many flipped bits change each distance by that much or by two, four, ... less.
-                for step in product(range(-flips, flips + 1, 2), repeat=band.depth):
-                    there = far + np.array(step)
-                    rows = np.flatnonzero(((there >= 0) & (there < base)).all(axis=1))
-                    yield rows, start + there[rows] @ scale, False
-
+        """(rows, shard, home): each row's own shard in every tree, and those that its query enters besides."""
+        for b, tree in enumerate(self.trees):
+            codes, start = tree.codes(prints), np.int64(b) << 48
+            own = tree.leaves(codes)
+            yield np.arange(len(prints)), start + own, True
+            if tree.radius:
+                rows, shards = tree.overlapping(codes, own)
+                yield rows, start + shards, False
 
-EXACT = Forest(1, 4, tuple(Band(tuple(range(16 * b, 16 * b + 16)), int(b == 0), 4 if b == 0 else 8) for b in range(4)))
 
+@dataclass(frozen=True)
+class Layout:
+    """How a forest is made: width in words, differing bits of a link, (bits, radius) of each band, rows of a leaf.
 
-def _sampled(words: int, count: int, width: int) -> tuple[Band, ...]:
-    draw = np.random.default_rng(20240)
-    return tuple(Band(tuple(sorted(int(x) for x in draw.choice(64 * words, width, replace=False))), 0, 8) for _ in range(count))
-
+    Without bands these are sampled, for copies of ``similarity`` to meet with the chance ``recall``.
+    """
 
-WIDE = Forest(8, 112, _sampled(8, 60, 13))
+    words: int
+    radius: int
+    bands: tuple[tuple[tuple[int, ...], int], ...]
+    leaf_rows: int
+    similarity: float = 1.0
+    recall: float = 1.0
+
+    @cached_property
+    def flip(self) -> float:
+        """The chance that a bit differs between copies of the similarity."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    def grow(self, sample: np.ndarray, n: int) -> Forest:
+        draw = np.random.default_rng(20240)
+        if self.bands:
+            return Forest(self.words, self.radius, tuple(grow(bits, radius, sample, n, self.leaf_rows, draw) for bits, radius in self.bands))
+        width, copied, missed, trees = max(8, math.ceil(math.log2(max(n, 1) / self.leaf_rows))), sample[:COPIES], 1.0, []
+        flipped = np.packbits(draw.random((len(copied), 64 * self.words)) < self.flip, axis=1, bitorder="little").view("<u8")
+        while missed > 1 - self.recall:
+            bits = tuple(sorted(int(b) for b in draw.choice(64 * self.words, width, replace=False)))
+            tree = grow(bits, 0, sample, n, self.leaf_rows, draw)
+            trees.append(tree)
+            meet = (tree.leaves(tree.codes(copied)) == tree.leaves(tree.codes(copied ^ flipped))).mean() if len(copied) else 1.0
+            missed *= 1 - min(1.0, max(float(meet), (1 - self.flip) ** width))
+        return Forest(self.words, self.radius, tuple(trees))
+
+
+EXACT = Layout(1, 4, ((tuple(range(22)), 0), (tuple(range(22, 43)), 1), (tuple(range(43, 64)), 1)), 128)
+WIDE = Layout(8, 112, (), 256, 0.8, 0.999)
 #: Documents of a class beyond which its shingles are compared in pairs of blocks.
 CLASS_BLOCK = 2048
 
@@ -163,6 +241,8 @@ def _route(forest: Forest, with_print: bool):
                     continue
                 nodes, prints = part.column(0), part.column(1)
                 for rows, shard, home in forest.shards(_rows(prints, forest.words)):
+                    if not len(rows):
+                        continue
                     take = pa.array(rows)
                     out = [pa.array(shard, pa.int64())]
                     if with_print:
@@ -187,7 +267,9 @@ def _compare(forest: Forest):
                 far += np.bitwise_count(prints[start : start + step, w, None] ^ mine[None, :, w])
             near = far <= forest.radius
             for i in np.flatnonzero(near.sum(axis=1) > home[start : start + step]):  # a row at home is near itself
-                labels.merge(np.append(own[near[i]], start + i))
+                rows_near = np.append(own[near[i]], start + i)
+                if (labels.label[rows_near] != labels.label[start + i]).any():
+                    labels.merge(rows_near)
         a, b = labels.edges(nodes)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -195,9 +277,18 @@ def _compare(forest: Forest):
     return work
 
 
-def link_prints(nodes: DataFrame, forest: Forest, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def grow_forest(nodes: DataFrame, layout: Layout) -> Forest:
+    """The forest for ``nodes`` (print binary), grown from about ``SAMPLE`` of them, those of the smallest hash."""
+    n = nodes.count()
+    hashed = F.xxhash64(F.lit("sample"), "print")
+    some = nodes.select("print").filter(hashed <= F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, SAMPLE / max(n, 1)))))).collect()
+    return layout.grow(np.frombuffer(b"".join(sorted(bytes(r[0]) for r in some)), dtype="<u8").reshape(-1, layout.words), n)
+
+
+def link_prints(nodes: DataFrame, layout: Layout, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) between ``nodes`` (node long, print binary; each print once) that connect all found within the radius."""
     spark = nodes.sparkSession
+    forest = grow_forest(nodes, layout)
     source = nodes.select("node", "print")
     counted = source.mapInArrow(_route(forest, False), "shard long")
     rows = source.mapInArrow(_route(forest, True), "shard long, node long, print binary, home boolean")
@@ -206,15 +297,15 @@ def link_prints(nodes: DataFrame, forest: Forest, shard_rows: int = SHARD_ROWS)
     return rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(each_group("shard", _compare(forest)), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, forest: Forest = EXACT, *, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, layout: Layout = EXACT, *, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per input row: the key, ``print`` and ``component_id``, the smallest key that links reach.
 
     The key is an integer. Rows that repeat a key are one document. A row with a null key links with nothing and has a null
     component. Null and empty texts have the fingerprint zero and link like any other. Other columns are not read.
     """
-    prints = written(fingerprints(docs, shingle, forest.words, text=text, key=key), "prints")
+    prints = written(fingerprints(docs, shingle, layout.words, text=text, key=key), "prints")
     nodes = written(prints.filter(F.col(key).isNotNull()).groupBy("print").agg(F.min(F.col(key).cast("long")).alias("node")), "nodes")
-    links = link_prints(nodes, forest, shard_rows)
+    links = link_prints(nodes, layout, shard_rows)
     # Rows that repeat a key with different fingerprints: these are linked through the key.
     pairs = prints.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("b"), F.col("print").alias("p"))
     several = pairs.groupBy("b").agg(F.min("p").alias("least"), F.max("p").alias("most")).filter("least <> most").select("b")
@@ -226,15 +317,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, forest: Forest = EXACT, *
 
 
 def _sketches(shingle: int, words: int):
-    """(key, text) to (key, node, print): the node is a hash of the set of shingles, 0 for none."""
+    """(key, hash, text) to (key, hash, node, print): the node is a hash of the set of shingles, 0 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                hashes = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
+                hashes = [shingle_hashes(t.as_py(), shingle) for t in part.column(2)]
                 prints = pa.array([_print(x, words) for x in hashes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_hash(np.unique(x)) for x in hashes], pa.int64()), prints], ["key", "node", "print"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_set_hash(np.unique(x)) for x in hashes], pa.int64()), prints], ["key", "text_hash", "node", "print"])
 
     return run
 
@@ -290,21 +381,25 @@ def _verify(similarity: float):
     return work
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, forest: Forest = WIDE, *, text: str = "text", key: str = "doc_id", class_block: int = CLASS_BLOCK) -> DataFrame:
-    """(key, component_id) per row with a key: the smallest key that links of at least ``similarity`` (Jaccard of the sets of
-    shingles, exact) reach. Candidates are the classes that fingerprints make; all pairs of a class are verified. Texts of
-    equal sets, and rows that repeat a key, are linked. Texts without words are one another's copies."""
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, layout: Layout = WIDE, *, text: str = "text", key: str = "doc_id", class_block: int = CLASS_BLOCK) -> DataFrame:
+    """(key, text_hash, component_id, kept) per row with a key.
+
+    Rows are linked if their sets of shingles have a similarity (Jaccard, exact) of at least ``similarity``, texts of equal sets
+    among them. ``component_id`` is the smallest key that links reach, ``kept`` marks the row of that key (of the smallest
+    xxhash64 of the text, if it repeats). Rows that repeat a key with unlike texts are not linked by that. Candidates are the
+    classes that fingerprints make; all pairs of a class are verified. Texts without words are one another's copies.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sketches = written(own.mapInArrow(_sketches(shingle, forest.words), "key long, node long, print binary"), "prints")
-    nodes = written(sketches.groupBy("node").agg(F.min("key").alias("first"), F.min("print").alias("print")), "nodes")
-    classes = written(connected_components(link_prints(nodes.filter("node <> 0"), forest)), "classes")
-
-    wanted = classes.join(nodes.select(F.col("node").alias("n"), "first"), F.col("node") == F.col("n")).select("node", "first")
-    # A row that repeats its key with another text is left out by its node; rows that are wholly alike count once.
-    texts = own.join(wanted, F.col("key") == F.col("first")).select("text", "node").mapInArrow(_grams(shingle), "node long, grams binary")
-    texts = texts.groupBy(F.col("node").alias("m")).agg(F.min("grams").alias("grams"))
+    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    sketches = written(own.mapInArrow(_sketches(shingle, layout.words), "key long, text_hash long, node long, print binary"), "prints")
+    row = F.struct("key", "text_hash")
+    nodes = written(sketches.groupBy("node").agg(F.min(row).alias("first"), F.min("print").alias("print")), "nodes")
+    classes = written(connected_components(link_prints(nodes.filter("node <> 0"), layout)), "classes")
+
+    wanted = classes.join(nodes.select(F.col("node").alias("n"), "first"), F.col("node") == F.col("n")).select("node", F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"))
+    texts = own.join(wanted, (F.col("key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("text", "node").mapInArrow(_grams(shingle), "node long, grams binary")
+    texts = texts.groupBy(F.col("node").alias("m")).agg(F.min("grams").alias("grams"))  # rows that are wholly alike count once
     sized = classes.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("n") / class_block).cast("int"), F.lit(1))
     members = classes.join(sized.select(F.col("component").alias("c"), blocks.alias("s")), F.col("component") == F.col("c")).join(texts, F.col("node") == F.col("m"))
@@ -313,20 +408,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fore
     members = members.select(F.xxhash64("component", low, high).alias("at"), low, high, "own_block", "node", "grams")
     links = members.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _verify(similarity)), "a long, b long")
 
-    keyed = sketches.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("key", "a")
-    extra = sketches.join(keyed, "key").select("a", F.col("node").alias("b"))
-    groups = written(connected_components(links.unionByName(extra)).withColumnRenamed("node", "member"), "groups")
+    groups = written(connected_components(links).withColumnRenamed("node", "member"), "groups")
     named = nodes.select("node", "first").join(groups, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("node").alias("m"), "component_id")
-    return sketches.join(named, F.col("node") == F.col("m")).select("key", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, forest: Forest = WIDE, *, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of ``near_copies``: that of the smallest key. Rows with a null key stay."""
-    found = near_copies(docs, similarity, shingle, forest, text=text, key=key)
-    kept = found.filter("key = component_id").select(F.col("key").alias("__kept_key")).distinct()
-    rows = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("__kept_key"), "left_semi")
-    whole = F.struct(*docs.columns)
-    one = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(F.col(text))).alias("__row")).select("__row.*")
-    return one.unionByName(docs.filter(F.col(key).isNull()))
+    smallest = named.groupBy("component").agg(F.min("first").alias("one"))
+    named = named.join(smallest, "component").select(F.col("node").alias("m"), "one")
+    out = sketches.join(named, F.col("node") == F.col("m"))
+    return out.select("key", "text_hash", F.col("one.key").alias("component_id"), (row == F.col("one")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, layout: Layout = WIDE, *, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``; rows and columns are otherwise unchanged.
+
+    Rows with a null key stay. A text without a near copy stays, also if its key repeats; of rows that repeat key and text one
+    stays.
+    """
+    found = written(near_copies(docs, similarity, shingle, layout, text=text, key=key), "copies")
+    names = found.select(F.col("key"), "text_hash", "kept")
+    gone = names.filter(~F.col("kept")).select("key", "text_hash").distinct()
+    twice = names.filter("kept").groupBy("key", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("key", "text_hash")
+    return keep_one(drop_rows(docs, gone, key, text), twice, key, text)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -121,12 +122,53 @@ def test_forest_is_exact(spark):
     assert wanted and classes(len(values), links) == classes(len(values), wanted)
 
 
+@pytest.mark.parametrize("leaf_rows", [1, 5])
+def test_deep_trees_are_exact(spark, leaf_rows):
+    """Also where a small sample stands for many rows, so that leaves are divided by shared vantage points."""
+    draw = np.random.default_rng(12)
+    layout = replace(EXACT, leaf_rows=leaf_rows)
+    values = draw.integers(0, 2**64, 3000, dtype=np.uint64)
+    for i in range(0, 2000, 2):
+        values[i + 1] = values[i] ^ np.uint64(sum(1 << int(b) for b in draw.choice(64, draw.integers(1, 7), replace=False)))
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    for sample in (values, values[:40]):
+        forest = layout.grow(sample.reshape(-1, 1), len(values))
+        homes, visits = {}, []
+        for rows, shard, home in forest.shards(values.reshape(-1, 1)):
+            for r, s in zip(rows.tolist(), shard.tolist(), strict=True):
+                homes.setdefault(s, []).append(r) if home else visits.append((r, s))
+        met = np.zeros_like(near)
+        for rows in homes.values():
+            met[np.ix_(rows, rows)] = True
+        for r, s in visits:
+            met[r, homes.get(s, [])] = True
+        assert (met | met.T)[near].all() and (met.sum() < 0.1 * near.size) and max(len(t.first) for t in forest.trees) > 20
+        assert (len(sample) == 40) == any(len(t.levels) for t in forest.trees)
+
+
+def test_comparisons_do_not_grow_with_the_corpus():
+    draw, per_row = np.random.default_rng(2), []
+    for n in (20_000, 160_000):
+        values = draw.integers(0, 2**64, (n, 1), dtype=np.uint64)
+        homes, visits = [], []
+        forest = EXACT.grow(values[:16384], n)
+        for start in range(0, n, 4096):
+            for _, shard, home in forest.shards(values[start : start + 4096]):
+                (homes if home else visits).append(shard)
+        shards, counts = np.unique(np.concatenate(homes), return_counts=True)
+        at = np.searchsorted(shards, found := np.concatenate(visits)).clip(max=len(shards) - 1)
+        per_row.append(((counts**2).sum() + counts[at][shards[at] == found].sum()) / n)
+    assert per_row[1] < 1.5 * per_row[0] < 0.2 * 20_000
+
+
 def test_repeated_and_null_keys(spark):
     rows = spark.createDataFrame([(5, "a b c d e f"), (5, "quite another text than that one here"), (7, "quite another text than that one here"), (None, "a b c d e f"), (None, None), (9, "zz yy xx ww vv uu tt")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(rows).collect())
     assert got == [("5", "5"), ("5", "5"), ("7", "5"), ("9", "9"), ("None", "None"), ("None", "None")]
     kept = drop_near_duplicates(rows.withColumn("row", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "row"] and Counter(r.doc_id for r in kept.collect()) == {5: 1, 9: 1, None: 2}
+    assert kept.columns == ["doc_id", "text", "row"] and Counter(r.doc_id for r in kept.collect()) == {5: 2, 9: 1, None: 2}  # a text without a near copy stays
+    twice = drop_near_duplicates(rows.union(rows.filter("doc_id = 9")).withColumn("row", F.lit(1)))
+    assert twice.columns == ["doc_id", "text", "row"] and Counter(r.doc_id for r in twice.collect()) == {5: 2, 9: 1, None: 2}
     assert drop_near_duplicates(rows.limit(0)).count() == 0
 
 
