@@ -1,13 +1,13 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Documents are cut into sequences of equally many tokens. A text of b bytes has at most ceil(b / length) sequences, so running
-sums of that bound give each sequence a number of its own before anything is encoded. A keyed Feistel permutation with
-cycle-walking maps these numbers one to one onto themselves; the order of the permuted numbers is the order of training.
-Sequences are dealt to shards by ranges of permuted numbers and sorted there, and each shard is written as records of one size.
-Numbers that no sequence has close up: a sequence's slot (0 .. n-1) is its position plus the records of the shards before.
-A reader seeks to any slot and goes on from there.
-
-The texts are read twice, once for their lengths and once to be encoded; the second run checks itself against the first.
+Documents are cut into sequences of equally many tokens, and the sequences are numbered 0 .. n-1 in the order of the scan. A
+keyed Feistel permutation with cycle-walking maps these numbers one to one onto themselves: the permuted number is the
+sequence's global slot, so it follows from the number, n and the seed alone. Slots are dealt to shards by ranges of equal size,
+and each shard is written as records of one size; slot s is record s mod r of shard s div r. A reader seeks to any slot and
+goes on from there.
+
+The texts are encoded twice, once to count the sequences and once to write them, which takes less room than to store the ids
+in between; the second run checks itself against the first. Words that recur in a batch are encoded once.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from tallystream.llm.bpe import codec
 from tallystream.llm.shared import written
 
-#: Tokens of a sequence, numbers to a shard (under a half of them are used), and the id that fills up a last sequence.
-LENGTH, SHARD_NUMBERS, PAD = 512, 32768, 50256
-CACHE = 400_000
+#: Tokens of a sequence, sequences of a shard, and the id that fills up a last sequence.
+LENGTH, SHARD_NUMBERS, PAD = 512, 16384, 50256
+#: Words whose ids are kept, and characters that are encoded at a time (a longer text is one piece).
+CACHE, PIECE = 400_000, 1 << 24
 
 
 def feistel(index: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
@@ -86,95 +87,150 @@ class WordEncoder:
         except TypeError:  # a part after which a space is not a sure boundary
             return self.direct(text)
 
-
-def _bounds(lengths: np.ndarray, length: int) -> np.ndarray:
-    return -(-lengths // length)
-
-
-def _byte_lengths(texts: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of many texts, without nulls: text i has the ids from ends[i] up to ends[i + 1]."""
+        parts = pc.split_pattern(texts, " ")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        starts -= starts[0]
+        coded = parts.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        # A part that is empty or ends with white space is no sure boundary, unless it is a text's last one.
+        loose = np.array([not w or w[-1].isspace() for w in words])[at]
+        loose[starts[1:] - 1] = False
+        plain = np.concatenate([[0], np.cumsum(loose)])
+        plain = plain[starts[1:]] == plain[starts[:-1]]
+        inner = np.ones(len(at), dtype=bool)
+        inner[starts[:-1]] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[at[inner]] = True
+        ids: list[bytes | None] = [self._word(w) if u else b"" for w, u in zip(words, used, strict=True)]
+        heads, values = at[starts[:-1]], texts.to_pylist() if not plain.all() else []
+        ids += [self.direct(words[h]) if ok else self.direct(values[i]) for i, (h, ok) in enumerate(zip(heads, plain, strict=True))]
+        at[~plain[np.repeat(np.arange(len(plain)), np.diff(starts))]] = len(ids)
+        at[starts[:-1]] = len(words) + np.arange(len(heads))
+        made = pa.array([*ids, b""], pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(made.buffers()[1], dtype="<i8")[made.offset : made.offset + len(made) + 1]
+        data = np.frombuffer(made.buffers()[2] or b"", dtype="<u2")[ends[0] // 2 : ends[-1] // 2]
+        return data, (ends[starts] - ends[0]) // 2
+
+    def _word(self, word: str) -> bytes:
+        made = self.words[word]
+        return self.direct(" " + word) if made is None else made
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of rows of about ``PIECE`` bytes; nulls are empty."""
+    texts = pc.fill_null(batch.column(column), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(sizes // PIECE, prepend=0)) if len(sizes) else []
+    for begin, end in pairwise(sorted({0, *(int(c) for c in cuts), batch.num_rows})):
+        yield begin, texts.slice(begin, end - begin)
+
+
+def _sequence_counts(ends: np.ndarray, length: int) -> np.ndarray:
+    return -(-np.diff(ends) // length)
 
 
 def _counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = numbers = 0
+        encoder, docs, numbers = WordEncoder(), 0, 0
         for batch in batches:
             docs += batch.num_rows
-            numbers += int(_bounds(_byte_lengths(batch.column(1)), length).sum())
+            for _, texts in _pieces(batch, 1):
+                numbers += int(_sequence_counts(encoder.encode_all(texts)[1], length).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs], pa.int64()), pa.array([numbers], pa.int64())], ["part", "docs", "numbers"])
 
     return run
 
 
-def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int, int]], per_shard: int):
+def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at, docs = WordEncoder(), TaskContext.get().partitionId(), 0, 0
         start, want_docs, want = starts.get(part, (0, 0, 0))
-        pad = np.full(length, PAD, dtype="<u2").tobytes()
-        stride = 2 * length
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                piece = batch.slice(begin, 256)
-                bounds = _bounds(_byte_lengths(piece.column(1)), length)
-                firsts = start + at + np.cumsum(bounds) - bounds
-                rows, seqs, sizes, records = [], [], [], []
-                for i, value in enumerate(piece.column(1)):
-                    ids = encoder.encode(value.as_py() or "")
-                    for number, k in enumerate(range(0, len(ids), stride)):
-                        cut = ids[k : k + stride]
-                        rows.append(i), seqs.append(number), sizes.append(len(cut) // 2)
-                        records.append(cut if len(cut) == stride else cut + pad[len(cut) :])
-                docs += piece.num_rows
-                at += int(bounds.sum())
-                if rows:
-                    order = feistel(firsts[rows] + np.array(seqs), n, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(order // per_shard, pa.int32()), pa.array(order, pa.int64()), piece.column(0).take(pa.array(rows)), pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(records, pa.binary())], ["shard", "at", "doc", "seq", "n_tokens", "record"])
+            docs += batch.num_rows
+            for begin, texts in _pieces(batch, 1):
+                ids, ends = encoder.encode_all(texts)
+                counts = _sequence_counts(ends, length)
+                total = int(counts.sum())
+                slots = feistel(start + at + np.arange(total), n, seed)
+                at += total
+                rows = np.repeat(np.arange(len(counts)), counts)
+                seqs = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+                lows = ends[rows] + seqs * length
+                sizes = np.minimum(ends[rows + 1] - lows, length)
+                for low in range(0, total, 4096):
+                    here = slice(low, low + 4096)
+                    records = np.full((len(rows[here]), length), PAD, dtype="<u2")
+                    inside = np.arange(length) < sizes[here, None]
+                    records[inside] = ids[(lows[here, None] + np.arange(length))[inside]]
+                    data = pa.Array.from_buffers(pa.binary(2 * length), len(records), [None, pa.py_buffer(records)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(slots[here], pa.int64()), batch.column(0).take(pa.array(begin + rows[here])), pa.array(seqs[here], pa.int32()), pa.array(sizes[here], pa.int32()), data], ["slot", "doc", "seq", "n_tokens", "record"])
         if (docs, at) != (want_docs, want):
             raise RuntimeError(f"partition {part} held {want_docs} documents and now {docs}: the input must be the same at each reading")
 
     return run
 
 
-def _write(folder: str):
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; names of schemes that only Hadoop has are those of the same stores."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest if mark else folder)
+
+
+def _write(folder: str, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        attempt, shard, position, sink, temp = TaskContext.get().taskAttemptId(), -1, 0, None, ""
+        store, root = _store(folder)
+        attempt, shard, sink, temp = TaskContext.get().taskAttemptId(), -1, None, ""
 
         def close() -> None:
-            if sink is not None:
-                sink.close()
-                store.move(temp, f"{root}/shard-{shard:08d}.bin")  # another attempt's file has the same bytes
+            if sink is None:
+                return
+            sink.close()
+            name = f"{root}/shard-{shard:08d}.bin"
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.move(temp, name)
+            else:  # another attempt's file has the same bytes
+                store.delete_file(temp)
 
         for batch in batches:
-            shards, places = batch.column(0).to_numpy(), np.zeros(batch.num_rows, dtype=np.int64)
+            shards = batch.column(0).to_numpy() // per_shard
             for begin, end in pairwise([0, *(np.flatnonzero(np.diff(shards)) + 1), batch.num_rows] if batch.num_rows else []):
                 if shards[begin] != shard:
                     close()
-                    shard, position, temp = int(shards[begin]), 0, f"{root}/.shard-{int(shards[begin]):08d}.{attempt}"
+                    shard, temp = int(shards[begin]), f"{root}/.shard-{int(shards[begin]):08d}.{attempt}"
                     sink = store.open_output_stream(temp)
-                sink.write(b"".join(batch.column(5).slice(begin, end - begin).to_pylist()))
-                places[begin:end] = position + np.arange(end - begin)
-                position += end - begin
+                sink.write(b"".join(batch.column(4).slice(begin, end - begin).to_pylist()))
             if batch.num_rows:
-                digests = [hashlib.md5(r).hexdigest() for r in batch.column(5).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(places), batch.column(4), pa.array(digests, pa.string())], ["doc", "seq", "shard", "position", "n_tokens", "md5"])
+                digests = [hashlib.md5(r).hexdigest() for r in batch.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.string())], ["slot", "doc", "seq", "n_tokens", "md5"])
         close()
 
     return run
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` reads files and nothing else, so that its partitions hold the same rows at every reading."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.deterministic() and all(line.lstrip(" :+-").split(" ")[0] in ("Project", "Relation") for line in plan.toString().strip().split("\n"))
+
+
 def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write the shards below ``folder`` (a URI that driver and executors share) and return the manifest.
 
     One row per sequence: the key, ``seq`` (number within its document), ``slot``, ``shard``, ``position`` in the shard,
-    ``n_tokens`` (without filling) and ``md5`` of the record. Records have ``length`` little-endian 16-bit ids. Null and empty
-    texts have no sequences; repeated rows have sequences of their own; without sequences no shard is written. A task that is
-    run again writes the same bytes under the same names. The order depends on the order in which ``docs`` is scanned.
+    ``n_tokens`` (without filling) and ``md5`` of the record. Records have ``length`` little-endian 16-bit ids, shards
+    ``shard_numbers`` records, but for the last. Null and empty texts have no sequences; texts of any length are encoded whole;
+    repeated rows have sequences of their own, so equal records do not tie; null keys are kept; without sequences no shard is
+    written; other columns are not read. A task that is run again writes the same bytes under the same names. The order depends
+    on the order in which ``docs`` is scanned; what is not a scan of files is written to the shared folder first.
     """
     if sys.byteorder != "little":
         raise RuntimeError("ids are written as they are in memory, which must be little-endian")
     spark = docs.sparkSession
     source = docs.select(key, text)
+    if not _is_scan(source):
+        source = written(source, "token-texts")
     counts = source.mapInArrow(_counts(length), "part long, docs long, numbers long").collect()  # a row per partition of the scan
     starts, n = {}, 0
     for r in sorted(counts, key=lambda r: r["part"]):
@@ -182,32 +238,26 @@ def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_nu
         n += r["numbers"]
     shards = max(1, -(-n // shard_numbers))
     tasks = min(shards, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # mostly one shard each
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     kind = docs.schema[key].dataType.simpleString()
-    rows = source.mapInArrow(_sequences(length, seed, n, starts, shard_numbers), f"shard int, at long, doc {kind}, seq int, n_tokens int, record binary")
-    dealt = rows.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("at")
-    manifest = written(dealt.mapInArrow(_write(folder), f"doc {kind}, seq int, shard int, position long, n_tokens int, md5 string"), "manifest")
-    sizes, starts_of, before = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect()}, [], 0  # a row per shard
-    for s in range(shards):
-        starts_of.append(before)
-        before += sizes.get(s, 0)
-    first = F.element_at(F.lit(starts_of), F.col("shard") + 1).cast("long")
-    return manifest.select(F.col("doc").alias(key), "seq", (first + F.col("position")).alias("slot"), F.col("shard").cast("long").alias("shard"), "position", "n_tokens", "md5")
-
-
-def read_slots(folder: str, start: int, stop: int, *, length: int = LENGTH) -> Iterator[np.ndarray]:
-    """The records of the slots from ``start`` up to ``stop``, read one after another from there."""
-    store, root = fs.FileSystem.from_uri(folder)
-    stride, before = 2 * length, 0
-    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
-        if not info.base_name.startswith("shard-"):
-            continue
-        size = info.size // stride
-        low, high = max(start, before), min(stop, before + size)
-        if low < high:
-            with store.open_input_file(info.path) as file:
-                file.seek((low - before) * stride)
-                for _ in range(low, high):
-                    yield np.frombuffer(file.read(stride), dtype="<u2")
-        before += size
+    rows = source.mapInArrow(_sequences(length, seed, n, starts), f"slot long, doc {kind}, seq int, n_tokens int, record binary")
+    shard = F.floor(F.col("slot") / shard_numbers)
+    dealt = rows.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    manifest = written(dealt.mapInArrow(_write(folder, shard_numbers), f"slot long, doc {kind}, seq int, n_tokens int, md5 string"), "manifest")
+    for left in store.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith(".shard-"):  # of attempts that were lost
+            store.delete_file(left.path)
+    return manifest.select(F.col("doc").alias(key), "seq", "slot", shard.cast("long").alias("shard"), F.pmod("slot", F.lit(shard_numbers)).cast("long").alias("position"), "n_tokens", "md5")
+
+
+def read_slots(folder: str, start: int, stop: int, *, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS) -> Iterator[np.ndarray]:
+    """The records of the slots from ``start`` up to ``stop``, read one after another from there, without a listing."""
+    store, root = _store(folder)
+    stride = 2 * length
+    for shard in range(start // shard_numbers, -(-stop // shard_numbers)):
+        low, high = max(start - shard * shard_numbers, 0), min(stop - shard * shard_numbers, shard_numbers)
+        with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as file:
+            file.seek(low * stride)
+            for _ in range(low, high):
+                yield np.frombuffer(file.read(stride), dtype="<u2")

@@ -4,6 +4,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -57,6 +58,8 @@ def test_tree_encoding_is_the_plain_one(text, leaf):
     tree.__dict__ |= c.__dict__ | {"leaf": leaf}
     ids = tree.encode(text)
     assert ids.tolist() == c.encoding.encode_ordinary(text) and tree.decode(ids) == text.encode()
+    ids_of, ends = WordEncoder().encode_all(pa.array([text, "", text[::-1], text]))
+    assert [ids_of[ends[i] : ends[i + 1]].tolist() for i in range(4)] == [c.encoding.encode_ordinary(t) for t in (text, "", text[::-1], text)]
     assert WordEncoder().encode(text) == np.array(c.encoding.encode_ordinary(text), dtype="<u2").tobytes()
     assert public_tokenizers.PATTERN == c.encoding._pat_str
 
@@ -251,7 +254,7 @@ def test_shards(spark):
     manifest = write_shards(rows, folder, length=16, shard_numbers=25).collect()
     assert sorted(r.slot for r in manifest) == list(range(len(manifest))) and len({r.shard for r in manifest}) > 3
     assert [(r.shard, r.position) for r in sorted(manifest, key=lambda r: r.slot)] == sorted((r.shard, r.position) for r in manifest)
-    records = list(read_slots(folder, 0, len(manifest), length=16))
+    records = list(read_slots(folder, 0, len(manifest), length=16, shard_numbers=25))
     parts = {}
     for r in manifest:
         assert hashlib.md5(records[r.slot].tobytes()).hexdigest() == r.md5
@@ -260,13 +263,25 @@ def test_shards(spark):
         ids = codec().encoding.encode_ordinary(t or "")
         copies = 2 if i == 3 else 1
         assert [parts[i, s] for s in range(-(-len(ids) // 16))] == [[ids[k : k + 16]] * copies for k in range(0, len(ids), 16)]
-    resumed = list(read_slots(folder, 7, 23, length=16))
-    assert [a.tolist() for a in resumed] == [a.tolist() for a in records[7:23]]
+    resumed = list(read_slots(folder, 7, 63, length=16, shard_numbers=25))
+    assert [a.tolist() for a in resumed] == [a.tolist() for a in records[7:63]]
+    assert all((r.shard, r.position) == divmod(r.slot, 25) for r in manifest)
     again = write_shards(rows, folder, length=16, shard_numbers=25)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest))
     assert write_shards(rows.limit(0), new_path(spark, "shards")).count() == 0
 
 
+def test_slots_follow_from_the_scan(spark, tmp_path):
+    """The sequence with number i of the scan has the slot that the permutation gives i, also of a very long text."""
+    texts = ["a b c d " * 9, "long text " * 60_000, None, "tail of it", "a b c d " * 9]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, md5 string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs, folder = spark.read.parquet(str(tmp_path / "d")), new_path(spark, "shards")
+    got = {(r.doc_id, r.seq): r.slot for r in write_shards(docs, folder, length=8, seed=3).collect()}
+    numbers = [(i, s) for i, t in enumerate(texts) for s in range(-(-len(codec().encoding.encode_ordinary(t or "")) // 8))]
+    assert len(numbers) > 15_000 and got == dict(zip(numbers, feistel(np.arange(len(numbers)), len(numbers), 3).tolist(), strict=True))
+    assert not [f for f in (tmp_path / "x").parent.glob("**/.shard-*")]
+
+
 def test_pipeline(spark, tmp_path):
     draw = random.Random(11)
     vocabulary = [f"term{i}" for i in range(900)]
