@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallystream.llm import queries
+from tallystream.llm import queries, url_filter
 from tallystream.llm.decontaminate import decontaminate, drop_contaminated, remove_spans
 from tallystream.llm.license_scan import PHRASES, scan_licenses
 from tallystream.llm.line_dedup import drop_boilerplate
@@ -134,6 +134,26 @@ def test_cascade_is_exact(spark, bits):
     assert (made.shards > 1) == (bits == 4096) and len(made.levels[0]) > 1
     assert made.mark(rows, "key", "found").filter("found <> listed").count() == 0
     assert Cascade(1, [[]]).mark(rows, "key", "found").filter("found").count() == 0
+    assert made.mark(rows, "key", "found", 3 * 4096).filter("found <> listed").count() == 0
+    assert made.mark(spark.createDataFrame([(None,)], "key string"), "key", "found").first().found is False
+
+
+@pytest.mark.parametrize("share", [1, 0])
+def test_every_level_is_bounded(spark, share, monkeypatch):
+    """Few listed and many unlisted keys: level 1 holds the errors of level 0; too few shards at first are doubled."""
+    monkeypatch.setattr(url_filter, "FALSE_SHARE", url_filter.FALSE_SHARE * share)
+    rows = spark.range(100_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.col("id") < 10).alias("listed"))
+    made = build_cascade(rows, 4096)
+    assert made.shards > 1 and max(64 * len(words) for own in made.levels for words in own) <= 4096
+    assert made.mark(rows, "key", "found", 20 * 4096).filter("found <> listed").count() == 0
+
+
+def test_odd_urls(spark):
+    """Empty and very long urls; rows and further columns repeat."""
+    urls = ["", "http://example.org/es/" + "x" * 200_000, "http://" + "a" * 100_000 + ".com/de/", "http://example.org/es/" + "x" * 200_000]
+    rows = spark.createDataFrame([(i % 3, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = sorted((r.page_id, len(r.host), len(r.path), str(r.rule), r.verdict) for r in judge_urls(rows).collect())
+    assert got == [(0, 0, 0, "None", "allow"), (0, 11, 200_004, "example.org/es/", "block"), (1, 11, 200_004, "example.org/es/", "block"), (2, 100_004, 4, "com/de/", "block")]
 
 
 @pytest.mark.parametrize("bound", [200_000, 0])
