@@ -2,8 +2,9 @@
 
 The windows of the benchmark form a hash set. Documents are scanned once: each window's hash probes the set, and a probe
 that succeeds is verified word by word. One marker row a document goes along, so that a single small aggregation by
-document gives the result and no document is joined back. The hash set is broadcast only after its size was measured;
-beyond the bound the probes are joined by shuffle and verified on the window's text.
+document gives the result and no document is joined back. The windows are broadcast only after their size was measured. Beyond
+the bound they are first reduced to those whose hash some document has: by a broadcast of the hashes alone while these stay
+within it, else by a join of the distinct hashes of both sides. Only what then still exceeds the bound is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tallystream.llm.shared import drop_rows, word_array, written
 
-#: Bytes of benchmark windows up to which they are broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of benchmark windows, or of their hashes alone, up to which they are broadcast; bytes that a hash takes there.
+BROADCAST_BYTES, HASH_BYTES = 64 << 20, 40
 
 
 def benchmark_windows(bench: DataFrame, n: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
@@ -58,12 +59,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str =
 
     Returns per input row of ``docs``: the key, ``text_hash`` (xxhash64 of the text), ``n_words``, ``n_hit`` (words inside
     any occurrence), ``spans`` (array of (start, size) in words, sorted) and ``items`` (ids of the items, as strings, sorted).
-    A null or empty text has no words; rows that repeat key and text give as many equal rows, rows that repeat a key with
-    another text are judged by themselves; null keys are kept; an empty benchmark or table gives no hits or no rows; other
+    A null or empty text has no words; a text of any length is scanned whole; rows that repeat key and text give as many equal
+    rows, rows that repeat a key with another text are judged by themselves; null keys are kept; items that share a window are
+    all named, and a word in several occurrences counts once; an empty benchmark or table gives no hits or no rows; other
     columns are not read.
     """
     grams = written(benchmark_windows(bench, n, text, item), "benchmark-windows")
-    found = grams.agg(F.count("*"), F.sum(F.aggregate("gram", F.lit(64).cast("long"), lambda t, w: t + F.octet_length(w) + 24) + 24 * F.size("items")), F.sort_array(F.collect_set("size"))).first()
+    weight = F.coalesce(F.sum(F.aggregate("gram", F.lit(64).cast("long"), lambda t, w: t + F.octet_length(w) + 24) + 24 * F.size("items")), F.lit(0))
+    found = grams.agg(F.count("*"), weight, F.sort_array(F.collect_set("size"))).first()
     sizes = found[2] or []
     base = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.explode(F.array(word_array(F.col(text)))).alias("words"))
     # Row 0 of a document is its marker; then come the starts of its windows of the first size, of the second, and so on.
@@ -75,8 +78,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, *, text: str =
         inside = (F.col("at") >= before) & (F.col("at") < before + here)
         start, width, before = F.when(inside, F.col("at") - before).otherwise(start), F.when(inside, F.lit(size)).otherwise(width), before + here
     rows = rows.select("*", start.alias("start"), width.alias("size")).withColumn("hash", _by_size(F.col("words"), F.col("start"), sizes))
+    small = found[1] <= broadcast_bytes
+    if not small:
+        hashes, probes = grams.select("hash").distinct(), rows.filter(F.col("at") > 0).select("hash")
+        if found[0] * HASH_BYTES <= broadcast_bytes:
+            present = probes.join(F.broadcast(hashes), "hash", "left_semi").distinct()
+        else:
+            present = probes.distinct().join(hashes, "hash", "left_semi")
+        grams = written(grams.join(present, "hash", "left_semi"), "windows-present")
+        small = grams.agg(weight).first()[0] <= broadcast_bytes
     grams = grams.select(F.col("hash").alias("g_hash"), F.col("gram"), "items")
-    small = (found[1] or 0) <= broadcast_bytes
     if small:
         # The words are compared after the join, not as a part of its key, so that only probes that hit pay for it.
         same = F.slice("words", F.col("start") + 1, F.col("size")) == F.col("gram")
