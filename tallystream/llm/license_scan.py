@@ -2,10 +2,13 @@
 
 A block is a line of a document, or any window of twice a template's words, across line breaks, so that a notice wrapped
 over lines is compared whole. A template is found in a block when the block holds at least ``threshold`` of the template's
-distinct words. For windows the filters below apply to the document first, then its windows are counted. Tokens are ordered by how many documents hold them, rarest first. A block that reaches the
-threshold must hold one of the first |T| - need + 1 words of the template (prefix filter), at least ``need`` distinct
-words (length filter), and its first common word must leave enough words behind it (positional filter); only blocks that
-pass are verified. Templates are a parameter of known size, so their index is broadcast.
+distinct words. For windows the filters below apply to the document first, then its windows are counted.
+
+Tokens are ordered by how many documents hold them, rarest first, and the words of blocks and templates are sorted by that
+order; words that no template has cannot be shared and are left out of the blocks. A block that reaches the threshold must hold
+one of the first |T| - need + 1 words of the template (prefix filter) and at least ``need`` words (length filter); from its
+first shared word on, both sides must have ``need`` words left (positional filter). A pair is looked at only at its first shared
+word of the prefix, so each candidate is verified once. Templates are a parameter of known size, so their index is broadcast.
 """
 
 from __future__ import annotations
@@ -68,20 +71,35 @@ def token_order(docs: DataFrame, templates: list[tuple[str, str]], text: str = "
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def _index(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, order: list[str]) -> tuple[DataFrame, Column]:
+    """One row for each word of the templates' prefixes, and all these words."""
+    rank, index = {w: i for i, w in enumerate(order)}, []
+    for label, text in templates:
+        words = sorted(set(text.split()), key=rank.__getitem__)
+        need = _need(len(words), threshold)
+        index += [(w, label, at, len(words), need, words, words[:at], WINDOW * len(text.split())) for at, w in enumerate(words[: len(words) - need + 1])]
+    rows = docs.sparkSession.createDataFrame(index, "word string, label string, at int, size int, need int, tokens array<string>, before array<string>, span int")
+    return rows, _strings(sorted({row[0] for row in index}))
+
+
+def _passes(held: Column, place: Column) -> Column:
+    """Positional filter for the word at ``place`` of the block's words and ``at`` of the template's, which is their first one."""
+    left = F.least(F.size(held) - place, F.col("size") - F.col("at"))
+    return (left >= F.col("need")) & ~F.arrays_overlap(F.col("before"), held)
+
+
 def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Find phrases and templates in every whole text.
 
     Returns per input row the key, ``n_words``, ``places`` (sorted starts, in words, of all phrase places), ``base_labels``,
     ``labels`` (sorted arrays; the latter with the templates found) and ``score`` (largest containment of a template found,
     1 where a phrase stands, else 0). A null or empty text has no words and no labels; rows that repeat key and text give as
-    many equal rows; null keys are kept; other columns are not read. A block with a template's words in any order counts.
+    many equal rows; null keys are kept; other columns are not read. A block with a template's words in any order counts; a text of
+    any length is read whole; templates that tie are all named; an empty table gives no rows.
     """
-    rank = {w: i for i, w in enumerate(token_order(docs, templates, text))}
-    sets = [(i, label, sorted(set(t.split()), key=rank.__getitem__)) for i, (label, t) in enumerate(templates)]
-    index = [(w, i, label, at, len(words), _need(len(words), threshold), words, WINDOW * len(templates[i][1].split())) for i, label, words in sets for at, w in enumerate(words[: len(words) - _need(len(words), threshold) + 1])]
-    spark = docs.sparkSession
-    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, size int, need int, tokens array<string>, span int")
-    seen = _strings(sorted({row[0] for row in index}))
+    order = token_order(docs, templates, text)
+    prefixes, seen = _index(docs, templates, threshold, order)
+    vocabulary, least = _strings(order), min((_need(len(set(t.split())), threshold) for _, t in templates), default=1)
 
     base = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("whole"), F.lower(text).alias("lower"), F.explode(F.array(word_array(F.col(text)))).alias("words"))
     places = []
@@ -102,16 +120,15 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
     rows = base.select(key, "text_hash", F.size("words").cast("long").alias("n_words"), F.array_sort(F.concat(*places)).alias("places"), F.explode(entries).alias("entry"))
     rows = rows.select(key, "text_hash", "n_words", "places", F.col("entry.block").alias("block"), F.col("entry.run").alias("run"))
     marked = F.col("block").isNull() & F.col("run").isNull()
-    rows = rows.withColumn("held", F.when(~marked, F.array_distinct(F.coalesce("run", word_array(F.col("block")))))).filter(marked | F.arrays_overlap("held", seen))
-    rows = rows.withColumn("word", F.explode_outer(F.array_intersect("held", seen)))
-    after = F.col("size") - F.col("at")  # common words at most, from the first common one on
-    pairs = rows.join(F.broadcast(prefixes), (rows["word"] == prefixes["word"]) & (F.size("held") >= F.col("need")) & (after >= F.col("need")), "left").drop(prefixes["word"])
+    held = F.array_intersect(vocabulary, F.coalesce("run", word_array(F.col("block"))))  # in the global order
+    rows = rows.select("*", F.explode(F.array(F.when(~marked, held))).alias("held")).filter(marked | ((F.size("held") >= least) & F.arrays_overlap("held", seen)))
+    rows = rows.select("*", F.posexplode_outer(F.when(~marked, F.col("held"))).alias("place", "word")).filter(marked | F.array_contains(seen, F.col("word")))
+    pairs = rows.join(F.broadcast(prefixes), (rows["word"] == prefixes["word"]) & _passes(F.col("held"), F.col("place")), "left").drop(prefixes["word"])
     shared = F.array_intersect("tokens", "held")
     starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains(F.col("tokens"), F.get("run", i - 1)))
     most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("span")), F.col("tokens")))))
-    # Windows are counted once, at the template's first word in the document.
-    once = (F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("word"))
-    pairs = pairs.withColumn("common", F.when(F.col("run").isNull(), F.size(shared)).when(once, most))
+    enough = F.size(shared) >= F.col("need")
+    pairs = pairs.withColumn("common", F.when(F.col("run").isNull(), F.size(shared)).when(enough, most))
     common = F.col("common")
     good = common >= F.col("need")
     per_doc = pairs.groupBy(key, "text_hash").agg(F.max("n_words").alias("n_words"), F.max("places").alias("places"), F.count_if(marked).alias("copies"), F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max(F.when(good, common / F.col("size"))).alias("best"))

@@ -211,3 +211,45 @@ in the Software without restriction, including without limitation the rights"""
     apart = "\n".join(["released", "w " * 40, "under the", "w " * 40, "mit license"])
     found = {r.doc_id: r for r in scan_licenses(docs(spark, [f"before\n{mit}\nafter", f"before\n\n{gpl}\n", apart, mit.replace("\n", " ")])).collect()}
     assert [found[i].labels for i in range(4)] == [["mit"], ["gpl"], [], ["mit"]] and found[0].score == found[1].score == found[3].score == 1.0
+
+
+def test_license_filters(spark):
+    """What each filter of the set join removes, against a comparison of all pairs; each candidate is left once."""
+    from tallystream.llm import license_scan as ls
+
+    draw = random.Random(7)
+    order = sorted({w for _, t in ls.TEMPLATES for w in t.split()}, key=lambda w: (len(w) % 5, w))
+    blocks = [set(draw.sample(order, draw.randrange(1, 40))) for _ in range(400)]
+    for i in range(150):  # parts of a template, and some other words
+        words_of = sorted(set(ls.TEMPLATES[i % len(ls.TEMPLATES)][1].split()))
+        blocks.append(set(draw.sample(words_of, max(1, int(len(words_of) * draw.uniform(0.8, 1))))) | set(draw.sample(order, i % 4)))
+    table = [(i, j, w, [x for x in order if x in b]) for i, b in enumerate(blocks) for j, w in enumerate(x for x in order if x in b)]
+    rows = spark.createDataFrame(table, "block int, place int, word string, held array<string>")
+    index, _ = ls._index(rows, ls.TEMPLATES, 0.85, order)
+    joined = rows.join(index, "word").withColumn("t", F.array_join("tokens", " "))
+    long_enough = F.size("held") >= F.col("need")
+    found = [{(r.block, r.t) for r in part.select("block", "t").collect()} for part in (joined, joined.filter(long_enough), joined.filter(ls._passes(F.col("held"), F.col("place"))))]
+    left = joined.filter(ls._passes(F.col("held"), F.col("place"))).select("block", "t")
+    wanted = {(i, " ".join(sorted(set(t.split()), key=order.index))) for i, b in enumerate(blocks) for _, t in ls.TEMPLATES if len(b & set(t.split())) >= ls._need(len(set(t.split())), 0.85)}
+    everything = len(blocks) * len(ls.TEMPLATES)
+    assert wanted <= found[2] < found[1] < found[0] and len(found[0]) < everything and left.count() == len(found[2]) and len(wanted) > 50
+
+
+def test_wrapped_licenses_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["before\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files to deal\nin the software without restriction", "Released under\nthe MIT\nlicense", None, "", "x\n" * 2000 + "licensed under the creative\ncommons attribution 4 0\ninternational license", "plain", "released " + "w " * 9 + "\nunder the mit license"]
+    docs(spark, [*texts, texts[0]]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op3_license_scan(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = sorted(con.execute(queries.oracle_sql()["op3_license_scan"]).fetchall(), key=str)
+    assert got == wanted and {r[6] for r in got} == {"mit", "", "cc-by,cc-by-nc"}
+
+
+@pytest.mark.parametrize("bound", [40 * 60, 40 * 5, 40])
+def test_hashes_are_broadcast_first(spark, bound):
+    """Beyond the bound windows are reduced to those whose hash a document has, by either way, and then broadcast or joined."""
+    bench = [*BENCH, *((100 + i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(40))]
+    found = decontaminate(docs(spark, TEXTS), spark.createDataFrame(bench, "item_id long, text string"), broadcast_bytes=bound).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == {i: brute_windows(t, bench) for i, t in enumerate(TEXTS)}
