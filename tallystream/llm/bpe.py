@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters up to which a part is encoded directly.
-LEAF = 8192
+LEAF = 512
 _SPACE = frozenset(" \t\n\r")
 _LETTER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _DIGIT = frozenset("0123456789")
@@ -39,11 +39,14 @@ def _sure(before: str, after: str) -> bool:
 
 
 class TreeCodec:
-    """Encoder and decoder for one rank file and splitting pattern."""
+    """Encoder and decoder for one rank file and the public splitting pattern, for which sure boundaries are proven."""
 
     def __init__(self, rank_file: str, pattern: str, leaf: int = LEAF):
+        import public_tokenizers
         import tiktoken
 
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("sure boundaries are not proven for this splitting pattern")
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.leaf = max(1, leaf)
@@ -111,7 +114,8 @@ def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", *
 
     Returns one row per input row: the key, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers),
     ``decoded_sha256`` and, with ``keep_ids``, ``ids`` (those bytes). A null or empty text has no tokens; repeated rows give
-    repeated rows; other columns are not read. A text of any length is handled whole, in one task.
+    repeated rows; null keys are kept; an empty table gives no rows; other columns are not read. A text of any length is handled
+    whole, in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
