@@ -45,9 +45,9 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.08, min_pages: int = 2, *
     copies on a small host would lose all their lines.
 
     Returns the rows and columns of ``docs`` with the new text, and ``n_lines`` and ``n_dropped`` (long; columns of these names
-    are replaced). Blank lines always
-    stay; a text of boilerplate alone becomes empty and its row stays; a null text stays null with no lines; null hosts are
-    one host; repeated rows are pages of their own and stay; a text without boilerplate stays as it is.
+    are replaced). Blank lines always stay; a text of boilerplate alone becomes empty and its row stays; a null text stays null with no lines; null hosts are
+    one host; repeated rows are pages of their own and stay; a text without boilerplate stays as it is; a line or text of any
+    length is handled whole; a share equal to the ratio is not above it; an empty table gives no rows.
     """
     bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host, different=different).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), "boilerplate")
     size = bad.agg(F.coalesce(F.sum(F.size("__bad") + 1), F.lit(0))).first()[0]

@@ -82,8 +82,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of every source, on at least ten pages as its SQL has it, dropped from its documents."""
-    out = drop_boilerplate(_table(spark, sf_dir, "documents"), min_pages=10, different=False)
+    """Boilerplate lines of every source, dropped from its documents."""
+    out = drop_boilerplate(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
@@ -130,9 +130,9 @@ SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN host IN (SELECT h
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-c AS (SELECT source, line, count(*) AS n FROM (SELECT source, doc_id, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d) WHERE line <> '' GROUP BY ALL),
+c AS (SELECT source, line, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT source, doc_id, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d) WHERE line <> '' GROUP BY ALL),
 t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-b AS (SELECT c.source, list(line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 10 AND n > 0.08 * pages GROUP BY c.source),
+b AS (SELECT c.source, list(line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE texts >= 2 AND n > 0.08 * pages GROUP BY c.source),
 k AS (SELECT doc_id, d.source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(b.bad, []), trim(x, ' '))) AS kept FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM k
 """
