@@ -75,11 +75,12 @@ class Scanner:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", *, least: int = 20, ratio: float = 2.2) -> DataFrame:
-    """Scan every whole text.
+    """Scan every whole text; by their token efficiency random strings of ``least`` characters or more are found.
 
     ``least``: characters of a run from which its token efficiency counts; ``ratio``: characters per token below which it is
     random. Returns per input row the key, ``base`` and ``spans``: arrays of (kind, start, end). Null and empty texts have no
-    spans; repeated rows give repeated rows; other columns are not read.
+    spans; a text of any length is scanned whole; repeated rows give repeated rows; spans that start together are sorted by kind;
+    an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

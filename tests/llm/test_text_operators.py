@@ -253,3 +253,14 @@ def test_hashes_are_broadcast_first(spark, bound):
     bench = [*BENCH, *((100 + i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(40))]
     found = decontaminate(docs(spark, TEXTS), spark.createDataFrame(bench, "item_id long, text string"), broadcast_bytes=bound).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == {i: brute_windows(t, bench) for i, t in enumerate(TEXTS)}
+
+
+def test_long_and_repeated_texts(spark):
+    """A very long line, and rows that repeat, for lines and secrets; runs beside many base spans."""
+    long = "y " * 300_000
+    texts = [f"{long}\nfooter\na", "b\nfooter", "b\nfooter", "c"]
+    out = [r.text for r in drop_boilerplate(docs(spark, texts), 0.5).collect()]
+    assert sorted(out) == sorted([f"{long}\na", "b", "b", "c"])
+    keys = " ".join(f"{'0123456789abcdef' * 2}/QzXkWvPYhgTmBRdnfqxZ{i:04d}" for i in range(3000))
+    found = scan_secrets(docs(spark, [keys, keys, None])).collect()
+    assert [len(r.base) for r in found] == [3000, 3000, 0] and found[0].spans == found[1].spans and len(found[0].spans) == 6000

@@ -72,6 +72,13 @@ def test_joining_is_associative():
     assert c.join(text, 0, 0, len(text), c.encode(""), c.encode(text)).tolist() == left.tolist()
 
 
+def test_other_patterns_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        TreeCodec(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\S+|\s+")
+
+
 def test_encode_documents(spark):
     texts = ["Hello world", None, "", "x" * 50_000, "word " * 40_000, "Hello world", "日本語 のテキスト\n\n"]
     rows = spark.createDataFrame([(i if i else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
