@@ -3,9 +3,12 @@
 Features of a text are its words and their first four to seven letters, by 1 + log(occurrences). One weight vector is shared by all
 thresholds: P(grade >= k) = sigmoid(w x - theta_k) with theta_1 < theta_2 < theta_3. The model is fitted on a bounded sample of
 labelled rows; of each group of near copies in the sample one stays, so that words of copied documents do not pass for signs
-of toxicity. Features count if they stand in toxic rows far more often than by chance, and in a least share of these. Labels
-are 0 or 1, so toxic rows are graded 1 to 3 by how many of their words have such a feature: below, between and above the
-terciles of the sample's toxic rows. The result is the expected grade, the sum of P(grade >= k) over k.
+of toxicity. Features count if they stand in toxic rows far more often than by chance, and in a least share of these.
+
+Labels may be grades (0, and 1 to 3 for toxic rows), which are then used as they are. Where labels are only 0 or 1, toxic rows are
+graded 1 to 3 across two halves of the sample: each half is graded by the words that the *other* half takes for signs of toxicity,
+below, between and above the terciles of how many of them its toxic rows hold, so no row's grade restates its own features. The
+result is the expected grade, the sum of P(grade >= k) over k.
 """
 
 from __future__ import annotations
@@ -80,7 +83,7 @@ def _head(size: int):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int, text: str, key: str, label: str) -> DataFrame:
-    """(toxic, words, counts): sampled rows with a label, near copies left out."""
+    """(toxic, words, counts, half): sampled rows with a label (toxic is the grade), near copies left out."""
     import xxhash
 
     chosen = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("doc")).agg(F.max(F.col(label).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc"), "doc").limit(sample)
@@ -110,40 +113,55 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, text: str, key: str
     for low in lows:
         thin = thin.groupBy(low).agg(F.min_by(F.struct("doc", *lows), F.col("doc")).alias("row")).select("row.*")
     one = every.join(thin.select("doc").distinct(), "doc").groupBy("doc").agg(F.first("toxic").alias("toxic"), F.min_by(F.struct("words", "counts"), F.col("low0")).alias("row"))
-    return written(one.select("toxic", "row.*"), "severity-sample")
+    return written(one.select("toxic", "row.*", F.pmod(F.xxhash64(F.lit("half"), "doc"), F.lit(2)).cast("int").alias("half")), "severity-sample")
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = FEATURES, text: str = "text", key: str = "doc_id", label: str = "toxic", ridge: float = 0.5, steps: int = 600) -> SeverityModel:
     """Fit on at most ``sample`` labelled rows, those of the smallest hash of the key. Without toxic rows nothing is toxic.
 
-    A key with several labels counts as toxic if one says so; null labels and keys are left out.
+    A key with several labels has the highest of them, grades above 3 count as 3; null labels and keys are left out; features
+    of equal weight of evidence are taken in alphabetical order; texts of any length are read whole.
     """
     rows = _sample(docs, labels, sample, text, key, label)
     heads = [F.transform(F.filter("words", _longer(size)), _head(size)) for size in PREFIXES]
     both = F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("="), w)), *heads))
-    total = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, bad = int(total[0]), int(total[1])
-    if not bad or bad == n:
+    bad = F.when(F.col("toxic") > 0, 1).otherwise(0)
+    totals = {r["half"]: (r["n"], r["bad"], r["top"]) for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.max("toxic").alias("top")).collect()}
+    n, n_bad = sum(t[0] for t in totals.values()), sum(t[1] for t in totals.values())
+    if not n_bad or n_bad == n:
         return SeverityModel({}, tuple(40.0 + k for k in range(GRADES)))
-    rate = bad / n
-    seen = rows.select("toxic", F.explode(both).alias("feature")).groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
-    z = (F.col("hits") - rate * F.col("df")) / F.sqrt(F.col("df") * rate * (1 - rate))
-    chosen = [r["feature"] for r in seen.withColumn("z", z).filter((F.col("z") >= 6) & (F.col("hits") >= max(3, LEAST_SHARE * bad))).orderBy(F.desc("z"), "feature").limit(features).collect()]
-    index = {f: i for i, f in enumerate(chosen)}
-
-    firsts = F.array(*[F.lit(f) for f in sorted({c[1 : 1 + PREFIXES[0]] for c in chosen})]) if chosen else F.array().cast("array<string>")
-    held = F.filter(F.arrays_zip("words", "counts"), lambda p: F.array_contains(firsts, F.substring(p["words"], 1, PREFIXES[0])))
-    found = rows.select("toxic", held.alias("held")).collect()  # at most ``sample`` short rows
+    graded = max(t[2] for t in totals.values()) > 1
+
+    # Evidence of each feature in both halves and the whole; a row for each feature that is one in any of them.
+    seen = rows.select("half", bad.alias("bad"), F.explode(both).alias("feature")).groupBy("feature").agg(*[f(F.when(F.col("half") == h, c)).alias(f"{name}{h}") for h in (0, 1) for f, c, name in ((F.count, F.lit(1), "df"), (F.sum, F.col("bad"), "hits"))])
+    seen = seen.na.fill(0).withColumns({"df": F.col("df0") + F.col("df1"), "hits": F.col("hits0") + F.col("hits1")})
+    wanted = {}
+    for end, all_rows, bad_rows in [("", n, n_bad), *[(h, *totals[h][:2]) for h in (0, 1) if h in totals]]:
+        rate = min(max(bad_rows / all_rows, 1e-9), 1 - 1e-9)
+        z = (F.col(f"hits{end}") - rate * F.col(f"df{end}")) / F.sqrt(F.col(f"df{end}") * rate * (1 - rate))
+        found = seen.withColumn("z", F.coalesce(z, F.lit(0.0))).filter((F.col("z") >= 6) & (F.col(f"hits{end}") >= max(3, LEAST_SHARE * bad_rows)))
+        wanted[end] = [r["feature"] for r in found.orderBy(F.desc("z"), "feature").limit(features).select("feature").collect()]
+    index = {f: i for i, f in enumerate(wanted[""])}
+
+    firsts = sorted({c[1 : 1 + PREFIXES[0]] for chosen in wanted.values() for c in chosen})
+    first_letters = F.array(*[F.lit(f) for f in firsts]) if firsts else F.array().cast("array<string>")
+    held = F.filter(F.arrays_zip("words", "counts"), lambda p: F.array_contains(first_letters, F.substring(p["words"], 1, PREFIXES[0])))
+    found = rows.select("toxic", "half", held.alias("held")).collect()  # at most ``sample`` short rows
+    signs = {h: set(wanted.get(1 - h, ())) for h in (0, 1)}
     at, cols, vals, mass = [], [], [], np.zeros(len(found))
     for i, r in enumerate(found):
         counts = Counter({p["words"]: p["counts"] for p in r["held"]})
-        mass[i] = sum(n for word, n in counts.items() if any(f in index for f in features_of(Counter([word]))))
+        mass[i] = sum(n for word, n in counts.items() if any(f in signs[r["half"]] for f in features_of(Counter([word]))))
         for feature, c in features_of(counts).items():
             if feature in index:
                 at.append(i), cols.append(index[feature]), vals.append(1 + log(c))
-    toxic = np.array([r["toxic"] for r in found])
-    cuts = np.quantile(mass[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, side="left"), 0)
+    grade = np.minimum(np.array([r["toxic"] for r in found]), GRADES)
+    if not graded:
+        half = np.array([r["half"] for r in found])
+        for h in (0, 1):
+            mine = (grade > 0) & (half == h)
+            if mine.any():
+                grade[mine] = 1 + np.searchsorted(np.quantile(mass[mine], [1 / 3, 2 / 3]), mass[mine], side="left")
     weights, thetas = _fit(np.array(at, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(vals), grade, len(index), ridge, steps)
     return SeverityModel({f: float(weights[i]) for f, i in index.items()}, tuple(float(t) for t in thetas))
 
@@ -176,7 +194,9 @@ def _fit(at: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray,
 def score_severity(docs: DataFrame, model: SeverityModel, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per input row the key, ``severity`` (expected grade, 0 to 3), ``p_toxic`` (P(grade >= 1)), ``grade`` and ``toxic``.
 
-    ``toxic`` is p_toxic >= TOXIC_FROM. A null or empty text has no features; repeated rows stay; other columns are not read.
+    ``toxic`` is p_toxic >= TOXIC_FROM; ``grade`` is 0 if not, else 1 and the number of further k with P(grade >= k) >= 0.5. A null
+    or empty text has no features; a text of any length is read whole; repeated rows and null keys stay; an empty table gives no
+    rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +204,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, *, text: str = "text",
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 got = [model.exceed(model.margin(t.as_py())) for t in part.column(1)]
-                cols = [pa.array([sum(e) for e in got], pa.float64()), pa.array([e[0] for e in got], pa.float64()), pa.array([sum(x >= 0.5 for x in e) for e in got], pa.int32()), pa.array([e[0] >= TOXIC_FROM for e in got], pa.bool_())]
+                cols = [pa.array([sum(e) for e in got], pa.float64()), pa.array([e[0] for e in got], pa.float64()), pa.array([(e[0] >= TOXIC_FROM) * (1 + sum(x >= 0.5 for x in e[1:])) for e in got], pa.int32()), pa.array([e[0] >= TOXIC_FROM for e in got], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [key, "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, severity double, p_toxic double, grade int, toxic boolean")

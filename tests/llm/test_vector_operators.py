@@ -248,6 +248,48 @@ def test_severity(spark):
     assert none == SeverityModel({}, none.thetas) and drop_toxic(docs, none).count() == docs.count() and drop_toxic(docs.limit(0), model).count() == 0
 
 
+def test_grades_are_used_and_repeated_rows_stay(spark):
+    draw = random.Random(2)
+    rows, labels = [], []
+    for i in range(900):
+        grade = (0, 0, 0, 1, 2, 3)[i % 6]
+        w = [f"word{draw.randrange(200)}x" for _ in range(60)]
+        for _ in range(3 * grade):
+            w[draw.randrange(60)] = "vile"
+        rows.append((i, " ".join(w)))
+        labels.append((i, grade))
+    docs = spark.createDataFrame([*rows, rows[5], (2000, "plain words " * 50_000 + "vile " * 9)], "doc_id long, text string")
+    model = fit_severity(docs, spark.createDataFrame([x for x in labels if x[0] < 600], "doc_id long, toxic int"))
+    scored = score_severity(docs, model).collect()
+    got = {r.doc_id: r for r in scored}
+    mean = [np.mean([got[i].severity for i, g in labels if i >= 600 and g == k]) for k in range(4)]
+    assert mean[0] < 0.3 and mean[0] < mean[1] < mean[2] < mean[3] and got[2000].toxic and sum(r.doc_id == 5 for r in scored) == 2
+    assert all(r.toxic == (r.grade > 0) for r in scored)
+
+
+def test_fit_is_the_maximum_of_the_likelihood():
+    """At the fitted point the slow log-likelihood has no slope, by differences, in any weight or threshold."""
+    from tallystream.llm.toxicity import GRADES, _fit
+
+    draw = np.random.default_rng(4)
+    n, width, ridge = 120, 3, 0.5
+    x = draw.integers(0, 3, (n, width)).astype(float)
+    grade = np.clip(np.round(x @ [0.9, -0.4, 0.3] + draw.normal(size=n)), 0, GRADES).astype(int)
+    at, cols = np.nonzero(x)
+    w, thetas = _fit(at, cols, x[at, cols], grade, width, ridge, 6000)
+
+    def likelihood(p):
+        total = -0.5 * ridge * sum(v * v for v in p[:width])
+        for row, g in zip(x, grade, strict=True):
+            over = [1.0, *(1 / (1 + np.exp(-(row @ p[:width] - t))) for t in p[width:]), 0.0]
+            total += np.log(over[g] - over[g + 1])
+        return total
+
+    best = np.concatenate([w, thetas])
+    slopes = [(likelihood(best + d) - likelihood(best - d)) / 2e-4 for d in 1e-4 * np.eye(len(best))]
+    assert list(thetas) == sorted(thetas) and np.abs(slopes).max() < 0.05
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_feistel_is_a_permutation(n):
     slots = feistel(np.arange(n), n, 5)
