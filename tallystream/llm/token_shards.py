@@ -7,7 +7,7 @@ and each shard is written as records of one size; slot s is record s mod r of sh
 goes on from there.
 
 The texts are encoded twice, once to count the sequences and once to write them, which takes less room than to store the ids
-in between; the second run checks itself against the first. Words that recur in a batch are encoded once.
+in between; the second run checks itself against the first.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
-from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -32,8 +31,10 @@ from tallystream.llm.shared import written
 
 #: Tokens of a sequence, sequences of a shard, and the id that fills up a last sequence.
 LENGTH, SHARD_NUMBERS, PAD = 512, 16384, 50256
-#: Words whose ids are kept, and characters that are encoded at a time (a longer text is one piece).
-CACHE, PIECE = 400_000, 1 << 24
+#: Bytes of text that are encoded at a time (a longer text is one piece).
+PIECE = 1 << 24
+#: Characters that Python takes for white space and that other libraries may not.
+_SEPARATORS = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85"]
 
 
 def feistel(index: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
@@ -59,63 +60,68 @@ def feistel(index: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray
 
 
 class WordEncoder:
-    """Whole texts to ids (little-endian 16-bit), with the ids of words that recur kept, up to ``CACHE`` words.
+    """Encodes many texts at a time, and each of their words once.
 
     A text is cut before each space that follows another kind of character: there a match of the splitting pattern ends in
-    any text, so the parts' ids are those of the text. A text where a space follows white space is encoded in one.
+    any text, so the parts' ids are those of the text. The distinct words of all texts are encoded in one go, each after a
+    space, and told apart by the bytes of their tokens. A text where a space follows white space is encoded by itself.
     """
 
     def __init__(self):
-        encode = codec().encoding.encode_ordinary
-        self.direct = lambda text: array("H", encode(text)).tobytes()
-
-        class Words(dict):
-            def __missing__(inner, word: str) -> bytes | None:  # noqa: N805
-                if len(inner) >= CACHE:
-                    inner.clear()
-                inner[word] = made = self.direct(" " + word) if word and not word[-1].isspace() else None
-                return made
-
-        self.words = Words()
+        self.codec = codec()
+        self.direct = self.codec.encoding.encode_to_numpy
 
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) < 3 or not parts[0] or parts[0][-1].isspace():
-            return self.direct(text)
-        try:
-            return self.direct(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:-1])) + self.direct(" " + parts[-1])
-        except TypeError:  # a part after which a space is not a sure boundary
-            return self.direct(text)
+        """Ids (little-endian 16-bit) of one text."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def _entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(parts, at, ids, ends): text i is the entries at[parts[i]:parts[i + 1]], entry k has ids[ends[k]:ends[k + 1]]."""
+        split = pc.split_pattern(texts, " ")
+        parts = split.offsets.to_numpy().astype(np.int64)
+        parts -= parts[0]
+        coded = split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        # A part that is empty or ends with white space is no sure boundary, unless it is a text's last one.
+        last = pc.utf8_slice_codeunits(words, -1)
+        odd = pc.or_(pc.or_(pc.utf8_is_space(last), pc.equal(last, "")), pc.is_in(last, pa.array(_SEPARATORS))).to_numpy(zero_copy_only=False)
+        loose = odd[at]
+        loose[parts[1:] - 1] = False
+        seen = np.concatenate([[0], np.cumsum(loose)])
+        plain = seen[parts[1:]] == seen[parts[:-1]]
+
+        good = words.filter(pa.array(~odd))
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(good)], pa.int32()), good), " ")[0].as_py() if len(good) else ""
+        ids = [self.direct(" " + whole)] if len(good) else []
+        sizes = np.zeros(len(words), dtype=np.int64)
+        if len(good):
+            tokens = np.cumsum(self.codec.widths[ids[0]])
+            stops = np.searchsorted(tokens, np.cumsum(pc.binary_length(good).to_numpy().astype(np.int64) + 1)) + 1
+            sizes[~odd] = np.diff(stops, prepend=0)
+        order = np.flatnonzero(~odd)
+        # Then come the odd ones, each text's first part or, where it has loose parts, the whole text, and one without ids.
+        extra = [" " + words[int(i)].as_py() for i in np.flatnonzero(odd)]
+        extra += [words[int(at[h])].as_py() if ok else texts[i].as_py() for i, (h, ok) in enumerate(zip(parts[:-1], plain, strict=True))]
+        made = [self.direct(t) if t else np.zeros(0, dtype=np.uint32) for t in extra]
+        entry = np.empty(len(words), dtype=np.int64)
+        entry[order], entry[odd] = np.arange(len(order)), len(order) + np.arange(int(odd.sum()))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([sizes[order], np.array([len(m) for m in made], dtype=np.int64), [0]]))])
+        at = entry[at]
+        at[~plain[np.repeat(np.arange(len(plain)), np.diff(parts))]] = len(ends) - 2
+        at[parts[:-1]] = len(words) + np.arange(len(plain))
+        return parts, at, np.concatenate([*ids, *made, np.zeros(0)]).astype("<u2"), ends
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, without nulls."""
+        parts, at, _, ends = self._entries(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(np.diff(ends)[at])])[parts])
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of many texts, without nulls: text i has the ids from ends[i] up to ends[i + 1]."""
-        parts = pc.split_pattern(texts, " ")
-        starts = parts.offsets.to_numpy().astype(np.int64)
-        starts -= starts[0]
-        coded = parts.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        # A part that is empty or ends with white space is no sure boundary, unless it is a text's last one.
-        loose = np.array([not w or w[-1].isspace() for w in words])[at]
-        loose[starts[1:] - 1] = False
-        plain = np.concatenate([[0], np.cumsum(loose)])
-        plain = plain[starts[1:]] == plain[starts[:-1]]
-        inner = np.ones(len(at), dtype=bool)
-        inner[starts[:-1]] = False
-        used = np.zeros(len(words), dtype=bool)
-        used[at[inner]] = True
-        ids: list[bytes | None] = [self._word(w) if u else b"" for w, u in zip(words, used, strict=True)]
-        heads, values = at[starts[:-1]], texts.to_pylist() if not plain.all() else []
-        ids += [self.direct(words[h]) if ok else self.direct(values[i]) for i, (h, ok) in enumerate(zip(heads, plain, strict=True))]
-        at[~plain[np.repeat(np.arange(len(plain)), np.diff(starts))]] = len(ids)
-        at[starts[:-1]] = len(words) + np.arange(len(heads))
-        made = pa.array([*ids, b""], pa.large_binary()).take(pa.array(at))
-        ends = np.frombuffer(made.buffers()[1], dtype="<i8")[made.offset : made.offset + len(made) + 1]
-        data = np.frombuffer(made.buffers()[2] or b"", dtype="<u2")[ends[0] // 2 : ends[-1] // 2]
-        return data, (ends[starts] - ends[0]) // 2
-
-    def _word(self, word: str) -> bytes:
-        made = self.words[word]
-        return self.direct(" " + word) if made is None else made
+        parts, at, ids, ends = self._entries(texts)
+        taken = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(2 * ends), pa.py_buffer(ids)]).take(pa.array(at))
+        stops = np.frombuffer(taken.buffers()[1], dtype="<i8")[taken.offset : taken.offset + len(taken) + 1]
+        return np.frombuffer(taken.buffers()[2] or b"", dtype="<u2")[: stops[-1] // 2], stops[parts] // 2
 
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
@@ -127,17 +133,13 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]
         yield begin, texts.slice(begin, end - begin)
 
 
-def _sequence_counts(ends: np.ndarray, length: int) -> np.ndarray:
-    return -(-np.diff(ends) // length)
-
-
 def _counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, docs, numbers = WordEncoder(), 0, 0
         for batch in batches:
             docs += batch.num_rows
             for _, texts in _pieces(batch, 1):
-                numbers += int(_sequence_counts(encoder.encode_all(texts)[1], length).sum())
+                numbers += int((-(-encoder.counts(texts) // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs], pa.int64()), pa.array([numbers], pa.int64())], ["part", "docs", "numbers"])
 
     return run
@@ -151,7 +153,7 @@ def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int,
             docs += batch.num_rows
             for begin, texts in _pieces(batch, 1):
                 ids, ends = encoder.encode_all(texts)
-                counts = _sequence_counts(ends, length)
+                counts = -(-np.diff(ends) // length)
                 total = int(counts.sum())
                 slots = feistel(start + at + np.arange(total), n, seed)
                 at += total
