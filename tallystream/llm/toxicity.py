@@ -138,7 +138,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, fe
     wanted = {}
     for end, all_rows, bad_rows in [("", n, n_bad), *[(h, *totals[h][:2]) for h in (0, 1) if h in totals]]:
         rate = min(max(bad_rows / all_rows, 1e-9), 1 - 1e-9)
-        z = (F.col(f"hits{end}") - rate * F.col(f"df{end}")) / F.sqrt(F.col(f"df{end}") * rate * (1 - rate))
+        z = F.try_divide(F.col(f"hits{end}") - rate * F.col(f"df{end}"), F.sqrt(F.col(f"df{end}") * rate * (1 - rate)))  # a half may lack it
         found = seen.withColumn("z", F.coalesce(z, F.lit(0.0))).filter((F.col("z") >= 6) & (F.col(f"hits{end}") >= max(3, LEAST_SHARE * bad_rows)))
         wanted[end] = [r["feature"] for r in found.orderBy(F.desc("z"), "feature").limit(features).select("feature").collect()]
     index = {f: i for i, f in enumerate(wanted[""])}
