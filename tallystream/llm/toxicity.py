@@ -134,7 +134,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, fe
 
     # Evidence of each feature in both halves and the whole; a row for each feature that is one in any of them.
     seen = rows.select("half", bad.alias("bad"), F.explode(both).alias("feature")).groupBy("feature").agg(*[f(F.when(F.col("half") == h, c)).alias(f"{name}{h}") for h in (0, 1) for f, c, name in ((F.count, F.lit(1), "df"), (F.sum, F.col("bad"), "hits"))])
-    seen = seen.na.fill(0).withColumns({"df": F.col("df0") + F.col("df1"), "hits": F.col("hits0") + F.col("hits1")})
+    seen = written(seen.na.fill(0).withColumns({"df": F.col("df0") + F.col("df1"), "hits": F.col("hits0") + F.col("hits1")}).filter("hits >= 3"), "severity-features")
     wanted = {}
     for end, all_rows, bad_rows in [("", n, n_bad), *[(h, *totals[h][:2]) for h in (0, 1) if h in totals]]:
         rate = min(max(bad_rows / all_rows, 1e-9), 1 - 1e-9)
