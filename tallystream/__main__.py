@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
         velocity.add_velocity(rows.withColumn("distance_card_merchant_km", haversine_km(*places)), velocity.VelocityConfig(windows)).write.mode(mode).parquet(a.target)
     elif a.command == "split":
         config = split.SplitConfig(a.fraction)
-        artifacts.write_json(a.target, artifacts.sealed(split.split_manifest(rows, _read(spark, a.holdout, a.csv), config) | {"type": "split", "version": 1}), overwrite=a.force)
+        artifacts.write_json(a.target, split.split_manifest(rows, _read(spark, a.holdout, a.csv), config), overwrite=a.force)
     elif a.command == "fit":
         config = preprocess.PreprocessConfig(_names(a.numeric), _names(a.frequency), _names(a.nominal), _names(a.log1p))
         artifacts.write_json(a.target, preprocess.fit(rows, config).to_dict(), overwrite=a.force)

@@ -33,11 +33,12 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
 
 
-def enforce(df: DataFrame, rules: dict[str, Column]) -> None:
-    """Raise a ValueError that names the rules that rows break."""
-    broken = {k: v for k, v in violations(df, rules).first().asDict().items() if v}
-    if broken:
+def enforce(df: DataFrame, rules: dict[str, Column]) -> int:
+    """Raise a ValueError that names the rules that rows break; return the number of rows."""
+    found = df.agg(F.count("*"), *[F.count_if(~F.coalesce(rule, F.lit(False))) for rule in rules.values()]).first()
+    if broken := {k: v for k, v in zip(rules, found[1:], strict=True) if v}:
         raise ValueError("invalid rows: " + ", ".join(f"{k} ({v})" for k, v in sorted(broken.items())))
+    return found[0]
 
 
 def transaction_rules(time: str = "unix_time", amount: str = "amt", label: str | None = "is_fraud") -> dict[str, Column]:

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.ranges import cuts, range_of
+from tallystream.functions.ranges import cuts, cuts_by, exact_quantiles, range_of, value_counts
 from tallystream.functions.scalars import drift_status, logit, sigmoid
 from tallystream.operators.profile import bottom_k
 from tallystream.sources.artifacts import opened, sealed
+from tallystream.sources.shared import drop_table, written
 
 
 @dataclass(frozen=True)
@@ -35,10 +36,12 @@ def unpivot(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(F.inline(rows)).filter("value is not null")
 
 
-def bin_edges(long: DataFrame, bins: int) -> DataFrame:
-    """(feature, edges): distinct inner quantiles of each feature, ascending."""
-    cuts = F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    return long.groupBy("feature").agg(F.array_sort(F.array_distinct(cuts)).alias("edges"))
+def bin_edges(df: DataFrame, features: list[str], bins: int) -> DataFrame:
+    """(feature, edges): distinct inner quantiles of each feature, ascending. Found at once; a row per feature."""
+    counts = written(value_counts(unpivot(df, features).filter(~F.isnan("value"))), "value-counts")
+    found = exact_quantiles(counts, cuts_by(df, features), [i / bins for i in range(1, bins)])
+    drop_table(counts)
+    return df.sparkSession.createDataFrame([(f, sorted(set(v))) for f, v in found.items()], "feature string, edges array<double>")
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -71,7 +74,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: list[str],
     """Per feature: psi, status, and the shift of the mean in reference deviations."""
     a, b = unpivot(reference, features), unpivot(current, features)
     shift = moments(a).join(b.groupBy("feature").agg(F.avg("value").alias("now")), "feature").select("feature", ((F.col("now") - F.col("mean")) / F.col("std")).alias("mean_shift"))
-    out = psi(a, b, bin_edges(a, config.bins), config.epsilon).join(shift, "feature")
+    out = psi(a, b, bin_edges(reference, features, config.bins), config.epsilon).join(shift, "feature")
     return out.select("feature", "psi", drift_status(F.col("psi"), config.warning, config.critical).alias("status"), "mean_shift")
 
 
@@ -113,7 +116,7 @@ def ks_p_value(statistic: float, n: int, m: int) -> float:
 
 def score_drift(reference: DataFrame, current: DataFrame, p: str, config: DriftConfig = DriftConfig()) -> dict:
     a, b = unpivot(reference, [p]), unpivot(current, [p])
-    value = psi(a, b, bin_edges(a, config.bins), config.epsilon).first()["psi"]
+    value = psi(a, b, bin_edges(reference, [p], config.bins), config.epsilon).first()["psi"]
     row = distribution_distances(reference, current, p).first()
     status = "critical" if value >= config.critical else "warning" if value >= config.warning else "stable"
     return {"psi": value, "status": status, "ks": row["ks"], "ks_p_value": ks_p_value(row["ks"], row["n_reference"], row["n_current"]), "wasserstein": row["wasserstein"]}
@@ -128,8 +131,8 @@ class DriftDetector:
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], key: str, config: DriftConfig = DriftConfig()) -> DriftDetector:
         """From at most ``config.max_rows`` rows of the smallest hash of the key."""
-        long = unpivot(bottom_k(df, key, config.max_rows, config.seed), features)
-        edges = bin_edges(long, config.bins)
+        rows = written(bottom_k(df, key, config.max_rows, config.seed).select(*features), "drift-sample")
+        long, edges = unpivot(rows, features), bin_edges(rows, features, config.bins)
         shares: dict = {}
         for r in proportions(long, edges, config.epsilon).orderBy("feature", "bin").collect():
             shares.setdefault(r["feature"], []).append(r["share"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallystream.functions.scalars import clip, logit, mask_tail, sigmoid
 from tallystream.operators.metrics import average_precision, best_threshold
 from tallystream.sources.artifacts import opened, sealed
+from tallystream.sources.tables import write_csv
 
 SPACES = ("probability", "logit")
 
@@ -31,20 +32,28 @@ def blend(weights: dict[str, float], space: str = "probability") -> Column:
     return clip(mean, 0.0, 1.0) if space == "probability" else sigmoid(mean)
 
 
-def candidates(names: list[str], samples: int = 32, least: float = 0.05, seed: int = 42) -> list[dict]:
-    """Blends to try, in both spaces: fixed anchors (equal, one leading, pairs leading) and random ones, each weight at least
-    ``least``."""
+#: Blends of three components (boosted, feed-forward, recurrent) that are always tried, and the Dirichlet
+#: distribution of the others.
+ANCHORS = [(1 / 3, 1 / 3, 1 / 3), (0.70, 0.05, 0.25), (0.65, 0.10, 0.25), (0.60, 0.05, 0.35), (0.55, 0.10, 0.35), (0.50, 0.05, 0.45)]
+CONCENTRATION = (4.0, 1.25, 2.5)
+
+
+def candidates(names: list[str], samples: int = 32, least: float = 0.05, seed: int = 42, *, anchors: list[tuple[float, ...]] | None = None, concentration: tuple[float, ...] | None = None) -> list[dict]:
+    """Blends to try, in both spaces: ``anchors`` and random ones, ``samples`` together, each weight at least ``least``.
+
+    Three names have the fixed anchors and distribution unless others are given; other numbers of names have the equal blend
+    and one for each name that leads, and a flat distribution.
+    """
     k = len(names)
-    if k < 2 or least * k >= 1 or samples < 1:
-        raise ValueError("too few names or samples, or too large a least weight")
-    anchors = [np.full(k, 1 / k)]
-    anchors += [np.where(np.arange(k) == i, 1 - least * (k - 1), least) for i in range(k)]
-    for i in range(k - 1):
-        pair = np.where((np.arange(k) == i) | (np.arange(k) == i + 1), (1 - least * (k - 2)) / 2, least)
-        anchors.append(pair)
-    draws = np.random.default_rng(seed).dirichlet(np.ones(k), size=samples) * (1 - least * k) + least
-    chosen = [*anchors, *draws][:samples]
-    rows = [(space, w) for w in chosen for space in SPACES]
+    if k < 2 or least <= 0 or least * k >= 1 or samples < 1:
+        raise ValueError("too few names or samples, or too small or large a least weight")
+    if anchors is None:
+        anchors = ANCHORS if k == 3 else [(1 / k,) * k, *[tuple(float(i == j) for j in range(k)) for i in range(k)]]
+    if concentration is None:
+        concentration = CONCENTRATION if k == 3 else (1.0,) * k
+    draws = np.random.default_rng(seed).dirichlet(np.array(concentration), size=max(0, samples - len(anchors)))
+    chosen = [least + (1 - least * k) * np.array(w) for w in [*anchors, *draws][:samples]]
+    rows = [(space, w / w.sum()) for space in SPACES for w in chosen]
     return [{"candidate": i, "space": space, "weights": dict(zip(names, (float(x) for x in w), strict=True))} for i, (space, w) in enumerate(rows)]
 
 
@@ -100,6 +109,25 @@ def top_drivers(contributions: Column, n: int = 8) -> Column:
     return F.transform(ranked, lambda x: F.struct(x["f"], x["c"])).cast("array<struct<feature:string,contribution:double>>")
 
 
+def by_id(scored: DataFrame, ids: list[str], key: str = "prediction_id") -> DataFrame:
+    """The scored rows of these predictions; each must be there once."""
+    found = scored.filter(F.col(key).isin(ids))
+    counts = {r[key]: r["count"] for r in found.groupBy(key).count().collect()}  # as many rows as ids
+    if wrong := [i for i in ids if counts.get(i) != 1]:
+        raise KeyError(f"not scored once: {', '.join(wrong)}")
+    return found
+
+
+def with_ids(scored: DataFrame, key: str, document: dict) -> DataFrame:
+    """Scored rows with ``prediction_id`` (digest of the blend's document and the key) and ``scored_at_utc``."""
+    return scored.withColumns({"prediction_id": F.sha2(F.concat_ws(":", F.lit(document["sha256"]), F.col(key).cast("string")).cast("binary"), 256), "scored_at_utc": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+
+
+def write_scored(scored: DataFrame, path: str, *, card: str = "cc_num", overwrite: bool = False) -> None:
+    """Scored rows as CSV files with masked cards."""
+    write_csv(review_table(scored, card) if card in scored.columns else scored, path, overwrite=overwrite)
+
+
 def review_totals(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("rows"), F.count_if("predicted_fraud").alias("flagged"), F.avg("hybrid_probability").alias("mean_risk"))
 

@@ -11,8 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystream.operators.checks import duplicate_keys, enforce
+from tallystream.operators.preprocess import Preprocessor, bound_context
 from tallystream.operators.profile import bottom_k, sample_order
+from tallystream.operators.split import SplitConfig
+from tallystream.sources.shared import written
 
+#: Strategies, and guards of synthetic sampling in rows and bytes.
 STRATEGIES = ("none", "class_weight", "random_under", "smotenc")
 MAX_ROWS, MAX_BYTES = 2_000_000, 2_000_000_000
 
@@ -85,7 +90,8 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
     """Add synthetic positives: between a positive and one of its nearest ones in the numbers, with the neighbours' most
     frequent categories. Synthetic rows have null in all other columns.
 
-    The positives are few (checked) and go to every task; the number of base rows is spread over tasks.
+    The positives are few (checked, before they are gathered) and go to every task; the positives to start from are spread over
+    tasks, and each one's neighbours are found once, for all rows that start from it.
     """
     negatives, positives = counts(df, label)
     _, wanted = projected(negatives, positives, config)
@@ -102,39 +108,56 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for i in batch["id"]:
-                draw = np.random.default_rng([seed, int(i)])
-                base = int(i) % len(x)
-                far = ((x - x[base]) ** 2).sum(axis=1) + penalty**2 * (c != c[base]).sum(axis=1)
-                far[base] = np.inf
-                near = np.argsort(far, kind="stable")[:near_by]
-                other = near[draw.integers(len(near))]
-                made = x[base] + draw.random() * (x[other] - x[base])
-                votes = []
-                for j in range(c.shape[1]):
-                    values, times = np.unique(c[near, j], return_counts=True)
-                    votes.append(values[np.argmax(times)])
-                rows.append([*made, *votes])
-            yield pd.DataFrame(rows, columns=columns)
+            bases = batch["id"].to_numpy()
+            for start in range(0, len(bases), 128):
+                rows, part = [], bases[start : start + 128]
+                far = ((x[part, None] - x[None]) ** 2).sum(axis=2) + penalty**2 * (c[part, None] != c[None]).sum(axis=2)
+                far[np.arange(len(part)), part] = np.inf
+                for base, near in zip(part, np.argsort(far, axis=1, kind="stable")[:, :near_by], strict=True):
+                    votes = []
+                    for j in range(c.shape[1]):
+                        values, times = np.unique(c[near, j], return_counts=True)
+                        votes.append(values[np.argmax(times)])
+                    for i in range(int(base), extra, len(x)):
+                        draw = np.random.default_rng([seed, i])
+                        other = near[draw.integers(len(near))]
+                        rows.append([*(x[base] + draw.random() * (x[other] - x[base])), *votes])
+                yield pd.DataFrame(rows, columns=columns)
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{n}` double" for n in numeric] + [f"`{n}` string" for n in nominal])
-    made = df.sparkSession.range(extra).mapInPandas(make, schema).withColumn(label, F.lit(1))
+    made = df.sparkSession.range(min(extra, len(x))).mapInPandas(make, schema).withColumn(label, F.lit(1))
     made = made.select(*[F.col(n).cast(kinds[n]).alias(n) if n in [*columns, label] else F.lit(None).cast(kinds[n]).alias(n) for n in df.columns])
     return df.unionByName(made)
 
 
-def training_batch(df: DataFrame, label: str, key: str, numeric: list[str], nominal: list[str], config: ImbalanceConfig, *, partition: str = "train") -> tuple[DataFrame, dict]:
-    """The rows to train on with a column ``weight``, and a record of the counts before and after."""
+def training_batch(
+    df: DataFrame, label: str, key: str, numeric: list[str], nominal: list[str], config: ImbalanceConfig, *, partition: str = "train", fitted: Preprocessor | None = None, by: SplitConfig | None = None
+) -> tuple[DataFrame, dict]:
+    """The rows to train on with a column ``weight``, and a record of the counts before and after.
+
+    Labels must be 0 or 1 and keys unique. With the state that was ``fitted`` on these rows (and ``by``, their columns) rows,
+    times, labels and keys must be those it was fitted on. The counts afterwards must be the projected ones.
+    """
     if partition != "train":
         raise ValueError("only training rows are resampled")
+    enforce(df, {label: F.col(label).isin(0, 1)})
+    if duplicate_keys(df, key).limit(1).count():
+        raise ValueError("keys repeat")
+    record: dict = {"strategy": config.strategy, "config": dict(vars(config))}
+    if fitted is not None:
+        context = bound_context(df, by or SplitConfig())
+        if wrong := [k for k, v in context.items() if fitted.context.get(k) != v]:
+            raise ValueError(f"the rows are not those of the fit: {', '.join(wrong)}")
+        record |= {"preprocessor_sha256": fitted.to_dict()["sha256"], "schema_sha256": fitted.schema_digest(), "split_sha256": fitted.context.get("split_sha256"), "input_key_sha256": context["key_sha256"]}
     negatives, positives = counts(df, label)
     out = df
     if config.strategy == "random_under":
-        out = random_under(df, label, key, config)
+        out = written(random_under(df, label, key, config), "training-rows")
     elif config.strategy == "smotenc":
-        out = smotenc(df, label, key, numeric, nominal, config)
+        out = written(smotenc(df, label, key, numeric, nominal, config), "training-rows")
     weights = class_weights(negatives, positives) if config.strategy == "class_weight" else (1.0, 1.0)
     after = projected(negatives, positives, config)
-    return out.withColumn("weight", weight(F.col(label), weights)), {"strategy": config.strategy, "before": [negatives, positives], "after": list(after)}
+    if out is not df and counts(out, label) != after:
+        raise RuntimeError("the rows after sampling are not as many as projected")
+    return out.withColumn("weight", weight(F.col(label), weights)), record | {"before": [negatives, positives], "after": list(after), "weights": list(weights)}

@@ -6,16 +6,23 @@ in the training rows, and a flag for unseen ones. Categories: one column per tra
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystream.functions.ranges import between, cuts_by, df_of, exact_quantiles, value_counts, values_at
 from tallystream.functions.scalars import age_years, clip, cyclical
 from tallystream.operators.checks import MISSING, UNKNOWN, enforce, fill_category, require_columns, uses_reserved
-from tallystream.sources.artifacts import opened, sealed
+from tallystream.operators.split import SplitConfig, load_manifest
+from tallystream.sources.artifacts import content_digest, digest, opened, ordered_digest, sealed
+from tallystream.sources.shared import drop_table, written
 
-KIND, VERSION = "preprocessor", 1
+KIND, VERSION = "preprocessor", 2
+#: Levels of a frequency column that the fitted state holds itself, levels of a category that become columns, at most; the mark of
+#: shares that are a table.
+SHARE_LIMIT, MOST_LEVELS, TABLE = 100_000, 10_000, "__table"
 
 
 @dataclass(frozen=True)
@@ -24,12 +31,13 @@ class PreprocessConfig:
     frequency: tuple[str, ...] = ()
     nominal: tuple[str, ...] = ()
     log1p: tuple[str, ...] = ()
+    nonnegative: tuple[str, ...] = ()
     lower: float = 0.005
     upper: float = 0.995
 
     def __post_init__(self):
-        if not set(self.log1p) <= set(self.numeric):
-            raise ValueError("logged columns must be numeric ones")
+        if not {*self.log1p, *self.nonnegative} <= set(self.numeric):
+            raise ValueError("logged and nonnegative columns must be numeric ones")
         if len({*self.numeric, *self.frequency, *self.nominal}) < len(self.numeric) + len(self.frequency) + len(self.nominal):
             raise ValueError("a column has one role")
         if not 0 <= self.lower < self.upper <= 1:
@@ -49,21 +57,22 @@ def derived_columns(display: Column, birth: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Preprocessor:
-    """The fitted state: per number its median, bounds, mean and scale; shares; levels. Small, and kept on the driver."""
+    """The fitted state: per number its median, bounds, mean and scale; shares; levels; what identifies the training rows. Small,
+    and kept on the driver; shares of very many levels are a table."""
 
     config: PreprocessConfig
     stats: dict[str, dict[str, float]]
     shares: dict[str, dict[str, float]]
     levels: dict[str, list[str]]
     rows: int
-    fixed: dict = field(default_factory=dict)
+    context: dict = field(default_factory=dict)
 
     def __post_init__(self):
         for name, s in self.stats.items():
             if not (s["scale"] > 0 and s["low"] <= s["mean"] <= s["high"]):
                 raise ValueError(f"broken statistics of {name}")
         for name, shares in self.shares.items():
-            if abs(sum(shares.values()) - 1) > 1e-9:
+            if TABLE not in shares and abs(sum(shares.values()) - 1) > 1e-9:
                 raise ValueError(f"the shares of {name} do not add up to 1")
 
     def names(self) -> list[str]:
@@ -87,16 +96,18 @@ class Preprocessor:
         is known; larger tables are joined."""
         require_columns(df, self.config.inputs())
         out: list[Column] = [self.number(c).cast("float").alias(n) for c, n in zip(self.config.numeric, self.names(), strict=False)]
-        spark, rows, joined = df.sparkSession, df, []
+        spark, rows = df.sparkSession, df
         for c in self.config.frequency:
             shares = self.shares[c]
-            if len(shares) <= share_limit:
+            if TABLE in shares:
+                table = spark.read.parquet(shares[TABLE]).select(F.col("v").alias(f"__k_{c}"), F.col("share").alias(f"__s_{c}"))
+                rows, share = rows.join(table, fill_category(F.col(c)) == F.col(f"__k_{c}"), "left"), F.col(f"__s_{c}")
+            elif len(shares) <= share_limit:
                 table = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.lit(None).cast("map<string,double>")
                 share = F.try_element_at(table, fill_category(F.col(c)))
             else:
                 table = spark.createDataFrame(list(shares.items()), f"`__k_{c}` string, `__s_{c}` double")
                 rows, share = rows.join(table, fill_category(F.col(c)) == F.col(f"__k_{c}"), "left"), F.col(f"__s_{c}")
-                joined.append(c)
             out += [F.coalesce(share, F.lit(0.0)).cast("float").alias(f"freq__{c}"), share.isNull().cast("float").alias(f"freq__{c}__unknown")]
         for c in self.config.nominal:
             level = self._level(c)
@@ -110,14 +121,24 @@ class Preprocessor:
 
     def to_dict(self) -> dict:
         c = self.config
-        config = {"numeric": list(c.numeric), "frequency": list(c.frequency), "nominal": list(c.nominal), "log1p": list(c.log1p), "lower": c.lower, "upper": c.upper}
-        return sealed({"type": KIND, "version": VERSION, "config": config, "stats": self.stats, "shares": self.shares, "levels": self.levels, "rows": self.rows})
+        config = {"numeric": list(c.numeric), "frequency": list(c.frequency), "nominal": list(c.nominal), "log1p": list(c.log1p), "nonnegative": list(c.nonnegative), "lower": c.lower, "upper": c.upper}
+        return sealed({"type": KIND, "version": VERSION, "config": config, "stats": self.stats, "shares": self.shares, "levels": self.levels, "rows": self.rows, "context": self.context})
 
     @classmethod
     def from_dict(cls, document: dict) -> Preprocessor:
         d = opened(document, kind=KIND, version=VERSION)
         config = PreprocessConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in d["config"].items()})
-        return cls(config, d["stats"], d["shares"], d["levels"], d["rows"])
+        return cls(config, d["stats"], d["shares"], d["levels"], d["rows"], d["context"])
+
+    def schema_digest(self) -> str:
+        """Of the output columns, in order."""
+        return digest(self.names())
+
+    def check_table(self, spark: SparkSession, name: str) -> None:
+        """Raise unless the shares of a column that are a table are those that were fitted."""
+        kept = self.shares[name]
+        if TABLE in kept and content_digest(spark.read.parquet(kept[TABLE]), ["v", "share"]) != (kept["rows"], kept["sha256"]):
+            raise ValueError(f"the shares of {name} were changed after they were fitted")
 
 
 def imputed(value: Column, median: float) -> Column:
@@ -134,36 +155,115 @@ def _finite(name: str) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train") -> Preprocessor:
-    """Fit on training rows. Three passes for numbers (medians, then quantiles, then means), one per category column."""
+def number_rules(df: DataFrame, names: list[str], nonnegative: list[str] = ()) -> dict[str, Column]:
+    """Numbers are missing or finite (text that is no number is malformed), and not negative where that is asked."""
+    rules = {}
+    for c in names:
+        value = F.col(c).try_cast("double")
+        rules[f"{c}_malformed"] = F.col(c).isNull() | value.isNotNull()
+        rules[f"{c}_finite"] = value.isNull() | (~F.isnan(value) & (F.abs(value) != float("inf")))
+        if c in nonnegative:
+            rules[f"{c}_negative"] = F.coalesce(value >= 0, F.lit(True))
+    return rules
+
+
+def bound_context(df: DataFrame, by: SplitConfig, manifest: dict | None = None) -> dict:
+    """Rows, first and last time, labels and key digest of training rows; with a sealed split manifest they must be those of its
+    training partition, and the manifest's digest is kept."""
+    require_columns(df, [by.time, by.key] + ([by.label] if manifest else []))
+    labels = [F.count_if(F.col(by.label) == v) for v in (0, 1)] if by.label in df.columns else [F.lit(None).cast("long")] * 2
+    first = df.agg(F.count("*"), F.min(by.time), F.max(by.time), *labels).first()
+    out = {"rows": first[0], "first_time": first[1], "last_time": first[2], "negatives": first[3], "positives": first[4], "key_sha256": ordered_digest(df, by.key, by.time)}
+    if manifest is not None:
+        document = load_manifest(manifest)
+        if document["roles"] != {"time": by.time, "label": by.label, "key": by.key}:
+            raise ValueError("the manifest was made for other columns")
+        train = document["partitions"]["train"]
+        if wrong := [k for k in out if out[k] != train[k]]:
+            raise ValueError(f"the training rows are not those of the manifest: {', '.join(wrong)}")
+        out["split_sha256"] = document["sha256"]
+    return out
+
+
+def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train", by: SplitConfig | None = None, manifest: dict | None = None, share_path: str | None = None, share_limit: int = SHARE_LIMIT) -> Preprocessor:
+    """Fit on training rows. The rows are read for checks, for the numbers' values and for the categories, once each; the rest
+    works on counts of distinct values, in ranges, so that no task holds a column.
+
+    Numbers must be missing or finite. With ``by`` the fitted state keeps what identifies the training rows, and with the sealed
+    ``manifest`` of a split these must be its own. A frequency column of more than ``share_limit`` levels stays a table below
+    ``share_path``, which is then required.
+    """
     if partition != "train":
         raise ValueError("statistics come from training rows only")
+    if manifest is not None and by is None:
+        raise ValueError("a manifest names columns: give them, too")
     require_columns(df, config.inputs())
     rules = {f"{c}_reserved": ~uses_reserved(F.col(c)) for c in [*config.frequency, *config.nominal]}
-    rules |= {f"{c}_negative": F.coalesce(_finite(c) >= 0, F.lit(True)) for c in config.log1p}
-    if rules:
-        enforce(df, rules)
-    first = df.agg(F.count("*").alias("n"), *[F.median(_finite(c)).alias(c) for c in config.numeric]).first()
-    if not first["n"]:
+    rules |= number_rules(df, list(config.numeric), [*config.log1p, *config.nonnegative])
+    n = enforce(df, rules)
+    if not n:
         raise ValueError("no training rows")
-    medians = {c: float(first[c]) if first[c] is not None else 0.0 for c in config.numeric}
-    ready = {c: logged(F.coalesce(_finite(c), F.lit(medians[c])), c in config.log1p) for c in config.numeric}
-    bounds = df.agg(*[F.percentile(v, F.array(F.lit(config.lower), F.lit(config.upper))).alias(c) for c, v in ready.items()]).first() if ready else {}
-    clipped = {c: clip(v, *[float(x) for x in bounds[c]]) for c, v in ready.items()}
-    moments = df.agg(*[F.struct(F.avg(v), F.stddev_pop(v)).alias(c) for c, v in clipped.items()]).first() if clipped else {}
-    stats = {}
-    for c in config.numeric:
-        mean, spread = (float(x) for x in moments[c])
-        low, high = (float(x) for x in bounds[c])
-        stats[c] = {"median": medians[c], "low": low, "high": high, "mean": min(max(mean, low), high), "scale": spread if spread >= 1e-12 else 1.0}
-    shares = {c: {r["v"]: r["n"] / first["n"] for r in category_counts(df, c).collect()} for c in config.frequency}
-    levels = {c: sorted({r["v"] for r in category_counts(df, c).collect()} - {MISSING}) + [MISSING, UNKNOWN] for c in config.nominal}
-    return Preprocessor(config, stats, shares, levels, first["n"])
-
-
-def category_counts(df: DataFrame, name: str) -> DataFrame:
-    """(v, n): rows per level, the missing one included."""
-    return df.groupBy(fill_category(F.col(name)).alias("v")).agg(F.count("*").alias("n"))
+    context = bound_context(df, by, manifest) if by is not None else {}
+    stats = _number_stats(df, config, n)
+
+    categories = [*config.frequency, *config.nominal]
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), fill_category(F.col(c)).alias("v")) for c in categories]))) if categories else None
+    counts = written(long.groupBy("feature", "v").agg(F.count("*").alias("n")), "category-counts") if categories else None
+    sizes = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()} if categories else {}
+    shares: dict = {}
+    for c in config.frequency:
+        mine = counts.filter(F.col("feature") == c).select("v", (F.col("n") / n).alias("share"))
+        if sizes[c] <= share_limit:
+            shares[c] = {r["v"]: r["share"] for r in mine.collect()}
+        elif share_path is None:
+            raise ValueError(f"{c} has {sizes[c]} levels: a share_path is needed")
+        else:
+            mine.write.parquet(f"{share_path}/{c}")
+            rows, seal = content_digest(df.sparkSession.read.parquet(f"{share_path}/{c}"), ["v", "share"])
+            shares[c] = {TABLE: f"{share_path}/{c}", "rows": rows, "sha256": seal}
+    if wide := [c for c in config.nominal if sizes[c] > MOST_LEVELS]:
+        raise ValueError(f"a column for each level would be too many: {', '.join(wide)}")
+    levels = {c: sorted({r["v"] for r in counts.filter(F.col("feature") == c).collect()} - {MISSING}) + [MISSING, UNKNOWN] for c in config.nominal}
+    if counts is not None:
+        drop_table(counts)
+    return Preprocessor(config, stats, shares, levels, n, context)
+
+
+def _number_stats(df: DataFrame, config: PreprocessConfig, n: int) -> dict[str, dict[str, float]]:
+    """Median, bounds, mean and scale of each number, from the counts of its values.
+
+    Imputation adds the missing rows at the median, and the logarithm keeps the order, so quantiles of the values to come are
+    found at the same places of the order of the values as they are.
+    """
+    names = list(config.numeric)
+    if not names:
+        return {}
+    counts = written(value_counts(df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (_finite(c) + 0.0).alias("value")) for c in names]))).filter("value is not null")), "value-counts")
+    at = cuts_by(df.select(*[_finite(c).alias(c) for c in names]), names)
+    held = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    found = exact_quantiles(counts, at, [0.5], held)
+    medians = {c: float(found[c][0]) if c in found else 0.0 for c in names}
+    missing = df_of(counts, [(c, medians[c], n - held.get(c, 0)) for c in names if n > held.get(c, 0)], "feature string, value double, n long")
+    whole = counts.unionByName(missing).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    spots = [p * (n - 1) for p in (config.lower, config.upper)]
+    raw = values_at(whole, at, {c: [x for p in spots for x in (math.floor(p), math.ceil(p))] for c in names})
+    final = lambda c, v: math.log1p(v) if c in config.log1p else v
+    bounds = {c: [between(p, {k: final(c, v) for k, v in raw[c].items()}) for p in spots] for c in names}
+
+    value = F.when(F.col("feature").isin(*config.log1p), F.log1p("value")).otherwise(F.col("value")) if config.log1p else F.col("value")
+    # Moments about the clipped median, which lies near the mean.
+    centre = {c: min(max(final(c, medians[c]), bounds[c][0]), bounds[c][1]) for c in names}
+    table = df_of(counts, [(c, *bounds[c], centre[c]) for c in names], "feature string, low double, high double, centre double")
+    off = clip(value, F.col("low"), F.col("high")) - F.col("centre")
+    sums = whole.join(F.broadcast(table), "feature").groupBy("feature").agg(F.sum(F.col("n") * off).alias("one"), F.sum(F.col("n") * off * off).alias("two"))
+    moments = {r["feature"]: (r["one"] / n, r["two"] / n) for r in sums.collect()}
+    drop_table(counts)
+    out = {}
+    for c in names:
+        (low, high), (one, two) = bounds[c], moments[c]
+        spread = math.sqrt(max(0.0, two - one * one))
+        out[c] = {"median": medians[c], "low": low, "high": high, "mean": min(max(centre[c] + one, low), high), "scale": spread if spread >= 1e-12 else 1.0}
+    return out
 
 
 def long_form(matrix: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.ranges import cuts, range_of
+from tallystream.functions.ranges import cuts_by, range_of
 
 
 def label_counts(df: DataFrame, label: str, **keys: Column) -> DataFrame:
@@ -75,7 +75,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_ranks(df: DataFrame, columns: list[str], row: str) -> DataFrame:
     """Ranks of each column, ties averaged. Distinct values are ranked, not rows, in ranges of values, so no task sees all."""
-    at = F.coalesce(*[F.when(F.col("column") == c, range_of(F.col("value"), cuts(df, c))) for c in columns])
+    at = F.coalesce(*[F.when(F.col("column") == c, range_of(F.col("value"), found)) for c, found in cuts_by(df, columns).items()])
     long = df.select(row, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))).filter("value is not null")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("__p", at)
     inside = counts.withColumn("__upto", F.sum("n").over(Window.partitionBy("column", "__p").orderBy("value")))
@@ -95,9 +95,36 @@ def sample_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def bottom_k(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows of the smallest hash of the key: a uniform sample that does not depend on the order or partition of rows."""
-    return df.orderBy(sample_order(F.col(key), seed), key).limit(k)
+#: Rows of a sample up to which it is a top-k; larger ones are cut off at a threshold. Hexadecimal digits of a step to it.
+TOP_ROWS, DIGITS = 100_000, 4
+
+
+def bottom_k(df: DataFrame, key: str, k: int, seed: int = 42, *, top_rows: int = TOP_ROWS) -> DataFrame:
+    """``k`` rows of the smallest hash of the key: a uniform sample that does not depend on the order or partition of rows.
+
+    A small sample is a top-k, in the order of the hashes. A larger one would end in one task; its last hash is found first, by
+    counts of its leading digits, and rows up to there are filtered, in no order.
+    """
+    if k <= top_rows:
+        return df.orderBy(sample_order(F.col(key), seed), key).limit(k)
+    order = sample_order(F.col(key), seed)
+    prefix, left, rows = "", k, df.select(order.alias("h"), F.col(key).alias("k"))
+    while len(prefix) < 32:
+        inside = F.substring("h", len(prefix) + 1, DIGITS)
+        for r in rows.groupBy(inside.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # 16 ** DIGITS rows at most
+            if left <= r["n"]:
+                break
+            left -= r["n"]
+        else:
+            return df
+        prefix, rows = prefix + r["d"], rows.filter(inside == r["d"])
+        if r["n"] <= top_rows:
+            break
+    last = rows.orderBy("h", "k").limit(left).agg(F.max(F.struct("h", "k")).alias("last")).first()["last"]
+    own, end = F.struct(order.alias("h"), F.col(key).alias("k")), F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(df.schema[key].dataType).alias("k"))
+    # Rows that repeat the last key count one by one.
+    same = left - rows.filter(F.struct("h", "k") < end).count()
+    return df.filter(own < end).unionByName(df.filter(own == end).limit(same))
 
 
 def stratified_bottom_k(df: DataFrame, key: str, stratum: str, sizes: dict, seed: int = 42) -> DataFrame:

@@ -27,15 +27,18 @@ def add_pointer(df: DataFrame, *, entity: str = "cc_num", time: str = "unix_time
 def add_history(df: DataFrame, length: int, *, entity: str = "cc_num", time: str = "unix_time", key: str = "trans_num", row: str = "row_idx", name: str = "history", value: str | None = None) -> DataFrame:
     """Add the array of at most ``length`` items, oldest first, that ends with the row itself.
 
-    Items before it are the representatives of the latest earlier buckets: their row indexes, or their ``value``.
+    Items before it are the representatives of the latest earlier buckets: their row indexes, or their ``value``, null values
+    included. Rows without an entity are one entity, as in ``add_pointer``.
     """
     if length < 1:
         raise ValueError("a history has at least one item")
     item = row if value is None else value
     buckets = df.groupBy(entity, time).agg(F.min_by(F.col(item), F.struct(F.col(key), F.col(row))).alias("__item"))
     earlier = Window.partitionBy(entity).orderBy(time).rowsBetween(-(length - 1), -1)
-    past = buckets.withColumn("__past", F.collect_list("__item").over(earlier) if length > 1 else F.array().cast(df.select(F.array(item)).schema[0].dataType)).drop("__item")
-    return df.join(past, [entity, time]).withColumn(name, F.concat("__past", F.array(F.col(item)))).drop("__past")
+    held = F.transform(F.collect_list(F.struct("__item")).over(earlier), lambda x: x["__item"]) if length > 1 else F.array().cast(df.select(F.array(item)).schema[0].dataType)
+    past = buckets.select(F.col(entity).alias("__entity"), F.col(time).alias("__time"), held.alias("__past"))
+    same = F.col(entity).eqNullSafe(F.col("__entity")) & F.col(time).eqNullSafe(F.col("__time"))
+    return df.join(past, same).withColumn(name, F.concat("__past", F.array(F.col(item)))).drop("__entity", "__time", "__past")
 
 
 def pad_history(history: Column, length: int, fill: Column) -> Column:

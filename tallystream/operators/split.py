@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.ranges import cuts, range_of
 from tallystream.operators.checks import duplicate_keys, require_columns, shared_keys
-from tallystream.sources.artifacts import ordered_digest
+from tallystream.sources.artifacts import checked_digest, opened, ordered_digest, sealed
+
+MANIFEST = "split"
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,8 @@ def split_manifest(development: DataFrame, holdout: DataFrame, config: SplitConf
         raise ValueError("keys repeat")
     train, validation = split(development, config)
     parts = {"train": train, "validation": validation, "holdout": holdout}
-    out: dict = {"fraction": config.fraction, "columns": development.columns, "partitions": {}}
+    roles = {"time": config.time, "label": config.label, "key": config.key}
+    out: dict = {"type": MANIFEST, "version": 1, "fraction": config.fraction, "roles": roles, "columns": development.columns, "partitions": {}}
     for name, part in parts.items():
         row = partition_summary(part.withColumn("__part", F.lit(name)), "__part", config).first()
         if row is None:
@@ -86,4 +89,32 @@ def split_manifest(development: DataFrame, holdout: DataFrame, config: SplitConf
     gap = out["partitions"]["holdout"]["first_time"] - out["partitions"]["validation"]["last_time"]
     if gap <= 0:
         raise ValueError("the holdout does not start after the development rows")
-    return out | {"gap_seconds": gap, "boundary_time": out["partitions"]["validation"]["first_time"]}
+    return sealed(out | {"gap_seconds": gap, "boundary_time": out["partitions"]["validation"]["first_time"]})
+
+
+def load_manifest(document: dict) -> dict:
+    """The manifest, after its digest, type, partitions and fields were verified."""
+    found = opened(document, kind=MANIFEST, version=1)
+    if set(found.get("partitions", {})) != {"train", "validation", "holdout"} or not {"fraction", "roles", "columns", "gap_seconds", "boundary_time"} <= set(found):
+        raise ValueError("the manifest is not complete")
+    for name, part in found["partitions"].items():
+        if missing := {"rows", "negatives", "positives", "rate", "first_time", "last_time", "key_sha256"} - set(part):
+            raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
+        checked_digest(part["key_sha256"])
+        if part["rows"] < 1 or part["negatives"] + part["positives"] != part["rows"] or part["first_time"] > part["last_time"]:
+            raise ValueError(f"{name} does not add up")
+    train, validation, holdout = (found["partitions"][p] for p in ("train", "validation", "holdout"))
+    if not train["last_time"] < validation["first_time"] == found["boundary_time"] or holdout["first_time"] - validation["last_time"] != found["gap_seconds"] or found["gap_seconds"] <= 0:
+        raise ValueError("the partitions are not in order of time")
+    return found
+
+
+def check_partition(df: DataFrame, manifest: dict, name: str) -> None:
+    """Raise unless the rows are those of the manifest's partition: their number, labels, times and keys."""
+    found = load_manifest(manifest)
+    roles = found["roles"]
+    config = SplitConfig(found["fraction"], roles["time"], label=roles["label"], key=roles["key"])
+    row = partition_summary(df.withColumn("__part", F.lit(name)), "__part", config).first()
+    own = {k: v for k, v in row.asDict().items() if k != "__part"} | {"key_sha256": ordered_digest(df, config.key, config.time)} if row else {}
+    if wrong := sorted(k for k, v in found["partitions"][name].items() if own.get(k) != v):
+        raise ValueError(f"the rows are not those of {name}: {', '.join(wrong)}")

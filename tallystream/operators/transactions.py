@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.scalars import coordinates_valid, haversine_km
+from tallystream.functions.scalars import causal_seconds, coordinates_valid, event_seconds, haversine_km, row_key
 from tallystream.operators import checks, drift, fusion, profile
 from tallystream.operators.preprocess import PreprocessConfig, Preprocessor, derived_columns, fit
 from tallystream.operators.sequences import add_pointer
-from tallystream.operators.split import SplitConfig, boundary_time, partition_column
+from tallystream.operators.split import SplitConfig, boundary_time, load_manifest, partition_column
 from tallystream.operators.velocity import VelocityConfig, add_velocity, check_amounts
 from tallystream.streaming.activity import velocity_from_snapshot
 
@@ -35,10 +35,10 @@ def add_distance(df: DataFrame, *, invalid: str = "raise") -> DataFrame:
     return df.withColumn("distance_card_merchant_km", F.when(valid, haversine_km(*places)).otherwise(float("nan")))
 
 
-def engineer_features(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, invalid: str = "raise") -> DataFrame:
-    """Distance and causal activity."""
+def engineer_features(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, invalid: str = "raise", heavy: bool = False, chunk: int | None = None) -> DataFrame:
+    """Distance and causal activity; ``heavy`` and ``chunk`` as in ``add_velocity``."""
     check_amounts(df, config.amount)
-    return add_velocity(add_distance(df, invalid=invalid), config)
+    return add_velocity(add_distance(df, invalid=invalid), config, heavy=heavy, chunk=chunk)
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -65,23 +65,67 @@ def transaction_profile(df: DataFrame, *, sample: int = 50_000, positives: int =
     return out
 
 
-def model_table(development: DataFrame, holdout: DataFrame, config: PreprocessConfig = CONFIG, by: SplitConfig = SplitConfig()) -> tuple[DataFrame, Preprocessor]:
+def model_table(development: DataFrame, holdout: DataFrame, config: PreprocessConfig = CONFIG, by: SplitConfig = SplitConfig(), *, manifest: dict | None = None) -> tuple[DataFrame, Preprocessor]:
     """One matrix with a column ``partition`` (train, validation, holdout) and pointers, and the fitted preprocessor.
 
-    Features of the holdout go on from the development rows: both are one stream.
+    Features of the holdout go on from the development rows: both are one stream. With the sealed manifest of the split the
+    training rows must be its own, and the matrix must have as many rows and labels in each partition as it says.
     """
     at = boundary_time(development, by.time, by.fraction)
     start = development.agg(F.max("row_idx") + 1).first()[0] or 0
     both = development.withColumn("partition", partition_column(F.col(by.time), at)).unionByName(holdout.withColumn("partition", F.lit("holdout")).withColumn("row_idx", F.col("row_idx") + start))
     rows = add_pointer(prepare(engineer_features(both)))
-    fitted = fit(rows.filter("partition = 'train'"), config)
-    return fitted.transform(rows, ["row_idx", by.key, "partition", F.col(by.label).alias("label"), "previous"]), fitted
+    fitted = fit(rows.filter("partition = 'train'"), config, by=by, manifest=manifest)
+    matrix = fitted.transform(rows, ["row_idx", by.key, "partition", F.col(by.label).alias("label"), "previous"])
+    if manifest is not None:
+        check_counts(partition_counts(matrix), manifest)
+    return matrix, fitted
+
+
+def check_counts(counts: DataFrame, manifest: dict) -> None:
+    """Raise unless rows and labels of each partition are those of the manifest."""
+    own = {(r["partition"], r["label"]): r["rows"] for r in counts.collect()}  # two rows per partition
+    wanted = {(name, v): part[k] for name, part in load_manifest(manifest)["partitions"].items() for v, k in ((0, "negatives"), (1, "positives")) if part[k]}
+    if own != wanted:
+        raise ValueError("partitions of the matrix differ from the manifest")
 
 
 def partition_counts(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("partition", "label").agg(F.count("*").alias("rows"), F.count_if(F.col("previous") == -1).alias("cold"))
 
 
+#: What a submitted transaction must have, and what it may have.
+REQUIRED = ("trans_date_trans_time", "cc_num", "merchant", "category", "amt", "city", "state", "zip", "lat", "long", "city_pop", "job", "dob", "merch_lat", "merch_long")
+TEXT, POSITIVE, NOT_NEGATIVE = ("cc_num", "merchant", "category", "city", "state", "zip", "job"), ("amt",), ("city_pop",)
+MAX_BATCH = 10_000
+
+
+def normalize_batch(df: DataFrame, *, max_rows: int = MAX_BATCH) -> DataFrame:
+    """Submitted transactions, checked, trimmed and typed; the whole batch is rejected where a row breaks a rule.
+
+    Times, birth dates (not after the transaction), finite numbers, amounts above 0 and populations of at least 0 are required.
+    A missing causal clock is derived from the display time, a missing key from the row's content and its place (``row_idx``, or
+    the order of the content where there is none). Keys must not repeat in a batch.
+    """
+    numeric = [c for c in REQUIRED if c in ("amt", "lat", "long", "city_pop", "merch_lat", "merch_long")]
+    optional = [c for c in ("trans_num", "unix_time", "row_idx") if c in df.columns]
+    rows = checks.normalize_transactions(df, [*REQUIRED, *optional], text=list(TEXT), numeric=numeric, positive=list(POSITIVE), max_rows=max_rows)
+    at, born = F.try_to_timestamp(F.col("trans_date_trans_time"), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.col("dob"), F.lit("yyyy-MM-dd")).cast("date")
+    given = F.col("unix_time") if "unix_time" in optional else F.lit(None).cast("string")
+    rules = {"trans_date_trans_time": at.isNotNull(), "dob": born.isNotNull() & (born <= at.cast("date")), "unix_time": given.isNull() | event_seconds(given).isNotNull()}
+    if not checks.enforce(rows, rules | {c: F.col(c) >= 0 for c in NOT_NEGATIVE}):
+        raise ValueError("at least one transaction is required")
+    rows = rows.withColumn("unix_time", F.coalesce(event_seconds(given), causal_seconds(at)))
+    rows = rows.withColumns({"trans_date_trans_time": F.date_format(at, "yyyy-MM-dd HH:mm:ss"), "dob": F.date_format(born, "yyyy-MM-dd")})
+    content = [*REQUIRED, "unix_time"]
+    place = F.col("row_idx") if "row_idx" in optional else F.row_number().over(Window.orderBy(*content))  # a bounded batch
+    key = F.trim(F.col("trans_num").cast("string")) if "trans_num" in optional else F.lit(None).cast("string")
+    rows = rows.withColumn("trans_num", F.when(F.length(key) > 0, key).otherwise(row_key(content, place)))
+    if checks.duplicate_keys(rows, "trans_num").limit(1).count():
+        raise ValueError("trans_num must not repeat within a batch")
+    return rows
+
+
 def score_batch(df: DataFrame, snapshot: DataFrame, fitted: Preprocessor, scorers: dict, hybrid: fusion.Hybrid, *, keep: list[str], explain=None) -> DataFrame:
     """Prepared features of new rows from a snapshot of the past, component scores, their blend, the decision and drivers.
 

@@ -63,12 +63,16 @@ def _money(total: Column) -> Column:
     return F.coalesce(total, F.lit(0)) / F.lit(100.0)
 
 
-def add_velocity(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, heavy: bool = False) -> DataFrame:
+def add_velocity(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, heavy: bool = False, chunk: int | None = None) -> DataFrame:
     """Add the columns ``config.names()``. Input order does not matter; null entities are one entity.
 
     ``heavy`` uses running totals with an expiry row per event and window in place of bounded frames, which Spark evaluates
-    afresh for every row: the better plan where an entity has tens of thousands of events in a window.
+    afresh for every row: the better plan where an entity has tens of thousands of events in a window. ``chunk`` (seconds, at
+    least the longest window) divides each entity's time, so that one with very many rows is many tasks: a row also goes to the
+    next chunk, as a past event only, and lifetime totals are carried from a total per entity and chunk.
     """
+    if chunk is not None:
+        return _in_chunks(df, config, chunk, heavy)
     if heavy:
         return _with_expiry(df, config)
     at, money = F.col(config.time), "__cents"
@@ -81,6 +85,27 @@ def add_velocity(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, he
     return rows.withColumns(out).drop(money)
 
 
+def _in_chunks(df: DataFrame, config: VelocityConfig, chunk: int, heavy: bool) -> DataFrame:
+    if chunk < max(config.windows):
+        raise ValueError("a chunk is at least as long as the longest window")
+    own = F.floor(F.col(config.time) / chunk).cast("long")
+    rows = df.withColumn("__own", own)
+    totals = rows.groupBy(config.entity, "__own").agg(F.count(config.time).alias("__n"), F.sum(cents(F.col(config.amount))).alias("__c"))
+    earlier = Window.partitionBy(config.entity).orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col(config.entity).alias("__e"), F.col("__own").alias("__o"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}b") for c in ("__n", "__c")], *[F.col(c).alias(f"{c}p") for c in ("__n", "__c")])
+    # The chunk before is in the frames as well, so only what is older than it is carried over.
+    last = Window.partitionBy("__e").orderBy("__o")
+    there = F.lag("__o").over(last) == F.col("__o") - 1
+    carried = before.select("__e", "__o", *[(F.col(f"{c}b") - F.when(there, F.lag(f"{c}p").over(last)).otherwise(0)).alias(f"{c}b") for c in ("__n", "__c")])
+    both = rows.withColumn("__at", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    part = VelocityConfig(config.windows, "__group", config.time, config.amount, config.prefix)
+    found = add_velocity(both.withColumn("__group", F.struct(F.col(config.entity), F.col("__at"))), part, heavy=heavy).filter(F.col("__own") == F.col("__at"))
+    count, total = config.names()[-2:]
+    out = found.join(carried, F.col(config.entity).eqNullSafe(F.col("__e")) & (F.col("__own") == F.col("__o")))
+    out = out.withColumns({count: F.col(count) + F.col("__nb"), total: (F.rint(F.col(total) * 100).cast("long") + F.col("__cb")) / F.lit(100.0)})
+    return out.select(*df.columns, *config.names())
+
+
 def _with_expiry(df: DataFrame, config: VelocityConfig) -> DataFrame:
     columns = df.columns
     rows = df.withColumn("__cents", cents(F.col(config.amount)))
