@@ -6,14 +6,15 @@ import random
 from dataclasses import dataclass
 from itertools import product
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.operators import imbalance, metrics
-from tallystream.sources.artifacts import sealed
+from tallystream.sources.artifacts import digest, opened, sealed
 
 #: Finite grids to draw from.
 SPACES: dict[str, dict[str, list]] = {
@@ -73,7 +74,9 @@ def search(kind: str, train: DataFrame, validation: DataFrame, holdout: DataFram
     results = []
     for i, params in enumerate(sampled_parameters(kind, tries, seed)):
         model = fit(kind, params, train, label=label, seed=seed)
-        report = metrics.evaluate(score(model, validation).select(label, "p").cache(), label, "p")
+        scored = score(model, validation).select(label, "p").cache()
+        report = metrics.evaluate(scored, label, "p")
+        scored.unpersist()
         results.append((report["average_precision"], report["at_threshold"]["recall"], report["at_threshold"]["precision"], -i, model, params, report))
     *_, model, params, report = max(results, key=lambda r: r[:4])
     out = {"type": "model_report", "version": 1, "model": kind, "parameters": params, "validation": report}
@@ -82,15 +85,33 @@ def search(kind: str, train: DataFrame, validation: DataFrame, holdout: DataFram
     return SearchResult(kind, model, params, sealed(out))
 
 
-def save(model, path: str, *, overwrite: bool = False) -> None:
+def save(model, path: str, *, overwrite: bool = False) -> str:
+    """Write a model, and return the digest of its files."""
     pipeline = PipelineModel(stages=[model])
     (pipeline.write().overwrite() if overwrite else pipeline.write()).save(path)
+    return files_digest(SparkSession.active(), path)
+
+
+def files_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the names (below ``path``) and contents of all files, wherever they are stored."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", F.lit(path.rstrip("/").rsplit("/", 1)[-1] + "/"), 2), -1)
+    rows = files.select(name.alias("name"), F.sha2("content", 256).alias("digest")).collect()  # a row per file of a model
+    return digest(sorted([r["name"], r["digest"]] for r in rows))
 
 
 def load(path: str):
     return PipelineModel.load(path)
 
 
+def load_verified(spark: SparkSession, path: str, report: dict):
+    """The model of a sealed report, after the report and the model's files were verified."""
+    found = opened(report, kind="model_report", version=1)
+    if found.get("model_sha256") != files_digest(spark, path):
+        raise ValueError("the model's files are not those of the report")
+    return load(path)
+
+
 def linear_drivers(model, names: list[str], n: int = 8) -> Column:
     """The largest contributions of a logistic model's ``features`` vector: coefficient times value."""
     from tallystream.operators.fusion import top_drivers
@@ -101,6 +122,19 @@ def linear_drivers(model, names: list[str], n: int = 8) -> Column:
     return top_drivers(parts, n)
 
 
+def tree_drivers_column(model, names: list[str], n: int = 8, features: str = "features") -> Column:
+    """The largest contributions of a boosted model for each row's ``features`` vector, in Arrow batches; see ``tree_drivers``."""
+    from tallystream.operators.fusion import top_drivers
+
+    explain = tree_drivers(model, names)
+
+    @F.pandas_udf("array<struct<feature:string,contribution:double>>")
+    def contributions(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: [{"feature": f, "contribution": c} for f, c in explain(v).items()])
+
+    return top_drivers(contributions(vector_to_array(F.col(features))), n)
+
+
 def tree_drivers(model, names: list[str]):
     """Contributions of a boosted model per row: along each tree's path, the change of the node's mean goes to the feature it
     splits on. Returns a function of a feature array (a list of numbers) to a dict."""

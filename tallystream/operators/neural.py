@@ -7,14 +7,18 @@ the best average precision on validation rows are kept, and training stops after
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystream.sources.artifacts import opened, sealed
+
 Weights = dict[str, np.ndarray]
 BETTER = 1e-7
 
@@ -45,11 +49,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+_erf = np.frompyfunc(math.erf, 1, 1)
+
+
 def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Value and slope (tanh form)."""
-    c = math.sqrt(2 / math.pi)
-    t = np.tanh(c * (x + 0.044715 * x**3))
-    return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t**2) * c * (1 + 3 * 0.044715 * x**2)
+    """Value and slope, by the normal distribution function itself."""
+    below = 0.5 * (1 + _erf(x / math.sqrt(2)).astype(float))
+    return x * below, below + x * np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
 class FeedForward:
@@ -216,6 +222,52 @@ def train(make: Callable[[], FeedForward | Recurrent], data, y: np.ndarray, vali
     return Fitted(model, best, len(history), history)
 
 
+def to_dict(model: FeedForward | Recurrent, inputs: list[str]) -> dict:
+    """The sealed document of a network: its kind, configuration, input columns and weights."""
+    kind = "feed_forward" if isinstance(model, FeedForward) else "recurrent"
+    config = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(model.config).items()}
+    return sealed({"type": "network", "version": 1, "network": kind, "config": config, "inputs": list(inputs), "weights": {k: w.tolist() for k, w in model.w.items()}})
+
+
+def from_dict(document: dict, inputs: list[str] | None = None) -> FeedForward | Recurrent:
+    """The network of a document, after its digest was verified; with ``inputs`` it must be made for these columns."""
+    d = opened(document, kind="network", version=1)
+    if inputs is not None and list(inputs) != d["inputs"]:
+        raise ValueError("the network was made for other inputs")
+    config = TrainConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in d["config"].items()})
+    model = (FeedForward if d["network"] == "feed_forward" else Recurrent)(len(d["inputs"]), config)
+    weights = {k: np.array(w, dtype=float) for k, w in d["weights"].items()}
+    if {k: w.shape for k, w in weights.items()} != {k: w.shape for k, w in model.w.items()}:
+        raise ValueError("the weights do not have the network's shapes")
+    model.w = weights
+    return model
+
+
+#: Finite grids to draw networks from.
+SPACES: dict[str, dict[str, list]] = {
+    "feed_forward": {"hidden": [(64, 32), (128, 64), (32,)], "dropout": [0.0, 0.1, 0.2], "rate": [1e-3, 3e-4], "decay": [1e-4, 1e-3]},
+    "recurrent": {"hidden": [(32, 32), (64, 64), (64, 64, 64)], "dropout": [0.0, 0.1], "rate": [1e-3, 3e-4], "decay": [1e-4, 1e-3]},
+}
+
+
+def search(kind: str, inputs: list[str], data, y: np.ndarray, valid, y_valid: np.ndarray, *, tries: int = 4, epochs: int = 20, seed: int = 42) -> tuple[Fitted, dict]:
+    """Train each drawn configuration and keep the one of the best average precision on validation rows (the first wins ties).
+
+    Returns it with the sealed report of all that were tried and the digest of its document.
+    """
+    space, make = SPACES[kind], FeedForward if kind == "feed_forward" else Recurrent
+    grid = [dict(zip(space, values, strict=True)) for values in product(*space.values())]
+    best, rows = None, []
+    for i, params in enumerate(random.Random(seed).sample(grid, min(tries, len(grid)))):
+        config = TrainConfig(**params, epochs=epochs, seed=seed)
+        fitted = train(lambda config=config: make(len(inputs), config), data, y, valid, y_valid, config)
+        rows.append({"candidate": i, "parameters": {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}, "average_precision": fitted.best, "epochs": fitted.epochs})
+        if best is None or fitted.best > best.best:
+            best, chosen = fitted, i
+    report = sealed({"type": "network_report", "version": 1, "network": kind, "chosen": chosen, "tried": rows, "network_sha256": to_dict(best.model, inputs)["sha256"]})
+    return best, report
+
+
 def tensor(histories: list, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Lists of item vectors to (rows, length, features), zero-padded on the right, and lengths."""
     lengths = np.array([len(h) for h in histories])

@@ -26,6 +26,18 @@ def velocity_events_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_velocity(tables.events(spark, sf_dir), config, heavy=True).select("event_id", "user_id", "t", *config.names())
 
 
+def velocity_events_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every user's time in chunks of four days."""
+    config = VelocityConfig(EVENTS, "user_id", "t", "value")
+    return add_velocity(tables.events(spark, sf_dir), config, chunk=4 * DAY).select("event_id", "user_id", "t", *config.names())
+
+
+def velocity_orders_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tied orders, with customers' time in chunks of a leap year, by running totals with expiry."""
+    config = VelocityConfig(ORDERS, "o_custkey", "t", "o_totalprice")
+    return add_velocity(tables.orders(spark, sf_dir), config, heavy=True, chunk=366 * DAY).select("o_orderkey", "o_custkey", "t", *config.names())
+
+
 def velocity_orders_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = VelocityConfig(ORDERS, "o_custkey", "t", "o_totalprice")
     return add_velocity(tables.orders(spark, sf_dir), config).select("o_orderkey", "o_custkey", "t", *config.names())
@@ -69,6 +81,13 @@ def sequence_values_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", *[padded[i].alias(f"v{i}") for i in range(4)])
 
 
+def sequence_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories where some orders have no customer, which are one entity, and some no price, which stay in the history."""
+    rows = tables.orders(spark, sf_dir).withColumn("who", F.when(F.col("o_custkey") % 9 > 0, F.col("o_custkey"))).withColumn("price", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice")))
+    out = sequences.add_history(rows, 5, **(_ORDER | {"entity": "who"}), value="price")
+    return out.select("o_orderkey", F.size("history").cast("long").alias("length"), F.array_join(F.transform("history", lambda x: F.coalesce(F.rint(x * 100).cast("long").cast("string"), F.lit("-"))), ",").alias("history"))
+
+
 def latest_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.latest_per_entity(tables.orders(spark, sf_dir), **_ORDER).select("o_custkey", "o_orderkey", "t")
 
@@ -98,10 +117,17 @@ def _history(length: int) -> str:
       FROM {tables.ORDERS} o JOIN (SELECT o_custkey, t, list(item) OVER (PARTITION BY o_custkey ORDER BY t ROWS BETWEEN {length - 1} PRECEDING AND 1 PRECEDING) AS past FROM {_BUCKETS}) b USING (o_custkey, t))"""
 
 
+_NULLS = f"""WITH o AS (SELECT *, CASE WHEN o_custkey % 9 > 0 THEN o_custkey END AS who, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS price FROM {tables.ORDERS}),
+b AS (SELECT who, t, arg_min(struct_pack(v := price), (o_orderpriority, o_orderkey)) AS item FROM o GROUP BY ALL),
+w AS (SELECT who, t, list(item) OVER (PARTITION BY who ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS past FROM b),
+h AS (SELECT o.o_orderkey, list_concat(coalesce(w.past, []), [struct_pack(v := o.price)]) AS h FROM o JOIN w ON o.who IS NOT DISTINCT FROM w.who AND o.t = w.t)
+SELECT o_orderkey, CAST(len(h) AS BIGINT) AS length, array_to_string(list_transform(h, lambda x: coalesce(CAST(CAST(round_even(x.v * 100, 0) AS BIGINT) AS VARCHAR), '-')), ',') AS history FROM h"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        velocity_events, velocity_events_heavy, velocity_orders_ties, velocity_lineitem_ties, custom_windows_events, prior_totals_orders,
+        velocity_events, velocity_events_heavy, velocity_events_chunked, velocity_orders_chunked, sequence_nulls, velocity_orders_ties, velocity_lineitem_ties, custom_windows_events, prior_totals_orders,
         pointer_orders, sequence_orders, sequence_values_padded, latest_per_entity, cold_starts,
     )
 }
@@ -109,6 +135,9 @@ _EVENTS_SQL = _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", EV
 SQL = {
     "velocity_events": _EVENTS_SQL,
     "velocity_events_heavy": _EVENTS_SQL,
+    "velocity_events_chunked": _EVENTS_SQL,
+    "velocity_orders_chunked": _sql(tables.ORDERS, "o_custkey", "o_totalprice", "o_orderkey, o_custkey, t", ORDERS),
+    "sequence_nulls": _NULLS,
     "velocity_orders_ties": _sql(tables.ORDERS, "o_custkey", "o_totalprice", "o_orderkey, o_custkey, t", ORDERS),
     "velocity_lineitem_ties": _sql(tables.LINEITEM, "l_suppkey", "l_extendedprice", "l_orderkey, l_linenumber, l_suppkey, t", LINES),
     "custom_windows_events": "SELECT * EXCLUDE (user_id, t) FROM (" + _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", CUSTOM) + ")",

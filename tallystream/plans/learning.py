@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +12,13 @@ from tallystream.operators.profile import bottom_k
 from tallystream.operators.sequences import add_history
 from tallystream.operators.velocity import VelocityConfig
 from tallystream.plans import activity, tables
-from tallystream.streaming.activity import stream_velocity, state_snapshot, velocity_from_snapshot
+from tallystream.sources.shared import new_path
+from tallystream.streaming.activity import advanced_snapshot, state_snapshot, stream_velocity, velocity_from_snapshot
 from tallystream.streaming.histories import stream_histories
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-#: Rows that the driver trains a network on, at most.
-SAMPLE = 20_000
+#: Rows and histories that the driver trains a network on, at most.
+SAMPLE, HISTORIES = 20_000, 2_000
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +53,7 @@ _SCALE = np.array([50.0, 100000.0, 0.1, 0.08])
 
 
 def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed-forward scorer trained on a bounded sample, applied to all rows."""
+    """A feed-forward scorer trained on at most ``SAMPLE`` rows, applied to all."""
     rows = _lines(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     sample = bottom_k(rows, "id", SAMPLE).toPandas()
     x, y = sample[_FEATURES].to_numpy(dtype=float) / _SCALE, sample["label"].to_numpy()
@@ -66,10 +64,10 @@ def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lstm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recurrent scorer of each order's history, trained on a bounded sample."""
+    """A recurrent scorer of each order's history, trained on at most ``HISTORIES`` of them, applied to all."""
     rows = tables.orders(spark, sf_dir).withColumn("item", F.array(F.col("o_totalprice") / 5e5, (F.col("t") % 31) / 31.0)).withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
     histories = add_history(rows, 6, entity="o_custkey", time="t", key="o_orderpriority", row="o_orderkey", value="item").select("o_orderkey", "label", "history")
-    sample = bottom_k(histories, "o_orderkey", 2000).toPandas()
+    sample = bottom_k(histories, "o_orderkey", HISTORIES).toPandas()
     x, y = neural.tensor([np.stack(h) for h in sample["history"]], 6), sample["label"].to_numpy()
     cut, config = len(y) * 4 // 5, neural.TrainConfig(hidden=(8, 8), epochs=2)
     fitted = neural.train(lambda: neural.Recurrent(2, config), (x[0][:cut], x[1][:cut]), y[:cut], (x[0][cut:], x[1][cut:]), y[cut:], config)
@@ -78,8 +76,7 @@ def lstm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(stream: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -121,9 +118,22 @@ def continued_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return velocity_from_snapshot(rows.filter(F.col("t") >= at), snapshot, _CONFIG).select("event_id", "user_id", "t", *_CONFIG.names())
 
 
-QUERIES = {f.__name__: f for f in (lr_scores, rf_scores, gbt_scores, mlp_scores, lstm_scores, stream_velocity_events, stream_histories_events, continued_velocity)}
+def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after all events, reached by two steps from the state after the first part."""
+    rows = tables.events(spark, sf_dir)
+    first, second = rows.agg(F.percentile("t", F.array(F.lit(0.4), F.lit(0.8)))).first()[0]
+    state = state_snapshot(rows.filter(F.col("t") < first), _CONFIG)
+    state = advanced_snapshot(state, rows.filter((F.col("t") >= first) & (F.col("t") < second)), _CONFIG)
+    state = advanced_snapshot(state, rows.filter(F.col("t") >= second), _CONFIG)
+    return state.select("entity", "open", "open_n", "open_cents", "total_n", "total_cents", F.size("times").cast("long").alias("buckets"))
+
+
+QUERIES = {f.__name__: f for f in (lr_scores, rf_scores, gbt_scores, mlp_scores, lstm_scores, stream_velocity_events, stream_histories_events, continued_velocity, advanced_state)}
 SQL = {
     "stream_velocity_events": activity.SQL["velocity_events"],
     "stream_histories_events": f"SELECT event_id, count(*) OVER w AS length, round(sum(value) OVER w, 6) AS total FROM {tables.EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+    "advanced_state": f"""WITH b AS (SELECT user_id, t, count(*) AS n, CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS c FROM {tables.EVENTS} GROUP BY ALL),
+      l AS (SELECT user_id, max(t) AS open, arg_max(n, t) AS open_n, arg_max(c, t) AS open_cents, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM b GROUP BY 1)
+      SELECT l.user_id AS entity, open, open_n, open_cents, l.n - open_n AS total_n, l.c - open_cents AS total_cents, (SELECT count(*) FROM b WHERE b.user_id = l.user_id AND b.t < open AND b.t >= open - 86400) AS buckets FROM l""",
     "continued_velocity": f"SELECT * FROM ({activity.SQL['velocity_events']}) WHERE t >= (SELECT quantile_cont(t, 0.7) FROM {tables.EVENTS})",
 }

@@ -42,6 +42,38 @@ def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, median double, low double, high double, mean double, scale double")
 
 
+def _dated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Development orders, the holdout of the last years, and where it starts."""
+    rows = _orders(spark, sf_dir)
+    at = split.boundary_time(rows, "t", 0.1)
+    return rows.filter(F.col("t") < at), rows.filter(F.col("t") >= at), at
+
+
+def manifest_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, labels, times and gap of a three-way split's manifest."""
+    development, holdout, _ = _dated(spark, sf_dir)
+    found = split.load_manifest(split.split_manifest(development, holdout, _SPLIT))
+    rows = [(name, p["rows"], p["negatives"], p["positives"], p["first_time"], p["last_time"], found["gap_seconds"]) for name, p in found["partitions"].items()]
+    return spark.createDataFrame(rows, "partition string, rows long, negatives long, positives long, first_time long, last_time long, gap_seconds long")
+
+
+def bound_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of numbers fitted on rows that were verified to be the training partition of the manifest."""
+    development, holdout, _ = _dated(spark, sf_dir)
+    manifest = split.split_manifest(development, holdout, _SPLIT)
+    fitted = preprocess.fit(split.split(development, _SPLIT)[0], _CONFIG, by=_SPLIT, manifest=manifest)
+    rows = [(c, fitted.context["rows"], fitted.context["first_time"], fitted.context["last_time"], fitted.context["positives"], *[round(s[k], 6) for k in ("median", "low", "high", "mean", "scale")]) for c, s in fitted.stats.items()]
+    return spark.createDataFrame(rows, "feature string, rows long, first_time long, last_time long, positives long, median double, low double, high double, mean double, scale double")
+
+
+def weighted_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows with class weights, verified against the fitted state, by day."""
+    train, _ = _train(spark, sf_dir)
+    fitted = preprocess.fit(train, _CONFIG, by=_SPLIT)
+    batch, record = imbalance.training_batch(train, "label", "o_orderkey", [], [], imbalance.ImbalanceConfig("class_weight"), fitted=fitted, by=_SPLIT)
+    return batch.groupBy("label").agg(F.count("*").alias("rows"), F.round(F.max("weight"), 6).alias("weight"), F.lit(record["after"][1]).cast("long").alias("positives"))
+
+
 def frequency_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the training rows' customers, looked up for all rows."""
     fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
@@ -109,7 +141,7 @@ def smotenc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chrono_split, split_summary, numeric_stats, frequency_encoding, vocabulary, onehot_long, transform_long, cyclical_features,
+        chrono_split, split_summary, manifest_partitions, bound_fit, weighted_batch, numeric_stats, frequency_encoding, vocabulary, onehot_long, transform_long, cyclical_features,
         class_weights, imbalance_projection, random_under, negative_downsample, smotenc,
     )
 }
@@ -123,6 +155,9 @@ m AS (SELECT 'o_totalprice' AS feature, median(o_totalprice) AS median FROM t UN
 r AS (SELECT 'o_totalprice' AS feature, ln(1 + coalesce(o_totalprice, (SELECT median FROM m WHERE feature = 'o_totalprice'))) AS v FROM t UNION ALL SELECT 'age', coalesce(age, (SELECT median FROM m WHERE feature = 'age')) FROM t),
 q AS (SELECT feature, quantile_cont(v, 0.005) AS low, quantile_cont(v, 0.995) AS high FROM r GROUP BY 1),
 s AS (SELECT feature, m.median, low, high, avg(least(greatest(v, low), high)) AS mean, stddev_pop(least(greatest(v, low), high)) AS scale FROM r JOIN q USING (feature) JOIN m USING (feature) GROUP BY ALL)"""
+_END = f"(SELECT t FROM {tables.ORDERS} ORDER BY t LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM orders))"
+_DEV = f"(SELECT * FROM {_O} WHERE t < {_END})"
+_CUT = f"(SELECT t FROM {_DEV} ORDER BY t LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM {_DEV}))"
 _E = "(SELECT *, CAST(event_type = 'error' AND event_id % 3 = 0 AS INTEGER) AS label FROM events)"
 _N = f"(SELECT sum(1 - label) AS neg, sum(label) AS pos FROM {_E})"
 _ANGLE = lambda f, x, p: f"round({f}(2 * pi() / {p} * ({x})), 6) + 0.0"
@@ -130,6 +165,12 @@ _ANGLE = lambda f, x, p: f"round({f}(2 * pi() / {p} * ({x})), 6) + 0.0"  # noqa:
 SQL = {
     "chrono_split": f"SELECT o_orderkey, CASE WHEN t < {_AT} THEN 'train' ELSE 'validation' END AS partition FROM {tables.ORDERS}",
     "split_summary": f"SELECT CASE WHEN t < {_AT} THEN 'train' ELSE 'validation' END AS partition, count(*) AS rows, CAST(sum(1 - label) AS BIGINT) AS negatives, CAST(sum(label) AS BIGINT) AS positives, round(sum(label) / count(*), 6) AS rate, min(t) AS first_time, max(t) AS last_time FROM {_O} GROUP BY 1",
+    "manifest_partitions": f"""WITH p AS (SELECT CASE WHEN t >= {_END} THEN 'holdout' WHEN t >= {_CUT} THEN 'validation' ELSE 'train' END AS partition, count(*) AS rows, CAST(sum(1 - label) AS BIGINT) AS negatives, CAST(sum(label) AS BIGINT) AS positives,
+      min(t) AS first_time, max(t) AS last_time FROM {_O} GROUP BY 1)
+      SELECT *, (SELECT first_time FROM p WHERE partition = 'holdout') - (SELECT last_time FROM p WHERE partition = 'validation') AS gap_seconds FROM p""",
+    "bound_fit": _STATS.replace(_T, f"(SELECT * FROM {_DEV} WHERE t < {_CUT})") + f""", c AS (SELECT count(*) AS rows, min(t) AS first_time, max(t) AS last_time, CAST(sum(label) AS BIGINT) AS positives FROM {_DEV} WHERE t < {_CUT})
+      SELECT feature, c.*, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(scale, 6) AS scale FROM s, c""",
+    "weighted_batch": f"SELECT label, count(*) AS rows, round((SELECT count(*) FROM {_T}) / (2 * count(*)), 6) AS weight, (SELECT CAST(sum(label) AS BIGINT) FROM {_T}) AS positives FROM {_T} GROUP BY 1",
     "numeric_stats": _STATS + " SELECT feature, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(scale, 6) AS scale FROM s",
     "frequency_encoding": f"SELECT o_orderkey, round(coalesce(CAST(CAST(s.share AS FLOAT) AS DOUBLE), 0.0), 6) AS share, CAST(s.share IS NULL AS INTEGER) AS unknown FROM orders LEFT JOIN (SELECT o_custkey, count(*) / (SELECT count(*) FROM {_T}) AS share FROM {_T} GROUP BY 1) s USING (o_custkey)",
     "vocabulary": f"SELECT 'o_orderpriority' AS feature, row_number() OVER (ORDER BY g, v) - 1 AS position, v AS level FROM (SELECT DISTINCT 0 AS g, o_orderpriority AS v FROM {_T} UNION ALL VALUES (1, '__MISSING__'), (2, '__UNKNOWN__'))",

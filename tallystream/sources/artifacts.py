@@ -95,6 +95,22 @@ def content_digest(df: DataFrame, columns: list[str]) -> tuple[int, str]:
     return found["n"], digest([found["n"], *[str(found[f"l{i}"] or 0) for i in range(4)]])
 
 
+def table_record(df: DataFrame, kind: str = "table") -> dict:
+    """The sealed record of a table: its columns and types, rows and content."""
+    rows, seal = content_digest(df, df.columns)
+    return sealed({"type": kind, "version": 1, "columns": [list(c) for c in df.dtypes], "rows": rows, "content_sha256": seal, "versions": versions()})
+
+
+def verified_table(df: DataFrame, record: dict, kind: str = "table") -> DataFrame:
+    """``df``, after the record and the table's columns, rows and content were verified."""
+    found = opened(record, kind=kind, version=1)
+    if found["columns"] != [list(c) for c in df.dtypes]:
+        raise ValueError("the table has other columns than its record")
+    if (found["rows"], found["content_sha256"]) != content_digest(df, df.columns):
+        raise ValueError("the table's rows are not those of its record")
+    return df
+
+
 def ordered_digest(df: DataFrame, key: str, time: str) -> str:
     """SHA-256 that depends on the keys and on their order by time: each key counts with its time, which fixes the order."""
     return content_digest(df.select(F.col(time).alias("t"), F.col(key).cast("string").alias("k")), ["t", "k"])[1]

@@ -5,7 +5,7 @@ A first review fixes what was predicted; later ones change the label and its tim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.operators.checks import enforce
@@ -17,6 +17,8 @@ LEDGER_COLUMNS = [
     "model_config_sha256", "transaction_json", "engineered_features_json", "component_probabilities_json", "context_depth",
 ]
 FIXED = LEDGER_COLUMNS[4:]
+#: Rows of an export at most.
+EXPORT_LIMIT = 100_000
 
 
 def ledger_rules(labels: tuple[str, ...] = LABELS) -> dict[str, Column]:
@@ -40,6 +42,34 @@ def record(ledger: DataFrame, reviews: DataFrame) -> DataFrame:
     return merge(ledger, reviews).select(*LEDGER_COLUMNS)
 
 
+def store(spark: SparkSession, folder: str, reviews: DataFrame) -> int:
+    """Merge reviews into the ledger below ``folder`` and return its new version.
+
+    Every version is a table of its own, written once: of two writers that start from one version the second fails, and its
+    reviews are not lost in silence.
+    """
+    version = latest_version(spark, folder)
+    before = spark.read.parquet(f"{folder}/v{version:08d}") if version else reviews.limit(0).select(*LEDGER_COLUMNS)
+    record(before, reviews).write.mode("errorifexists").parquet(f"{folder}/v{version + 1:08d}")
+    return version + 1
+
+
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The number of the last version that was written whole; 0 where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return max((int(f.getPath().getParent().getName()[1:]) for f in found or []), default=0)
+
+
+def export_csv(ledger: DataFrame, path: str, *, limit: int = EXPORT_LIMIT, overwrite: bool = False) -> int:
+    """The newest reviews as one CSV file with a header, in a folder; an empty ledger gives a folder without a file. Returns the
+    rows."""
+    rows = newest(ledger, limit).select(*LEDGER_COLUMNS)
+    n = rows.count()
+    rows.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").options(header=True, lineSep="\n", emptyValue="", escape='"').csv(path)
+    return n
+
+
 def newest(ledger: DataFrame, limit: int, *, key: str = "prediction_id", at: str = "updated_at_utc") -> DataFrame:
     if limit < 1:
         raise ValueError("the limit must be positive")

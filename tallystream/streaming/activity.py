@@ -7,15 +7,18 @@ than the open second is an error, or goes to the output with ``late`` set, as th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallystream.functions.scalars import cents
+from tallystream.operators.checks import enforce
 from tallystream.operators.velocity import VelocityConfig
+from tallystream.sources.artifacts import canonical, sealed, table_record, verified_table
 
 STATE = "open long, open_n long, open_cents long, total_n long, total_cents long, times array<long>, counts array<long>, sums array<long>"
 
@@ -120,3 +123,54 @@ def velocity_from_snapshot(df: DataFrame, snapshot: DataFrame, config: VelocityC
             n, c = n + F.coalesce("__bn", F.lit(0)), c + F.coalesce("__bc", F.lit(0))
         out |= {names[2 * i]: n, names[2 * i + 1]: _money(c)}
     return rows.withColumns(out).filter("__row is not null").select("__row.*", *names)
+
+
+#: Version of saved states.
+STATE_VERSION = 1
+
+
+def save_snapshot(snapshot: DataFrame, config: VelocityConfig, path: str, *, overwrite: bool = False) -> dict:
+    """Write a snapshot and its sealed document: version, configuration, rows and content. Returns the document."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    snapshot.write.mode(mode).parquet(f"{path}/state")
+    saved = snapshot.sparkSession.read.parquet(f"{path}/state")
+    document = table_record(saved, "activity_state") | {"state_version": STATE_VERSION, "config": {k: list(v) if isinstance(v, tuple) else v for k, v in vars(config).items()}}
+    document = sealed(document)
+    snapshot.sparkSession.createDataFrame([(canonical(document).decode(),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/document")
+    return document
+
+
+def load_snapshot(spark: SparkSession, path: str, config: VelocityConfig) -> DataFrame:
+    """A saved snapshot, after version, configuration and content were verified, and that every bucket is in order."""
+    document = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/document").collect()))  # one line
+    if document.get("state_version") != STATE_VERSION:
+        raise ValueError("the state has another version")
+    if document["config"] != {k: list(v) if isinstance(v, tuple) else v for k, v in vars(config).items()}:
+        raise ValueError("the state was made with another configuration")
+    snapshot = verified_table(spark.read.parquet(f"{path}/state"), document, "activity_state")
+    ordered = F.forall(F.sequence(F.lit(1), F.size("times")), lambda i: (F.get("times", i - 1) < F.coalesce(F.get("times", i), F.col("open"))) & (F.get("counts", i - 1) > 0)) | (F.size("times") == 0)
+    enforce(snapshot, {"buckets": ordered, "counts": (F.col("total_n") >= 0) & (F.col("open_n") >= 0)})
+    return snapshot
+
+
+def advanced_snapshot(snapshot: DataFrame, rows: DataFrame, config: VelocityConfig) -> DataFrame:
+    """The state after further rows, from the state before them; rows earlier than an entity's open second are an error."""
+    late = rows.join(snapshot.select("entity", "open"), F.col(config.entity) == F.col("entity")).filter(F.col(config.time) < F.col("open")).limit(1).count()
+    if late:
+        raise ValueError("rows are earlier than the snapshot")
+    own = rows.select(F.col(config.entity).alias("entity"), F.col(config.time).cast("long").alias("t"), F.lit(1).cast("long").alias("n"), cents(F.col(config.amount)).alias("c"))
+    buckets = F.concat(F.arrays_zip(F.col("times").alias("t"), F.col("counts").alias("n"), F.col("sums").alias("c")), F.array(F.struct(F.col("open").alias("t"), F.col("open_n").alias("n"), F.col("open_cents").alias("c"))))
+    past = snapshot.select("entity", F.inline(buckets).alias("t", "n", "c"))
+    both = own.unionByName(past).groupBy("entity", "t").agg(F.sum("n").alias("n"), F.sum("c").alias("cents"))
+    last = both.groupBy("entity").agg(F.max_by(F.struct("t", "n", "cents"), "t").alias("last"))
+    kept = both.join(last, "entity").filter((F.col("t") < F.col("last.t")) & (F.col("t") >= F.col("last.t") - max(config.windows)))
+    held = kept.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", "n", "cents"))).alias("past"))
+    added = own.groupBy("entity").agg(F.sum("n").alias("own_n"), F.sum("c").alias("own_c"))
+    old = snapshot.select("entity", (F.col("total_n") + F.col("open_n")).alias("old_n"), (F.col("total_cents") + F.col("open_cents")).alias("old_c"))
+    part = lambda name: F.coalesce(F.transform("past", lambda b: b[name]), F.array().cast("array<bigint>"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    joined = last.join(held, "entity", "left").join(added, "entity", "left").join(old, "entity", "left")
+    return joined.select(
+        "entity", F.col("last.t").alias("open"), F.col("last.n").alias("open_n"), F.col("last.cents").alias("open_cents"), (zero("old_n") + zero("own_n") - F.col("last.n")).alias("total_n"),
+        (zero("old_c") + zero("own_c") - F.col("last.cents")).alias("total_cents"), part("t").alias("times"), part("n").alias("counts"), part("cents").alias("sums"),
+    )
