@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters up to which a part is encoded directly.
-LEAF = 512
+LEAF = 1024
 _SPACE = frozenset(" \t\n\r")
 _LETTER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _DIGIT = frozenset("0123456789")
