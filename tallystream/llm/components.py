@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.llm.shared import drop_table, written
+from tallystream.llm.shared import NAMES_ROWS, drop_table, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -105,10 +105,11 @@ def split_hot(rows: DataFrame, key: str, ident: str, counted: DataFrame, cap: in
     A group of n rows becomes s(s+1)/2 groups of about 2n/s rows, s = ceil(2n/cap). At most (rows / cap) keys are hot.
     """
     hot = written(counted.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > cap), "hot")
-    if not hot.count():
+    n_hot = hot.count()
+    if not n_hot:
         return rows
-    s = F.ceil(2 * F.col("n") / cap).cast("int")
-    joined = rows.join(F.broadcast(hot.select("hot", s.alias("s"))), F.col(key) == F.col("hot"), "left")
+    table = hot.select("hot", F.ceil(2 * F.col("n") / cap).cast("int").alias("s"))
+    joined = rows.join(F.broadcast(table) if n_hot <= NAMES_ROWS else table, F.col(key) == F.col("hot"), "left")
     own = F.pmod(F.xxhash64(F.lit("block"), F.col(ident)), F.col("s")).cast("int")
     other = F.explode(F.when(F.col("s").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = joined.withColumn("own_block", own).withColumn("other_block", other)

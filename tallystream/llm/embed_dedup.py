@@ -274,10 +274,11 @@ def _rest(raw: DataFrame, left: DataFrame, n_left: int, block: int, cosine: floa
     return groups.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(each_group("at", _against(cosine, form)), "a long, b long")
 
 
-def _find_links(raw: DataFrame, cosine: float, miss: float, block: int, window: int, ranks: int, bits: int, seed: int, form: str) -> DataFrame:
-    """Links (a, b) that connect all pairs found: passes, as many as pay, then the exact comparison of what they may miss."""
+def _find_links(raw: DataFrame, cosine: float, miss: float, block: int, window: int, ranks: int, bits: int, seed: int, form: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect all pairs found, and the tables they are read from: passes, as many as pay, then the exact
+    comparison of what they may miss."""
     if not raw.count():
-        return raw.sparkSession.createDataFrame([], "a long, b long")
+        return raw.sparkSession.createDataFrame([], "a long, b long"), []
     rounds, chances, done, more = [], None, 0, ROUND
     while more > 0:
         found = _passes(raw, done, ROUND, cosine, window, ranks, bits, seed, form)
@@ -297,7 +298,7 @@ def _find_links(raw: DataFrame, cosine: float, miss: float, block: int, window:
     links = links.filter("a <> b").select("a", "b")
     left = chances.filter(~(F.col("chance") <= math.log(miss))).select("node")
     n_left = left.count()
-    return links.unionByName(_rest(raw, left, n_left, block, cosine, form)) if n_left else links
+    return links.unionByName(_rest(raw, left, n_left, block, cosine, form)) if n_left else links, [*rounds, chances]
 
 
 def embedding_duplicates(
@@ -324,8 +325,10 @@ def embedding_duplicates(
     reps = written(grouped.withColumn("node", F.xxhash64("first", "vector")), "vectors")
     raw = written(_raw(reps, form), "raw-vectors")
 
-    links = _rest(raw, raw, raw.count(), block, cosine, form) if exact else _find_links(raw, cosine, miss, block, window, ranks, bits, seed, form)
+    links, used = (_rest(raw, raw, raw.count(), block, cosine, form), []) if exact else _find_links(raw, cosine, miss, block, window, ranks, bits, seed, form)
     classes = written(connected_components(links), "classes")
+    for table in used:
+        drop_table(table)
 
     sized = classes.groupBy("component").agg(F.count("*").alias("n"))
     size = F.least(F.lit(CLASS_MOST), F.greatest(F.lit(CLASS_LEAST), F.ceil(F.col("n") / CLASS_BLOCKS)))

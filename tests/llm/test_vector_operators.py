@@ -439,3 +439,24 @@ def test_exact_embeddings(spark):
     got = {r.vec_id: r for r in embedding_duplicates(rows, exact=True, block=100).collect()}
     assert [got[i].n_links for i in range(600)] == near.sum(axis=1).tolist()
     assert [got[i].component_id for i in range(600)] == classes(600, np.argwhere(near).tolist())
+
+
+@pytest.mark.parametrize("case", ["odd", "empty", "no labels"])
+def test_pipeline_on_odd_tables(spark, tmp_path, case):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and tables without rows."""
+    long = " ".join(f"word{i % 977}q{i % 31}" for i in range(40_000))
+    rows = [
+        (1, None, "en", "s0", None), (2, "", None, "s0", 0), (3, long, "en", None, 9), (4, long + " tail", "en", "s1", 9), (5, "one text of its own here and no more", "en", "s1", 3), (5, "quite another text under that same id", "en", "s1", 3),
+        (6, "a repeated row", "en", "s1", 1), (6, "a repeated row", "en", "s1", 1), (None, "a text without an id", "en", "s1", 1), (None, "a text without an id", "en", "s1", 1), (7, "a leaked line of the test set stands in here for all to see", "en", "s1", 2),
+    ]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, columns).withColumns({"n_lines": F.lit("x"), "words": F.lit(1), "key": F.lit(2), "node": F.lit(3), "hash": F.lit(4), "severity": F.lit(5), "host": F.lit(6)})
+    (docs.limit(0) if case == "empty" else docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "leaked line of the test set stands in here for all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.filter("false" if case == "no labels" else "true").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = Counter((r.doc_id, r.n_tokens) for r in out)
+    size = lambda t: len(codec().encoding.encode_ordinary(t))
+    wanted = Counter({(1, 0): 1, (3, size(long)): 1, (5, size(rows[4][1])): 1, (5, size(rows[5][1])): 1, (6, size("a repeated row")): 1, (None, size("a text without an id")): 2})
+    assert kept == (Counter() if case == "empty" else wanted)
