@@ -1,4 +1,4 @@
-"""Command line: features, split, preprocessing, profile, training and scores over files of transactions.
+"""Command line: features, split, preprocessing, profile, training, networks, blends, states and records over files of transactions.
 
     python -m tallystream features IN OUT [--windows 1h,6h,24h] [--csv] [--force]
     python -m tallystream split DEVELOPMENT HOLDOUT MANIFEST [--fraction 0.2] [--force]
@@ -6,6 +6,10 @@
     python -m tallystream transform FEATURES STATE OUT --keep k1,k2 [--force]
     python -m tallystream profile IN OUT [--force]
     python -m tallystream train MATRIX REPORT MODEL --kind logistic --label y [--tries 4] [--force]
+    python -m tallystream network MATRIX REPORT NETWORK --label y [--tries 4] [--force]
+    python -m tallystream blend SCORES BLEND --label y --scores a,b,c [--force]
+    python -m tallystream state IN STATE [--windows 1h,6h,24h] [--csv] [--force]
+    python -m tallystream record TABLE RECORD [--force]
 
 Tables are Parquet, or CSV files of the raw schema with --csv. Results are written once unless --force is given.
 """
@@ -18,8 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.functions.scalars import haversine_km
-from tallystream.operators import preprocess, profile, split, velocity
+from tallystream.operators import fusion, neural, preprocess, profile, split, velocity
 from tallystream.sources import artifacts, tables
+from tallystream.streaming import activity
+
+#: Rows of a partition that a network is trained on, at most.
+NETWORK_ROWS = 100_000
 
 
 def _read(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
@@ -33,13 +41,13 @@ def _names(text: str | None) -> tuple[str, ...]:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tallystream", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"features": ["source", "target"], "split": ["source", "holdout", "target"], "fit": ["source", "target"], "transform": ["source", "state", "target"], "profile": ["source", "target"], "train": ["source", "report", "target"]}.items():
+    for name, args in {"features": ["source", "target"], "split": ["source", "holdout", "target"], "fit": ["source", "target"], "transform": ["source", "state", "target"], "profile": ["source", "target"], "train": ["source", "report", "target"], "network": ["source", "report", "target"], "blend": ["source", "target"], "state": ["source", "target"], "record": ["source", "target"]}.items():
         p = commands.add_parser(name)
         for a in args:
             p.add_argument(a)
         p.add_argument("--force", action="store_true")
         p.add_argument("--csv", action="store_true")
-        for option in ("windows", "numeric", "frequency", "nominal", "log1p", "keep", "kind", "label"):
+        for option in ("windows", "numeric", "frequency", "nominal", "log1p", "keep", "kind", "label", "scores"):
             p.add_argument(f"--{option}")
         p.add_argument("--fraction", type=float, default=0.2)
         p.add_argument("--tries", type=int, default=4)
@@ -66,6 +74,24 @@ def main(argv: list[str] | None = None) -> None:
         profile.summary(rows, "is_fraud", "amt", ["cc_num", "merchant", "category", "state"]).write.mode(mode).parquet(f"{a.target}/summary")
         for name, key in profile.calendar_keys(F.to_timestamp("trans_date_trans_time")).items():
             profile.label_counts(rows, "is_fraud", **{name: key}).write.mode(mode).parquet(f"{a.target}/{name}")
+    elif a.command == "state":
+        windows = tuple(velocity.parse_window(w) for w in _names(a.windows)) or (3600, 21600, 86400)
+        config = velocity.VelocityConfig(windows)
+        activity.save_snapshot(activity.state_snapshot(rows, config), config, a.target, overwrite=a.force)
+    elif a.command == "record":
+        artifacts.write_json(a.target, artifacts.table_record(rows), overwrite=a.force)
+    elif a.command == "blend":
+        chosen = fusion.choose(rows, a.label or "is_fraud", fusion.candidates(list(_names(a.scores))))
+        artifacts.write_json(a.target, chosen.to_dict({}), overwrite=a.force)
+    elif a.command == "network":
+        label = a.label or "is_fraud"
+        features = [c for c in rows.columns if c.startswith(("num__", "freq__", "cat__"))]
+        key = next(c for c in rows.columns if c not in (*features, label, "partition"))
+        parts = {p: profile.bottom_k(rows.filter(F.col("partition") == p), key, NETWORK_ROWS).select(label, *features).toPandas() for p in ("train", "validation")}
+        data = {p: (d[features].to_numpy(dtype=float), d[label].to_numpy()) for p, d in parts.items()}
+        fitted, report = neural.search("feed_forward", features, *data["train"], *data["validation"], tries=a.tries)
+        artifacts.write_json(a.report, report, overwrite=a.force)
+        artifacts.write_json(a.target, neural.to_dict(fitted.model, features), overwrite=a.force)
     else:
         from pyspark.ml.feature import VectorAssembler
 
@@ -75,8 +101,8 @@ def main(argv: list[str] | None = None) -> None:
         features = [c for c in rows.columns if c.startswith(("num__", "freq__", "cat__"))]
         parts = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(label))
         found = models.search(a.kind or "logistic", parts.filter("partition = 'train'"), parts.filter("partition = 'validation'"), tries=a.tries)
-        artifacts.write_json(a.report, found.report, overwrite=a.force)
-        models.save(found.model, a.target, overwrite=a.force)
+        seal = models.save(found.model, a.target, overwrite=a.force)
+        artifacts.write_json(a.report, artifacts.sealed(found.report | {"model_sha256": seal}), overwrite=a.force)
 
 
 if __name__ == "__main__":
