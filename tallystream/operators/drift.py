@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.ranges import cuts, cuts_by, exact_quantiles, range_of, value_counts
 from tallystream.functions.scalars import drift_status, logit, sigmoid
+from tallystream.operators.checks import enforce
+from tallystream.operators.preprocess import number_rules
 from tallystream.operators.profile import bottom_k
 from tallystream.sources.artifacts import opened, sealed
 from tallystream.sources.shared import drop_table, written
@@ -132,6 +134,7 @@ class DriftDetector:
     def fit(cls, df: DataFrame, features: list[str], key: str, config: DriftConfig = DriftConfig()) -> DriftDetector:
         """From at most ``config.max_rows`` rows of the smallest hash of the key."""
         rows = written(bottom_k(df, key, config.max_rows, config.seed).select(*features), "drift-sample")
+        enforce(rows, number_rules(rows, features))
         long, edges = unpivot(rows, features), bin_edges(rows, features, config.bins)
         shares: dict = {}
         for r in proportions(long, edges, config.epsilon).orderBy("feature", "bin").collect():
@@ -141,8 +144,9 @@ class DriftDetector:
 
     def evaluate(self, df: DataFrame, key: str) -> DataFrame:
         """Per feature: psi, status and mean shift."""
-        spark = df.sparkSession
-        long = unpivot(bottom_k(df, key, self.config.max_rows, self.config.seed), self.features)
+        spark, rows = df.sparkSession, bottom_k(df, key, self.config.max_rows, self.config.seed)
+        enforce(rows, number_rules(rows, self.features))
+        long = unpivot(rows, self.features)
         edges = spark.createDataFrame(list(self.edges.items()), "feature string, edges array<double>")
         known = spark.createDataFrame([(f, i, s) for f, shares in self.shares.items() for i, s in enumerate(shares)], "feature string, bin int, r double")
         base = spark.createDataFrame([(f, *s) for f, s in self.stats.items()], "feature string, mean double, std double")

@@ -119,6 +119,16 @@ class Preprocessor:
         out = self.transform(df.select("*"), [*keep, *[self._level(c).alias(c) for c in self.config.nominal]])
         return out.drop(*[n for n in self.names() if n.startswith("cat__")])
 
+    def from_sampler_frame(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """The matrix of a sampler frame (and of synthetic rows like it): numbers and shares must be finite, categories be known
+        levels."""
+        numbers = [n for n in self.names() if not n.startswith("cat__")]
+        require_columns(df, [*numbers, *self.config.nominal])
+        rules = {n: F.coalesce(~F.isnan(f"`{n}`") & (F.abs(F.col(f"`{n}`")) != float("inf")), F.lit(False)) for n in numbers}
+        enforce(df, rules | {c: F.col(c).isin(self.levels[c]) for c in self.config.nominal})
+        encoded = [(F.col(c) == v).cast("float").alias(f"cat__{c}__{v}") for c in self.config.nominal for v in self.levels[c]]
+        return df.select(*keep, *[F.col(f"`{n}`").cast("float").alias(n) for n in numbers], *encoded)
+
     def to_dict(self) -> dict:
         c = self.config
         config = {"numeric": list(c.numeric), "frequency": list(c.frequency), "nominal": list(c.nominal), "log1p": list(c.log1p), "nonnegative": list(c.nonnegative), "lower": c.lower, "upper": c.upper}

@@ -36,11 +36,12 @@ def summary(df: DataFrame, label: str, amount: str, distinct: list[str] = ()) ->
     )
 
 
-def missing(df: DataFrame) -> DataFrame:
-    """One row per column: nulls and their share."""
+def missing(df: DataFrame, *, only: bool = False) -> DataFrame:
+    """One row per column: nulls and their share; with ``only``, the columns that have nulls."""
     counts = df.agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in df.columns])
-    return counts.select("__n", F.inline(entries)).select("column", "missing", F.coalesce(F.try_divide("missing", "__n"), F.lit(0.0)).alias("share"))
+    out = counts.select("__n", F.inline(entries)).select("column", "missing", F.coalesce(F.try_divide("missing", "__n"), F.lit(0.0)).alias("share"))
+    return out.filter("missing > 0") if only else out
 
 
 def quality_checks(df: DataFrame, rules: dict[str, Column], known: dict[str, int] | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystream.sources.artifacts import content_digest, opened, sealed
+
 
 def _representative(entity: str, time: str, key: str, row: str) -> Column:
     return F.min(F.struct(F.col(key).alias("k"), F.col(row).alias("r"))).over(Window.partitionBy(entity, time))["r"]
@@ -41,6 +43,33 @@ def add_history(df: DataFrame, length: int, *, entity: str = "cc_num", time: str
     return df.join(past, same).withColumn(name, F.concat("__past", F.array(F.col(item)))).drop("__entity", "__time", "__past")
 
 
+def gather_history(histories: DataFrame, matrix: DataFrame, features: list[str], *, row: str = "row_idx", history: str = "history", name: str = "sequence") -> DataFrame:
+    """Histories of row indexes with the array of these rows' feature vectors, oldest first, as ``name``.
+
+    One join on the row index; a history is bounded, so what is gathered for a row is, too. Raises where a row is missing.
+    """
+    items = histories.select(F.col(row).alias("__row"), F.posexplode(history).alias("__at", "__item"))
+    vectors = matrix.select(F.col(row).alias("__m"), F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("__v"))
+    joined = items.join(vectors, F.col("__item") == F.col("__m"), "left")
+    entry = F.struct(F.col("__at").alias("at"), F.when(F.col("__m").isNull(), F.raise_error("a row of a history is not in the matrix")).otherwise(F.col("__v")).alias("v"))
+    gathered = joined.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias(name))
+    return histories.join(gathered, F.col(row) == F.col("__row")).drop("__row")
+
+
+def index_record(df: DataFrame, *, row: str = "row_idx", name: str = "previous") -> dict:
+    """The sealed record of a pointer index: rows, rows without a predecessor and content, after it was checked."""
+    cold = check_pointers(df, row=row, name=name)
+    rows, seal = content_digest(df, [row, name])
+    return sealed({"type": "sequence_index", "version": 1, "rows": rows, "cold": cold, "content_sha256": seal})
+
+
+def verified_index(df: DataFrame, record: dict, *, row: str = "row_idx", name: str = "previous") -> DataFrame:
+    """``df``, after its record and the pointers were verified."""
+    if opened(record, kind="sequence_index", version=1)["sha256"] != index_record(df, row=row, name=name)["sha256"]:
+        raise ValueError("the pointers are not those of the record")
+    return df
+
+
 def pad_history(history: Column, length: int, fill: Column) -> Column:
     """Fill up to ``length`` items on the right."""
     return F.concat(history, F.array_repeat(fill, length - F.size(history)))

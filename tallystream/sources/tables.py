@@ -37,8 +37,12 @@ def head_by_index(df: DataFrame, rows: int, row: str = "row_idx") -> DataFrame:
     return df.filter(F.col(row) < rows)
 
 
-def chained(first: DataFrame, second: DataFrame, row: str = "row_idx") -> DataFrame:
-    """Two tables one after another, rows numbered through."""
+def chained(first: DataFrame, second: DataFrame, row: str = "row_idx", time: str | None = None) -> DataFrame:
+    """Two tables one after another, rows numbered through. With ``time`` the second must not start before the first ends."""
+    if time is not None:
+        end, start = first.agg(F.max(time)).first()[0], second.agg(F.min(time)).first()[0]
+        if end is not None and start is not None and start < end:
+            raise ValueError("the second table starts before the first one ends")
     start = (first.agg(F.max(row)).first()[0] if first.limit(1).count() else -1) + 1
     return first.unionByName(second.withColumn(row, F.col(row) + start))
 

@@ -262,3 +262,49 @@ def test_latency_and_candidates(spark):
     tried = fusion.candidates(["x", "f", "l"], 12, 0.05)
     assert len(tried) == 24 and all(abs(sum(c["weights"].values()) - 1) < 1e-12 and min(c["weights"].values()) >= 0.05 - 1e-12 for c in tried)
     assert list(tried[1]["weights"].values()) == pytest.approx([0.05 + 0.85 * 0.70, 0.05 + 0.85 * 0.05, 0.05 + 0.85 * 0.25]) and tried[0]["space"] == "probability" and tried[12]["space"] == "logit"
+
+
+def test_gathered_histories_and_index(spark):
+    rows = spark.createDataFrame([(0, "a", 1, "k"), (1, "a", 2, "k"), (2, None, 2, "k"), (3, "a", 3, "k")], "row_idx long, cc_num string, unix_time long, trans_num string")
+    matrix = rows.select("row_idx", (F.col("row_idx") * 10.0).alias("x"), F.lit(1.0).alias("y.z"))
+    histories = sequences.add_history(rows, 2).select("row_idx", "history")
+    got = {r.row_idx: [list(v) for v in r.sequence] for r in sequences.gather_history(histories, matrix, ["x", "y.z"]).collect()}
+    assert got == {0: [[0.0, 1.0]], 1: [[0.0, 1.0], [10.0, 1.0]], 2: [[20.0, 1.0]], 3: [[10.0, 1.0], [30.0, 1.0]]}
+    with pytest.raises(Exception, match="not in the matrix"):
+        sequences.gather_history(histories, matrix.filter("row_idx <> 1"), ["x"]).collect()
+    pointers = sequences.add_pointer(rows).select("row_idx", "previous")
+    record = sequences.index_record(pointers)
+    assert (record["rows"], record["cold"]) == (4, 2) and sequences.verified_index(pointers, record).count() == 4
+    with pytest.raises(ValueError):
+        sequences.verified_index(pointers.withColumn("previous", F.lit(-1)), record)
+
+
+def test_sampler_frames_and_missing(spark):
+    rows = features(spark)
+    fitted = preprocess.fit(rows, CONFIG)
+    frame = fitted.sampler_frame(rows, ["trans_num"])
+    assert fitted.from_sampler_frame(frame, ["trans_num"]).exceptAll(fitted.transform(rows, ["trans_num"])).count() == 0
+    for name, value in (("category", F.lit("zz")), ("num__amt", F.lit(float("nan")))):
+        with pytest.raises(ValueError, match=name):
+            fitted.from_sampler_frame(frame.withColumn(name, value))
+    assert profile.missing(rows.withColumn("gap", F.when(F.col("unix_time") > 1001, 1)), only=True).collect()[0][:2] == ("gap", 2)
+
+
+def test_drift_refuses_odd_numbers(spark):
+    from tallystream.operators.drift import DriftDetector
+
+    rows = spark.range(50).withColumn("x", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("id").cast("double")))
+    with pytest.raises(ValueError, match="x_finite"):
+        DriftDetector.fit(rows, ["x"], "id")
+    detector = DriftDetector.fit(rows.filter("id <> 3"), ["x"], "id")
+    with pytest.raises(ValueError, match="x_finite"):
+        detector.evaluate(rows, "id")
+
+
+def test_tables_in_order_of_time(spark):
+    from tallystream.sources.tables import chained
+
+    rows = spark.createDataFrame([(0, 5), (1, 6)], "row_idx long, unix_time long")
+    assert chained(rows, rows.withColumn("unix_time", F.col("unix_time") + 1), time="unix_time").count() == 4
+    with pytest.raises(ValueError, match="before"):
+        chained(rows, rows, time="unix_time")
