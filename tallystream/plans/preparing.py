@@ -132,10 +132,10 @@ def negative_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smotenc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts after synthetic rows, and whether their numbers and categories stay inside those of the positives."""
+    """All events and synthetic positives, row by row."""
     rows = _events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     out = imbalance.smotenc(rows, "label", "event_id", ["value", "k"], ["event_type"], imbalance.ImbalanceConfig("smotenc", 0.5))
-    return out.groupBy("label", F.col("event_id").isNull().alias("synthetic")).agg(F.count("*").alias("rows"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("event_type").alias("kinds"))
+    return out.select("event_id", "label", "event_type", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"))
 
 
 QUERIES = {
