@@ -20,9 +20,12 @@ NAMES_ROWS = 500_000
 
 
 def _named(docs: DataFrame, names: DataFrame, key: str, text: str) -> tuple[DataFrame, Column]:
-    """``names`` (key, text_hash), broadcast if it was counted to be small, and the condition that a row has such a name (null keys are names)."""
+    """``names`` (key, text_hash), broadcast if it was counted to be small, and the condition that a row has such a name.
+
+    Null keys are names, too.
+    """
     names = names.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
-    small = names.limit(NAMES_ROWS + 1).count() <= NAMES_ROWS
+    small = names.count() <= NAMES_ROWS
     same = F.col(key).cast(names.schema["__key"].dataType).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
     return F.broadcast(names) if small else names, same
 
