@@ -36,10 +36,11 @@ def classes(n, links):
     return [find(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components(spark, hot):
     draw = random.Random(3)
     links = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 380)] + [(500, x) for x in range(501, 560)] + [(5, 5)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), hot).collect()}
     expected = classes(600, links)
     assert all(got[x] == expected[x] for pair in links for x in pair if pair[0] != pair[1])
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
