@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.llm.bpe import encode_documents
+from tallystream.llm.centroids import cluster_vectors
 from tallystream.llm.decontaminate import decontaminate
 from tallystream.llm.embed_dedup import embedding_duplicates
 from tallystream.llm.license_scan import PHRASES, TEMPLATES, WINDOW, _need, scan_licenses
 from tallystream.llm.line_dedup import drop_boilerplate
+from tallystream.llm.neighbours import nearest_neighbours
 from tallystream.llm.secret_scan import scan_secrets
 from tallystream.llm.shared import new_path
 from tallystream.llm.simhash import near_duplicates
 from tallystream.llm.token_shards import write_shards
 from tallystream.llm.toxicity import fit_severity, score_severity
 from tallystream.llm.url_filter import judge_urls
+from tallystream.llm.vector_codes import compress_vectors, with_label_error
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +96,29 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "token-shards"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector coded by codebooks of sixteen parts, its error and that of its label."""
+    found = compress_vectors(_table(spark, sf_dir, "embeddings"))
+    out = with_label_error(found.rows)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vector whose number is divisible by 50."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components with its cluster, and the inertia of clusters and of all."""
+    found = cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    sums = {r["cluster"]: r["s"] for r in found.rows.groupBy("cluster").agg(F.try_sum("distance").alias("s")).collect()}  # a row per centroid
+    whole = sum(sums.values()) if None not in sums.values() else None
+    rows = [(i, sums.get(i), whole if whole is not None and whole < 1 << 63 else None, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(found.centroids)]
+    of = spark.createDataFrame(rows, "number int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.rows.join(F.broadcast(of), F.col("cluster") == F.col("number")).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
@@ -169,9 +196,46 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) A
 """
 
 
+_WHOLE = """w AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_FLOOR = "CAST(floor(CAST(sum({0}) AS DOUBLE) / count(*)) AS BIGINT)"
+
+
+def _lloyd(x: str, start: str, rounds: int) -> str:
+    """Rounds of assignment (aN: id, g, c, d) and new centres (cN: g, c, e) by plain comparison of all pairs, as common table expressions.
+
+    ``x`` has (g, id, v), ``start`` (g, c, e); g is the part position, or one value.
+    """
+    out, centre = [], start
+    for i in range(rounds + 1):
+        out.append(f"p{i} AS (SELECT x.g, x.id, x.v, c.c, CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.e[i]) * (x.v[i] - c.e[i]))) AS BIGINT) AS d FROM {x} x JOIN {centre} c ON x.g = c.g)")
+        out.append(f"a{i} AS MATERIALIZED (SELECT g, id, v, c, d FROM p{i} QUALIFY row_number() OVER (PARTITION BY g, id ORDER BY d, c) = 1)")
+        if i < rounds:
+            out.append(f"m{i} AS (SELECT g, c, list(m ORDER BY k) AS e FROM (SELECT g, c, k, {_FLOOR.format('y')} AS m FROM (SELECT g, c, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS k FROM a{i}) GROUP BY ALL) GROUP BY ALL)")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c.g, c.c, coalesce(m.e, c.e) AS e FROM {centre} c LEFT JOIN m{i} m ON m.g = c.g AND m.c = c.c)")
+            centre = f"c{i + 1}"
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""WITH {_WHOLE},
+x AS (SELECT p AS g, vec_id AS id, x[p * 4 + 1:p * 4 + 4] AS v FROM w, range(16) AS r(p)),
+c0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS c, v AS e FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY id) <= 64),
+{_lloyd("x", "c0", 2)},
+k AS (SELECT id, string_agg(lpad(lower(to_hex(c)), 2, '0'), '' ORDER BY g) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY id),
+s AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY g, c)) AS codebooks_sha256 FROM c2)
+SELECT k.id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY w.label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN w ON w.vec_id = k.id, s"""
+
+OP13_SQL = f"""WITH {_WHOLE},
+x AS (SELECT 0 AS g, vec_id AS id, x AS v FROM w WHERE len(x) = 64),
+c0 AS (SELECT g, row_number() OVER (ORDER BY sha256('2:' || id)) - 1 AS c, v AS e FROM x QUALIFY row_number() OVER (ORDER BY sha256('2:' || id)) <= 40),
+{_lloyd("x", "c0", 5)}
+SELECT id AS vec_id, CAST(a5.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.e, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.c = a5.c"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_license_scan, op4_embedding_dedup, op5_url_filter, op6_toxicity, op7_bpe, op8_simhash, op9_line_dedup, op10_token_shards)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_license_scan, op4_embedding_dedup, op5_url_filter, op6_toxicity, op7_bpe, op8_simhash, op9_line_dedup, op10_token_shards, op11_vector_codes, op12_neighbours, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_license_scan": _license_sql(), "op4_embedding_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_license_scan": _license_sql(), "op4_embedding_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op13_centroids": OP13_SQL}
