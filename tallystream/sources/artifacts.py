@@ -1,20 +1,20 @@
-"""Canonical JSON, digests, write-once files and digest-verified documents, kept on the driver."""
+"""Canonical JSON, digests, write-once documents and digest-verified ones, and records of tables."""
 
 from __future__ import annotations
 
 import gzip
 import hashlib
 import json
-import os
 import platform
 import re
-import tempfile
 from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystream.sources import files
+
 
 def canonical(content: object) -> bytes:
     """Sorted keys, no spaces, UTF-8; NaN and infinities are refused."""
@@ -25,12 +25,9 @@ def digest(content: object) -> str:
     return hashlib.sha256(canonical(content)).hexdigest().upper()
 
 
-def file_digest(path: str | Path, block: int = 1 << 20) -> str:
-    out = hashlib.sha256()
-    with open(path, "rb") as file:
-        while part := file.read(block):
-            out.update(part)
-    return out.hexdigest().upper()
+def file_digest(path: str | Path) -> str:
+    """SHA-256 of a small file, wherever it is stored."""
+    return hashlib.sha256(files.read(path)).hexdigest().upper()
 
 
 def checked_digest(text: str) -> str:
@@ -58,20 +55,14 @@ def opened(document: dict, *, kind: str | None = None, version: int | None = Non
 
 
 def write_json(path: str | Path, document: dict, *, overwrite: bool = False) -> None:
-    """Atomic and write-once: the file appears whole or not at all, and an existing one is kept unless told otherwise."""
-    path = Path(path)
-    if path.exists() and not overwrite:
-        raise FileExistsError(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(handle, "wb") as file:
-        data = json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False).encode()
-        file.write(gzip.compress(data, mtime=0) if path.suffix == ".gz" else data)
-    os.replace(temp, path)
+    """Atomic and write-once, on any file system: the file appears whole or not at all, of several writers one succeeds, and an
+    existing file is kept unless told otherwise. A name that ends in .gz is compressed."""
+    data = json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False).encode()
+    files.write_once(path, gzip.compress(data, mtime=0) if str(path).endswith(".gz") else data, overwrite=overwrite)
 
 
 def read_json(path: str | Path) -> dict:
-    data = Path(path).read_bytes()
+    data = files.read(path)
     out = json.loads(gzip.decompress(data) if str(path).endswith(".gz") else data)
     if not isinstance(out, dict):
         raise ValueError("the document must be an object")

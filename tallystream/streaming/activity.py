@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,7 +28,7 @@ class ActivityState:
 
     def __init__(self, windows: tuple[int, ...], saved: tuple | None = None):
         self.windows = windows
-        self.open, self.open_n, self.open_cents, self.total_n, self.total_cents, times, counts, sums = saved or (-1, 0, 0, 0, 0, [], [], [])
+        self.open, self.open_n, self.open_cents, self.total_n, self.total_cents, times, counts, sums = saved or (None, 0, 0, 0, 0, [], [], [])
         self.buckets = list(zip(times, counts, sums, strict=True))
 
     def saved(self) -> tuple:
@@ -37,9 +37,9 @@ class ActivityState:
 
     def add(self, t: int, amount: int) -> list[int] | None:
         """Counts and cents of each window and of the lifetime before ``t``; None for an event that comes too late."""
-        if t < self.open:
+        if self.open is not None and t < self.open:
             return None
-        if t > self.open:
+        if self.open is None or t > self.open:
             if self.open_n:
                 self.buckets.append((self.open, self.open_n, self.open_cents))
                 self.total_n, self.total_cents = self.total_n + self.open_n, self.total_cents + self.open_cents
@@ -82,46 +82,64 @@ def stream_velocity(events: DataFrame, config: VelocityConfig, key: str, *, on_l
     return source.groupBy("entity").applyInPandasWithState(handle, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def state_snapshot(history: DataFrame, config: VelocityConfig) -> DataFrame:
-    """The state after all rows of ``history``, by entity: what a later file or stream starts from."""
-    rows = history.select(F.col(config.entity).alias("entity"), F.col(config.time).cast("long").alias("t"), cents(F.col(config.amount)).alias("c"))
-    buckets = rows.groupBy("entity", "t").agg(F.count("*").alias("n"), F.sum("c").alias("cents"))
-    last = buckets.groupBy("entity").agg(F.max_by(F.struct("t", "n", "cents"), "t").alias("last"), F.sum("n").alias("all_n"), F.sum("cents").alias("all_cents"))
-    joined = buckets.join(last, "entity").filter((F.col("t") < F.col("last.t")) & (F.col("t") >= F.col("last.t") - max(config.windows)))
-    past = joined.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", "n", "cents"))).alias("past"))
-    part = lambda name: F.coalesce(F.transform("past", lambda b: b[name]), F.array().cast("array<bigint>"))
-    return last.join(past, "entity", "left").select(
-        "entity", F.col("last.t").alias("open"), F.col("last.n").alias("open_n"), F.col("last.cents").alias("open_cents"), (F.col("all_n") - F.col("last.n")).alias("total_n"),
-        (F.col("all_cents") - F.col("last.cents")).alias("total_cents"), part("t").alias("times"), part("n").alias("counts"), part("cents").alias("sums"),
+def _money_rows(rows: DataFrame, config: VelocityConfig) -> DataFrame:
+    """(entity, t, n, c) of rows."""
+    return rows.select(F.col(config.entity).alias("entity"), F.col(config.time).cast("long").alias("t"), F.lit(1).cast("long").alias("n"), cents(F.col(config.amount)).alias("c"))
+
+
+def _buckets(snapshot: DataFrame, config: VelocityConfig) -> DataFrame:
+    """A snapshot as (entity, t, n, c, all_n, all_c): its buckets, the open one included, and a row before the longest window
+    that holds what of the lifetime's totals is in none of them."""
+    total = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+    piece = lambda t, n, c, all_n, all_c: F.struct(t.alias("t"), n.alias("n"), c.alias("c"), all_n.alias("all_n"), all_c.alias("all_c"))
+    zero, col = F.lit(0).cast("long"), F.col
+    past = F.transform(F.arrays_zip(col("times").alias("t"), col("counts").alias("n"), col("sums").alias("c")), lambda b: piece(b["t"], b["n"], b["c"], b["n"], b["c"]))
+    rest = piece(col("open") - max(config.windows) - 1, zero, zero, col("total_n") - total("counts"), col("total_cents") - total("sums"))
+    return snapshot.select("entity", F.inline(F.concat(past, F.array(rest, piece(col("open"), col("open_n"), col("open_cents"), col("open_n"), col("open_cents"))))))
+
+
+def _folded(pieces: DataFrame, config: VelocityConfig) -> DataFrame:
+    """The state of each entity from (entity, t, n, c, all_n, all_c), null entities being one: its last second stays open, and
+    seconds within the longest window before it are kept, of which there are at most as many as the window is long."""
+    buckets = pieces.groupBy("entity", "t").agg(*[F.sum(c).alias(c) for c in ("n", "c", "all_n", "all_c")])
+    last = buckets.groupBy(F.col("entity").alias("__e")).agg(F.max_by(F.struct("t", "n", "c"), "t").alias("last"), F.sum("all_n").alias("__n"), F.sum("all_c").alias("__c"))
+    kept = buckets.filter("n > 0").join(last, F.col("entity").eqNullSafe(F.col("__e"))).filter(F.col("t") >= F.col("last.t") - max(config.windows))
+    one = kept.groupBy("entity").agg(F.first("last").alias("last"), F.first("__n").alias("all_n"), F.first("__c").alias("all_c"), F.array_sort(F.collect_list(F.when(F.col("t") < F.col("last.t"), F.struct("t", "n", "c")))).alias("past"))
+    return one.select(
+        "entity", F.col("last.t").alias("open"), F.col("last.n").alias("open_n"), F.col("last.c").alias("open_cents"), (F.col("all_n") - F.col("last.n")).alias("total_n"), (F.col("all_c") - F.col("last.c")).alias("total_cents"),
+        *[F.col(f"past.{c}").alias(name) for c, name in (("t", "times"), ("n", "counts"), ("c", "sums"))],
     )
 
 
+def state_snapshot(history: DataFrame, config: VelocityConfig) -> DataFrame:
+    """The state after all rows of ``history``, by entity (rows without one are one entity): what a later file or stream starts
+    from."""
+    return _folded(_money_rows(history, config).select("*", F.col("n").alias("all_n"), F.col("c").alias("all_c")), config)
+
+
+def refuse_late(rows: DataFrame, snapshot: DataFrame, config: VelocityConfig) -> None:
+    """Raise if a row is earlier than its entity's open second."""
+    opened_at = snapshot.select(F.col("entity").alias("__e"), F.col("open").alias("__o"))
+    late = rows.select(F.col(config.entity).alias("__r"), F.col(config.time).alias("__t")).join(opened_at, F.col("__r").eqNullSafe(F.col("__e")))
+    if late.filter("__t < __o").limit(1).count():
+        raise ValueError("rows are earlier than the snapshot")
+
+
 def velocity_from_snapshot(df: DataFrame, snapshot: DataFrame, config: VelocityConfig) -> DataFrame:
     """``add_velocity`` of later rows that go on from a snapshot: its buckets stand in for the rows before.
 
     Raises if a row is earlier than its entity's open second.
     """
-    from tallystream.operators.velocity import _money
-    from pyspark.sql import Window
-
-    late = df.join(snapshot, df[config.entity] == snapshot["entity"]).filter(F.col(config.time) < F.col("open")).limit(1).count()
-    if late:
-        raise ValueError("rows are earlier than the snapshot")
+    refuse_late(df, snapshot, config)
     own = df.select(F.col(config.entity).alias("__e"), F.col(config.time).cast("long").alias("__t"), F.lit(1).cast("long").alias("__n"), cents(F.col(config.amount)).alias("__c"), F.struct(*df.columns).alias("__row"))
-    buckets = F.concat(F.arrays_zip(F.col("times").alias("t"), F.col("counts").alias("n"), F.col("sums").alias("c")), F.array(F.struct(F.col("open").alias("t"), F.col("open_n").alias("n"), F.col("open_cents").alias("c"))))
-    older = snapshot.select("entity", "total_n", "total_cents", F.inline(buckets).alias("t", "n", "c"))
-    past = older.select(F.col("entity").alias("__e"), F.col("t").alias("__t"), F.col("n").alias("__n"), F.col("c").alias("__c"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"))
-    rows = own.unionByName(past)
+    older = _buckets(snapshot, config).select(F.col("entity").alias("__e"), F.col("t").alias("__t"), F.col("n").alias("__n"), F.col("c").alias("__c"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.col("all_n").alias("__an"), F.col("all_c").alias("__ac"))
+    rows = own.select("*", F.col("__n").alias("__an"), F.col("__c").alias("__ac")).unionByName(older)
     card = Window.partitionBy("__e").orderBy("__t")
-    base = snapshot.select("entity", (F.col("total_n") - F.coalesce(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))).alias("__bn"), (F.col("total_cents") - F.coalesce(F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))).alias("__bc"))
-    rows = rows.join(base, F.col("__e") == F.col("entity"), "left")
     names, out = config.names(), {}
     for i, w in enumerate([*config.windows, None]):
         frame = card.rangeBetween(Window.unboundedPreceding if w is None else -w, -1)
-        n, c = F.coalesce(F.sum("__n").over(frame), F.lit(0)), F.coalesce(F.sum("__c").over(frame), F.lit(0))
-        if w is None:
-            n, c = n + F.coalesce("__bn", F.lit(0)), c + F.coalesce("__bc", F.lit(0))
-        out |= {names[2 * i]: n, names[2 * i + 1]: _money(c)}
+        n, c = ("__n", "__c") if w is not None else ("__an", "__ac")
+        out |= {names[2 * i]: F.coalesce(F.sum(n).over(frame), F.lit(0)), names[2 * i + 1]: F.coalesce(F.sum(c).over(frame), F.lit(0)) / F.lit(100.0)}
     return rows.withColumns(out).filter("__row is not null").select("__row.*", *names)
 
 
@@ -155,22 +173,6 @@ def load_snapshot(spark: SparkSession, path: str, config: VelocityConfig) -> Dat
 
 def advanced_snapshot(snapshot: DataFrame, rows: DataFrame, config: VelocityConfig) -> DataFrame:
     """The state after further rows, from the state before them; rows earlier than an entity's open second are an error."""
-    late = rows.join(snapshot.select("entity", "open"), F.col(config.entity) == F.col("entity")).filter(F.col(config.time) < F.col("open")).limit(1).count()
-    if late:
-        raise ValueError("rows are earlier than the snapshot")
-    own = rows.select(F.col(config.entity).alias("entity"), F.col(config.time).cast("long").alias("t"), F.lit(1).cast("long").alias("n"), cents(F.col(config.amount)).alias("c"))
-    buckets = F.concat(F.arrays_zip(F.col("times").alias("t"), F.col("counts").alias("n"), F.col("sums").alias("c")), F.array(F.struct(F.col("open").alias("t"), F.col("open_n").alias("n"), F.col("open_cents").alias("c"))))
-    past = snapshot.select("entity", F.inline(buckets).alias("t", "n", "c"))
-    both = own.unionByName(past).groupBy("entity", "t").agg(F.sum("n").alias("n"), F.sum("c").alias("cents"))
-    last = both.groupBy("entity").agg(F.max_by(F.struct("t", "n", "cents"), "t").alias("last"))
-    kept = both.join(last, "entity").filter((F.col("t") < F.col("last.t")) & (F.col("t") >= F.col("last.t") - max(config.windows)))
-    held = kept.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", "n", "cents"))).alias("past"))
-    added = own.groupBy("entity").agg(F.sum("n").alias("own_n"), F.sum("c").alias("own_c"))
-    old = snapshot.select("entity", (F.col("total_n") + F.col("open_n")).alias("old_n"), (F.col("total_cents") + F.col("open_cents")).alias("old_c"))
-    part = lambda name: F.coalesce(F.transform("past", lambda b: b[name]), F.array().cast("array<bigint>"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    joined = last.join(held, "entity", "left").join(added, "entity", "left").join(old, "entity", "left")
-    return joined.select(
-        "entity", F.col("last.t").alias("open"), F.col("last.n").alias("open_n"), F.col("last.cents").alias("open_cents"), (zero("old_n") + zero("own_n") - F.col("last.n")).alias("total_n"),
-        (zero("old_c") + zero("own_c") - F.col("last.cents")).alias("total_cents"), part("t").alias("times"), part("n").alias("counts"), part("cents").alias("sums"),
-    )
+    refuse_late(rows, snapshot, config)
+    own = _money_rows(rows, config).select("*", F.col("n").alias("all_n"), F.col("c").alias("all_c"))
+    return _folded(own.unionByName(_buckets(snapshot, config)), config)
