@@ -110,9 +110,14 @@ def stream_histories_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").cast("long").alias("event_id"), F.size("history").cast("long").alias("length"), F.round(F.aggregate("history", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+def some_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some have no user."""
+    return tables.events(spark, sf_dir).withColumn("user_id", F.when(F.col("user_id") % 13 > 0, F.col("user_id")))
+
+
 def continued_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late events go on from the state that the early ones left."""
-    rows = tables.events(spark, sf_dir)
+    rows = some_unknown(spark, sf_dir)
     at = rows.agg(F.percentile("t", 0.7)).first()[0]
     snapshot = state_snapshot(rows.filter(F.col("t") < at), _CONFIG)
     return velocity_from_snapshot(rows.filter(F.col("t") >= at), snapshot, _CONFIG).select("event_id", "user_id", "t", *_CONFIG.names())
@@ -120,7 +125,7 @@ def continued_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after all events, reached by two steps from the state after the first part."""
-    rows = tables.events(spark, sf_dir)
+    rows = some_unknown(spark, sf_dir)
     first, second = rows.agg(F.percentile("t", F.array(F.lit(0.4), F.lit(0.8)))).first()[0]
     state = state_snapshot(rows.filter(F.col("t") < first), _CONFIG)
     state = advanced_snapshot(state, rows.filter((F.col("t") >= first) & (F.col("t") < second)), _CONFIG)
@@ -128,12 +133,13 @@ def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("entity", "open", "open_n", "open_cents", "total_n", "total_cents", F.size("times").cast("long").alias("buckets"))
 
 
+_SOME = f"(SELECT * REPLACE (CASE WHEN user_id % 13 > 0 THEN user_id END AS user_id) FROM {tables.EVENTS})"
 QUERIES = {f.__name__: f for f in (lr_scores, rf_scores, gbt_scores, mlp_scores, lstm_scores, stream_velocity_events, stream_histories_events, continued_velocity, advanced_state)}
 SQL = {
     "stream_velocity_events": activity.SQL["velocity_events"],
     "stream_histories_events": f"SELECT event_id, count(*) OVER w AS length, round(sum(value) OVER w, 6) AS total FROM {tables.EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
-    "advanced_state": f"""WITH b AS (SELECT user_id, t, count(*) AS n, CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS c FROM {tables.EVENTS} GROUP BY ALL),
+    "advanced_state": f"""WITH b AS (SELECT user_id, t, count(*) AS n, CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS c FROM {_SOME} GROUP BY ALL),
       l AS (SELECT user_id, max(t) AS open, arg_max(n, t) AS open_n, arg_max(c, t) AS open_cents, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM b GROUP BY 1)
-      SELECT l.user_id AS entity, open, open_n, open_cents, l.n - open_n AS total_n, l.c - open_cents AS total_cents, (SELECT count(*) FROM b WHERE b.user_id = l.user_id AND b.t < open AND b.t >= open - 86400) AS buckets FROM l""",
-    "continued_velocity": f"SELECT * FROM ({activity.SQL['velocity_events']}) WHERE t >= (SELECT quantile_cont(t, 0.7) FROM {tables.EVENTS})",
+      SELECT l.user_id AS entity, open, open_n, open_cents, l.n - open_n AS total_n, l.c - open_cents AS total_cents, (SELECT count(*) FROM b WHERE b.user_id IS NOT DISTINCT FROM l.user_id AND b.t < open AND b.t >= open - 86400) AS buckets FROM l""",
+    "continued_velocity": f"SELECT * FROM ({activity._sql(_SOME, 'user_id', 'value', 'event_id, user_id, t', activity.EVENTS)}) WHERE t >= (SELECT quantile_cont(t, 0.7) FROM {tables.EVENTS})",
 }

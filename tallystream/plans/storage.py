@@ -45,7 +45,7 @@ def chained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews of scored orders in two versions of a ledger: the label of the second, all else of the first."""
-    rows = quality.scored(spark, sf_dir).filter(F.col("o_orderkey") % 7 == 0)
+    rows = quality.scored(spark, sf_dir)
     text = {c: F.lit("{}") for c in ledger.LEDGER_COLUMNS if c.endswith(("json", "sha256"))}
     review = rows.select(F.col("o_orderkey").cast("string").alias("prediction_id"), F.lit("2024-01-01").alias("created_at_utc"), F.lit("2024-01-01").alias("updated_at_utc"), F.lit("false_positive").alias("reviewer_label"), F.col("p").alias("fraud_probability"), F.lit(0.5).alias("decision_threshold"), F.lit(1).alias("fraud_flag"), *[v.alias(k) for k, v in text.items()], F.lit(1).alias("context_depth"))
     later = review.filter(F.col("prediction_id").cast("long") % 2 == 0).withColumns({"updated_at_utc": F.lit("2024-02-02"), "reviewer_label": F.lit("confirm_fraud"), "fraud_probability": F.lit(0.0)})
@@ -93,7 +93,7 @@ def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after all events, saved, verified and loaded."""
     config = learning._CONFIG
     path = new_path(spark, "activity-state")
-    save_snapshot(state_snapshot(tables.events(spark, sf_dir), config), config, path)
+    save_snapshot(state_snapshot(learning.some_unknown(spark, sf_dir), config), config, path)
     return load_snapshot(spark, path, config).select("entity", "open", "open_n", "open_cents", "total_n", "total_cents", F.size("times").cast("long").alias("buckets"))
 
 
@@ -141,7 +141,7 @@ SQL = {
     "head_rows": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000",
     "chained_rows": f"""WITH o AS (SELECT o_orderkey AS k, t FROM {tables.ORDERS}), a AS (SELECT t FROM o ORDER BY t LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM o))
       SELECT CASE WHEN t < (SELECT t FROM a) THEN k ELSE k + 1 + (SELECT max(k) FROM o WHERE t < (SELECT t FROM a)) END AS row_idx, t FROM o""",
-    "ledger_versions": f"SELECT CAST(o_orderkey AS VARCHAR) AS prediction_id, '2024-01-01' AS created_at_utc, CASE WHEN o_orderkey % 2 = 0 THEN '2024-02-02' ELSE '2024-01-01' END AS updated_at_utc, CASE WHEN o_orderkey % 2 = 0 THEN 'confirm_fraud' ELSE 'false_positive' END AS reviewer_label, round(p, 6) AS p FROM {quality._S} WHERE o_orderkey % 7 = 0",
+    "ledger_versions": f"SELECT CAST(o_orderkey AS VARCHAR) AS prediction_id, '2024-01-01' AS created_at_utc, CASE WHEN o_orderkey % 2 = 0 THEN '2024-02-02' ELSE '2024-01-01' END AS updated_at_utc, CASE WHEN o_orderkey % 2 = 0 THEN 'confirm_fraud' ELSE 'false_positive' END AS reviewer_label, round(p, 6) AS p FROM {quality._S}",
     "gathered_history": activity.SQL["sequence_values_padded"],
     "sampler_roundtrip": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM orders",
     "causal_clock": f"SELECT o_orderkey, t - 220924800 AS clock, round(coalesce(o_totalprice / nullif(o_orderkey % 3, 0), 0.0), 6) AS ratio, '••••' || right(lpad(CAST(o_custkey AS VARCHAR), 8, '0'), 4) AS customer FROM {tables.ORDERS}",
