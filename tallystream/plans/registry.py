@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package, each with QUERIES (name: function) and SQL (name: text).
-MODULES = ["activity", "profiles", "preparing", "quality", "learning", "storage", "sessions"]
+MODULES = ["activity", "profiles", "preparing", "quality", "learning", "storage", "sessions", "trees"]
 
 
 def _merged(what: str) -> dict:
