@@ -13,8 +13,9 @@ from tallystream.operators.sequences import add_history
 from tallystream.operators.velocity import VelocityConfig
 from tallystream.plans import activity, tables
 from tallystream.sources.shared import new_path
-from tallystream.streaming.activity import advanced_snapshot, state_snapshot, stream_velocity, velocity_from_snapshot
+from tallystream.streaming.activity import advanced_snapshot, load_snapshot, save_snapshot, state_snapshot, velocity_from_snapshot
 from tallystream.streaming.histories import stream_histories
+from tallystream.streaming.keyed import keyed_velocity, stream_snapshot
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 #: Rows and histories that the driver trains a network on, at most.
@@ -99,11 +100,31 @@ _CONFIG = VelocityConfig(activity.EVENTS, "user_id", "t", "value")
 
 
 def stream_velocity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The activity of all events as a stream: equal to the batch result."""
-    out = _drained(stream_velocity(_stream(spark, sf_dir), _CONFIG, "event_id"), spark, sf_dir)
+    """The activity of all events as a stream on keyed states: equal to the batch result."""
+    out = _drained(keyed_velocity(_stream(spark, sf_dir), _CONFIG, "event_id"), spark, sf_dir)
     return out.select(F.col("key").alias("event_id"), F.col("entity").alias("user_id"), "t", *_CONFIG.names())
 
 
+def stream_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late events as a stream that starts from the saved state of the early ones."""
+    rows = tables.events(spark, sf_dir)
+    at = rows.agg(F.percentile("t", 0.7)).first()[0]
+    path = new_path(spark, "activity-state")
+    save_snapshot(state_snapshot(rows.filter(F.col("t") < at), _CONFIG), _CONFIG, path)
+    late = _stream(spark, sf_dir).filter(F.col("t") >= at)
+    out = _drained(keyed_velocity(late, _CONFIG, "event_id", snapshot=load_snapshot(spark, path, _CONFIG)), spark, sf_dir)
+    return out.select(F.col("key").alias("event_id"), F.col("entity").alias("user_id"), "t", *_CONFIG.names())
+
+
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of a stream of all events, read from its checkpoint."""
+    folder = new_path(spark, "stream")
+    stream = keyed_velocity(_stream(spark, sf_dir), _CONFIG, "event_id", delay="3650 days")
+    query = stream.writeStream.format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream_snapshot(spark, folder, _CONFIG).select("entity", "open", "open_n", "open_cents", "total_n", "total_cents", F.size("times").cast("long").alias("buckets"))
+
+
 def stream_histories_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last four event values of every user, as a stream."""
     out = _drained(stream_histories(_stream(spark, sf_dir), 4, entity="user_id", time="t", key="event_id", item="value"), spark, sf_dir)
@@ -133,13 +154,19 @@ def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("entity", "open", "open_n", "open_cents", "total_n", "total_cents", F.size("times").cast("long").alias("buckets"))
 
 
+def _states_sql(source: str) -> str:
+    return f"""WITH b AS (SELECT user_id, t, count(*) AS n, CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS c FROM {source} GROUP BY ALL),
+      l AS (SELECT user_id, max(t) AS open, arg_max(n, t) AS open_n, arg_max(c, t) AS open_cents, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM b GROUP BY 1)
+      SELECT l.user_id AS entity, open, open_n, open_cents, l.n - open_n AS total_n, l.c - open_cents AS total_cents, (SELECT count(*) FROM b WHERE b.user_id IS NOT DISTINCT FROM l.user_id AND b.t < open AND b.t >= open - 86400) AS buckets FROM l"""
+
+
 _SOME = f"(SELECT * REPLACE (CASE WHEN user_id % 13 > 0 THEN user_id END AS user_id) FROM {tables.EVENTS})"
-QUERIES = {f.__name__: f for f in (lr_scores, rf_scores, gbt_scores, mlp_scores, lstm_scores, stream_velocity_events, stream_histories_events, continued_velocity, advanced_state)}
+QUERIES = {f.__name__: f for f in (lr_scores, rf_scores, gbt_scores, mlp_scores, lstm_scores, stream_velocity_events, stream_from_state, stream_states, stream_histories_events, continued_velocity, advanced_state)}
 SQL = {
     "stream_velocity_events": activity.SQL["velocity_events"],
     "stream_histories_events": f"SELECT event_id, count(*) OVER w AS length, round(sum(value) OVER w, 6) AS total FROM {tables.EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
-    "advanced_state": f"""WITH b AS (SELECT user_id, t, count(*) AS n, CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS c FROM {_SOME} GROUP BY ALL),
-      l AS (SELECT user_id, max(t) AS open, arg_max(n, t) AS open_n, arg_max(c, t) AS open_cents, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM b GROUP BY 1)
-      SELECT l.user_id AS entity, open, open_n, open_cents, l.n - open_n AS total_n, l.c - open_cents AS total_cents, (SELECT count(*) FROM b WHERE b.user_id IS NOT DISTINCT FROM l.user_id AND b.t < open AND b.t >= open - 86400) AS buckets FROM l""",
+    "stream_from_state": f"SELECT * FROM ({activity.SQL['velocity_events']}) WHERE t >= (SELECT quantile_cont(t, 0.7) FROM {tables.EVENTS})",
+    "stream_states": _states_sql(tables.EVENTS),
+    "advanced_state": _states_sql(_SOME),
     "continued_velocity": f"SELECT * FROM ({activity._sql(_SOME, 'user_id', 'value', 'event_id, user_id, t', activity.EVENTS)}) WHERE t >= (SELECT quantile_cont(t, 0.7) FROM {tables.EVENTS})",
 }
