@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystream.functions.selection import sketched
 from tallystream.operators import metrics
 from tallystream.operators.trees import Ensemble, Tree
 from tallystream.sources.shared import drop_table, written
@@ -64,10 +65,8 @@ class Boosted:
 
 def bin_edges(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     """Per feature at most ``bins`` - 1 rising values that rows are cut at; a row belongs to the first that it is not above."""
-    shares = [i / bins for i in range(1, bins)]
-    known = lambda c: F.when(~F.isnan(c), F.col(f"`{c}`").cast("double"))
-    found = df.agg(*[F.percentile_approx(known(c), shares, 100 * bins).alias(f"f{i}") for i, c in enumerate(features)]).first()
-    return [sorted(set(found[f"f{i}"] or [])) for i in range(len(features))]
+    columns = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in features}
+    return [sorted(set(found[1:-1])) for found in sketched(df, columns, bins).values()]
 
 
 def _binned(df: DataFrame, features: list[str], label: str, key: str, edges: list[list[float]]) -> DataFrame:

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.ranges import cuts, cuts_by, exact_quantiles, range_of, value_counts
+from tallystream.functions.ranges import cuts, range_of
 from tallystream.functions.scalars import drift_status, logit, sigmoid
+from tallystream.functions.selection import quantiles
 from tallystream.operators.checks import enforce
 from tallystream.operators.preprocess import number_rules
 from tallystream.operators.profile import bottom_k
 from tallystream.sources.artifacts import opened, sealed
-from tallystream.sources.shared import drop_table, written
+from tallystream.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,9 @@ def unpivot(df: DataFrame, features: list[str]) -> DataFrame:
 
 def bin_edges(df: DataFrame, features: list[str], bins: int) -> DataFrame:
     """(feature, edges): distinct inner quantiles of each feature, ascending. Found at once; a row per feature."""
-    counts = written(value_counts(unpivot(df, features).filter(~F.isnan("value"))), "value-counts")
-    found = exact_quantiles(counts, cuts_by(df, features), [i / bins for i in range(1, bins)])
-    drop_table(counts)
+    numbers = df.select(*[F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)])
+    columns = {f: F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")) for i, f in enumerate(features)}
+    found = quantiles(numbers, columns, [i / bins for i in range(1, bins)])
     return df.sparkSession.createDataFrame([(f, sorted(set(v))) for f, v in found.items()], "feature string, edges array<double>")
 
 

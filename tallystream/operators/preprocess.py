@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.functions.ranges import between, cuts_by, df_of, exact_quantiles, value_counts, values_at
+from tallystream.functions.ranges import between
 from tallystream.functions.scalars import age_years, clip, cyclical
+from tallystream.functions.selection import quantiles, sketched, totals_of, values_at_places
 from tallystream.operators.checks import MISSING, UNKNOWN, enforce, fill_category, require_columns, uses_reserved
 from tallystream.operators.split import SplitConfig, load_manifest
 from tallystream.sources.artifacts import content_digest, digest, opened, ordered_digest, sealed
@@ -240,37 +241,38 @@ def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train", by
 
 
 def _number_stats(df: DataFrame, config: PreprocessConfig, n: int) -> dict[str, dict[str, float]]:
-    """Median, bounds, mean and scale of each number, from the counts of its values.
+    """Median, bounds, mean and scale of each number, by passes over the rows that shuffle a few thousandths of the values.
 
     Imputation adds the missing rows at the median, and the logarithm keeps the order, so quantiles of the values to come are
-    found at the same places of the order of the values as they are.
+    found at places of the order of the values as they are.
     """
     names = list(config.numeric)
     if not names:
         return {}
-    counts = written(value_counts(df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (_finite(c) + 0.0).alias("value")) for c in names]))).filter("value is not null")), "value-counts")
-    at = cuts_by(df.select(*[_finite(c).alias(c) for c in names]), names)
-    held = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    found = exact_quantiles(counts, at, [0.5], held)
+    columns = {c: _finite(c) for c in names}
+    rows = df.select(*[columns[c].alias(f"c{i}") for i, c in enumerate(names)])
+    columns = {c: F.col(f"c{i}") for i, c in enumerate(names)}
+    held, sketches = totals_of(rows, columns), sketched(rows, columns)
+    found = quantiles(rows, columns, [0.5], totals=held, sketches=sketches)
     medians = {c: float(found[c][0]) if c in found else 0.0 for c in names}
-    missing = df_of(counts, [(c, medians[c], n - held.get(c, 0)) for c in names if n > held.get(c, 0)], "feature string, value double, n long")
-    whole = counts.unionByName(missing).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    order = rows.agg(*[F.count_if(columns[c] < medians[c]).alias(f"a{i}") for i, c in enumerate(names)], *[F.count_if(columns[c] == medians[c]).alias(f"e{i}") for i, c in enumerate(names)]).first()
     spots = [p * (n - 1) for p in (config.lower, config.upper)]
-    raw = values_at(whole, at, {c: [x for p in spots for x in (math.floor(p), math.ceil(p))] for c in names})
+    places = {}
+    for i, c in enumerate(names):
+        missing, below, equal = n - held[c], order[f"a{i}"], order[f"e{i}"]
+        # The place in the order of the values as they are; None stands for the median, with the missing rows.
+        places[c] = {x: x if x < below else None if x < below + equal + missing else x - missing for p in spots for x in (math.floor(p), math.ceil(p))}
+    raw = values_at_places(rows, columns, {c: {x for x in own.values() if x is not None} for c, own in places.items() if any(x is not None for x in own.values())}, held, sketches=sketches)
     final = lambda c, v: math.log1p(v) if c in config.log1p else v
-    bounds = {c: [between(p, {k: final(c, v) for k, v in raw[c].items()}) for p in spots] for c in names}
+    bounds = {c: [between(p, {x: final(c, medians[c] if at is None else raw[c][at]) for x, at in places[c].items()}) for p in spots] for c in names}
 
-    value = F.when(F.col("feature").isin(*config.log1p), F.log1p("value")).otherwise(F.col("value")) if config.log1p else F.col("value")
-    # Moments about the clipped median, which lies near the mean.
+    # Moments about the clipped median, which lies near the mean; missing rows are at the centre and add nothing.
     centre = {c: min(max(final(c, medians[c]), bounds[c][0]), bounds[c][1]) for c in names}
-    table = df_of(counts, [(c, *bounds[c], centre[c]) for c in names], "feature string, low double, high double, centre double")
-    off = clip(value, F.col("low"), F.col("high")) - F.col("centre")
-    sums = whole.join(F.broadcast(table), "feature").groupBy("feature").agg(F.sum(F.col("n") * off).alias("one"), F.sum(F.col("n") * off * off).alias("two"))
-    moments = {r["feature"]: (r["one"] / n, r["two"] / n) for r in sums.collect()}
-    drop_table(counts)
+    off = {c: F.when(columns[c].isNotNull(), clip(logged(columns[c], c in config.log1p), *bounds[c]) - centre[c]) for c in names}
+    sums = rows.agg(*[F.sum(off[c]).alias(f"one{i}") for i, c in enumerate(names)], *[F.sum(off[c] * off[c]).alias(f"two{i}") for i, c in enumerate(names)]).first()
     out = {}
-    for c in names:
-        (low, high), (one, two) = bounds[c], moments[c]
+    for i, c in enumerate(names):
+        (low, high), one, two = bounds[c], (sums[f"one{i}"] or 0.0) / n, (sums[f"two{i}"] or 0.0) / n
         spread = math.sqrt(max(0.0, two - one * one))
         out[c] = {"median": medians[c], "low": low, "high": high, "mean": min(max(centre[c] + one, low), high), "scale": spread if spread >= 1e-12 else 1.0}
     return out

@@ -1,28 +1,21 @@
-"""Causal activity as a stream, with state per entity.
+"""States of causal activity by entity: made of rows, saved and verified, gone on from, and advanced.
 
-An event's second stays open until a later second of the entity arrives, whatever micro-batch that is in: events of one second
-see the same past even if they come in different batches. Rows of a batch are put in order inside the handler. An event earlier
-than the open second is an error, or goes to the output with ``late`` set, as the configuration says; it is never dropped.
+An event's second stays open until a later second of the entity arrives: events of one second see the same past even if they come
+in different batches. The stream on such states is in ``keyed``.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallystream.functions.scalars import cents
 from tallystream.operators.checks import enforce
 from tallystream.operators.velocity import VelocityConfig
 from tallystream.sources.artifacts import canonical, sealed, table_record, verified_table
 
-STATE = "open long, open_n long, open_cents long, total_n long, total_cents long, times array<long>, counts array<long>, sums array<long>"
-
-
 class ActivityState:
     """Committed buckets inside the longest window, lifetime totals, and the open bucket."""
 
@@ -54,34 +47,6 @@ class ActivityState:
         return [*out, self.total_n, self.total_cents]
 
 
-def stream_velocity(events: DataFrame, config: VelocityConfig, key: str, *, on_late: str = "raise") -> DataFrame:
-    """(entity, key, time, late, and the columns of ``config.names()``) of a stream of events.
-
-    ``on_late``: raise, or mark (with nulls). Processed with the output mode append.
-    """
-    if on_late not in ("raise", "mark"):
-        raise ValueError("late events are raised or marked")
-    names, windows = config.names(), config.windows
-    kinds = dict(events.dtypes)
-    source = events.select(F.col(config.entity).alias("entity"), F.col(key).alias("key"), F.col(config.time).cast("long").alias("t"), cents(F.col(config.amount)).alias("cents"))
-
-    def handle(entity: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "key"], kind="stable")
-        kept = ActivityState(windows, state.get if state.exists else None)
-        out = []
-        for row_key, t, amount in zip(rows["key"], rows["t"], rows["cents"], strict=True):
-            got = kept.add(int(t), int(amount))
-            if got is None and on_late == "raise":
-                raise ValueError(f"an event of {entity[0]} at {t} is earlier than one at {kept.open}")
-            out.append([entity[0], row_key, t, got is None, *([None] * len(names) if got is None else [x if i % 2 == 0 else x / 100.0 for i, x in enumerate(got)])])
-        state.update(kept.saved())
-        yield pd.DataFrame(out, columns=["entity", "key", "t", "late", *names])
-
-    columns = ", ".join(f"`{n}` {'long' if i % 2 == 0 else 'double'}" for i, n in enumerate(names))
-    schema = f"entity {kinds[config.entity]}, key {kinds[key]}, t long, late boolean, {columns}"
-    return source.groupBy("entity").applyInPandasWithState(handle, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def _money_rows(rows: DataFrame, config: VelocityConfig) -> DataFrame:
     """(entity, t, n, c) of rows."""
     return rows.select(F.col(config.entity).alias("entity"), F.col(config.time).cast("long").alias("t"), F.lit(1).cast("long").alias("n"), cents(F.col(config.amount)).alias("c"))
