@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice, product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,23 +40,31 @@ ANCHORS = [(1 / 3, 1 / 3, 1 / 3), (0.70, 0.05, 0.25), (0.65, 0.10, 0.25), (0.60,
 CONCENTRATION = (4.0, 1.25, 2.5)
 
 
-def candidates(names: list[str], samples: int = 32, least: float = 0.05, seed: int = 42, *, anchors: list[tuple[float, ...]] | None = None, concentration: tuple[float, ...] | None = None) -> list[dict]:
-    """Blends to try, in both spaces: ``anchors`` and random ones, ``samples`` together, each weight at least ``least``.
+def floored(point: Sequence[float], least: float) -> list[float]:
+    """A point of the simplex moved into the smaller one whose weights are at least ``least``."""
+    return [least + (1 - least * len(point)) * w / sum(point) for w in point]
 
-    Three names have the fixed anchors and distribution unless others are given; other numbers of names have the equal blend
-    and one for each name that leads, and a flat distribution.
+
+def blend_points(k: int, seed: int, anchors: Sequence[Sequence[float]] | None = None, concentration: Sequence[float] | None = None) -> Iterator[Sequence[float]]:
+    """Points of the simplex of ``k`` weights without end: anchors, then draws of a Dirichlet distribution.
+
+    Three weights have the fixed anchors and distribution unless others are given; other numbers have the equal blend and one for
+    each weight alone, and a flat distribution.
     """
-    k = len(names)
-    if k < 2 or least <= 0 or least * k >= 1 or samples < 1:
-        raise ValueError("too few names or samples, or too small or large a least weight")
-    if anchors is None:
-        anchors = ANCHORS if k == 3 else [(1 / k,) * k, *[tuple(float(i == j) for j in range(k)) for i in range(k)]]
-    if concentration is None:
-        concentration = CONCENTRATION if k == 3 else (1.0,) * k
-    draws = np.random.default_rng(seed).dirichlet(np.array(concentration), size=max(0, samples - len(anchors)))
-    chosen = [least + (1 - least * k) * np.array(w) for w in [*anchors, *draws][:samples]]
-    rows = [(space, w / w.sum()) for space in SPACES for w in chosen]
-    return [{"candidate": i, "space": space, "weights": dict(zip(names, (float(x) for x in w), strict=True))} for i, (space, w) in enumerate(rows)]
+    fixed = k == 3
+    yield from anchors or (ANCHORS if fixed else [[1.0] * k, *np.eye(k).tolist()])
+    shape = concentration or (CONCENTRATION if fixed else [1.0] * k)
+    draw = np.random.default_rng(seed)
+    while True:
+        yield draw.gamma(shape).tolist()
+
+
+def candidates(names: list[str], samples: int = 32, least: float = 0.05, seed: int = 42, *, anchors: Sequence[Sequence[float]] | None = None, concentration: Sequence[float] | None = None) -> list[dict]:
+    """Blends to try: the first ``samples`` of ``blend_points``, each weight at least ``least``, in every space."""
+    if len(names) < 2 or samples < 1 or not 0 < least < 1 / len(names):
+        raise ValueError("a blend has two names or more and room for its least weights")
+    points = list(islice(blend_points(len(names), seed, anchors, concentration), samples))
+    return [{"candidate": i, "space": space, "weights": dict(zip(names, floored(p, least), strict=True))} for i, (space, p) in enumerate(product(SPACES, points))]
 
 
 def search(df: DataFrame, label: str, tried: list[dict]) -> DataFrame:

@@ -114,7 +114,7 @@ def normalize_batch(df: DataFrame, *, max_rows: int = MAX_BATCH) -> DataFrame:
     given = F.col("unix_time") if "unix_time" in optional else F.lit(None).cast("string")
     rules = {"trans_date_trans_time": at.isNotNull(), "dob": born.isNotNull() & (born <= at.cast("date")), "unix_time": given.isNull() | event_seconds(given).isNotNull()}
     if not checks.enforce(rows, rules | {c: F.col(c) >= 0 for c in NOT_NEGATIVE}):
-        raise ValueError("at least one transaction is required")
+        raise ValueError("an empty batch: submit at least one row")
     rows = rows.withColumn("unix_time", F.coalesce(event_seconds(given), causal_seconds(at)))
     rows = rows.withColumns({"trans_date_trans_time": F.date_format(at, "yyyy-MM-dd HH:mm:ss"), "dob": F.date_format(born, "yyyy-MM-dd")})
     content = [*REQUIRED, "unix_time"]
