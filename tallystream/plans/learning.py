@@ -7,8 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.operators import models, neural
-from tallystream.operators.profile import bottom_k
+from tallystream.operators import averaging, models, neural
 from tallystream.operators.sequences import add_history
 from tallystream.operators.velocity import VelocityConfig
 from tallystream.plans import activity, tables
@@ -18,8 +17,6 @@ from tallystream.streaming.histories import stream_histories
 from tallystream.streaming.keyed import keyed_velocity, stream_snapshot
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-#: Rows and histories that the driver trains a network on, at most.
-SAMPLE, HISTORIES = 20_000, 2_000
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,25 +51,29 @@ _SCALE = np.array([50.0, 100000.0, 0.1, 0.08])
 
 
 def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed-forward scorer trained on at most ``SAMPLE`` rows, applied to all."""
-    rows = _lines(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    sample = bottom_k(rows, "id", SAMPLE).toPandas()
-    x, y = sample[_FEATURES].to_numpy(dtype=float) / _SCALE, sample["label"].to_numpy()
-    cut, config = len(x) * 4 // 5, neural.TrainConfig(hidden=(16,), epochs=4)
-    fitted = neural.train(lambda: neural.FeedForward(len(_FEATURES), config), x[:cut], y[:cut], x[cut:], y[cut:], config)
-    scaled = rows.select("l_orderkey", "l_linenumber", "label", *[(F.col(c) / float(s)).alias(c) for c, s in zip(_FEATURES, _SCALE, strict=True)])
-    return neural.score_rows(scaled, fitted.model, _FEATURES, "p").select("l_orderkey", "l_linenumber", "label", F.round("p", 6).alias("p"))
+    """A feed-forward scorer trained on all early line items, stopped by those after them, and applied to all."""
+    rows = _lines(spark, sf_dir).withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    scaled = rows.select("l_orderkey", "l_linenumber", "label", "key", "t", *[(F.col(c) / float(s)).alias(c) for c, s in zip(_FEATURES, _SCALE, strict=True)])
+    config = neural.TrainConfig(hidden=(16,), epochs=4)
+    fitted = averaging.train_on_all(lambda: neural.FeedForward(len(_FEATURES), config), *_by_time(scaled), config, inputs=_FEATURES)
+    return neural.score_rows(scaled.drop("key", "t"), fitted.model, _FEATURES, "p").select("l_orderkey", "l_linenumber", "label", F.round("p", 6).alias("p"))
 
 
 def lstm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recurrent scorer of each order's history, trained on at most ``HISTORIES`` of them, applied to all."""
+    """A recurrent scorer of each order's history, trained on all early orders, stopped by those after them, and applied to all."""
     rows = tables.orders(spark, sf_dir).withColumn("item", F.array(F.col("o_totalprice") / 5e5, (F.col("t") % 31) / 31.0)).withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
-    histories = add_history(rows, 6, entity="o_custkey", time="t", key="o_orderpriority", row="o_orderkey", value="item").select("o_orderkey", "label", "history")
-    sample = bottom_k(histories, "o_orderkey", HISTORIES).toPandas()
-    x, y = neural.tensor([np.stack(h) for h in sample["history"]], 6), sample["label"].to_numpy()
-    cut, config = len(y) * 4 // 5, neural.TrainConfig(hidden=(8, 8), epochs=2)
-    fitted = neural.train(lambda: neural.Recurrent(2, config), (x[0][:cut], x[1][:cut]), y[:cut], (x[0][cut:], x[1][cut:]), y[cut:], config)
-    return neural.score_histories(histories, fitted.model, "history", 6, "p").select("o_orderkey", "label", F.round("p", 6).alias("p"))
+    histories = add_history(rows, 6, entity="o_custkey", time="t", key="o_orderpriority", row="o_orderkey", value="item").select("o_orderkey", "label", "t", "history")
+    config = neural.TrainConfig(hidden=(8, 8), epochs=2)
+    keyed = histories.withColumn("key", F.col("o_orderkey").cast("string"))
+    fitted = averaging.train_on_all(lambda: neural.Recurrent(2, config), *_by_time(keyed), config, inputs=["history"], length=6)
+    return neural.score_histories(histories.drop("t"), fitted.model, "history", 6, "p").select("o_orderkey", "label", F.round("p", 6).alias("p"))
+
+
+def _by_time(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows before the last fifth of the time span, and those in it."""
+    first, last = rows.agg(F.min("t"), F.max("t")).first()
+    at = first + (last - first) * 4 // 5
+    return rows.filter(F.col("t") < at), rows.filter(F.col("t") >= at)
 
 
 def _drained(stream: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
