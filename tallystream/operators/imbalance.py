@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.operators.checks import duplicate_keys, enforce
+from tallystream.operators.nearest import nearest
 from tallystream.operators.preprocess import Preprocessor, bound_context
 from tallystream.operators.profile import bottom_k, sample_order
 from tallystream.operators.split import SplitConfig
@@ -90,8 +91,8 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
     """Add synthetic positives: between a positive and one of its nearest ones in the numbers, with the neighbours' most
     frequent categories. Synthetic rows have null in all other columns.
 
-    The positives are few (checked, before they are gathered) and go to every task; the positives to start from are spread over
-    tasks, and each one's neighbours are found once, for all rows that start from it.
+    Positives are numbered in the order of their keys, and their neighbours are found exactly (``nearest``), in all tasks. Synthetic
+    row i starts from positive i modulo their number, with random numbers of its own.
     """
     negatives, positives = counts(df, label)
     _, wanted = projected(negatives, positives, config)
@@ -99,38 +100,45 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
         raise ValueError("there must be more positives than neighbours")
     if negatives + wanted > MAX_ROWS or (negatives + wanted) * 8 * (len(numeric) + len(nominal)) > MAX_BYTES:
         raise ValueError("too many rows for synthetic sampling")
-    minority = df.filter(F.col(label) == 1).select(key, *numeric, *nominal).orderBy(key).toPandas()
-    x = minority[numeric].to_numpy(dtype=float)
-    c = minority[nominal].astype(str).to_numpy() if nominal else np.empty((len(x), 0), dtype=str)
-    penalty = float(np.median(x.std(axis=0))) if numeric else 1.0
-    extra, seed, near_by = wanted - positives, config.seed, config.neighbors
+    minority = df.filter(F.col(label) == 1)
+    points = numbered(minority.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]).cast("array<double>").alias("x"), F.array(*[F.col(f"`{c}`").cast("string") for c in nominal]).cast("array<string>").alias("c")), key)
+    spreads = minority.agg(*[F.stddev_pop(F.col(f"`{c}`").cast("double")) for c in numeric]).first() if numeric else []
+    found = nearest(points, config.neighbors, penalty=float(np.median(list(spreads))) if numeric else 1.0)
+    extra, seed = wanted - positives, config.seed
     columns = [*numeric, *nominal]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bases = batch["id"].to_numpy()
-            for start in range(0, len(bases), 128):
-                rows, part = [], bases[start : start + 128]
-                far = ((x[part, None] - x[None]) ** 2).sum(axis=2) + penalty**2 * (c[part, None] != c[None]).sum(axis=2)
-                far[np.arange(len(part)), part] = np.inf
-                for base, near in zip(part, np.argsort(far, axis=1, kind="stable")[:, :near_by], strict=True):
-                    votes = []
-                    for j in range(c.shape[1]):
-                        values, times = np.unique(c[near, j], return_counts=True)
-                        votes.append(values[np.argmax(times)])
-                    for i in range(int(base), extra, len(x)):
-                        draw = np.random.default_rng([seed, i])
-                        other = near[draw.integers(len(near))]
-                        rows.append([*(x[base] + draw.random() * (x[other] - x[base])), *votes])
-                yield pd.DataFrame(rows, columns=columns)
+            rows = []
+            for base, x, near in zip(batch["id"], batch["x"], batch["near"], strict=True):
+                votes = []
+                for j in range(len(nominal)):
+                    values, times = np.unique([e["c"][j] for e in near], return_counts=True)
+                    votes.append(values[np.argmax(times)])
+                for i in range(int(base), extra, positives):
+                    draw = np.random.default_rng([seed, i])
+                    other = np.array(near[draw.integers(len(near))]["x"], dtype=float)
+                    rows.append([*(x + draw.random() * (other - x)), *votes])
+            yield pd.DataFrame(rows, columns=columns)
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{n}` double" for n in numeric] + [f"`{n}` string" for n in nominal])
-    made = df.sparkSession.range(min(extra, len(x))).mapInPandas(make, schema).withColumn(label, F.lit(1))
+    made = found.filter(F.col("id") < extra).select("id", "x", "near").mapInPandas(make, schema).withColumn(label, F.lit(1))
     made = made.select(*[F.col(n).cast(kinds[n]).alias(n) if n in [*columns, label] else F.lit(None).cast(kinds[n]).alias(n) for n in df.columns])
     return df.unionByName(made)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(id, and the other columns): rows numbered from 0 in the order of their keys, as a written table. The driver gets a count per
+    partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0))])]).astype(int).tolist()
+    return placed.select((F.element_at(F.lit(starts), part + 1) + inside).cast("long").alias("id"), *[c for c in rows.columns if c != key])
+
+
 def training_batch(
     df: DataFrame, label: str, key: str, numeric: list[str], nominal: list[str], config: ImbalanceConfig, *, partition: str = "train", fitted: Preprocessor | None = None, by: SplitConfig | None = None
 ) -> tuple[DataFrame, dict]:
