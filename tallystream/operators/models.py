@@ -8,14 +8,19 @@ from itertools import product
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.operators import imbalance, metrics
+from tallystream.operators.forest import Forest, fit_forest
+from tallystream.sources import artifacts, files
 from tallystream.sources.artifacts import digest, opened, sealed
 
+#: File of a saved forest.
+FOREST = "forest.json.gz"
+
 #: Finite grids to draw from.
 SPACES: dict[str, dict[str, list]] = {
     "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "max_iter": [100]},
@@ -29,8 +34,6 @@ def estimator(kind: str, params: dict, *, weight_total: float = 1.0, label: str
     common = {"labelCol": label, "featuresCol": "features", "weightCol": weight}
     if kind == "logistic":
         return LogisticRegression(**common, regParam=1 / (params["C"] * weight_total), elasticNetParam=0.0, standardization=False, maxIter=params["max_iter"])
-    if kind == "forest":
-        return RandomForestClassifier(**common, numTrees=params["trees"], maxDepth=params["depth"], minInstancesPerNode=params["leaf"], seed=seed)
     if kind == "boosted":
         return GBTClassifier(**common, maxIter=params["rounds"], maxDepth=params["depth"], stepSize=params["rate"], seed=seed)
     raise ValueError(f"unknown model {kind}")
@@ -48,7 +51,10 @@ def positive_score(probability: Column) -> Column:
 
 
 def fit(kind: str, params: dict, train: DataFrame, *, label: str = "label", seed: int = 42):
-    """Fit with balanced class weights on (features, label)."""
+    """Fit with balanced class weights on (features, label); a forest balances the sample of each of its trees."""
+    if kind == "forest":
+        imbalance.counts(train, label)
+        return fit_forest(train, trees=params["trees"], depth=params["depth"], leaf=params["leaf"], subset="sqrt", label=label, seed=seed)
     weights = imbalance.class_weights(*imbalance.counts(train, label))
     weighted = train.withColumn("weight", imbalance.weight(F.col(label), weights))
     total = weighted.agg(F.sum("weight")).first()[0]
@@ -56,6 +62,8 @@ def fit(kind: str, params: dict, train: DataFrame, *, label: str = "label", seed
 
 
 def score(model, df: DataFrame, name: str = "p") -> DataFrame:
+    if isinstance(model, Forest):
+        return model.score(df, name)
     out = model.transform(df).withColumn(name, positive_score(F.col("probability")))
     return out.drop("probability", "rawPrediction", "prediction")
 
@@ -87,6 +95,9 @@ def search(kind: str, train: DataFrame, validation: DataFrame, holdout: DataFram
 
 def save(model, path: str, *, overwrite: bool = False) -> str:
     """Write a model, and return the digest of its files."""
+    if isinstance(model, Forest):
+        artifacts.write_json(f"{path}/{FOREST}", model.to_dict(), overwrite=overwrite)
+        return files_digest(SparkSession.active(), path)
     pipeline = PipelineModel(stages=[model])
     (pipeline.write().overwrite() if overwrite else pipeline.write()).save(path)
     return files_digest(SparkSession.active(), path)
@@ -101,6 +112,8 @@ def files_digest(spark: SparkSession, path: str) -> str:
 
 
 def load(path: str):
+    if files.exists(f"{path}/{FOREST}"):
+        return Forest.from_dict(artifacts.read_json(f"{path}/{FOREST}"))
     return PipelineModel.load(path)
 
 
