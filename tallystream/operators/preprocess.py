@@ -17,7 +17,8 @@ from tallystream.functions.scalars import age_years, clip, cyclical
 from tallystream.functions.selection import quantiles, sketched, totals_of, values_at_places
 from tallystream.operators.checks import MISSING, UNKNOWN, enforce, fill_category, require_columns, uses_reserved
 from tallystream.operators.split import SplitConfig, load_manifest
-from tallystream.sources.artifacts import content_digest, digest, opened, ordered_digest, sealed
+from tallystream.sources.artifacts import content_digest, digest, digest_of, digest_parts, opened, sealed
+from tallystream.sources.observed import checked_table
 from tallystream.sources.shared import drop_table, written
 
 KIND, VERSION = "preprocessor", 2
@@ -178,13 +179,17 @@ def number_rules(df: DataFrame, names: list[str], nonnegative: list[str] = ()) -
     return rules
 
 
-def bound_context(df: DataFrame, by: SplitConfig, manifest: dict | None = None) -> dict:
-    """Rows, first and last time, labels and key digest of training rows; with a sealed split manifest they must be those of its
-    training partition, and the manifest's digest is kept."""
-    require_columns(df, [by.time, by.key] + ([by.label] if manifest else []))
-    labels = [F.count_if(F.col(by.label) == v) for v in (0, 1)] if by.label in df.columns else [F.lit(None).cast("long")] * 2
-    first = df.agg(F.count("*"), F.min(by.time), F.max(by.time), *labels).first()
-    out = {"rows": first[0], "first_time": first[1], "last_time": first[2], "negatives": first[3], "positives": first[4], "key_sha256": ordered_digest(df, by.key, by.time)}
+def context_parts(by: SplitConfig, columns: list[str]) -> dict[str, Column]:
+    """Aggregates of training rows that ``bound_context`` is made of."""
+    labels = [F.count_if(F.col(by.label) == v) for v in (0, 1)] if by.label in columns else [F.lit(None).cast("long")] * 2
+    out = {"first_time": F.min(by.time), "last_time": F.max(by.time), "negatives": labels[0], "positives": labels[1]}
+    return {k: v if k in ("first_time", "last_time") or by.label in columns else F.max(v) for k, v in out.items()} | digest_parts(["__t", "__k"])
+
+
+def _bound(rows: int, found: dict, by: SplitConfig, manifest: dict | None) -> dict:
+    out = {"rows": rows} | {k: found[k] for k in ("first_time", "last_time", "negatives", "positives")}
+    # The digest of keys and times that ``ordered_digest`` gives.
+    out["key_sha256"] = digest_of(rows, found)
     if manifest is not None:
         document = load_manifest(manifest)
         if document["roles"] != {"time": by.time, "label": by.label, "key": by.key}:
@@ -196,9 +201,18 @@ def bound_context(df: DataFrame, by: SplitConfig, manifest: dict | None = None)
     return out
 
 
+def bound_context(df: DataFrame, by: SplitConfig, manifest: dict | None = None) -> dict:
+    """Rows, first and last time, labels and key digest of training rows; with a sealed split manifest they must be those of its
+    training partition, and the manifest's digest is kept."""
+    require_columns(df, [by.time, by.key] + ([by.label] if manifest else []))
+    rows = df.withColumns({"__t": F.col(by.time), "__k": F.col(by.key).cast("string")})
+    found = rows.agg(F.count("*").alias("rows"), *[c.alias(name) for name, c in context_parts(by, df.columns).items()]).first().asDict()
+    return _bound(found["rows"], found, by, manifest)
+
+
 def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train", by: SplitConfig | None = None, manifest: dict | None = None, share_path: str | None = None, share_limit: int = SHARE_LIMIT) -> Preprocessor:
-    """Fit on training rows. The rows are read for checks, for the numbers' values and for the categories, once each; the rest
-    works on counts of distinct values, in ranges, so that no task holds a column.
+    """Fit on training rows. These are read once: the columns that are needed are written, and all checks and what identifies the
+    rows ride on that write. The rest reads the written columns, and no task holds one.
 
     Numbers must be missing or finite. With ``by`` the fitted state keeps what identifies the training rows, and with the sealed
     ``manifest`` of a split these must be its own. A frequency column of more than ``share_limit`` levels stays a table below
@@ -211,10 +225,18 @@ def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train", by
     require_columns(df, config.inputs())
     rules = {f"{c}_reserved": ~uses_reserved(F.col(c)) for c in [*config.frequency, *config.nominal]}
     rules |= number_rules(df, list(config.numeric), [*config.log1p, *config.nonnegative])
-    n = enforce(df, rules)
+    names, more = list(config.inputs()), {}
+    rows = df
+    if by is not None:
+        require_columns(df, [by.time, by.key] + ([by.label] if manifest else []))
+        rows = df.withColumns({"__t": F.col(by.time), "__k": F.col(by.key).cast("string")})
+        names += [by.time, by.label, "__t", "__k"]
+        more = context_parts(by, df.columns)
+    df, n, found = checked_table(rows.select(*[c for c in dict.fromkeys(names) if c in rows.columns]), "training-columns", rules, more)
     if not n:
+        drop_table(df)
         raise ValueError("no training rows")
-    context = bound_context(df, by, manifest) if by is not None else {}
+    context = _bound(n, found, by, manifest) if by is not None else {}
     stats = _number_stats(df, config, n)
 
     categories = [*config.frequency, *config.nominal]
@@ -235,8 +257,9 @@ def fit(df: DataFrame, config: PreprocessConfig, *, partition: str = "train", by
     if wide := [c for c in config.nominal if sizes[c] > MOST_LEVELS]:
         raise ValueError(f"a column for each level would be too many: {', '.join(wide)}")
     levels = {c: sorted({r["v"] for r in counts.filter(F.col("feature") == c).collect()} - {MISSING}) + [MISSING, UNKNOWN] for c in config.nominal}
-    if counts is not None:
-        drop_table(counts)
+    for table in (df, counts):
+        if table is not None:
+            drop_table(table)
     return Preprocessor(config, stats, shares, levels, n, context)
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.functions.ranges import cuts, range_of
+from tallystream.functions.selection import totals_of, values_at_places
 from tallystream.operators.checks import duplicate_keys, require_columns, shared_keys
 from tallystream.sources.artifacts import checked_digest, opened, ordered_digest, sealed
+from tallystream.sources.observed import checked_table
+from tallystream.sources.shared import drop_table
 
 MANIFEST = "split"
 
@@ -29,31 +31,29 @@ class SplitConfig:
             raise ValueError("column roles must differ")
 
 
-def boundary_time(df: DataFrame, time: str, fraction: float) -> int:
-    """The time at position floor(n (1 - fraction)) of the ordered rows, from one count by time."""
-    counts = df.groupBy(time).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    position = int(total * (1 - fraction))
-    ranges = counts.withColumn("__p", range_of(F.col(time), cuts(counts, time)))
-    before = 0
-    for r in ranges.groupBy("__p").agg(F.sum("n").alias("n")).orderBy("__p").collect():  # a row per range
-        if position < before + r["n"]:
-            upto = F.sum("n").over(Window.partitionBy("__p").orderBy(time))
-            return ranges.filter(F.col("__p") == r["__p"]).withColumn("__u", upto + before).filter(F.col("__u") > position).agg(F.min(time)).first()[0]
-        before += r["n"]
-    raise ValueError("nothing to split")
+def boundary_time(df: DataFrame, time: str, fraction: float, rows: int | None = None) -> int:
+    """The time at position floor(n (1 - fraction)) of the ordered rows; times are whole seconds."""
+    times = df.select(F.col(time).cast("double").alias("t"))
+    columns = {"t": F.col("t")}
+    total = totals_of(times, columns)["t"] if rows is None else rows
+    if not total:
+        raise ValueError("nothing to split")
+    place = min(total - 1, int(total * (1 - fraction)))
+    return int(values_at_places(times, columns, {"t": {place}}, {"t": total})["t"][place])
 
 
 def split(df: DataFrame, config: SplitConfig = SplitConfig()) -> tuple[DataFrame, DataFrame]:
-    """(train, validation): rows before the boundary time, and the others. Both must have rows; keys must be unique."""
+    """(train, validation): rows before the boundary time, and the others. Both must have rows; keys must be unique and times
+    known. The rows are read once for all checks: their keys and times are written."""
     require_columns(df, [config.time, config.key])
-    if duplicate_keys(df, config.key).limit(1).count():
+    table, n, _ = checked_table(df.select(F.col(config.time).alias("t"), F.col(config.key).alias("k")), "split-keys", {config.time: F.col("t").isNotNull()})
+    if duplicate_keys(table, "k").limit(1).count():
         raise ValueError("keys repeat")
-    at = boundary_time(df, config.time, config.fraction)
-    train, rest = df.filter(F.col(config.time) < at), df.filter(F.col(config.time) >= at)
-    if train.limit(1).count() == 0 or rest.limit(1).count() == 0:
+    at = boundary_time(table, "t", config.fraction, n)
+    if not 0 < table.filter(F.col("t") < at).count() < n:
         raise ValueError("a split side is empty")
-    return train, rest
+    drop_table(table)
+    return df.filter(F.col(config.time) < at), df.filter(F.col(config.time) >= at)
 
 
 def partition_column(time: Column, boundary: int) -> Column:

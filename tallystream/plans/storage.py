@@ -16,11 +16,12 @@ from tallystream.streaming.activity import load_snapshot, save_snapshot, state_s
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as compressed CSV and read again by their schema."""
+    """Orders written as compressed CSV and read again by their schema, with rules that ride on the write and on the read."""
     rows = tables.orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "t")
     path = new_path(spark, "orders-csv")
-    files.write_csv(rows, path, gzip=True)
-    return files.read_csv(spark, path, rows.schema)
+    rules = {"key": F.col("o_orderkey").isNotNull(), "price": F.col("o_totalprice") > 0, "time": F.col("t") >= 0}
+    files.write_csv(rows, path, gzip=True, rules=rules)
+    return files.ingest_csv(spark, path, rows.schema, rules)
 
 
 def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

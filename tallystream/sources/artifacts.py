@@ -10,7 +10,7 @@ import re
 from importlib import metadata
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.sources import files
@@ -77,13 +77,21 @@ def versions() -> dict[str, str]:
     return out
 
 
+def digest_parts(columns: list[str]) -> dict[str, Column]:
+    """Aggregates that ``digest_of`` makes the SHA-256 of rows of: sums of the limbs of 60 bits of the rows' own digests."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return {f"l{i}": F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)}
+
+
+def digest_of(rows: int, parts: dict) -> str:
+    return digest([rows, *[str(parts[f"l{i}"] or 0) for i in range(4)]])
+
+
 def content_digest(df: DataFrame, columns: list[str]) -> tuple[int, str]:
     """(rows, SHA-256) of the rows as a multiset, whatever their order and partitions: digests of rows are added up, so no task
-    gathers rows. Limbs of 60 bits are summed as decimals."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    limbs = df.select(row.alias("d")).select(*[F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"l{i}") for i in range(4)])
-    found = limbs.agg(F.count("*").alias("n"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(4)]).first()
-    return found["n"], digest([found["n"], *[str(found[f"l{i}"] or 0) for i in range(4)]])
+    gathers rows."""
+    found = df.agg(F.count("*").alias("n"), *[c.alias(name) for name, c in digest_parts(columns).items()]).first()
+    return found["n"], digest_of(found["n"], found.asDict())
 
 
 def table_record(df: DataFrame, kind: str = "table") -> dict:
@@ -104,4 +112,8 @@ def verified_table(df: DataFrame, record: dict, kind: str = "table") -> DataFram
 
 def ordered_digest(df: DataFrame, key: str, time: str) -> str:
     """SHA-256 that depends on the keys and on their order by time: each key counts with its time, which fixes the order."""
-    return content_digest(df.select(F.col(time).alias("t"), F.col(key).cast("string").alias("k")), ["t", "k"])[1]
+    return content_digest(key_times(df, key, time), ["t", "k"])[1]
+
+
+def key_times(df: DataFrame, key: str, time: str) -> DataFrame:
+    return df.select(F.col(time).alias("t"), F.col(key).cast("string").alias("k"))

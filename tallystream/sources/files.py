@@ -109,3 +109,14 @@ def delete(path: str) -> None:
     found = _hadoop(path)
     if found:
         found[1].delete(found[2], True)
+
+
+def rename(folder: str, place: str, *, overwrite: bool = False) -> None:
+    """Give a folder its name. ``FileExistsError`` where there is one of that name, unless it is to be replaced."""
+    _, system, at = _hadoop(folder)
+    _, _, to = _hadoop(place)
+    if overwrite:
+        system.delete(to, True)
+    if system.exists(to) or not system.rename(at, to):
+        system.delete(at, True)
+        raise FileExistsError(place)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystream.operators.checks import drop_export_index
+from tallystream.sources import files
+from tallystream.sources.observed import checked_table, observed, refuse
 
 #: Columns of a raw transaction file and their types. Identifiers are text, so that no digit is lost.
 TRANSACTION = T.StructType(
@@ -27,6 +31,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRANSACTION)
     return spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=True).csv(path)
 
 
+def ingest_csv(spark: SparkSession, path: str, schema: T.StructType = TRANSACTION, rules: dict[str, Column] | None = None) -> DataFrame:
+    """A CSV file as a table in the shared folder, whose rows all satisfy the rules; the file is read once."""
+    return checked_table(read_csv(spark, path, schema), "ingested", rules or {})[0]
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names only."""
     return spark.read.options(header=True).csv(path).columns
@@ -47,10 +56,22 @@ def chained(first: DataFrame, second: DataFrame, row: str = "row_idx", time: str
     return first.unionByName(second.withColumn(row, F.col(row) + start))
 
 
-def write_csv(df: DataFrame, path: str, *, gzip: bool = False, overwrite: bool = False) -> None:
-    """Write-once unless told otherwise; Spark commits the whole directory at the end."""
-    out = df.write.mode("overwrite" if overwrite else "errorifexists").options(header=True, lineSep="\n")
-    (out.option("compression", "gzip") if gzip else out).csv(path)
+def write_csv(df: DataFrame, path: str, *, gzip: bool = False, overwrite: bool = False, rules: dict[str, Column] | None = None) -> None:
+    """Write-once unless told otherwise. Rules are checked while rows are written, and a table that breaks one never stands at its
+    place: it is written beside it, and renamed when all rows were found to be right."""
+    if files.exists(path) and not overwrite:
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {path}")
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame) -> None:
+        out = rows.write.options(header=True, lineSep="\n")
+        (out.option("compression", "gzip") if gzip else out).csv(beside)
+
+    broken = observed(df, write, rules or {})["broken"]
+    if broken:
+        files.delete(beside)
+        refuse(broken)
+    files.rename(beside, path, overwrite=overwrite)
 
 
 def write_partitions(df: DataFrame, path: str, partition: str = "partition", *, overwrite: bool = False) -> None:
