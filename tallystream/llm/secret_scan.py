@@ -57,12 +57,11 @@ class Scanner:
             start, b = m.start(), m.end()
             while at < len(taken) and taken[at][2] <= start:
                 at += 1
-            pieces = []  # what the base spans leave of the run
-            for s, _, e in taken[at:]:
-                if s >= b:
-                    break
+            pieces, next_ = [], at  # what the base spans leave of the run
+            while next_ < len(taken) and taken[next_][0] < b:
+                s, _, e = taken[next_]
                 pieces.append((start, s))
-                start = max(start, e)
+                start, next_ = max(start, e), next_ + 1
             for a, e in [*pieces, (start, b)]:
                 run = text[a : min(e, b)]
                 if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run)):
