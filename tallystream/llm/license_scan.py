@@ -1,8 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, or any window of twice a template's words, across line breaks, so that a notice wrapped
-over lines is compared whole. A template is found in a block when the block holds at least ``threshold`` of the template's
-distinct words. For windows the filters below apply to the document first, then its windows are counted.
+A block is any window of twice a template's words, wherever lines break, so that a notice wrapped over lines is compared whole
+and words far apart in a long line are not. A template is found in a block when the block holds at least ``threshold`` of the
+template's distinct words. The filters below apply to the document first, then its windows are counted.
 
 Tokens are ordered by how many documents hold them, rarest first, and the words of blocks and templates are sorted by that
 order; words that no template has cannot be shared and are left out of the blocks. A block that reaches the threshold must hold
@@ -101,7 +101,7 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
     prefixes, seen = _index(docs, templates, threshold, order)
     vocabulary, least = _strings(order), min((_need(len(set(t.split())), threshold) for _, t in templates), default=1)
 
-    base = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("whole"), F.lower(text).alias("lower"), F.explode(F.array(word_array(F.col(text)))).alias("words"))
+    base = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.lower(text).alias("lower"), F.explode(F.array(word_array(F.col(text)))).alias("words"))
     places = []
     for phrase, label in phrases:
         parts = phrase.split()
@@ -111,24 +111,18 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
         found = F.when(possible & (F.size("words") >= len(parts)), _places(parts, label))
         places.append(F.coalesce(found, F.array().cast("array<struct<at:bigint,label:string>>")))
     possible = F.arrays_overlap("words", seen)
-    entry = "array<struct<block:string,run:array<string>>>"
-    lines = F.transform(F.split("whole", "\n"), lambda x: F.struct(x, F.lit(None).cast("array<string>"))).cast(entry)
-    whole = F.array(F.struct(F.lit(None).cast("string"), F.col("words"))).cast(entry)
-    wrapped = F.when(possible & F.contains("whole", F.lit("\n")), whole)
-    none, marker = F.array().cast(entry), F.array(F.struct(F.lit(None).cast("string"), F.lit(None).cast("array<string>"))).cast(entry)
-    entries = F.concat(marker, F.coalesce(F.when(possible, lines), none), F.coalesce(wrapped, none))
-    rows = base.select(key, "text_hash", F.size("words").cast("long").alias("n_words"), F.array_sort(F.concat(*places)).alias("places"), F.explode(entries).alias("entry"))
-    rows = rows.select(key, "text_hash", "n_words", "places", F.col("entry.block").alias("block"), F.col("entry.run").alias("run"))
-    marked = F.col("block").isNull() & F.col("run").isNull()
-    held = F.array_intersect(vocabulary, F.coalesce("run", word_array(F.col("block"))))  # in the global order
+    # A marker row keeps every document; the other row holds the words of one that may have a template.
+    none = F.array().cast("array<array<string>>")
+    entries = F.concat(F.array(F.lit(None).cast("array<string>")), F.coalesce(F.when(possible, F.array("words")), none))
+    rows = base.select(key, "text_hash", F.size("words").cast("long").alias("n_words"), F.array_sort(F.concat(*places)).alias("places"), F.explode(entries).alias("run"))
+    marked = F.col("run").isNull()
+    held = F.array_intersect(vocabulary, "run")  # in the global order
     rows = rows.select("*", F.explode(F.array(F.when(~marked, held))).alias("held")).filter(marked | ((F.size("held") >= least) & F.arrays_overlap("held", seen)))
     rows = rows.select("*", F.posexplode_outer(F.when(~marked, F.col("held"))).alias("place", "word")).filter(marked | F.array_contains(seen, F.col("word")))
     pairs = rows.join(F.broadcast(prefixes), (rows["word"] == prefixes["word"]) & _passes(F.col("held"), F.col("place")), "left").drop(prefixes["word"])
-    shared = F.array_intersect("tokens", "held")
     starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains(F.col("tokens"), F.get("run", i - 1)))
     most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("span")), F.col("tokens")))))
-    enough = F.size(shared) >= F.col("need")
-    pairs = pairs.withColumn("common", F.when(F.col("run").isNull(), F.size(shared)).when(enough, most))
+    pairs = pairs.withColumn("common", F.when(F.size(F.array_intersect("tokens", "held")) >= F.col("need"), most))
     common = F.col("common")
     good = common >= F.col("need")
     per_doc = pairs.groupBy(key, "text_hash").agg(F.max("n_words").alias("n_words"), F.max("places").alias("places"), F.count_if(marked).alias("copies"), F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max(F.when(good, common / F.col("size"))).alias("best"))

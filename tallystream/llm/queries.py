@@ -12,7 +12,7 @@ from tallystream.llm.bpe import encode_documents
 from tallystream.llm.centroids import cluster_vectors
 from tallystream.llm.decontaminate import decontaminate
 from tallystream.llm.embed_dedup import embedding_duplicates
-from tallystream.llm.license_scan import PHRASES, TEMPLATES, WINDOW, _need, scan_licenses
+from tallystream.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from tallystream.llm.line_dedup import drop_boilerplate
 from tallystream.llm.neighbours import nearest_neighbours
 from tallystream.llm.secret_scan import scan_secrets
@@ -168,19 +168,19 @@ SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 
-def _license_sql(threshold: float = 0.85) -> str:
-    """Places by comparing slices, and templates by comparing every line, and every window of texts of several lines, with every template."""
+def _license_sql() -> str:
+    """Places by comparing slices, and templates by comparing every window of twice a template's words: of its distinct words
+    85 % at least, rounded up to whole words."""
     lists = [(label, "[" + ", ".join(f"'{w}'" for w in phrase.split()) + "]", len(phrase.split())) for phrase, label in PHRASES]
     places = ", ".join(f"list_transform(list_filter(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: w[i:i + {n - 1}] = {words}), lambda i: {{'pos': i - 1, 'label': '{label}'}})" for label, words, n in lists)
-    templates = ", ".join(f"({i}, '{label}', [{', '.join(chr(39) + w + chr(39) for w in sorted(set(t.split())))}], {_need(len(set(t.split())), threshold)}, {WINDOW * len(t.split())})" for i, (label, t) in enumerate(TEMPLATES))
+    templates = ", ".join(f"('{label}', '{t}')" for label, t in TEMPLATES)
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS.format('text')} AS w FROM documents),
-p AS (SELECT r, doc_id, text, len(w) AS n, flatten([{places}]) AS p FROM d),
-t AS (SELECT * FROM (VALUES {templates}) AS v(id, label, tokens, need, span)),
-l AS (SELECT r, list_distinct({_WORDS.format('line')}) AS held FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-a AS (SELECT r, w, label, tokens, need, span, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(tokens, w[i]))) AS i FROM d, t WHERE contains(text, chr(10)) AND len(list_intersect(list_distinct(w), tokens)) >= need),
+p AS (SELECT r, doc_id, len(w) AS n, flatten([{places}]) AS p FROM d),
+v AS (SELECT label, string_split(notice, ' ') AS words FROM (VALUES {templates}) AS t(label, notice)),
+t AS (SELECT label, list_distinct(words) AS tokens, CAST(ceil(len(list_distinct(words)) * 85 / 100) AS BIGINT) AS need, 2 * len(words) AS span FROM v),
+a AS (SELECT r, w, label, tokens, need, span, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(tokens, w[i]))) AS i FROM d, t WHERE len(list_intersect(list_distinct(w), tokens)) >= need),
 k AS (SELECT r, label, tokens, need, len(list_intersect(list_distinct(w[i:i + span - 1]), tokens)) AS n FROM a),
-m AS (SELECT r, label, len(list_intersect(held, tokens)) / len(tokens) AS share FROM l, t WHERE len(list_intersect(held, tokens)) >= need UNION ALL SELECT r, label, n / len(tokens) FROM k WHERE n >= need),
-g AS (SELECT r, max(share) AS best, list(DISTINCT label) AS more FROM m GROUP BY r)
+g AS (SELECT r, max(n / len(tokens)) AS best, list(DISTINCT label) AS more FROM k WHERE n >= need GROUP BY r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.pos)) AS BIGINT) AS first_word, CAST(list_max(list_transform(p, lambda x: x.pos)) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(more, [])))), ',') AS labels,
   CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
