@@ -301,6 +301,16 @@ def _find_links(raw: DataFrame, cosine: float, miss: float, block: int, window:
     return links.unionByName(_rest(raw, left, n_left, block, cosine, form)) if n_left else links, [*rounds, chances]
 
 
+def _through_keys(own: DataFrame, reps: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the nodes of each key that has several vectors."""
+    several = own.groupBy(F.col(key).alias("k")).agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low <> high").select("k")
+    rows = own.join(several, F.col(key) == F.col("k"), "left_semi")
+    named = reps.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("vector").alias("rep"), "node")
+    of = rows.join(named, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("vector") == F.col("rep"))).select(F.col(key).alias("k"), "node").distinct()
+    first = of.groupBy(F.col("k").alias("k2")).agg(F.min("node").alias("b"))
+    return of.join(first, F.col("k") == F.col("k2")).filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def embedding_duplicates(
     rows: DataFrame, cosine: float = 0.9, *, miss: float = MISS, exact: bool = False, block: int = BLOCK, window: int = WINDOW, ranks: int = RANKS, bits: int = BITS, seed: int = 7, vector: str = "embedding", key: str = "vec_id"
 ) -> DataFrame:
@@ -309,8 +319,8 @@ def embedding_duplicates(
     Returns per input row the key (an integer), ``n_links`` (long: other rows linked directly), ``component_id`` (smallest key
     reachable by links, itself included) and ``kept`` (key = component_id). Vectors that are null or zero, or hold null or
     non-finite components, and rows with a null key, link with nothing; a null key has a null component and is kept. Vectors
-    of different lengths do not link. Rows that repeat a key are rows of their own, but share a component; equal vectors are
-    linked. No pair below the threshold is linked. A pair at the threshold is missed with a chance of at most about ``miss`` at
+    of different lengths do not link. Rows that repeat a key are rows of their own with links of their own, but those whose
+    vectors may link share a component; equal vectors are linked. No pair below the threshold is linked. A pair at the threshold is missed with a chance of at most about ``miss`` at
     every size and density; ``exact`` compares all pairs instead. Other columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -326,7 +336,7 @@ def embedding_duplicates(
     raw = written(_raw(reps, form), "raw-vectors")
 
     links, used = (_rest(raw, raw, raw.count(), block, cosine, form), []) if exact else _find_links(raw, cosine, miss, block, window, ranks, bits, seed, form)
-    classes = written(connected_components(links), "classes")
+    classes = written(connected_components(links.unionByName(_through_keys(own.filter(F.col("h1").isNotNull()), reps, key))), "classes")
     for table in used:
         drop_table(table)
 
