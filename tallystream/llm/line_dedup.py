@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.llm.shared import written
+from tallystream.llm.shared import fresh, written
 
 #: Lists of boilerplate lines up to which they are broadcast, in lines and hosts together.
 BROADCAST_ROWS = 200_000
@@ -49,23 +49,24 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.08, min_pages: int = 2, *
     one host; repeated rows are pages of their own and stay; a text without boilerplate stays as it is; a line or text of any
     length is handled whole; a share equal to the ratio is not above it; an empty table gives no rows.
     """
-    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host, different=different).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), "boilerplate")
-    size = bad.agg(F.coalesce(F.sum(F.size("__bad") + 1), F.lit(0))).first()[0]
+    p = fresh(docs)
+    bad = written(boilerplate_lines(docs, ratio, min_pages, text=text, host=host, different=different).select(F.col("host").alias(f"{p}host"), F.col("bad").alias(f"{p}bad")), "boilerplate")
+    size = bad.agg(F.coalesce(F.sum(F.size(f"{p}bad") + 1), F.lit(0))).first()[0]
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = docs.select(*columns)
     if size <= broadcast_rows:
-        joined = own.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = own.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col(f"{p}host")), "left")
     else:
-        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = own.withColumn("__own_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        joined = own.join(salted, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__own_salt") == F.col("__salt")), "left")
+        salted = bad.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn(f"{p}own_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        joined = own.join(salted, F.col(host).eqNullSafe(F.col(f"{p}host")) & (F.col(f"{p}own_salt") == F.col(f"{p}salt")), "left")
     lines = F.split(F.col(text), "\n")
-    found = F.when(F.col("__bad").isNotNull(), F.array_intersect("__bad", F.transform(lines, _line_id)))
-    marked = joined.select(*columns, F.explode(F.array(found)).alias("__found"))  # computed once, before it is used for each line
-    hit = F.size(F.coalesce("__found", F.array().cast("array<binary>"))) > 0
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__found"), _line_id(x)), F.lit(False)))
-    out = marked.select(*columns, F.when(hit, kept).alias("__kept"))
+    found = F.when(F.col(f"{p}bad").isNotNull(), F.array_intersect(f"{p}bad", F.transform(lines, _line_id)))
+    marked = joined.select(*columns, F.explode(F.array(found)).alias(f"{p}found"))  # computed once, before it is used for each line
+    hit = F.size(F.coalesce(f"{p}found", F.array().cast("array<binary>"))) > 0
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(f"{p}found"), _line_id(x)), F.lit(False)))
+    out = marked.select(*columns, F.when(hit, kept).alias(f"{p}kept"))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    new = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text))
-    dropped = F.when(F.col("__kept").isNotNull(), n_lines - F.size("__kept")).otherwise(0)
+    new = F.when(F.col(f"{p}kept").isNotNull(), F.array_join(f"{p}kept", "\n")).otherwise(F.col(text))
+    dropped = F.when(F.col(f"{p}kept").isNotNull(), n_lines - F.size(f"{p}kept")).otherwise(0)
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in columns], n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -19,14 +19,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES_ROWS = 500_000
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column's name begins with, for helper columns."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def _named(docs: DataFrame, names: DataFrame, key: str, text: str) -> tuple[DataFrame, Column]:
     """``names`` (key, text_hash), broadcast if it was counted to be small, and the condition that a row has such a name.
 
     Null keys are names, too.
     """
-    names = names.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
+    own = fresh(docs)
+    names = names.select(F.col("key").alias(f"{own}key"), F.col("text_hash").alias(f"{own}hash"))
     small = names.count() <= NAMES_ROWS
-    same = F.col(key).cast(names.schema["__key"].dataType).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    same = F.col(key).cast(names.schema[f"{own}key"].dataType).eqNullSafe(F.col(f"{own}key")) & (F.xxhash64(F.col(text)) == F.col(f"{own}hash"))
     return F.broadcast(names) if small else names, same
 
 
@@ -42,9 +51,8 @@ def keep_one(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFram
         return docs
     names, same = _named(docs, names, key, text)
     rest, some = docs.join(names, same, "left_anti"), docs.join(names, same, "left_semi")
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = some.groupBy(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__hash")).agg(F.first(whole).alias("__row"))
-    return rest.unionByName(one.select("__row.*"))
+    one = some.groupBy(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
+    return rest.unionByName(one.select("row.*"))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,8 +1,14 @@
 import time
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallystream.llm.decontaminate import drop_contaminated
 from tallystream.llm.embed_dedup import embedding_duplicates
 from tallystream.llm.license_scan import scan_licenses
+from tallystream.llm.line_dedup import drop_boilerplate
 from tallystream.llm.secret_scan import Scanner
+from tallystream.llm.shared import fresh, keep_one
 
 
 def test_rows_of_one_key_share_a_component(spark):
@@ -31,3 +37,22 @@ def test_many_keys_in_a_text():
     start = time.process_time()
     base, _ = Scanner().scan(packed)
     assert len(base) == 40_000 and time.process_time() - start < 6
+
+
+def test_helper_columns_clash_with_none(spark):
+    names = ["__key", "__hash", "__row", "__host", "__bad", "__found", "__kept", "__own_salt", "__salt", "__own_lines", "___key", "key", "text_hash", "k", "h", "row", "n_lines"]
+    texts = ["same line\nown a", "same line\nown b", "the quick brown fox jumps over the lazy dog today", None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    assert fresh(docs) == "____"
+    hit = spark.createDataFrame([("i", texts[2])], "item_id string, text string")
+    out = drop_contaminated(docs, hit)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 3] and out.columns == docs.columns
+    for rows in (1, 200_000):  # joined, and broadcast
+        got = {r.doc_id: r for r in drop_boilerplate(docs, 0.3, broadcast_rows=rows).collect()}
+        assert got[0].text == "own a" and got[1].text == "own b" and all(r["__key"] == "__key" and r["__kept"] == "__kept" for r in got.values())
+    line = corpus_pipeline.line_dedup(spark, docs, "")
+    assert line.columns == docs.columns and {r.n_lines for r in line.collect()} == {"n_lines"}
+    twice = docs.unionByName(docs)
+    name = twice.filter("doc_id = 1").select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_hash")).distinct()
+    kept = keep_one(twice, name, "doc_id", "text")
+    assert kept.count() == 7 and kept.columns == docs.columns
