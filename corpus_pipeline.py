@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallystream.llm.bpe import encode_documents
 from tallystream.llm.decontaminate import drop_contaminated
 from tallystream.llm.line_dedup import drop_boilerplate
-from tallystream.llm.shared import drop_table, new_path
+from tallystream.llm.shared import drop_table, fresh, new_path
 from tallystream.llm.simhash import drop_near_duplicates
 from tallystream.llm.toxicity import drop_toxic, fit_severity
 
@@ -33,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; n_chars follows the text."""
-    own = {"n_lines": "__own_lines", "n_dropped": "__own_dropped"}  # columns of these names are replaced by the operator's
+    own = {c: f"{fresh(docs)}{c}" for c in ("n_lines", "n_dropped")}  # columns of these names are replaced by the operator's
     out = drop_boilerplate(docs.withColumnsRenamed(own))
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
     return out.select(*[chars if c == "n_chars" else F.col(own.get(c, c)).alias(c) for c in docs.columns])
