@@ -6,11 +6,18 @@
     python -m tallystream transform FEATURES STATE OUT --keep k1,k2 [--force]
     python -m tallystream profile IN OUT [--force]
     python -m tallystream train MATRIX REPORT MODEL --kind logistic --label y [--tries 4] [--force]
-    python -m tallystream network MATRIX REPORT NETWORK --label y [--tries 4] [--force]
+    python -m tallystream boost MATRIX REPORT TREES --label y --key k [--state STATE] [--rounds 800] [--force]
+    python -m tallystream network MATRIX REPORT NETWORK --label y --key k [--state STATE] [--tries 4] [--force]
+    python -m tallystream index FEATURES POINTERS [--force]
+    python -m tallystream recurrent HISTORIES REPORT NETWORK --label y --key k --length 12 --state STATE [--tries 4] [--force]
     python -m tallystream blend SCORES BLEND --label y --scores a,b,c [--force]
+    python -m tallystream hybrid SCORES REPORT BLEND --label y --scores boosted,feed_forward,recurrent --reports p,q,r [--force]
+    python -m tallystream context PAST ENGINE --length 12 [--windows 1h,6h,24h] [--csv]
     python -m tallystream state IN STATE [--windows 1h,6h,24h] [--csv] [--force]
     python -m tallystream record TABLE RECORD [--force]
 
+A matrix or table of scores has a column ``partition`` (train, validation, holdout). A history column is named ``history``. With
+--state, the file of a fitted preprocessor, reports say which rows and features a model was made from; a hybrid asks that of all.
 Tables are Parquet, or CSV files of the raw schema with --csv. Results are written once unless --force is given.
 """
 
@@ -21,15 +28,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.functions.scalars import haversine_km
-from tallystream.operators import fusion, neural, preprocess, profile, split, velocity
+from tallystream.operators import averaging, boosting, engine, fusion, neural, preprocess, profile, sequences, split, transactions, velocity
 from tallystream.sources import artifacts, tables
 from tallystream.streaming import activity
 
-#: Rows of a partition that a network is trained on, at most.
-NETWORK_ROWS = 100_000
-
-
 def _read(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
     return tables.read_csv(spark, path) if csv else spark.read.parquet(path)
 
@@ -38,28 +40,32 @@ def _names(text: str | None) -> tuple[str, ...]:
     return tuple(x for x in (text or "").split(",") if x)
 
 
+def _features(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.startswith(("num__", "freq__", "cat__"))]
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tallystream", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"features": ["source", "target"], "split": ["source", "holdout", "target"], "fit": ["source", "target"], "transform": ["source", "state", "target"], "profile": ["source", "target"], "train": ["source", "report", "target"], "network": ["source", "report", "target"], "blend": ["source", "target"], "state": ["source", "target"], "record": ["source", "target"]}.items():
+    for name, args in {"features": ["source", "target"], "split": ["source", "holdout", "target"], "fit": ["source", "target"], "transform": ["source", "state", "target"], "profile": ["source", "target"], "train": ["source", "report", "target"], "boost": ["source", "report", "target"], "network": ["source", "report", "target"], "index": ["source", "target"], "recurrent": ["source", "report", "target"], "hybrid": ["source", "report", "target"], "context": ["source", "target"], "blend": ["source", "target"], "state": ["source", "target"], "record": ["source", "target"]}.items():
         p = commands.add_parser(name)
         for a in args:
             p.add_argument(a)
         p.add_argument("--force", action="store_true")
         p.add_argument("--csv", action="store_true")
-        for option in ("windows", "numeric", "frequency", "nominal", "log1p", "keep", "kind", "label", "scores"):
+        for option in ("windows", "numeric", "frequency", "nominal", "log1p", "keep", "kind", "label", "scores", "reports", "key", *([] if name == "transform" else ["state"])):
             p.add_argument(f"--{option}")
         p.add_argument("--fraction", type=float, default=0.2)
         p.add_argument("--tries", type=int, default=4)
+        p.add_argument("--length", type=int, default=12)
+        p.add_argument("--rounds", type=int, default=boosting.BoostConfig.rounds)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     mode = "overwrite" if a.force else "errorifexists"
     rows = _read(spark, a.source, a.csv)
     if a.command == "features":
         windows = tuple(velocity.parse_window(w) for w in _names(a.windows)) or (3600, 21600, 86400)
-        velocity.check_amounts(rows, "amt")
-        places = [F.col(c) for c in ("lat", "long", "merch_lat", "merch_long")]
-        velocity.add_velocity(rows.withColumn("distance_card_merchant_km", haversine_km(*places)), velocity.VelocityConfig(windows)).write.mode(mode).parquet(a.target)
+        transactions.engineer_features(rows, velocity.VelocityConfig(windows)).write.mode(mode).parquet(a.target)
     elif a.command == "split":
         config = split.SplitConfig(a.fraction)
         artifacts.write_json(a.target, split.split_manifest(rows, _read(spark, a.holdout, a.csv), config), overwrite=a.force)
@@ -83,22 +89,42 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "blend":
         chosen = fusion.choose(rows, a.label or "is_fraud", fusion.candidates(list(_names(a.scores))))
         artifacts.write_json(a.target, chosen.to_dict({}), overwrite=a.force)
-    elif a.command == "network":
-        label = a.label or "is_fraud"
-        features = [c for c in rows.columns if c.startswith(("num__", "freq__", "cat__"))]
-        key = next(c for c in rows.columns if c not in (*features, label, "partition"))
-        parts = {p: profile.bottom_k(rows.filter(F.col("partition") == p), key, NETWORK_ROWS).select(label, *features).toPandas() for p in ("train", "validation")}
-        data = {p: (d[features].to_numpy(dtype=float), d[label].to_numpy()) for p, d in parts.items()}
-        fitted, report = neural.search("feed_forward", features, *data["train"], *data["validation"], tries=a.tries)
+    elif a.command == "index":
+        pointers = sequences.add_pointer(rows).select("row_idx", "previous")
+        pointers.write.mode(mode).parquet(a.target)
+        artifacts.write_json(f"{a.target}.json", sequences.index_record(spark.read.parquet(a.target)), overwrite=a.force)
+    elif a.command in ("boost", "network", "recurrent"):
+        label, key = a.label or "is_fraud", a.key or "trans_num"
+        fitted = preprocess.Preprocessor.from_dict(artifacts.read_json(a.state)) if a.state else None
+        features = fitted.names() if fitted else _features(rows)
+        parts = [rows.filter(F.col("partition") == p) for p in ("train", "validation")]
+        if a.command == "boost":
+            found = boosting.fit_boosted(*parts, features, label=label, key=key, config=boosting.BoostConfig(rounds=a.rounds))
+            document, more = found.model.to_dict(), {"average_precision": found.history, "best_round": found.best_round}
+        else:
+            own = {"inputs": features} if a.command == "network" else {"inputs": ["history"], "features": features, "length": a.length}
+            kind = "feed_forward" if a.command == "network" else "recurrent"
+            best, tried = averaging.search(kind, *parts, **own, label=label, key=key, tries=a.tries)
+            document, more = neural.to_dict(best.model, features), {"search": tried}
+        lineage = {"split_sha256": fitted.context.get("split_sha256") or fitted.context.get("key_sha256"), "schema_sha256": fitted.schema_digest()} if fitted else None
+        report = {"type": "model_report", "version": 1, "model": a.command, "model_sha256": document["sha256"], "lineage": lineage} | more
+        artifacts.write_json(a.target, document, overwrite=a.force)
+        artifacts.write_json(a.report, artifacts.sealed(report), overwrite=a.force)
+    elif a.command == "hybrid":
+        reports = dict(zip(_names(a.scores), (artifacts.read_json(p) for p in _names(a.reports)), strict=True))
+        _, document, report = fusion.search_hybrid(*[rows.filter(F.col("partition") == p) for p in ("validation", "holdout")], a.label or "is_fraud", reports)
+        artifacts.write_json(a.target, document, overwrite=a.force)
         artifacts.write_json(a.report, report, overwrite=a.force)
-        artifacts.write_json(a.target, neural.to_dict(fitted.model, features), overwrite=a.force)
+    elif a.command == "context":
+        windows = tuple(velocity.parse_window(w) for w in _names(a.windows)) or (3600, 21600, 86400)
+        engine.ScoringChain.build(spark, a.target, rows, length=a.length, config=velocity.VelocityConfig(windows))
     else:
         from pyspark.ml.feature import VectorAssembler
 
         from tallystream.operators import models
 
         label = a.label or "is_fraud"
-        features = [c for c in rows.columns if c.startswith(("num__", "freq__", "cat__"))]
+        features = _features(rows)
         parts = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(label))
         found = models.search(a.kind or "logistic", parts.filter("partition = 'train'"), parts.filter("partition = 'validation'"), tries=a.tries)
         seal = models.save(found.model, a.target, overwrite=a.force)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallystream.operators import metrics, neural
 from tallystream.operators.neural import FeedForward, Fitted, Recurrent, TrainConfig, Weights
+from tallystream.sources.artifacts import sealed
 from tallystream.sources.shared import drop_table, written
 
 #: Tasks of an epoch unless the session has fewer slots.
@@ -246,3 +247,20 @@ def _scored(rows: DataFrame, model: FeedForward | Recurrent, arrays: Callable[[p
             yield pd.DataFrame({"y": part["y"], "p": model.predict(arrays(part)) if len(part) else []})
 
     return rows.drop("key").mapInPandas(run, "y int, p double")
+
+
+def search(kind: str, train: DataFrame, validation: DataFrame, *, inputs: list[str], features: list[str] | None = None, length: int | None = None, label: str = "label", key: str = "key", tries: int = 4, epochs: int = 20, seed: int = 42, tasks: int | None = None) -> tuple[Fitted, dict]:
+    """Train each drawn configuration on all rows and keep the one of the best average precision (the first wins ties).
+
+    ``features`` names the items of a history's vectors, where ``inputs`` is the column of histories. Returns the network with the
+    sealed report of all that were tried and the digest of its document.
+    """
+    make, names = (FeedForward if kind == "feed_forward" else Recurrent), list(features or inputs)
+    best, rows, chosen = None, [], 0
+    for i, params in enumerate(neural.drawn(kind, tries, seed)):
+        config = TrainConfig(**params, epochs=epochs, seed=seed)
+        fitted = train_on_all(lambda config=config: make(len(names), config), train, validation, config, inputs=inputs, length=length, label=label, key=key, tasks=tasks)
+        rows.append({"candidate": i, "parameters": {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}, "average_precision": fitted.best, "epochs": fitted.epochs})
+        if best is None or fitted.best > best.best:
+            best, chosen = fitted, i
+    return best, sealed({"type": "network_report", "version": 1, "network": kind, "chosen": chosen, "tried": rows, "network_sha256": neural.to_dict(best.model, names)["sha256"]})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.functions.scalars import clip, logit, mask_tail, sigmoid
-from tallystream.operators.metrics import average_precision, best_threshold
+from tallystream.operators.metrics import average_precision, best_threshold, check_probabilities, evaluate
 from tallystream.sources.artifacts import opened, sealed
 from tallystream.sources.tables import write_csv
 
@@ -107,6 +107,41 @@ def choose(df: DataFrame, label: str, tried: list[dict]) -> Hybrid:
     return Hybrid(chosen["weights"], chosen["space"], best["threshold"])
 
 
+#: What the reports of a blend's components must agree on.
+LINEAGE = ("split_sha256", "schema_sha256")
+
+
+def shared_lineage(reports: dict[str, dict]) -> dict:
+    """The lineage that all components' reports have, after each was verified; they must be made from the same rows and features."""
+    if len(reports) < 2:
+        raise ValueError("a blend has two components or more")
+    found = {name: opened(r, kind="model_report", version=1).get("lineage") or {} for name, r in reports.items()}
+    first = next(iter(found.values()))
+    if set(first) != set(LINEAGE) or not all(first.values()):
+        raise ValueError("a report does not say what it was made from")
+    if wrong := sorted(name for name, own in found.items() if own != first):
+        raise ValueError(f"made from other rows or features: {', '.join(wrong)}")
+    return first
+
+
+def search_hybrid(validation: DataFrame, holdout: DataFrame, label: str, reports: dict[str, dict], *, samples: int = 32, least: float = 0.05, seed: int = 42) -> tuple[Hybrid, dict, dict]:
+    """Choose a blend of the components' score columns on validation rows, then score the holdout once, with the frozen blend and
+    threshold. Returns the blend, its document, and a sealed report with the lineage, the candidates and both evaluations."""
+    lineage = shared_lineage(reports)
+    tried = candidates(list(reports), samples, least, seed)
+    for rows in (validation, holdout):
+        for name in reports:
+            check_probabilities(rows, label, name)
+    table = [r.asDict() for r in search(validation, label, tried).collect()]  # a row per candidate
+    best = next(c for c in tried if c["candidate"] == table[0]["candidate"])
+    chosen = Hybrid(best["weights"], best["space"], table[0]["threshold"])
+    document = chosen.to_dict({name: r["model_sha256"] for name, r in reports.items()})
+    scored = {part: chosen.score(rows).select(label, "hybrid_probability") for part, rows in (("validation", validation), ("holdout", holdout))}
+    found = {part: evaluate(rows, label, "hybrid_probability", threshold=chosen.threshold) for part, rows in scored.items()}
+    report = {"type": "hybrid_report", "version": 1, "hybrid_sha256": document["sha256"], "lineage": lineage, "components": {name: r["sha256"] for name, r in reports.items()}, "candidates": table, **found}
+    return chosen, document, sealed(report)
+
+
 def linear_contributions(coefficients: dict[str, float]) -> Column:
     """(feature, contribution) of a linear model, for every row."""
     return F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"`{f}`") * w).alias("contribution")) for f, w in coefficients.items()])

@@ -1,6 +1,6 @@
-"""A feed-forward and a recurrent scorer in numpy: trained on the driver on a bounded sample, applied in Arrow batches.
+"""A feed-forward and a recurrent scorer in numpy, applied in Arrow batches.
 
-Rows to train on are all positives and a multiple of them in negatives, drawn anew each epoch. The weights of the epoch with
+``train`` is for arrays on one machine; ``averaging`` trains on all rows of a table. Rows to train on are all positives and a multiple of them in negatives, drawn anew each epoch. The weights of the epoch with
 the best average precision on validation rows are kept, and training stops after ``patience`` epochs without a better one.
 """
 
@@ -250,15 +250,21 @@ SPACES: dict[str, dict[str, list]] = {
 }
 
 
+def drawn(kind: str, tries: int, seed: int) -> list[dict]:
+    """Distinct points of the grid, in a seeded order."""
+    space = SPACES[kind]
+    grid = [dict(zip(space, values, strict=True)) for values in product(*space.values())]
+    return random.Random(seed).sample(grid, min(tries, len(grid)))
+
+
 def search(kind: str, inputs: list[str], data, y: np.ndarray, valid, y_valid: np.ndarray, *, tries: int = 4, epochs: int = 20, seed: int = 42) -> tuple[Fitted, dict]:
     """Train each drawn configuration and keep the one of the best average precision on validation rows (the first wins ties).
 
     Returns it with the sealed report of all that were tried and the digest of its document.
     """
-    space, make = SPACES[kind], FeedForward if kind == "feed_forward" else Recurrent
-    grid = [dict(zip(space, values, strict=True)) for values in product(*space.values())]
+    make = FeedForward if kind == "feed_forward" else Recurrent
     best, rows = None, []
-    for i, params in enumerate(random.Random(seed).sample(grid, min(tries, len(grid)))):
+    for i, params in enumerate(drawn(kind, tries, seed)):
         config = TrainConfig(**params, epochs=epochs, seed=seed)
         fitted = train(lambda config=config: make(len(inputs), config), data, y, valid, y_valid, config)
         rows.append({"candidate": i, "parameters": {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}, "average_precision": fitted.best, "epochs": fitted.epochs})
