@@ -101,7 +101,7 @@ def distribution_distances(reference: DataFrame, current: DataFrame, value: str)
     total = counts.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     rows = _running(counts, ["a", "b"], "v", [], False)
     # The next distinct value: inside a range by lead, across ranges the next one's first.
-    ranged = rows.withColumn("__p", range_of(F.col("v"), cuts(counts, "v")))
+    ranged = rows.select("*", F.explode(F.array(range_of(F.col("v"), cuts(counts, "v")))).alias("__p"))
     firsts = ranged.groupBy("__p").agg(F.min("v").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("__p"))).select("__p", "after")
     nexts = ranged.withColumn("next", F.lead("v").over(Window.partitionBy("__p").orderBy("v"))).join(F.broadcast(firsts), "__p").crossJoin(F.broadcast(total))
     gap = F.abs(F.col("c_a") / F.col("n_a") - F.col("c_b") / F.col("n_b"))

@@ -38,7 +38,8 @@ def _running(df: DataFrame, values: list[str], order: str, by: list[str], descen
     Rows are summed within ranges of the order first, and the ranges' totals (a row each) are carried over.
     """
     key, at = F.desc(order) if descending else F.asc(order), range_of(F.col(order), cuts(df, order))
-    rows = df.withColumn("__p", -at if descending else at)
+    # A generated column, since Spark may push what it infers from an aliased lambda across the join below to the wrong side.
+    rows = df.select("*", F.explode(F.array(-at if descending else at)).alias("__p"))
     inside = Window.partitionBy(*by, "__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "__p").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
