@@ -1,18 +1,27 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is halved until the parts are small, each part is encoded by itself, and neighbours are joined on the way up.
-Joining two encoded parts keeps every token outside a window around the seam: the window grows outwards from the seam
-until it ends, on both sides, at a *sure boundary*, a place where the splitting pattern ends a match whatever stands
-further away. Merges never cross such a place, so the tokens beyond it are final, and only the window is encoded again.
-Joining is associative with the empty text as its unit; decoding concatenates up the same tree.
+Joining two encoded parts keeps every token outside a window around the seam, and encodes only the window again. There are two
+proofs that the tokens outside are final:
+
+* The window ends, on both sides, at a *sure boundary*, a place where the splitting pattern ends a match whatever stands
+  further away. Merges never cross such a place. Most seams have one within ``REACH`` characters.
+* Else the seam lies within one long match (a run of letters, digits, other characters or white space). The window is some
+  tokens on either side; it doubles until its first and last token are *compatible* with their neighbours outside, which means
+  that the two alone are encoded as themselves. A sequence of tokens is the encoding of its bytes if and only if that holds of
+  all neighbours in it, and inside the two parts it does.
+
+Runs of characters that Unicode 3.2 did not know as letters or digits have no second proof: the window grows to the next sure
+boundary. Joining is associative with the empty text as its unit; decoding concatenates up the same tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +29,35 @@ from pyspark.sql import DataFrame
 
 #: Characters up to which a part is encoded directly.
 LEAF = 1024
-_SPACE = frozenset(" \t\n\r")
-_LETTER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_DIGIT = frozenset("0123456789")
+#: Characters from a seam to look for a sure boundary before windows of tokens are tried; tokens of the first such window on each
+#: side; characters of a run that must follow it (a contraction may take two of them into a match of its own).
+REACH, TOKENS, MARGIN = 64, 8, 4
+_SPACE = frozenset(" \t\n\r\v\f\x85")
+
+
+@cache
+def _kind(c: str) -> str | None:
+    """L, N, S (white space) or O (any other), where a character is of that kind in every version of Unicode since 3.2."""
+    now, old = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]
+    if c in _SPACE:
+        return "S"
+    if c.isspace() or now in "LNZ":
+        return {"L": "L", "N": "N", "Z": "S"}.get(now) if now == old else None
+    return "O" if unicodedata.category(c) != "Cn" and old not in "LNZ" else None
 
 
 def _sure(before: str, after: str) -> bool:
     """Whether a match of the pattern ends between these two characters in any text.
 
-    No alternative has white space after another kind of character, or a letter or digit before an ASCII character of
-    another kind. The contractions ('s, 're, ...) only join an apostrophe to letters, which is none of these.
+    No alternative has white space after another kind of character, a letter or digit before another kind, or a letter or digit
+    after another kind than a space or the apostrophe of a contraction ('s, 're, ...).
     """
-    if after in _SPACE:
-        return not before.isspace()
-    if before in _LETTER:
-        return after < "\x80" and after not in _LETTER
-    return before in _DIGIT and after < "\x80" and after not in _DIGIT
+    a, b = _kind(before), _kind(after)
+    if b == "S":
+        return a != "S" and not before.isspace()
+    if a in ("L", "N"):
+        return b is not None and b != a
+    return a == "O" and before != "'" and b in ("L", "N")
 
 
 class TreeCodec:
@@ -71,18 +93,51 @@ class TreeCodec:
 
     def join(self, text: str, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ids of ``text[lo:hi]`` from those of its two parts."""
-        a = mid
-        while a > lo and (a == hi or not _sure(text[a - 1], text[a])):
-            a -= 1
-        b = mid
-        while b < hi and (b == lo or not _sure(text[b - 1], text[b])):
-            b += 1
+        a, b = self._before(text, max(lo, mid - REACH), mid, hi), self._after(text, lo, mid, min(hi, mid + REACH))
+        if (a is None and mid - REACH > lo) or (b is None and mid + REACH < hi):
+            joined = self._join_match(text, lo, mid, hi, left, right)
+            if joined is not None:
+                return joined
+            a, b = self._before(text, lo, mid, hi), self._after(text, lo, mid, hi)
+        a, b = lo if a is None else a, hi if b is None else b
         if a == b:
             return np.concatenate([left, right])
         keep = len(left) - self._count(left[::-1], len(text[a:mid].encode()))
         skip = self._count(right, len(text[mid:b].encode()))
         return np.concatenate([left[:keep], self._leaf(text[a:b]), right[skip:]])
 
+    @staticmethod
+    def _before(text: str, lo: int, mid: int, hi: int) -> int | None:
+        """The last sure boundary from ``mid`` back to after ``lo``."""
+        return next((i for i in range(mid, lo, -1) if i < hi and _sure(text[i - 1], text[i])), None)
+
+    @staticmethod
+    def _after(text: str, lo: int, mid: int, hi: int) -> int | None:
+        """The first sure boundary from ``mid`` on to before ``hi``."""
+        return next((i for i in range(mid, hi) if i > lo and _sure(text[i - 1], text[i])), None)
+
+    def _join_match(self, text: str, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+        """The joined ids where the seam lies within one match, by growing windows of tokens; None where it ends too near."""
+        k, kind = TOKENS, _kind(text[mid])
+        while kind is not None and k < min(len(left), len(right)):
+            # A token has at most as many characters as bytes; the tokens next to the window must be of the same match, too.
+            start, end = mid - int(self.widths[left[-k - 1 :]].sum()) - MARGIN, mid + int(self.widths[right[: k + 1]].sum()) + MARGIN
+            if start < lo or end > hi or any(_kind(c) != kind for c in text[start:end]):
+                return None
+            window = self._piece(b"".join(self.tokens[i] for i in (*left[-k:].tolist(), *right[:k].tolist())))
+            if self._compatible(int(left[-k - 1]), window[0]) and self._compatible(window[-1], int(right[k])):
+                return np.concatenate([left[:-k], np.array(window, dtype=left.dtype), right[k:]])
+            k *= 2
+        return None
+
+    def _piece(self, data: bytes) -> list[int]:
+        """The ids of bytes within one match."""
+        return self.encoding._encode_single_piece(data)
+
+    def _compatible(self, one: int, two: int) -> bool:
+        """Whether two neighbouring tokens alone are encoded as themselves."""
+        return self._piece(self.tokens[one] + self.tokens[two]) == [one, two]
+
     def _count(self, ids: np.ndarray, width: int) -> int:
         """How many of the first ids make up exactly ``width`` bytes."""
         if width == 0:
