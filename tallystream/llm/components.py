@@ -20,13 +20,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _with_least(links: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``links`` (u, v) with m of the node u in ``least`` (n, m, degree); nodes of more than ``most`` links are broadcast."""
+    hot = least.filter(F.col("degree") > most).select(F.col("n").alias("hot"), F.col("m").alias("hot_m"))
+    marked = links.join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")
+    rest = marked.filter("hot is null").join(least.filter(F.col("degree") <= most), F.col("u") == F.col("n")).select("u", "v", "m")
+    return marked.filter("hot is not null").select("u", "v", F.col("hot_m").alias("m")).unionByName(rest)
+
+
 def connected_components(links: DataFrame, hot_links: int = HOT_LINKS, hot_nodes: int = HOT_NODES) -> DataFrame:
     """Label the nodes of ``links`` (a, b: long) with the smallest node that links reach: one row (node, component) per node.
 
     Large-star and small-star rounds on the shrinking set of links until they are stars. Smallest neighbours are found by
     aggregation and joined back, so no node's neighbours are gathered; each round is a table in the shared folder. A node with
-    so many links that at most ``hot_nodes`` nodes can have as many (and ``hot_links`` at least) would be one task of that join:
-    such nodes are broadcast instead. Links of a node with itself are ignored; repeated links count once; no links give no rows.
+    so many links that at most ``hot_nodes`` nodes can have as many (and ``hot_links`` at least) would be one task of these joins,
+    in a large-star round as the smallest node of its links and in a small-star round as the largest: it is broadcast instead. Links of a node with itself are ignored; repeated links count once; no links give no rows.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = written(links.filter("a <> b").select(u, v).distinct(), "links")
@@ -35,15 +43,12 @@ def connected_components(links: DataFrame, hot_links: int = HOT_LINKS, hot_nodes
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy(F.col("u").alias("n")).agg(F.least(F.col("n"), F.min("v")).alias("m"), F.count("*").alias("degree")), "links")
         most = max(hot_links, 2 * state[0] // hot_nodes)
-        hot = least.filter(F.col("degree") > most).select(F.col("n").alias("hot"), F.col("m").alias("hot_m"))
-        marked = both.filter("v > u").join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")
-        rest = marked.filter("hot is null").join(least.filter(F.col("degree") <= most), F.col("u") == F.col("n"))
-        large = marked.filter("hot is not null").select(F.col("v").alias("u"), F.col("hot_m").alias("v")).unionByName(rest.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _with_least(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "links")
-        nearest = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        moved = large.join(nearest, F.col("u") == F.col("n")).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        nearest = written(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.count("*").alias("degree")), "links")
+        moved = _with_least(large, nearest, most).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = written(moved.unionByName(nearest.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "links")
-        for table in (least, large, edges):
+        for table in (least, large, nearest, edges):
             drop_table(table)
         edges, before = small, state
         state = _state(edges)
