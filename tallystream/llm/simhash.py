@@ -171,8 +171,8 @@ class Layout:
 
 EXACT = Layout(1, 4, ((tuple(range(22)), 0), (tuple(range(22, 43)), 1), (tuple(range(43, 64)), 1)), 128)
 WIDE = Layout(8, 112, (), 256, 0.8, 0.999)
-#: Documents of a class beyond which its shingles are compared in pairs of blocks.
-CLASS_BLOCK = 2048
+#: Documents of a class, and shingles of all of them together, beyond which it is compared in pairs of blocks.
+CLASS_BLOCK, CLASS_GRAMS = 2048, 1 << 22
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -317,15 +317,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, layout: Layout = EXACT, *
 
 
 def _sketches(shingle: int, words: int):
-    """(key, hash, text) to (key, hash, node, print): the node is a hash of the set of shingles, 0 for none."""
+    """(key, hash, text) to (key, hash, node, print, size): the node is a hash of the set of shingles, 0 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 hashes = [shingle_hashes(t.as_py(), shingle) for t in part.column(2)]
-                prints = pa.array([_print(x, words) for x in hashes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_set_hash(np.unique(x)) for x in hashes], pa.int64()), prints], ["key", "text_hash", "node", "print"])
+                prints, sets = pa.array([_print(x, words) for x in hashes], pa.binary()), [np.unique(x) for x in hashes]
+                own = [pa.array([_set_hash(x) for x in sets], pa.int64()), prints, pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own], ["key", "text_hash", "node", "print", "size"])
 
     return run
 
@@ -381,27 +382,30 @@ def _verify(similarity: float):
     return work
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, layout: Layout = WIDE, *, text: str = "text", key: str = "doc_id", class_block: int = CLASS_BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, layout: Layout = WIDE, *, text: str = "text", key: str = "doc_id", class_block: int = CLASS_BLOCK, class_grams: int = CLASS_GRAMS) -> DataFrame:
     """(key, text_hash, component_id, kept) per row with a key.
 
     Rows are linked if their sets of shingles have a similarity (Jaccard, exact) of at least ``similarity``, texts of equal sets
     among them. ``component_id`` is the smallest key that links reach, ``kept`` marks the row of that key (of the smallest
     xxhash64 of the text, if it repeats). Rows that repeat a key with unlike texts are not linked by that. Candidates are the
-    classes that fingerprints make; all pairs of a class are verified. Texts without words are one another's copies.
+    classes that fingerprints make; all pairs of a class are verified, in pairs of blocks of about ``class_block`` documents and
+    ``class_grams`` shingles at most. Null texts and texts without words are one another's copies; a text of any
+    length is handled whole (one alone may exceed a block); an empty table gives
+    no rows; other columns are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    sketches = written(own.mapInArrow(_sketches(shingle, layout.words), "key long, text_hash long, node long, print binary"), "prints")
+    sketches = written(own.mapInArrow(_sketches(shingle, layout.words), "key long, text_hash long, node long, print binary, size long"), "prints")
     row = F.struct("key", "text_hash")
-    nodes = written(sketches.groupBy("node").agg(F.min(row).alias("first"), F.min("print").alias("print")), "nodes")
+    nodes = written(sketches.groupBy("node").agg(F.min(row).alias("first"), F.min("print").alias("print"), F.max("size").alias("size")), "nodes")
     classes = written(connected_components(link_prints(nodes.filter("node <> 0"), layout)), "classes")
 
-    wanted = classes.join(nodes.select(F.col("node").alias("n"), "first"), F.col("node") == F.col("n")).select("node", F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"))
+    wanted = classes.join(nodes.select(F.col("node").alias("n"), "first", "size"), F.col("node") == F.col("n")).select("node", "component", "size", F.col("first.key").alias("k"), F.col("first.text_hash").alias("h"))
     texts = own.join(wanted, (F.col("key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("text", "node").mapInArrow(_grams(shingle), "node long, grams binary")
     texts = texts.groupBy(F.col("node").alias("m")).agg(F.min("grams").alias("grams"))  # rows that are wholly alike count once
-    sized = classes.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.ceil(F.col("n") / class_block).cast("int"), F.lit(1))
+    sized = wanted.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("n") / class_block).cast("int"), F.ceil(F.col("grams") / class_grams).cast("int"), F.lit(1))
     members = classes.join(sized.select(F.col("component").alias("c"), blocks.alias("s")), F.col("component") == F.col("c")).join(texts, F.col("node") == F.col("m"))
     members = members.withColumn("own_block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     low, high = F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high")
