@@ -17,6 +17,8 @@ from tallystream.llm.shared import fresh, written
 #: Lists of boilerplate lines up to which they are broadcast, in lines and hosts together.
 BROADCAST_ROWS = 200_000
 SALTS = 64
+#: A host with more than this part of all pages is large; so there are fewer of them than this.
+LARGE_HOSTS = 10_000
 
 
 def _line_id(line: Column) -> Column:
@@ -33,8 +35,15 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.08, min_pages: int = 2,
     else:
         counts = held.agg(F.count("*").alias("n"))
     counts = counts.filter(F.col("n") >= min_pages)
-    totals = docs.groupBy(F.col(host).alias("own_host")).agg(F.count("*").alias("pages"))
-    above = counts.join(totals, F.col("host").eqNullSafe(F.col("own_host"))).filter(F.col("n") > ratio * F.col("pages"))
+    totals = written(docs.groupBy(F.col(host).alias("own_host")).agg(F.count("*").alias("pages")), "host-pages")
+    all_pages = totals.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    # Lines of a large host would be one task of a join on the host: they find its pages in a broadcast, and a salt spreads them.
+    large = totals.filter(F.col("pages") > all_pages / LARGE_HOSTS).select(F.col("own_host").alias("large_host"), F.col("pages").alias("large_pages"))
+    rows = counts.join(F.broadcast(large), F.col("host").eqNullSafe(F.col("large_host")), "left")
+    salt = F.when(F.col("large_pages").isNull(), -1).otherwise(F.pmod(F.xxhash64("line"), F.lit(1024))).cast("long")
+    small = totals.withColumn("no_salt", F.least("pages", F.lit(-1).cast("long")))  # -1, but no literal that the optimizer would take out of the key
+    rows = rows.withColumn("salt", salt).join(small, F.col("host").eqNullSafe(F.col("own_host")) & (F.col("salt") == F.col("no_salt")), "left")
+    above = rows.withColumn("pages", F.coalesce("large_pages", "pages")).filter(F.col("n") > ratio * F.col("pages"))
     return above.groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list("line")).alias("bad"))
 
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallystream.llm import line_dedup
 from tallystream.llm.bpe import TreeCodec, codec
 from tallystream.llm.components import _with_least, connected_components
 from tallystream.llm.simhash import near_copies
@@ -71,3 +72,18 @@ def test_classes_are_bounded_in_shingles_too(spark, grams):
     texts = [(i, " ".join(words[:i] + ["other"] + words[i:])) for i in range(12)] + [(50 + i, " ".join(f"{i}x{j}" for j in range(40))) for i in range(3)] + [(90, None), (91, ""), (92, " ")]
     got = {r.key: r.component_id for r in near_copies(spark.createDataFrame(texts, "doc_id long, text string"), class_grams=grams).collect()}
     assert got == {i: 0 for i in range(12)} | {50 + i: 50 + i for i in range(3)} | {90: 90, 91: 90, 92: 90}
+
+
+@pytest.mark.parametrize("large", [10_000, 2, 1])
+def test_pages_of_large_and_small_hosts(spark, large, monkeypatch):
+    """The host with two thirds of the pages, small ones and the null host, whichever are broadcast."""
+    monkeypatch.setattr(line_dedup, "LARGE_HOSTS", large)
+    rows = [(i, h, f"common of {h}\n{'rare' if i % 40 == 0 else 'own'} {i}") for h, n in (("big", 200), ("small", 20), (None, 30), ("one", 1)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r.host: (r.pages, len(r.bad)) for r in line_dedup.boilerplate_lines(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {"big": (200, 1), "small": (20, 1), None: (30, 1)}
