@@ -125,23 +125,71 @@ def score_drift(reference: DataFrame, current: DataFrame, p: str, config: DriftC
     return {"psi": value, "status": status, "ks": row["ks"], "ks_p_value": ks_p_value(row["ks"], row["n_reference"], row["n_current"]), "wasserstein": row["wasserstein"]}
 
 
+#: Name of the scores in tables of the detector.
+SCORE = "__score"
+
+
+def _score_rules(p: Column) -> dict[str, Column]:
+    return {"score": p.isNotNull() & ~F.isnan(p) & p.between(0, 1)}
+
+
+def _score_reference(rows: DataFrame, config: DriftConfig) -> dict:
+    """Edges, shares and the values of the sampled scores, of which there are at most ``config.max_rows``."""
+    edges = bin_edges(rows, [SCORE], config.bins)
+    shares = [r["share"] for r in proportions(unpivot(rows, [SCORE]), edges, config.epsilon).orderBy("bin").collect()]
+    return {"edges": list(edges.first()["edges"]), "shares": shares, "sample": sorted(r[0] for r in rows.select(SCORE).collect())}
+
+
 class DriftDetector:
-    """Reference edges, proportions and moments of each feature, kept small, and evaluated against later windows."""
+    """Reference edges, proportions and moments of each feature, and edges, proportions and a sample of the scores, kept small,
+    and evaluated against later windows. ``context`` says what they were made from."""
 
-    def __init__(self, features: list[str], edges: dict, shares: dict, stats: dict, config: DriftConfig):
+    def __init__(self, features: list[str], edges: dict, shares: dict, stats: dict, config: DriftConfig, predictions: dict | None = None, context: dict | None = None):
         self.features, self.edges, self.shares, self.stats, self.config = features, edges, shares, stats, config
+        self.predictions, self.context = predictions, context or {}
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str], key: str, config: DriftConfig = DriftConfig()) -> DriftDetector:
-        """From at most ``config.max_rows`` rows of the smallest hash of the key."""
-        rows = written(bottom_k(df, key, config.max_rows, config.seed).select(*features), "drift-sample")
+    def fit(cls, df: DataFrame, features: list[str], key: str, config: DriftConfig = DriftConfig(), *, p: str | None = None, context: dict | None = None) -> DriftDetector:
+        """From at most ``config.max_rows`` rows of the smallest hash of the key; scores of the same rows if ``p`` names them."""
+        if len(set(features)) < len(features):
+            raise ValueError("features repeat")
+        n, scored = df.count(), [F.col(p).cast("double").alias(SCORE)] if p else []
+        if p:
+            enforce(df, _score_rules(F.col(p)))
+        rows = written(bottom_k(df, key, config.max_rows, config.seed).select(*features, *scored), "drift-sample")
         enforce(rows, number_rules(rows, features))
         long, edges = unpivot(rows, features), bin_edges(rows, features, config.bins)
         shares: dict = {}
         for r in proportions(long, edges, config.epsilon).orderBy("feature", "bin").collect():
             shares.setdefault(r["feature"], []).append(r["share"])
         stats = {r["feature"]: [r["mean"], r["std"]] for r in moments(long).collect()}
-        return cls(features, {r["feature"]: list(r["edges"]) for r in edges.collect()}, shares, stats, config)
+        predictions = _score_reference(rows, config) if p else None
+        context = (context or {}) | {"rows_available": n, "rows_sampled": rows.count()}
+        return cls(features, {r["feature"]: list(r["edges"]) for r in edges.collect()}, shares, stats, config, predictions, context)
+
+    def evaluate_scores(self, df: DataFrame, key: str, p: str) -> dict:
+        """Drift of the scores of a window: psi over the reference's bins, status, and distances from the reference's sample."""
+        if self.predictions is None:
+            raise ValueError("the detector was fitted without scores")
+        enforce(df, _score_rules(F.col(p)))
+        spark, config = df.sparkSession, self.config
+        now = written(bottom_k(df, key, config.max_rows, config.seed).select(F.col(p).cast("double").alias(SCORE)), "drift-scores")
+        if now.isEmpty():
+            raise ValueError("a window needs scores")
+        edges = spark.createDataFrame([(SCORE, self.predictions["edges"])], "feature string, edges array<double>")
+        shares = [r["share"] for r in proportions(unpivot(now, [SCORE]), edges, config.epsilon).orderBy("bin").collect()]
+        value = sum((c - r) * math.log(c / r) for r, c in zip(self.predictions["shares"], shares, strict=True))
+        reference = spark.createDataFrame([(v,) for v in self.predictions["sample"]], f"{SCORE} double")
+        row = distribution_distances(reference, now, SCORE).first()
+        status = "critical" if value >= config.critical else "warning" if value >= config.warning else "stable"
+        return {"psi": value, "status": status, "ks": row["ks"], "ks_p_value": ks_p_value(row["ks"], row["n_reference"], row["n_current"]), "wasserstein": row["wasserstein"], "rows_sampled": row["n_current"]}
+
+    def report(self, df: DataFrame, key: str, p: str, window: str) -> dict:
+        """A window's features by falling psi, its scores, and the worst status of all of them."""
+        found = written(self.evaluate(df, key), "drift-features")
+        summary, scores = drift_summary(found).first().asDict(), self.evaluate_scores(df, key, p)
+        overall = next(s for s in ("critical", "warning", "stable") if s in (summary["overall"], scores["status"]))
+        return {"window": window, "rows": df.count(), "overall": overall, "summary": summary, "top": [r.asDict() for r in top_drift(found, self.config.top).collect()], "scores": scores}
 
     def evaluate(self, df: DataFrame, key: str) -> DataFrame:
         """Per feature: psi, status and mean shift."""
@@ -157,12 +205,12 @@ class DriftDetector:
         return value.join(shift, "feature").select("feature", "psi", drift_status(F.col("psi"), self.config.warning, self.config.critical).alias("status"), "mean_shift")
 
     def to_dict(self) -> dict:
-        return sealed({"type": "drift", "version": 1, "features": self.features, "edges": self.edges, "shares": self.shares, "stats": self.stats, "config": vars(self.config)})
+        return sealed({"type": "drift", "version": 1, "features": self.features, "edges": self.edges, "shares": self.shares, "stats": self.stats, "config": vars(self.config), "predictions": self.predictions, "context": self.context})
 
     @classmethod
     def from_dict(cls, document: dict) -> DriftDetector:
         d = opened(document, kind="drift", version=1)
-        return cls(d["features"], d["edges"], d["shares"], d["stats"], DriftConfig(**d["config"]))
+        return cls(d["features"], d["edges"], d["shares"], d["stats"], DriftConfig(**d["config"]), d.get("predictions"), d.get("context"))
 
 
 def shifted_score(p: Column, by: float) -> Column:
