@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions.scalars import causal_seconds, coordinates_valid, event_seconds, haversine_km, row_key
@@ -126,6 +126,15 @@ def normalize_batch(df: DataFrame, *, max_rows: int = MAX_BATCH) -> DataFrame:
     return rows
 
 
+def batch_template(spark: SparkSession) -> DataFrame:
+    """One made-up row with the columns of a submitted batch: a form to fill in, written as CSV. Its clock may stay empty."""
+    numbers = {"amt": 12.5, "lat": 40.0, "long": -75.0, "city_pop": 25000, "merch_lat": 40.1, "merch_long": -75.2}
+    texts = {"trans_date_trans_time": "2020-06-01 12:30:00", "cc_num": "4000000000000002", "zip": "00501", "dob": "1980-01-31", "trans_num": "row-1", "unix_time": ""}
+    row = {c: numbers.get(c, texts.get(c, f"a {c}")) for c in (*REQUIRED, "trans_num", "unix_time")}
+    kinds = ", ".join(f"{c} {'long' if c == 'city_pop' else 'double' if c in numbers else 'string'}" for c in row)
+    return spark.createDataFrame([tuple(row.values())], kinds)
+
+
 def score_batch(df: DataFrame, snapshot: DataFrame, fitted: Preprocessor, scorers: dict, hybrid: fusion.Hybrid, *, keep: list[str], explain=None) -> DataFrame:
     """Prepared features of new rows from a snapshot of the past, component scores, their blend, the decision and drivers.
 
