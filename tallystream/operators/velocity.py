@@ -59,6 +59,23 @@ def check_amounts(df: DataFrame, amount: str) -> None:
         raise ValueError(f"{bad} amounts are not finite currency with at most two decimals")
 
 
+#: Rows of an entity within a window from which running totals are the better plan, and rows of an entity that one task may take.
+HEAVY_ROWS, TASK_ROWS = 2_000, 5_000_000
+
+
+def measured_plan(df: DataFrame, config: VelocityConfig, *, heavy_rows: int = HEAVY_ROWS, task_rows: int = TASK_ROWS) -> dict:
+    """The arguments of ``add_velocity`` that fit the table: ``add_velocity(df, config, **measured_plan(df, config))``.
+
+    Rows are counted by entity and cells of time as long as the longest window, in one pass over two columns. A window lies within
+    two cells: ``heavy`` where these may hold more than ``heavy_rows``. An entity of more than ``task_rows`` has its time divided
+    into chunks of as many cells as surely stay below that (one at least).
+    """
+    span = max(config.windows)
+    cells = df.groupBy(F.col(config.entity).alias("entity"), F.floor(F.col(config.time) / span).alias("cell")).agg(F.count("*").alias("n"))
+    most, rows = cells.groupBy("entity").agg(F.max("n").alias("most"), F.sum("n").alias("rows")).agg(F.coalesce(F.max("most"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    return {"heavy": 2 * most > heavy_rows, "chunk": span * max(1, task_rows // most) if rows > task_rows else None}
+
+
 def _money(total: Column) -> Column:
     return F.coalesce(total, F.lit(0)) / F.lit(100.0)
 

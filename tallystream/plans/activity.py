@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.operators import sequences
-from tallystream.operators.velocity import VelocityConfig, add_velocity, window_label
+from tallystream.operators.prepared import Places, ensure_streams, register_sources
+from tallystream.operators.velocity import VelocityConfig, add_velocity, measured_plan, window_label
 from tallystream.plans import tables
+from tallystream.sources.shared import new_path
 
 DAY = 86400
 EVENTS, ORDERS, LINES = (3600, 21600, 86400), (30 * DAY, 90 * DAY, 365 * DAY), (7 * DAY, 30 * DAY)
@@ -38,6 +40,29 @@ def velocity_orders_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_velocity(tables.orders(spark, sf_dir), config, heavy=True, chunk=366 * DAY).select("o_orderkey", "o_custkey", "t", *config.names())
 
 
+def velocity_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity of suppliers by the plan that the table's own counts ask for; here running totals, and time in chunks."""
+    rows, config = tables.lineitem(spark, sf_dir), VelocityConfig(LINES, "l_suppkey", "t", "l_extendedprice")
+    out = add_velocity(rows, config, **measured_plan(rows, config, heavy_rows=8, task_rows=500))
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "t", *config.names())
+
+
+#: 1996-01-01.
+_LATE = 820_454_400
+
+
+def ensured_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature streams of the orders before and from 1996, registered, made, and found again by a second call."""
+    places, config = Places.below(new_path(spark, "streams")), VelocityConfig(ORDERS, "o_custkey", "t", "o_totalprice")
+    rows = tables.orders(spark, sf_dir).select("o_orderkey", "o_custkey", "t", "o_totalprice")
+    rows.filter(F.col("t") < _LATE).write.parquet(places.development)
+    rows.filter(F.col("t") >= _LATE).write.parquet(places.holdout)
+    register_sources(spark, places)
+    for _ in range(2):
+        found = ensure_streams(spark, places, config, prepare=lambda x: x)
+    return found["development"].unionByName(found["holdout"]).select("o_orderkey", "o_custkey", "t", *config.names())
+
+
 def velocity_orders_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = VelocityConfig(ORDERS, "o_custkey", "t", "o_totalprice")
     return add_velocity(tables.orders(spark, sf_dir), config).select("o_orderkey", "o_custkey", "t", *config.names())
@@ -127,12 +152,14 @@ SELECT o_orderkey, CAST(len(h) AS BIGINT) AS length, array_to_string(list_transf
 QUERIES = {
     f.__name__: f
     for f in (
-        velocity_events, velocity_events_heavy, velocity_events_chunked, velocity_orders_chunked, sequence_nulls, velocity_orders_ties, velocity_lineitem_ties, custom_windows_events, prior_totals_orders,
+        velocity_measured, ensured_streams, velocity_events, velocity_events_heavy, velocity_events_chunked, velocity_orders_chunked, sequence_nulls, velocity_orders_ties, velocity_lineitem_ties, custom_windows_events, prior_totals_orders,
         pointer_orders, sequence_orders, sequence_values_padded, latest_per_entity, cold_starts,
     )
 }
 _EVENTS_SQL = _sql(tables.EVENTS, "user_id", "value", "event_id, user_id, t", EVENTS)
 SQL = {
+    "velocity_measured": _sql(tables.LINEITEM, "l_suppkey", "l_extendedprice", "l_orderkey, l_linenumber, l_suppkey, t", LINES),
+    "ensured_streams": _sql(tables.ORDERS, "o_custkey", "o_totalprice", "o_orderkey, o_custkey, t", ORDERS),
     "velocity_events": _EVENTS_SQL,
     "velocity_events_heavy": _EVENTS_SQL,
     "velocity_events_chunked": _EVENTS_SQL,
