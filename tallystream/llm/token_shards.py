@@ -1,6 +1,8 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
-Documents are cut into sequences of equally many tokens, and the sequences are numbered 0 .. n-1 in the order of the scan. A
+Documents are cut into sequences of equally many tokens, and the sequences are numbered 0 .. n-1 in the order of files and of rows
+in them, which stays the same however a cluster cuts and deals the files; what is no scan of Parquet files is first written in the
+order of key and text. A
 keyed Feistel permutation with cycle-walking maps these numbers one to one onto themselves: the permuted number is the
 sequence's global slot, so it follows from the number, n and the seed alone. Slots are dealt to shards by ranges of equal size,
 and each shard is written as records of one size; slot s is record s mod r of shard s div r. A reader seeks to any slot and
@@ -69,6 +71,8 @@ class WordEncoder:
 
     def __init__(self):
         self.codec = codec()
+        if len(self.codec.tokens) > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.direct = self.codec.encoding.encode_to_numpy
 
     def encode(self, text: str) -> bytes:
@@ -133,43 +137,66 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]
         yield begin, texts.slice(begin, end - begin)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """(file, number of the first row in it, rows) of the runs of a batch that follow one another in a file."""
+    if not batch.num_rows:
+        return
+    files, rows = pc.dictionary_encode(batch.column(2)), batch.column(3).to_numpy()
+    cuts = np.flatnonzero((np.diff(files.indices.to_numpy()) != 0) | (np.diff(rows) != 1)) + 1
+    for begin, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        yield files[begin].as_py(), int(rows[begin]), batch.slice(begin, end - begin)
+
+
 def _counts(length: int):
+    """Per run of rows of a file that a task reads: the file, its first row, documents and sequences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, numbers = WordEncoder(), 0, 0
+        encoder, found = WordEncoder(), []
         for batch in batches:
-            docs += batch.num_rows
-            for _, texts in _pieces(batch, 1):
-                numbers += int((-(-encoder.counts(texts) // length)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs], pa.int64()), pa.array([numbers], pa.int64())], ["part", "docs", "numbers"])
+            for file, first, part in _runs(batch):
+                if not found or found[-1][0] != file or found[-1][1] + found[-1][2] != first:
+                    found.append([file, first, 0, 0])
+                found[-1][2] += part.num_rows
+                for _, texts in _pieces(part, 1):
+                    found[-1][3] += int((-(-encoder.counts(texts) // length)).sum())
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["file", "first", "docs", "numbers"])
 
     return run
 
 
-def _sequences(length: int, seed: int, n: int, starts: dict[int, tuple[int, int, int]]):
+def _sequences(length: int, seed: int, n: int, starts: dict[tuple[str, int], tuple[int, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at, docs = WordEncoder(), TaskContext.get().partitionId(), 0, 0
-        start, want_docs, want = starts.get(part, (0, 0, 0))
-        for batch in batches:
-            docs += batch.num_rows
-            for begin, texts in _pieces(batch, 1):
-                ids, ends = encoder.encode_all(texts)
-                counts = -(-np.diff(ends) // length)
-                total = int(counts.sum())
-                slots = feistel(start + at + np.arange(total), n, seed)
-                at += total
-                rows = np.repeat(np.arange(len(counts)), counts)
-                seqs = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-                lows = ends[rows] + seqs * length
-                sizes = np.minimum(ends[rows + 1] - lows, length)
-                for low in range(0, total, 4096):
-                    here = slice(low, low + 4096)
-                    records = np.full((len(rows[here]), length), PAD, dtype="<u2")
-                    inside = np.arange(length) < sizes[here, None]
-                    records[inside] = ids[(lows[here, None] + np.arange(length))[inside]]
-                    data = pa.Array.from_buffers(pa.binary(2 * length), len(records), [None, pa.py_buffer(records)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(slots[here], pa.int64()), batch.column(0).take(pa.array(begin + rows[here])), pa.array(seqs[here], pa.int32()), pa.array(sizes[here], pa.int32()), data], ["slot", "doc", "seq", "n_tokens", "record"])
-        if (docs, at) != (want_docs, want):
-            raise RuntimeError(f"partition {part} held {want_docs} documents and now {docs}: the input must be the same at each reading")
+        encoder, file, after, number, left_docs, left = WordEncoder(), None, 0, 0, 0, 0
+        changed = RuntimeError("the input must be the same at each reading")
+        for whole in batches:
+            for own, first, batch in _runs(whole):
+                if (own, first) != (file, after):
+                    if left_docs or left or (own, first) not in starts:
+                        raise changed
+                    file, (number, left_docs, left) = own, starts[own, first]
+                after, left_docs = first + batch.num_rows, left_docs - batch.num_rows
+                for begin, texts in _pieces(batch, 1):
+                    ids, ends = encoder.encode_all(texts)
+                    counts = -(-np.diff(ends) // length)
+                    total = int(counts.sum())
+                    slots = feistel(number + np.arange(total), n, seed)
+                    number, left = number + total, left - total
+                    if left_docs < 0 or left < 0:
+                        raise changed
+                    rows = np.repeat(np.arange(len(counts)), counts)
+                    seqs = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+                    lows = ends[rows] + seqs * length
+                    sizes = np.minimum(ends[rows + 1] - lows, length)
+                    for low in range(0, total, 4096):
+                        here = slice(low, low + 4096)
+                        records = np.full((len(rows[here]), length), PAD, dtype="<u2")
+                        inside = np.arange(length) < sizes[here, None]
+                        records[inside] = ids[(lows[here, None] + np.arange(length))[inside]]
+                        data = pa.Array.from_buffers(pa.binary(2 * length), len(records), [None, pa.py_buffer(records)]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(slots[here], pa.int64()), batch.column(0).take(pa.array(begin + rows[here])), pa.array(seqs[here], pa.int32()), pa.array(sizes[here], pa.int32()), data], ["slot", "doc", "seq", "n_tokens", "record"])
+        if left_docs or left:
+            raise changed
 
     return run
 
@@ -212,9 +239,22 @@ def _write(folder: str, per_shard: int):
 
 
 def _is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` reads files and nothing else, so that its partitions hold the same rows at every reading."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return plan.deterministic() and all(line.lstrip(" :+-").split(" ")[0] in ("Project", "Relation") for line in plan.toString().strip().split("\n"))
+    """Whether ``df`` is columns of a scan of Parquet files, which know the place of a row in its file."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic() or "_metadata" in df.columns:
+        return False
+    while node.nodeName() == "Project":
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "HadoopFsRelation" in node.relation().getClass().getName() and node.relation().fileFormat().toString().lower() == "parquet"
+
+
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, file, row): every row with its place."""
+    source = docs.select(key, text)
+    if not _is_scan(source):
+        own = F.xxhash64(F.col(text))
+        source = written(source.repartitionByRange(F.col(key), own).sortWithinPartitions(F.col(key), own), "token-texts")
+    return source.select(key, text, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -224,19 +264,18 @@ def write_shards(docs: DataFrame, folder: str, *, length: int = LENGTH, shard_nu
     ``n_tokens`` (without filling) and ``md5`` of the record. Records have ``length`` little-endian 16-bit ids, shards
     ``shard_numbers`` records, but for the last. Null and empty texts have no sequences; texts of any length are encoded whole;
     repeated rows have sequences of their own, so equal records do not tie; null keys are kept; without sequences no shard is
-    written; other columns are not read. A task that is run again writes the same bytes under the same names. The order depends
-    on the order in which ``docs`` is scanned; what is not a scan of files is written to the shared folder first.
+    written; other columns are not read. A task that is run again writes the same bytes under the same names. The order is
+    that of the files' names and of the rows in them where ``docs`` is columns of a scan of Parquet files, else that of keys and
+    xxhash64 of texts: it does not depend on the cluster, its settings, or how files are cut for tasks.
     """
     if sys.byteorder != "little":
         raise RuntimeError("ids are written as they are in memory, which must be little-endian")
     spark = docs.sparkSession
-    source = docs.select(key, text)
-    if not _is_scan(source):
-        source = written(source, "token-texts")
-    counts = source.mapInArrow(_counts(length), "part long, docs long, numbers long").collect()  # a row per partition of the scan
+    source = _placed(docs, key, text)
+    counts = source.mapInArrow(_counts(length), "file string, first long, docs long, numbers long").collect()  # a row per run of a task
     starts, n = {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        starts[r["part"]] = (n, r["docs"], r["numbers"])
+    for r in sorted(counts, key=lambda r: (r["file"], r["first"])):
+        starts[r["file"], r["first"]] = (n, r["docs"], r["numbers"])
         n += r["numbers"]
     shards = max(1, -(-n // shard_numbers))
     tasks = min(shards, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # mostly one shard each

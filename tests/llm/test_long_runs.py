@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tallystream.llm import line_dedup
 from tallystream.llm.bpe import TreeCodec, codec
 from tallystream.llm.components import _with_least, connected_components
+from tallystream.llm.shared import new_path
 from tallystream.llm.simhash import near_copies
+from tallystream.llm.token_shards import write_shards
 
 RUNS = ["a", "z", "Q", "é", "日", "本", "語", "の", "。", "、", "ह", "ि", "न", "😀", "🧿", "7", "٣", "!", "-", "'", "s", "ll", " ", "\n", "\u3000", "\x1c", "\u180e", "\u0301", "𐐀", "\U0001e900", "the", "ing"]
 
@@ -87,3 +89,25 @@ def test_pages_of_large_and_small_hosts(spark, large, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {"big": (200, 1), "small": (20, 1), None: (30, 1)}
+
+
+def test_slots_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    """The same files with one split each and with many, and the same rows as no scan in two orders."""
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(map(str, draw.integers(0, 10**9, 60)))) for i in range(900)]
+    path = f"{tmp_path}/d"
+    for low, high in ((0, 400), (400, 900)):
+        spark.createDataFrame(rows[low:high], "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 65536).mode("append").parquet(path)
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "60k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(path)
+            found.append(docs.rdd.getNumPartitions())
+            found.append({(r.doc_id, r.seq): r.slot for r in write_shards(docs, new_path(spark, "shards"), length=16).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] < found[2] and found[1] == found[3] and len(found[1]) > 5000
+    free = [spark.createDataFrame(part, "doc_id long, text string").repartition(k) for part, k in ((rows, 2), (rows[::-1], 7))]
+    one, two = ({(r.doc_id, r.seq): r.slot for r in write_shards(d, new_path(spark, "shards"), length=16).collect()} for d in free)
+    assert one == two and len(one) == len(found[1])
