@@ -8,7 +8,7 @@ from itertools import product
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tallystream.operators import imbalance, metrics
 from tallystream.operators.forest import Forest, fit_forest
 from tallystream.sources import artifacts, files
 from tallystream.sources.artifacts import digest, opened, sealed
+from tallystream.sources.shared import new_path
 
 #: File of a saved forest.
 FOREST = "forest.json.gz"
@@ -58,7 +59,16 @@ def fit(kind: str, params: dict, train: DataFrame, *, label: str = "label", seed
     weights = imbalance.class_weights(*imbalance.counts(train, label))
     weighted = train.withColumn("weight", imbalance.weight(F.col(label), weights))
     total = weighted.agg(F.sum("weight")).first()[0]
-    return estimator(kind, params, weight_total=total, label=label, seed=seed).fit(weighted)
+    model = estimator(kind, params, weight_total=total, label=label, seed=seed).fit(weighted)
+    return _read_back(model) if kind == "logistic" else model
+
+
+def _read_back(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model without the summary of its fit. That holds the session, which cannot be sent to tasks any more, nor the model with
+    it, once a query was observed in the session."""
+    path = new_path(SparkSession.active(), "model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def score(model, df: DataFrame, name: str = "p") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallystream.operators import drift, transactions
+from tallystream.operators import drift, models, transactions
 from tallystream.operators.prepared import Places, benchmark_rows, ensure_streams, register_sources
 from tallystream.operators.sequences import add_history
 from tallystream.operators.velocity import VelocityConfig, add_velocity, measured_plan
@@ -116,3 +116,15 @@ def test_form_of_a_batch(spark, tmp_path):
     back = spark.read.options(header=True).csv(f"{tmp_path}/form")
     row = transactions.normalize_batch(back).first()
     assert row.trans_num == "row-1" and row.unix_time is not None and row.amt == 12.5
+
+
+def test_models_score_after_a_query_was_observed(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rows = spark.createDataFrame([(Vectors.dense(float(i), float(i % 3)), int(i > 20)) for i in range(40)], ["features", "label"])
+    for kind, params in (("logistic", {"C": 1.0, "max_iter": 20}), ("boosted", {"rounds": 2, "depth": 2, "rate": 0.1}), ("forest", {"trees": 3, "depth": 2, "leaf": 1})):
+        assert models.score(models.fit(kind, params, rows), rows).filter("p between 0 and 1").count() == 40
