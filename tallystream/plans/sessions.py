@@ -32,7 +32,7 @@ def session_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of events scored one after another from the state that earlier events left; the second one is a preview
     first, of which every row is compared with what was committed. Committed rows are read back from the store."""
     rows = _events(spark, sf_dir)
-    cuts = rows.agg(F.percentile("t", F.array(*[F.lit(s) for s in SHARES]))).first()[0]
+    cuts = tables.times_at(rows, SHARES)
     store = StateStore.create(spark, new_path(spark, "sessions"), entity_states(rows.filter(F.col("t") < cuts[0]), SPEC), buckets=16)
     session = BatchSession(store, SPEC, prepare=lambda df: df, score=_scored, unique="event_id")
     preview = None
@@ -49,7 +49,7 @@ def session_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states that the batches leave, after a new base was written of the store's deltas."""
     rows = _events(spark, sf_dir)
-    cuts = rows.agg(F.percentile("t", F.array(*[F.lit(s) for s in SHARES]))).first()[0]
+    cuts = tables.times_at(rows, SHARES)
     store = StateStore.create(spark, new_path(spark, "sessions"), entity_states(rows.filter(F.col("t") < cuts[0]), SPEC), buckets=16)
     session = BatchSession(store, SPEC, prepare=lambda df: df, score=_scored, unique="event_id")
     session.score(rows.filter((F.col("t") >= cuts[0]) & (F.col("t") < cuts[2])))

@@ -96,16 +96,23 @@ def velocity_from_snapshot(df: DataFrame, snapshot: DataFrame, config: VelocityC
     Raises if a row is earlier than its entity's open second.
     """
     refuse_late(df, snapshot, config)
-    own = df.select(F.col(config.entity).alias("__e"), F.col(config.time).cast("long").alias("__t"), F.lit(1).cast("long").alias("__n"), cents(F.col(config.amount)).alias("__c"), F.struct(*df.columns).alias("__row"))
-    older = _buckets(snapshot, config).select(F.col("entity").alias("__e"), F.col("t").alias("__t"), F.col("n").alias("__n"), F.col("c").alias("__c"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.col("all_n").alias("__an"), F.col("all_c").alias("__ac"))
+    entry = lambda rows, *more: rows.select(F.col(config.entity if rows is df else "entity").alias("__e"), F.col(config.time if rows is df else "t").cast("long").alias("__t"), *more)
+    own = entry(df, F.lit(1).cast("long").alias("__n"), cents(F.col(config.amount)).alias("__c"), F.struct(*df.columns).alias("__row"))
+    older = entry(_buckets(snapshot, config), F.col("n").alias("__n"), F.col("c").alias("__c"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.col("all_n").alias("__an"), F.col("all_c").alias("__ac"))
     rows = own.select("*", F.col("__n").alias("__an"), F.col("__c").alias("__ac")).unionByName(older)
-    card = Window.partitionBy("__e").orderBy("__t")
+    # Running totals: what enters a window leaves it by a row of its own, so an entity of very many rows costs no more for each.
+    effect = lambda w, delay, sign: F.struct(F.lit(w).cast("int").alias("w"), F.lit(delay).cast("long").alias("delay"), F.lit(sign).cast("long").alias("sign"))
+    effects = [effect(None, 0, 1), *[effect(i, w, -1) for i, w in enumerate(config.windows)]]
+    spread = rows.withColumn("__x", F.explode(F.array(*effects)))
+    enters = F.col("__x.w").isNull()
+    spread = spread.select("__e", (F.col("__t") + F.col("__x.delay")).alias("__t"), F.col("__x.w").alias("__w"), *[(F.col(c) * F.col("__x.sign")).alias(c) for c in ("__n", "__c")], *[F.when(enters, F.col(c)).alias(c) for c in ("__an", "__ac", "__row")])
+    before = Window.partitionBy("__e").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     names, out = config.names(), {}
     for i, w in enumerate([*config.windows, None]):
-        frame = card.rangeBetween(Window.unboundedPreceding if w is None else -w, -1)
-        n, c = ("__n", "__c") if w is not None else ("__an", "__ac")
-        out |= {names[2 * i]: F.coalesce(F.sum(n).over(frame), F.lit(0)), names[2 * i + 1]: F.coalesce(F.sum(c).over(frame), F.lit(0)) / F.lit(100.0)}
-    return rows.withColumns(out).filter("__row is not null").select("__row.*", *names)
+        mine = F.col("__w").isNull() | (F.col("__w") == i)
+        n, c = (F.when(mine, F.col("__n")), F.when(mine, F.col("__c"))) if w is not None else (F.col("__an"), F.col("__ac"))
+        out |= {names[2 * i]: F.coalesce(F.sum(n).over(before), F.lit(0)), names[2 * i + 1]: F.coalesce(F.sum(c).over(before), F.lit(0)) / F.lit(100.0)}
+    return spread.withColumns(out).filter("__row is not null").select("__row.*", *names)
 
 
 #: Version of saved states.
