@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystream.operators import imbalance, preprocess, split
 from tallystream.plans import tables
+from tallystream.sources.shared import new_path
 
 _SPLIT = split.SplitConfig(0.2, "t", "o_orderdate", "label", "o_orderkey")
 _CONFIG = preprocess.PreprocessConfig(numeric=("o_totalprice", "age"), frequency=("o_custkey",), nominal=("o_orderpriority",), log1p=("o_totalprice",))
@@ -35,9 +36,14 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.partition_summary(marked, "partition", _SPLIT).withColumn("rate", F.round("rate", 6))
 
 
+def _fitted(train: DataFrame, **more) -> preprocess.Preprocessor:
+    """Fitted on the training rows; the shares of customers are a table where these are many."""
+    return preprocess.fit(train, _CONFIG, share_path=new_path(train.sparkSession, "shares"), **more)
+
+
 def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, bounds, mean and scale of the training rows' numbers."""
-    fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
+    fitted = _fitted(_train(spark, sf_dir)[0])
     rows = [(c, *[round(s[k], 6) for k in ("median", "low", "high", "mean", "scale")]) for c, s in fitted.stats.items()]
     return spark.createDataFrame(rows, "feature string, median double, low double, high double, mean double, scale double")
 
@@ -61,7 +67,7 @@ def bound_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of numbers fitted on rows that were verified to be the training partition of the manifest."""
     development, holdout, _ = _dated(spark, sf_dir)
     manifest = split.split_manifest(development, holdout, _SPLIT)
-    fitted = preprocess.fit(split.split(development, _SPLIT)[0], _CONFIG, by=_SPLIT, manifest=manifest)
+    fitted = _fitted(split.split(development, _SPLIT)[0], by=_SPLIT, manifest=manifest)
     rows = [(c, fitted.context["rows"], fitted.context["first_time"], fitted.context["last_time"], fitted.context["positives"], *[round(s[k], 6) for k in ("median", "low", "high", "mean", "scale")]) for c, s in fitted.stats.items()]
     return spark.createDataFrame(rows, "feature string, rows long, first_time long, last_time long, positives long, median double, low double, high double, mean double, scale double")
 
@@ -69,34 +75,34 @@ def bound_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows with class weights, verified against the fitted state, by day."""
     train, _ = _train(spark, sf_dir)
-    fitted = preprocess.fit(train, _CONFIG, by=_SPLIT)
+    fitted = _fitted(train, by=_SPLIT)
     batch, record = imbalance.training_batch(train, "label", "o_orderkey", [], [], imbalance.ImbalanceConfig("class_weight"), fitted=fitted, by=_SPLIT)
     return batch.groupBy("label").agg(F.count("*").alias("rows"), F.round(F.max("weight"), 6).alias("weight"), F.lit(record["after"][1]).cast("long").alias("positives"))
 
 
 def frequency_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the training rows' customers, looked up for all rows."""
-    fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
+    fitted = _fitted(_train(spark, sf_dir)[0])
     out = fitted.transform(_orders(spark, sf_dir), ["o_orderkey"])
     return out.select("o_orderkey", F.round(F.col("freq__o_custkey").cast("double"), 6).alias("share"), F.col("freq__o_custkey__unknown").cast("int").alias("unknown"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
+    fitted = _fitted(_train(spark, sf_dir)[0])
     return spark.createDataFrame([(c, i, v) for c, levels in fitted.levels.items() for i, v in enumerate(levels)], "feature string, position long, level string")
 
 
 def onehot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level that each validation row falls into."""
     train, rest = _train(spark, sf_dir)
-    fitted = preprocess.fit(train, _CONFIG)
+    fitted = _fitted(train)
     names = [n for n in fitted.names() if n.startswith("cat__")]
     return preprocess.long_form(fitted.transform(rest, ["o_orderkey"]), "o_orderkey", names).filter("value = 1").select("o_orderkey", "feature")
 
 
 def transform_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised numbers of all rows with training statistics."""
-    fitted = preprocess.fit(_train(spark, sf_dir)[0], _CONFIG)
+    fitted = _fitted(_train(spark, sf_dir)[0])
     names = [n for n in fitted.names() if n.startswith("num__")]
     return preprocess.long_form(fitted.transform(_orders(spark, sf_dir), ["o_orderkey"]), "o_orderkey", names).withColumn("value", F.round("value", 3) + 0.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.functions import scalars
-from tallystream.operators import checks, drift, fusion, preprocess, profile, sequences, split, transactions
+from tallystream.operators import checks, drift, fusion, profile, sequences, split, transactions
 from tallystream.plans import activity, preparing, quality, tables
 from tallystream.plans import learning
 from tallystream.sources import artifacts, ledger
@@ -67,7 +67,7 @@ def gathered_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sampler_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the matrix, and those that its sampler frame gives otherwise."""
-    fitted = preprocess.fit(preparing._train(spark, sf_dir)[0], preparing._CONFIG)
+    fitted = preparing._fitted(preparing._train(spark, sf_dir)[0])
     rows = preparing._orders(spark, sf_dir)
     direct, back = fitted.transform(rows, ["o_orderkey"]), fitted.from_sampler_frame(fitted.sampler_frame(rows, ["o_orderkey"]), ["o_orderkey"])
     return direct.agg(F.count("*").alias("rows")).crossJoin(direct.exceptAll(back).agg(F.count("*").alias("different")))  # one row each

@@ -28,3 +28,18 @@ def test_activity_from_a_state_has_no_bounded_frames(spark):
 def test_times_of_shares_are_exact_without_an_aggregate_of_all_values(spark):
     rows = spark.range(1001).select((F.col("id") * F.col("id")).alias("t"))
     assert tables.times_at(rows, (0.25, 0.7)) == pytest.approx(list(rows.agg(F.percentile("t", F.array(F.lit(0.25), F.lit(0.7)))).first()[0]))
+
+
+def test_shares_of_very_many_customers_are_a_table(spark, tmp_path, monkeypatch):
+    from tallystream.operators import preprocess
+    from tallystream.plans import preparing, storage
+
+    rows = spark.range(400).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("o_orderstatus"), (F.col("id") * 7 % 100 + 0.5).alias("o_totalprice"),
+        F.timestamp_seconds(F.lit(900_000_000) + F.col("id") * 86400).cast("timestamp_ntz").alias("o_orderdate"), F.concat((F.col("id") % 3).cast("string"), F.lit("-P")).alias("o_orderpriority"),
+    )
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    queries = [preparing.QUERIES[q] for q in ("weighted_batch", "frequency_encoding")] + [storage.QUERIES["sampler_roundtrip"]]
+    small = [sorted(q(spark, str(tmp_path)).collect()) for q in queries]
+    monkeypatch.setitem(preprocess.fit.__kwdefaults__, "share_limit", 50)
+    assert [sorted(q(spark, str(tmp_path)).collect()) for q in queries] == small
