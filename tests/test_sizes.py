@@ -43,3 +43,21 @@ def test_shares_of_very_many_customers_are_a_table(spark, tmp_path, monkeypatch)
     small = [sorted(q(spark, str(tmp_path)).collect()) for q in queries]
     monkeypatch.setitem(preprocess.fit.__kwdefaults__, "share_limit", 50)
     assert [sorted(q(spark, str(tmp_path)).collect()) for q in queries] == small
+
+
+def test_first_reviews_of_one_time_are_the_same_for_all_orders_of_rows(spark):
+    from tallystream.sources import ledger
+
+    rows = spark.createDataFrame([("u", 5, 5, float(v), f"x{9 - v}", "a") for v in range(8)], "id string, at long, created long, value double, text string, label string")
+    for order in ("value", "-value", "pmod(hash(value), 97)"):
+        ranked = rows.orderBy(F.expr(order)).coalesce(1)
+        merged = ledger.merge(ranked, ranked.limit(0), key="id", at="at", created="created", label="label", fixed=["value", "text"]).first()
+        assert (merged["value"], merged["text"]) == (0.0, "x9")
+
+
+def test_histories_of_rows_count_each_row_of_a_second():
+    from tallystream.streaming.histories import HistoryState
+
+    state = HistoryState(3, shared=False)
+    assert [state.advance(t, str(i), i) for i, t in enumerate((7, 7, 7, 8))] == [[0], [0, 1], [0, 1, 2], [1, 2, 3]]
+    assert [HistoryState(3).advance(7, "a", 1), HistoryState(1, shared=False).advance(7, "b", 2)] == [[1], [2]]
