@@ -28,12 +28,13 @@ class HistoryState:
     open: int | None = None
     key: str | None = None
     item: object = None
+    shared: bool = True
 
     def advance(self, t: int, key: str, item: object) -> list:
         """The history that ends with the event itself, oldest first."""
         if self.open is not None and t < self.open:
             raise ValueError(f"an event at {t} is earlier than one at {self.open}")
-        if self.open is None or t > self.open:
+        if self.open is None or t > self.open or not self.shared:
             if self.open is not None:
                 self.items = [*self.items, self.item][-(self.length - 1) :] if self.length > 1 else []
             self.open, self.key, self.item = t, key, item
@@ -43,14 +44,15 @@ class HistoryState:
         return [*self.items, item]
 
 
-def stream_histories(events: DataFrame, length: int, *, entity: str, time: str, key: str, item: str) -> DataFrame:
-    """(entity, key, t, history): an array of items for each event of a stream. Late events are an error."""
+def stream_histories(events: DataFrame, length: int, *, entity: str, time: str, key: str, item: str, shared: bool = True) -> DataFrame:
+    """(entity, key, t, history): an array of items for each event of a stream. Late events are an error. Events of one time see the
+    same history, or, where it is not ``shared``, each one those before it, by their keys as text."""
     kinds = dict(events.dtypes)
     source = events.select(F.col(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.col(time).cast("long").alias("t"), F.col(item).alias("item"))
 
     def handle(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["t", "key"], kind="stable")
-        kept = HistoryState(length, *(([], None, None, None) if not state.exists else (list(state.get[0]), *state.get[1:])))
+        kept = HistoryState(length, *(([], None, None, None) if not state.exists else (list(state.get[0]), *state.get[1:])), shared)
         out = [[who[0], k, t, kept.advance(int(t), k, x)] for k, t, x in zip(rows["key"], rows["t"], rows["item"], strict=True)]
         state.update((kept.items, kept.open, kept.key, kept.item))
         yield pd.DataFrame(out, columns=["entity", "key", "t", "history"])
