@@ -18,9 +18,10 @@ from tallystream.operators.profile import bottom_k, sample_order
 from tallystream.operators.split import SplitConfig
 from tallystream.sources.shared import written
 
-#: Strategies, and guards of synthetic sampling in rows and bytes.
+#: The strategies.
 STRATEGIES = ("none", "class_weight", "random_under", "smotenc")
-MAX_ROWS, MAX_BYTES = 2_000_000, 2_000_000_000
+#: Synthetic rows that a task gives at once, about.
+BATCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -92,14 +93,13 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
     frequent categories. Synthetic rows have null in all other columns.
 
     Positives are numbered in the order of their keys, and their neighbours are found exactly (``nearest``), in all tasks. Synthetic
-    row i starts from positive i modulo their number, with random numbers of its own.
+    row i starts from positive i modulo their number, with random numbers of its own. No task holds more than blocks of positives and
+    a batch of synthetic rows, so there is no bound on the rows.
     """
     negatives, positives = counts(df, label)
     _, wanted = projected(negatives, positives, config)
     if positives <= config.neighbors:
         raise ValueError("there must be more positives than neighbours")
-    if negatives + wanted > MAX_ROWS or (negatives + wanted) * 8 * (len(numeric) + len(nominal)) > MAX_BYTES:
-        raise ValueError("too many rows for synthetic sampling")
     minority = df.filter(F.col(label) == 1)
     points = numbered(minority.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]).cast("array<double>").alias("x"), F.array(*[F.col(f"`{c}`").cast("string") for c in nominal]).cast("array<string>").alias("c")), key)
     spreads = minority.agg(*[F.stddev_pop(F.col(f"`{c}`").cast("double")) for c in numeric]).first() if numeric else []
@@ -119,6 +119,9 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
                     draw = np.random.default_rng([seed, i])
                     other = np.array(near[draw.integers(len(near))]["x"], dtype=float)
                     rows.append([*(x + draw.random() * (other - x)), *votes])
+                if len(rows) >= BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     kinds = dict(df.dtypes)

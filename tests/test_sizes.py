@@ -61,3 +61,11 @@ def test_histories_of_rows_count_each_row_of_a_second():
     state = HistoryState(3, shared=False)
     assert [state.advance(t, str(i), i) for i, t in enumerate((7, 7, 7, 8))] == [[0], [0, 1], [0, 1, 2], [1, 2, 3]]
     assert [HistoryState(3).advance(7, "a", 1), HistoryState(1, shared=False).advance(7, "b", 2)] == [[1], [2]]
+
+
+def test_synthetic_rows_of_a_large_table(spark):
+    from tallystream.operators import imbalance
+
+    rows = spark.range(2_100_008).select("id", (F.col("id") < 8).cast("int").alias("y"), (F.col("id") % 100).cast("double").alias("v"))
+    out = imbalance.smotenc(rows, "y", "id", ["v"], [], imbalance.ImbalanceConfig("smotenc", 2e-5))
+    assert imbalance.counts(out, "y") == (2_100_000, 42)
