@@ -105,16 +105,20 @@ def add_velocity(df: DataFrame, config: VelocityConfig = VelocityConfig(), *, he
 def _in_chunks(df: DataFrame, config: VelocityConfig, chunk: int, heavy: bool) -> DataFrame:
     if chunk < max(config.windows):
         raise ValueError("a chunk is at least as long as the longest window")
-    own = F.floor(F.col(config.time) / chunk).cast("long")
+    own, span = F.floor(F.col(config.time) / chunk).cast("long"), max(config.windows)
     rows = df.withColumn("__own", own)
-    totals = rows.groupBy(config.entity, "__own").agg(F.count(config.time).alias("__n"), F.sum(cents(F.col(config.amount))).alias("__c"))
+    # Only what a row of the next chunk may have in a window goes there, too.
+    late = F.col(config.time) >= (F.col("__own") + 1) * chunk - span
+    money = cents(F.col(config.amount))
+    sums = lambda kind, keep: [F.count(F.when(keep, F.col(config.time))).alias(f"__n{kind}"), F.sum(F.when(keep, money)).alias(f"__c{kind}")]
+    totals = rows.groupBy(config.entity, "__own").agg(*sums("", F.lit(True)), *sums("l", late))
     earlier = Window.partitionBy(config.entity).orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col(config.entity).alias("__e"), F.col("__own").alias("__o"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}b") for c in ("__n", "__c")], *[F.col(c).alias(f"{c}p") for c in ("__n", "__c")])
-    # The chunk before is in the frames as well, so only what is older than it is carried over.
+    before = totals.select(F.col(config.entity).alias("__e"), F.col("__own").alias("__o"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}b") for c in ("__n", "__c")], *[F.coalesce(f"{c}l", F.lit(0)).alias(f"{c}p") for c in ("__n", "__c")])
+    # The late part of the chunk before is in the frames as well, so only what is older than it is carried over.
     last = Window.partitionBy("__e").orderBy("__o")
     there = F.lag("__o").over(last) == F.col("__o") - 1
     carried = before.select("__e", "__o", *[(F.col(f"{c}b") - F.when(there, F.lag(f"{c}p").over(last)).otherwise(0)).alias(f"{c}b") for c in ("__n", "__c")])
-    both = rows.withColumn("__at", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    both = rows.withColumn("__at", F.explode(F.when(late, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array("__own"))))
     part = VelocityConfig(config.windows, "__group", config.time, config.amount, config.prefix)
     found = add_velocity(both.withColumn("__group", F.struct(F.col(config.entity), F.col("__at"))), part, heavy=heavy).filter(F.col("__own") == F.col("__at"))
     count, total = config.names()[-2:]
@@ -129,6 +133,8 @@ def _with_expiry(df: DataFrame, config: VelocityConfig) -> DataFrame:
     effects = [F.struct(F.lit(None).cast("int").alias("w"), F.lit(0).cast("long").alias("delay"), F.lit(1).alias("n"))]
     effects += [F.struct(F.lit(i).alias("w"), F.lit(w).cast("long").alias("delay"), F.lit(-1).alias("n")) for i, w in enumerate(config.windows)]
     spread = rows.withColumn("__e", F.explode(F.array(*effects))).withColumn("__t", F.col(config.time) + F.col("__e.delay"))
+    # An expiry carries nothing but its entity, time and cents.
+    spread = spread.withColumns({c: F.when(F.col("__e.w").isNull(), F.col(f"`{c}`")) for c in columns if c != config.entity})
     # An event leaves [t - w, t) from t = event + w + 1 on, so its expiry must be strictly earlier than that.
     before = Window.partitionBy(config.entity).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     out = {}

@@ -88,3 +88,14 @@ def test_a_step_of_training_costs_little_beside_its_gradients():
     for _ in range(200):
         averaging._unpacked(averaging._packed(sent))
     assert time.perf_counter() - start < 0.1
+
+
+def test_chunks_share_only_what_windows_reach(spark, monkeypatch):
+    from tallystream.operators import velocity
+
+    rows = spark.range(4000).select("id", (F.col("id") % 3).alias("who"), F.floor(F.col("id") / 2).alias("t"), (F.col("id") % 7 + 0.25).alias("amount"))
+    given, plain = [], velocity.add_velocity
+    want = sorted(plain(rows, CONFIG).collect())
+    monkeypatch.setattr(velocity, "add_velocity", lambda df, *a, **k: given.append(df) or plain(df, *a, **k))
+    assert sorted(velocity._in_chunks(rows, CONFIG, 500, True).collect()) == want
+    assert given[0].count() <= 1.15 * 4000
