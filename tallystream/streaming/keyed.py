@@ -43,6 +43,7 @@ class Activity:
         k = len(windows)
         self.open, self.open_n, self.open_cents, self.total_n, self.total_cents, edges, counts, sums, kept, self.clock = head or (None, 0, 0, 0, 0, [None] * k, [0] * k, [0] * k, [], None)
         self.edges, self.counts, self.sums, self.kept = list(edges), list(counts), list(sums), list(kept)
+        self.stored = set(self.kept)
         self.slots: dict[int, tuple[list, list, list]] = {}
         self.changed: set[int] = set()
         self.made: list[int] = []
@@ -52,7 +53,7 @@ class Activity:
 
     def slot(self, number: int) -> tuple[list, list, list]:
         if number not in self.slots:
-            found = self._load(number) if number in self.kept else None
+            found = self._load(number) if number in self.stored else None
             self.slots[number] = tuple(list(x) for x in found) if found else ([], [], [])
         return self.slots[number]
 
@@ -89,7 +90,8 @@ class Activity:
             self.edges[i] = high
         gone = [number for number in self.kept if (number + 1) * self.width <= t - max(self.windows)]
         for number in gone:
-            self._drop(number)
+            if number in self.stored:  # else it never left this batch: the store is not asked
+                self._drop(number)
             self.slots.pop(number, None)
             self.changed.discard(number)
         self.kept = self.kept[len(gone) :]
@@ -116,6 +118,7 @@ class Activity:
     def flush(self) -> None:
         for number in self.changed:
             self._save(number, self.slots[number])
+            self.stored.add(number)
 
 
 class ActivityProcessor(StatefulProcessor):
@@ -130,27 +133,37 @@ class ActivityProcessor(StatefulProcessor):
         self.slots = handle.getMapState("slots", "slot long", SLOT)
 
     def _activity(self) -> Activity:
-        load = lambda n: self.slots.getValue((n,)) if self.slots.containsKey((n,)) else None
+        load = lambda n: self.slots.getValue((n,))
         save = lambda n, x: self.slots.updateValue((n,), x)
-        return Activity(self.config.windows, slot_seconds(self.config), self.heads.get() if self.heads.exists() else None, load, save, lambda n: self.slots.removeKey((n,)))
+        return Activity(self.config.windows, slot_seconds(self.config), self.heads.get(), load, save, lambda n: self.slots.removeKey((n,)))
 
     def _keep(self, activity: Activity) -> None:
         activity.flush()
         for number in activity.made:
-            if number in activity.kept:
+            if number in activity.stored and number in activity.kept:
                 self.handle.registerTimer(((number + 1) * activity.width + max(self.config.windows)) * 1000)
         self.heads.update(activity.head())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values(["t", "key"], kind="stable")
+        parts = list(rows)
+        data = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if len(data) > 1:
+            data = data.sort_values(["t", "key"], kind="stable")
         activity, names, out = self._activity(), self.config.names(), []
-        for row_key, t, amount in zip(data["key"].tolist(), data["t"].tolist(), data["cents"].tolist(), strict=True):
+        keys, times = data["key"].tolist(), data["t"].tolist()
+        for t, amount in zip(times, data["cents"].tolist(), strict=True):
             got = activity.add(t, amount)
             if got is None and self.on_late == "raise":
                 raise ValueError(f"an event of {key[0]} at {t} is earlier than one at {activity.open}, or than the watermark")
-            out.append([key[0], row_key, t, got is None, *([None] * len(names) if got is None else [x if i % 2 == 0 else x / 100.0 for i, x in enumerate(got)])])
+            out.append(got)
         self._keep(activity)
-        yield pd.DataFrame(out, columns=["entity", "key", "t", "late", *names])
+        # By columns: what an entity's few rows cost is mostly the table around them.
+        late = [got is None for got in out]
+        columns: dict = {"entity": [key[0]] * len(out), "key": keys, "t": times, "late": late}
+        for i, name in enumerate(names):
+            values = [None if got is None else got[i] if i % 2 == 0 else got[i] / 100.0 for got in out]
+            columns[name] = pd.Series(values, dtype=object) if any(late) else values
+        yield pd.DataFrame(columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.heads.exists():

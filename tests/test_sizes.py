@@ -99,3 +99,19 @@ def test_chunks_share_only_what_windows_reach(spark, monkeypatch):
     monkeypatch.setattr(velocity, "add_velocity", lambda df, *a, **k: given.append(df) or plain(df, *a, **k))
     assert sorted(velocity._in_chunks(rows, CONFIG, 500, True).collect()) == want
     assert given[0].count() <= 1.15 * 4000
+
+
+def test_slots_that_were_never_stored_are_not_removed_from_the_store():
+    from tallystream.streaming.keyed import Activity
+
+    stored, calls = {}, []
+    make = lambda head: Activity((100,), 10, head, lambda n: calls.append(("load", n)) or stored.get(n), stored.__setitem__, lambda n: calls.append(("drop", n)) or stored.pop(n))
+    first = make(None)
+    for t in range(0, 1000, 7):
+        first.add(t, 1)
+    assert not calls
+    first.flush()
+    second = make(first.head())
+    kept = set(stored)
+    second.add(5000, 1)
+    assert {n for kind, n in calls if kind == "drop"} == kept and not stored
