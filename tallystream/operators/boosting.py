@@ -1,10 +1,11 @@
 """Boosted trees on histograms, stopped by the average precision of validation rows.
 
-Bin edges are found once, by one aggregation; rows are kept as one byte a feature. A level of a tree is one pass: each task adds up
-gradients and second derivatives by (node, feature, bin) for its own rows, and a row per such cell and task is shuffled. Both are
-rounded to whole multiples of 2^-24 first, so sums do not depend on their order and a fit can be repeated exactly. The driver holds
-cells, whose number is bounded by depth, features and bins, and the trees. Margins are written out every few rounds; between, the
-trees since are applied while rows are read.
+Bin edges are found once; rows are kept as one byte a feature. Rows of one label that are alike in all bytes have one margin, so
+one pass for every few rounds counts how many rows of each such group every round draws, and trees are grown on the groups. A level
+of a tree is one pass over these: each task adds up gradients and second derivatives by (node, feature, bin), times the rows drawn,
+and a row per such cell and task is shuffled. Both are rounded to whole multiples of 2^-24 first, so sums do not depend on their
+order and a fit can be repeated exactly. The driver holds cells, whose number is bounded by depth, features and bins, and the trees.
+Margins are written out every few rounds; between, the trees since are applied while groups are read.
 
 The average precision of validation rows is exact after every round; it is worked out for a few rounds at a time.
 """
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.functions.selection import sketched
 from tallystream.operators import metrics
+from tallystream.operators.histograms import bins_at, bins_of, bytes_array, edges_of, grouped
 from tallystream.operators.trees import Ensemble, Tree
 from tallystream.sources.shared import drop_table, written
 
 #: Multiples of a gradient that sums are made of.
 UNIT = float(1 << 24)
+#: Rounds at most whose draws are counted in one pass over the rows.
+ROUNDS = 20
 CELLS = "node int, feature int, bin int, g long, h long"
 
 
@@ -65,8 +68,7 @@ class Boosted:
 
 def bin_edges(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     """Per feature at most ``bins`` - 1 rising values that rows are cut at; a row belongs to the first that it is not above."""
-    columns = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in features}
-    return [sorted(set(found[1:-1])) for found in sketched(df, columns, bins).values()]
+    return edges_of(df, {c: F.col(f"`{c}`") for c in features}, bins)
 
 
 def _binned(df: DataFrame, features: list[str], label: str, key: str, edges: list[list[float]]) -> DataFrame:
@@ -74,21 +76,12 @@ def _binned(df: DataFrame, features: list[str], label: str, key: str, edges: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty((batch.num_rows, len(edges)), dtype=np.uint8)
-            for i, at in enumerate(edges):
-                x = batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float)
-                out[:, i] = np.where(np.isnan(x), len(at), np.searchsorted(np.array(at), x, side="left"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in out], pa.binary())], ["y", "draw", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bytes_array(bins_at(batch.columns[2:], edges))], ["y", "draw", "bins"])
 
     rows = df.select(F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("draw"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])
     return rows.mapInArrow(run, "y int, draw long, bins binary")
 
 
-def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index("bins"))
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, n)
-
-
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -120,8 +113,24 @@ def _sampled(draw: np.ndarray, seed: int, round_: int, share: float) -> np.ndarr
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53) < share
 
 
-def _cells(trees: list[Tree], growing: Tree, opened: list[int], used: np.ndarray, n: int, config: BoostConfig, round_: int):
-    """For mapInArrow: sums by (node, feature, bin) of the rows in the open nodes."""
+def _groups(rows: DataFrame, n: int, config: BoostConfig, rounds: range, known: DataFrame | None) -> DataFrame:
+    """(y, bins, d0, d1, ..., margin): the groups of all rows, and how many of their rows are drawn in each of the rounds. Margins are
+    those of ``known`` groups, or 0."""
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        draw = _column(batch, "draw")
+        return _column(batch, "y"), bins_of(batch, n), np.stack([_sampled(draw, config.seed, r, config.rows) for r in rounds]).astype(np.int64)
+
+    names = [f"d{i}" for i in range(len(rounds))]
+    found = grouped(rows, read, names)
+    if known is None:
+        return found.withColumn("margin", F.lit(0.0))
+    both = found.withColumn("margin", F.lit(None).cast("double")).unionByName(known.select("y", "bins", "margin", *[F.lit(0).cast("long").alias(c) for c in names]))
+    return both.groupBy("y", "bins").agg(*[F.sum(c).alias(c) for c in names], F.max("margin").alias("margin"))
+
+
+def _cells(trees: list[Tree], growing: Tree, opened: list[int], used: np.ndarray, n: int, config: BoostConfig, drawn: str):
+    """For mapInArrow: sums by (node, feature, bin) of the rows in the open nodes, each group as often as ``drawn`` says."""
     width = config.bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +138,17 @@ def _cells(trees: list[Tree], growing: Tree, opened: list[int], used: np.ndarray
         place[opened] = np.arange(len(opened))
         sums = np.zeros((2, len(opened), len(used), width), dtype=np.int64)
         for batch in batches:
-            bins = _bins(batch, n)
+            bins = bins_of(batch, n)
             y, margin = _column(batch, "y"), _column(batch, "margin").copy()
             for tree in trees:
                 margin += config.rate * tree.value[tree.leaves(bins)]
             node = place[growing.leaves(bins)]
-            rows = np.flatnonzero((node >= 0) & _sampled(_column(batch, "draw"), config.seed, round_, config.rows))
+            times = _column(batch, drawn)
+            rows = np.flatnonzero((node >= 0) & (times > 0))
             if not len(rows):
                 continue
             p, weight = 1 / (1 + np.exp(-margin[rows])), np.where(y[rows] == 1, config.positive_weight, 1.0)
-            both = np.rint(np.stack([weight * (p - y[rows]), weight * p * (1 - p)]) * UNIT).astype(np.int64)
+            both = np.rint(np.stack([weight * (p - y[rows]), weight * p * (1 - p)]) * UNIT).astype(np.int64) * times[rows]
             for i, f in enumerate(used):
                 cell = node[rows] * width + bins[rows, f]
                 by = np.argsort(cell, kind="stable")
@@ -168,14 +178,14 @@ def _best(g: np.ndarray, h: np.ndarray, total: tuple[float, float], config: Boos
     return float(gain.reshape(-1)[at]), at // gain.shape[1], at % gain.shape[1]
 
 
-def _grow(table: DataFrame, trees: list[Tree], n: int, config: BoostConfig, round_: int) -> Tree:
-    """One tree, level by level."""
+def _grow(table: DataFrame, trees: list[Tree], n: int, config: BoostConfig, round_: int, drawn: str) -> Tree:
+    """One tree, level by level, on the rows that the column ``drawn`` counts."""
     draw = np.random.default_rng([config.seed, round_])
     used = np.sort(draw.permutation(n)[: max(1, round(config.columns * n))])
     spot = {int(f): i for i, f in enumerate(used)}
     growing, opened, totals = _Growing(), [0], {}
     for level in range(config.depth):
-        cells = table.mapInArrow(_cells(trees, growing.tree(), opened, used, n, config, round_), CELLS)
+        cells = table.select("y", "bins", "margin", drawn).mapInArrow(_cells(trees, growing.tree(), opened, used, n, config, drawn), CELLS)
         found = cells.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # a row per cell
         sums = np.zeros((2, len(opened), len(used), config.bins))
         for r in found:
@@ -203,7 +213,7 @@ def _applied(table: DataFrame, trees: list[Tree], n: int, rate: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, margin = _bins(batch, n), _column(batch, "margin").copy()
+            bins, margin = bins_of(batch, n), _column(batch, "margin").copy()
             for tree in trees:
                 margin += rate * tree.value[tree.leaves(bins)]
             yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin, pa.float64()))
@@ -212,17 +222,18 @@ def _applied(table: DataFrame, trees: list[Tree], n: int, rate: float) -> DataFr
 
 
 def _by_round(table: DataFrame, trees: list[Tree], n: int, rate: float, first: int) -> DataFrame:
-    """(round, y, p) of every row after each of these trees."""
+    """(round, y, n, p) of every group after each of these trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, margin = _bins(batch, n), _column(batch, "margin").copy()
+            bins, margin = bins_of(batch, n), _column(batch, "margin").copy()
             for i, tree in enumerate(trees):
                 margin += rate * tree.value[tree.leaves(bins)]
                 p = 1 / (1 + np.exp(-margin))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), first + i), pa.int32()), batch.column(batch.schema.get_field_index("y")), pa.array(p, pa.float64())], ["round", "y", "p"])
+                own = [batch.column(batch.schema.get_field_index(c)) for c in ("y", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), first + i), pa.int32()), *own, pa.array(p, pa.float64())], ["round", "y", "n", "p"])
 
-    return table.mapInArrow(run, "round int, y int, p double")
+    return table.mapInArrow(run, "round int, y int, n long, p double")
 
 
 def fit_boosted(train: DataFrame, validation: DataFrame, features: list[str], *, label: str = "label", key: str = "key", config: BoostConfig = BoostConfig()) -> Boosted:
@@ -235,34 +246,42 @@ def fit_boosted(train: DataFrame, validation: DataFrame, features: list[str], *,
     """
     n = len(features)
     edges = bin_edges(train, features, config.bins)
-    tables = []
-    for rows in (train, validation):
-        table = written(_binned(rows, features, label, key, edges).withColumn("margin", F.lit(0.0)), "binned")
+    rows = written(_binned(train, features, label, key, edges), "binned")
+    whole = lambda batch: (_column(batch, "y"), bins_of(batch, n), np.ones((1, batch.num_rows), dtype=np.int64))
+    counted = range(min(config.rounds, config.together * max(1, ROUNDS // config.together)))
+    tables = [written(_groups(rows, n, config, counted, None), "groups")]
+    tables.append(written(grouped(_binned(validation, features, label, key, edges), whole, ["n"]).withColumn("margin", F.lit(0.0)), "groups"))
+    for table in tables:
         good, bad = table.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
         if not good or not bad:
             raise ValueError("both classes must occur")
-        tables.append(table)
     trees: list[Tree] = []
     fresh: list[Tree] = []
     history: list[float] = []
     best, at = -1.0, 0
     while len(trees) < config.rounds and len(trees) - at < config.patience:
         for _ in range(min(config.together, config.rounds - len(trees))):
-            tree = _grow(tables[0], fresh, n, config, len(trees))
+            tree = _grow(tables[0], fresh, n, config, len(trees), f"d{counted.index(len(trees))}")
             trees.append(tree)
             fresh.append(tree)
-        found = metrics.average_precision(_by_round(tables[1], fresh, n, config.rate, len(trees) - len(fresh) + 1), "y", "p", ["round"]).collect()  # a row per round
+        found = metrics.average_precision(_by_round(tables[1], fresh, n, config.rate, len(trees) - len(fresh) + 1), "y", "p", ["round"], count="n").collect()  # a row per round
         for _, value in sorted((r["round"], r["average_precision"]) for r in found):
             if len(history) - at >= config.patience:  # rounds beyond the stop were grown, but do not count
                 break
             history.append(value)
             if value > best:
                 best, at = value, len(history)
-        for i, table in enumerate(tables):
-            tables[i] = written(_applied(table, fresh, n, config.rate), "binned")
+        if len(trees) >= config.rounds or len(trees) - at >= config.patience:
+            break
+        applied = [_applied(table, fresh, n, config.rate) for table in tables]
+        if len(trees) not in counted:
+            counted = range(len(trees), min(config.rounds, len(trees) + len(counted)))
+            applied[0] = _groups(rows, n, config, counted, applied[0])
+        old, tables = tables, [written(table, "groups") for table in applied]
+        for table in old:
             drop_table(table)
         fresh = []
-    for table in tables:
+    for table in [rows, *tables]:
         drop_table(table)
     return Boosted(Ensemble(tuple(features), tuple(_unbinned(t, edges) for t in trees[:at]), (config.rate,) * at), at, history)
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,17 +195,35 @@ def largest(names: tuple[str, ...], contributions: np.ndarray, n: int) -> list[l
     return [[{"feature": names[j], "contribution": float(row[j]), "direction": "higher_risk" if row[j] > 0 else "lower_risk"} for j in js] for row, js in zip(contributions, order, strict=True)]
 
 
+def _largest_array(names: tuple[str, ...], contributions: np.ndarray, n: int) -> pa.Array:
+    """``largest`` as an Arrow array, for whole batches at once."""
+    order = np.argsort(-np.abs(contributions), axis=1, kind="stable")[:, :n]
+    values = np.take_along_axis(contributions, order, axis=1)
+    sides = pa.array(["lower_risk", "higher_risk"]).take(pa.array((values > 0).reshape(-1).astype(np.int32)))
+    parts = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(order.reshape(-1))), pa.array(values.reshape(-1), pa.float64()), sides], ["feature", "contribution", "direction"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * np.int32(order.shape[1])), parts)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    """An array column of ``n`` numbers a row as (rows, n)."""
+    if column.null_count or not (column.value_lengths().to_numpy(zero_copy_only=False) == n).all():
+        raise ValueError(f"vectors have {n} numbers")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+
+
 def score_rows(df: DataFrame, model: Ensemble, vector: str = "vector", *, name: str = "p", drivers: int = 0) -> DataFrame:
     """Add the probability from the array column ``vector``; with ``drivers``, also that many of the largest contributions and
     ``expected``, the margin without features. Runs in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch[vector]).astype(float) if len(batch) else np.empty((0, len(model.names)))
-            more = {"drivers": largest(model.names, model.contributions(x), drivers), "expected": model.expected} if drivers else {}
-            yield batch.assign(**{name: model.probability(x)} | more)
+            x = _matrix(batch.column(batch.schema.get_field_index(vector)), len(model.names))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: pa.array(model.probability(x), pa.float64())}
+            if drivers:
+                columns |= {"drivers": _largest_array(model.names, model.contributions(x), drivers), "expected": pa.array(np.full(len(x), model.expected), pa.float64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     out = df.withColumn(name, F.lit(0.0))
     if drivers:
         out = out.withColumns({"drivers": F.lit(None).cast(DRIVERS), "expected": F.lit(0.0)})
-    return df.mapInPandas(run, out.schema)
+    return df.mapInArrow(run, out.schema)

@@ -23,7 +23,7 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = learning._lines(spark, sf_dir).withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     first, second = (F.unix_timestamp(F.lit(c)) for c in CUTS)
     found = fit_boosted(rows.filter(F.col("t") < first), rows.filter((F.col("t") >= first) & (F.col("t") < second)), learning._FEATURES, config=CONFIG)
-    late = rows.filter(F.col("t") >= second).withColumn("vector", F.array(*[F.col(c).cast("double") for c in learning._FEATURES]))
+    late = rows.filter(F.col("t") >= second).select("l_orderkey", "l_linenumber", "label", F.array(*[F.col(c).cast("double") for c in learning._FEATURES]).alias("vector"))
     out = trees.score_rows(late, found.model, drivers=len(learning._FEATURES))
     rest = F.ln(F.col("p") / (1 - F.col("p"))) - F.col("expected") - F.aggregate("drivers", F.lit(0.0), lambda a, d: a + d["contribution"])
     names = F.array_join(F.transform(F.slice("drivers", 1, 3), lambda d: d["feature"]), ",")

@@ -115,3 +115,24 @@ def test_slots_that_were_never_stored_are_not_removed_from_the_store():
     kept = set(stored)
     second.add(5000, 1)
     assert {n for kind, n in calls if kind == "drop"} == kept and not stored
+
+
+def alike(spark, n):
+    y = (F.col("id") % 7 * 3 + F.col("id") % 5 + F.pmod(F.xxhash64("id"), F.lit(9)) > 16).cast("int")
+    return spark.range(n).select(F.col("id").cast("string").alias("key"), y.alias("label"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+
+
+def test_boosted_trees_are_grown_on_groups_of_alike_rows(spark, monkeypatch):
+    from tallystream.operators import boosting, metrics
+
+    rows, seen, plain = alike(spark, 3000), [], boosting._grow
+    config = boosting.BoostConfig(rounds=4, together=2, depth=2, bins=8)
+    monkeypatch.setattr(boosting, "_grow", lambda table, *a: seen.append(table.count()) or plain(table, *a))
+    found = boosting.fit_boosted(rows, rows, ["a", "b"], config=config)
+    assert len(seen) == 4 and max(seen) <= 7 * 5 * 2
+    monkeypatch.setattr(boosting, "ROUNDS", 2)  # draws of further rounds are counted in a pass of their own
+    again = boosting.fit_boosted(rows, rows, ["a", "b"], config=config)
+    assert again.model.to_dict() == found.model.to_dict() and again.history == found.history
+    counts = rows.groupBy("label", "a").agg(F.count("*").alias("n")).withColumn("p", F.col("a") / 10)
+    whole = metrics.average_precision(rows.withColumn("p", F.col("a") / 10), "label", "p").first()[0]
+    assert metrics.average_precision(counts, "label", "p", count="n").first()[0] == pytest.approx(whole, abs=1e-12)
