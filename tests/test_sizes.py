@@ -136,3 +136,21 @@ def test_boosted_trees_are_grown_on_groups_of_alike_rows(spark, monkeypatch):
     counts = rows.groupBy("label", "a").agg(F.count("*").alias("n")).withColumn("p", F.col("a") / 10)
     whole = metrics.average_precision(rows.withColumn("p", F.col("a") / 10), "label", "p").first()[0]
     assert metrics.average_precision(counts, "label", "p", count="n").first()[0] == pytest.approx(whole, abs=1e-12)
+
+
+def test_forests_are_fitted_on_groups_of_alike_rows(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tallystream.operators import forest
+
+    class Counted(forest.RandomForestClassifier):
+        def fit(self, rows):
+            seen.append(rows.count())
+            return super().fit(rows)
+
+    rows, seen = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(alike(spark, 3000)), []
+    monkeypatch.setattr(forest, "RandomForestClassifier", Counted)
+    found = forest.fit_forest(rows, trees=2, depth=3, leaf=2, key="key")
+    assert len(seen) == 2 and max(seen) <= 2 * 7 * 5 * 2
+    assert {int(f) for t in found.trees for f in t.feature} <= {-1, 0, 1}
+    assert all(v in {i + 0.5 for i in range(6)} for t in found.trees for v in t.threshold[t.feature >= 0])
