@@ -113,16 +113,16 @@ def top_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("rank").cast("long").alias("rank"), "d.feature", (F.round("d.contribution", 6) + 0.0).alias("contribution"))
 
 
-_LEDGER = {"key": "user_id", "at": "t", "created": "created", "label": "event_type", "fixed": ["value"]}
+_LEDGER = {"key": "user_id", "at": "t", "created": "created", "label": "event_type", "fixed": ["value"], "order": ["ts", "event_id"]}
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = tables.events(spark, sf_dir).select("user_id", "t", F.col("t").alias("created"), "value", "event_type", "event_id")
-    return rows.filter("event_id % 3 = 0").drop("event_id"), rows.filter("event_id % 3 <> 0").drop("event_id")
+    rows = tables.events(spark, sf_dir).select("user_id", "t", F.col("t").alias("created"), "value", "event_type", "event_id", "ts")
+    return rows.filter("event_id % 3 = 0"), rows.filter("event_id % 3 <> 0")
 
 
 def feedback_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews merged by key: first value, last label."""
+    """Reviews merged by key: first value, last label. Of the reviews of a first second the first by full time counts."""
     return ledger.merge(*_reviews(spark, sf_dir), **_LEDGER)
 
 

@@ -29,11 +29,12 @@ def ledger_rules(labels: tuple[str, ...] = LABELS) -> dict[str, Column]:
     }
 
 
-def merge(ledger: DataFrame, reviews: DataFrame, *, key: str = "prediction_id", at: str = "updated_at_utc", created: str = "created_at_utc", label: str = "reviewer_label", fixed: list[str] = FIXED) -> DataFrame:
+def merge(ledger: DataFrame, reviews: DataFrame, *, key: str = "prediction_id", at: str = "updated_at_utc", created: str = "created_at_utc", label: str = "reviewer_label", fixed: list[str] = FIXED, order: list[str] | None = None) -> DataFrame:
     """The ledger after the reviews: first creation and first fixed columns, last label. One shuffle, no gathered groups. Of reviews
-    that are first at the same time the one of the smallest fixed columns counts, all of these from one review."""
+    that are first at the same time the first by the columns ``order`` of both tables, if any, counts, then the one of the smallest
+    fixed columns, all of these from one review."""
     rows = ledger.unionByName(reviews.withColumn(created, F.col(at)) if created not in reviews.columns else reviews)
-    first = [F.min_by(F.col(c), F.struct(F.col(created), F.col(at), *[F.col(x) for x in fixed])).alias(c) for c in fixed]
+    first = [F.min_by(F.col(c), F.struct(F.col(created), F.col(at), *[F.col(x) for x in [*(order or []), *fixed]])).alias(c) for c in fixed]
     return rows.groupBy(key).agg(F.min(created).alias(created), F.max(at).alias(at), *first, F.max_by(F.col(label), F.struct(F.col(at), F.col(label))).alias(label))
 
 

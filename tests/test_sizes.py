@@ -154,3 +154,14 @@ def test_forests_are_fitted_on_groups_of_alike_rows(spark, monkeypatch):
     assert len(seen) == 2 and max(seen) <= 2 * 7 * 5 * 2
     assert {int(f) for t in found.trees for f in t.feature} <= {-1, 0, 1}
     assert all(v in {i + 0.5 for i in range(6)} for t in found.trees for v in t.threshold[t.feature >= 0])
+
+
+def test_the_first_review_of_a_second_is_the_first_by_full_time(spark, tmp_path):
+    from tallystream.plans import quality
+
+    rows = [(e, 1_700_000_000_000_000 + us, e % 2, float(v)) for e, (us, v) in enumerate([(0, 1), (10, 9), (400, 0.5), (500, 3), (3_000_000, 0), (900_000, 2)])]
+    made = spark.createDataFrame(rows, "event_id long, us long, user_id long, value double")
+    made.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    for q in ("feedback_merge", "feedback_latest"):
+        assert quality.QUERIES[q](spark, str(tmp_path)).count() == 2
+    assert {r["user_id"]: r["value"] for r in quality.feedback_merge(spark, str(tmp_path)).collect()} == {0: 1.0, 1: 9.0}
