@@ -46,14 +46,14 @@ class HistoryState:
 
 def stream_histories(events: DataFrame, length: int, *, entity: str, time: str, key: str, item: str, shared: bool = True) -> DataFrame:
     """(entity, key, t, history): an array of items for each event of a stream. Late events are an error. Events of one time see the
-    same history, or, where it is not ``shared``, each one those before it, by their keys as text."""
+    same history, or, where it is not ``shared``, each one those before it, by their keys as text. Null items stay null."""
     kinds = dict(events.dtypes)
-    source = events.select(F.col(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.col(time).cast("long").alias("t"), F.col(item).alias("item"))
+    source = events.select(F.col(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.col(time).cast("long").alias("t"), F.col(item).alias("item"), F.col(item).isNull().alias("empty"))
 
     def handle(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["t", "key"], kind="stable")
         kept = HistoryState(length, *(([], None, None, None) if not state.exists else (list(state.get[0]), *state.get[1:])), shared)
-        out = [[who[0], k, t, kept.advance(int(t), k, x)] for k, t, x in zip(rows["key"], rows["t"], rows["item"], strict=True)]
+        out = [[who[0], k, t, kept.advance(int(t), k, None if empty else x)] for k, t, x, empty in zip(rows["key"], rows["t"], rows["item"], rows["empty"], strict=True)]
         state.update((kept.items, kept.open, kept.key, kept.item))
         yield pd.DataFrame(out, columns=["entity", "key", "t", "history"])
 

@@ -84,3 +84,22 @@ def test_snapshot_continues(spark):
     assert got[4]["cc_txn_count_prior"] == 0
     with pytest.raises(ValueError):
         velocity_from_snapshot(rows.filter("i = 0"), state_snapshot(rows.filter("i = 3"), config), config)
+
+
+def test_streamed_histories_keep_null_items(spark, tmp_path):
+    from tallystream.plans import learning
+    from tallystream.streaming.histories import stream_histories
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    values = [None, 1.5, None, None, None, None, 2.0]
+    for i, part in enumerate((range(3), range(3, 7))):
+        made = spark.createDataFrame([(e, 0, values[e]) for e in part], "event_id long, user_id long, value double")
+        made.select("event_id", F.timestamp_micros(F.col("event_id") * 1_000_000).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit("{}").alias("props")).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("t", F.unix_timestamp("ts"))
+    stream = stream_histories(source, 4, entity="user_id", time="t", key="event_id", item="value", shared=False)
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {int(r.key): r.history for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()}
+    assert got == {e: values[max(0, e - 3) : e + 1] for e in range(7)}
+    spark.read.schema(schema).parquet(f"{tmp_path}/in/*").write.parquet(f"{tmp_path}/events.parquet")
+    rows = {r.event_id: (r.length, r.total) for r in learning.stream_histories_events(spark, str(tmp_path)).collect()}
+    assert rows == {0: (1, None), 1: (2, 1.5), 2: (3, 1.5), 3: (4, 1.5), 4: (4, 1.5), 5: (4, None), 6: (4, 2.0)}
