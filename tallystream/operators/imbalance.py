@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,30 +107,51 @@ def smotenc(df: DataFrame, label: str, key: str, numeric: list[str], nominal: li
     extra, seed = wanted - positives, config.seed
     columns = [*numeric, *nominal]
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for base, x, near in zip(batch["id"], batch["x"], batch["near"], strict=True):
-                votes = []
-                for j in range(len(nominal)):
-                    values, times = np.unique([e["c"][j] for e in near], return_counts=True)
-                    votes.append(values[np.argmax(times)])
-                for i in range(int(base), extra, positives):
+            if not batch.num_rows:
+                continue
+            ids, near = batch["id"].to_numpy(), batch["near"]
+            others, starts, many = near.flatten(), near.offsets.to_numpy()[:-1] - near.offsets[0].as_py(), near.value_lengths().to_numpy()
+            x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (batch["x"], others.field("x")))
+            votes = _votes(others.field("c"), starts, many, len(nominal))
+            times = -((ids - extra) // positives)
+            base = np.repeat(np.arange(len(ids)), times)
+            row = ids[base] + positives * (np.arange(len(base)) - np.repeat(np.cumsum(times) - times, times))
+            for start in range(0, len(base), BATCH):
+                of, chosen, step = base[start : start + BATCH], [], []
+                for i, n in zip(row[start : start + BATCH].tolist(), many[of].tolist(), strict=True):
                     draw = np.random.default_rng([seed, i])
-                    other = np.array(near[draw.integers(len(near))]["x"], dtype=float)
-                    rows.append([*(x + draw.random() * (other - x)), *votes])
-                if len(rows) >= BATCH:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                    chosen.append(draw.integers(n))
+                    step.append(draw.random())
+                made = x[of] + np.array(step)[:, None] * (y[starts[of] + np.array(chosen)] - x[of])
+                yield pa.RecordBatch.from_arrays([*[pa.array(made[:, j]) for j in range(len(numeric))], *[v.take(pa.array(of)) for v in votes]], names=columns)
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{n}` double" for n in numeric] + [f"`{n}` string" for n in nominal])
-    made = found.filter(F.col("id") < extra).select("id", "x", "near").mapInPandas(make, schema).withColumn(label, F.lit(1))
+    made = found.filter(F.col("id") < extra).select("id", "x", "near").mapInArrow(make, schema).withColumn(label, F.lit(1))
     made = made.select(*[F.col(n).cast(kinds[n]).alias(n) if n in [*columns, label] else F.lit(None).cast(kinds[n]).alias(n) for n in df.columns])
     return df.unionByName(made)
 
 
+def _votes(lists: pa.ListArray, starts: np.ndarray, many: np.ndarray, columns: int) -> list[pa.Array]:
+    """For each column of categories the most frequent of each point's neighbours, of several the first. ``lists`` has the
+    categories of all neighbours, those of a point from its place of ``starts`` on."""
+    flat, out = lists.flatten(), []
+    for j in range(columns):
+        coded = flat.take(pa.array(np.arange(j, len(flat), columns))).dictionary_encode()
+        levels = coded.dictionary.to_pylist()
+        ranked = sorted(range(len(levels)), key=lambda i: levels[i])
+        rank = np.argsort(ranked)[coded.indices.to_numpy()]
+        at = starts[:, None] + np.arange(many.max())
+        there = np.arange(many.max()) < many[:, None]
+        seen = np.where(there, rank[np.minimum(at, len(rank) - 1)], -1)
+        times = (seen[:, :, None] == seen[:, None, :]).sum(axis=2)
+        best = np.where(there, times * (len(levels) + 1) - seen, -1).argmax(axis=1)
+        out.append(pa.array(levels, pa.string()).take(pa.array(np.array(ranked)[seen[np.arange(len(seen)), best]])))
+    return out
+
+
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """(id, and the other columns): rows numbered from 0 in the order of their keys, as a written table. The driver gets a count per
     partition."""
