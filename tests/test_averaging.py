@@ -73,3 +73,22 @@ def test_messages_and_odd_tables(spark):
     rows = table(spark, 50, 1)
     with pytest.raises(ValueError, match="classes"):
         train_on_all(lambda: FeedForward(2, TrainConfig()), rows.filter("label = 0"), rows, TrainConfig(), inputs=INPUTS)
+
+
+def test_ranges_are_put_in_order_before_the_tasks_that_train(spark, monkeypatch):
+    """However many ranges there are, the same steps are made; what the tasks get is chunks."""
+    config = TrainConfig(hidden=(5,), dropout=0.1, epochs=2, batch=16, negatives=1.5, rate=0.01)
+    rows, seen, plain = table(spark, 3000, 1), [], averaging._dealt
+    monkeypatch.setattr(averaging, "_dealt", lambda *a: seen.append(plain(*a)) or seen[-1])
+    fits = []
+    for size in (10_000, 100):
+        monkeypatch.setattr(averaging, "RANGE", size)
+        fits.append(train_on_all(lambda: FeedForward(2, config), rows, table(spark, 200, 2), config, inputs=INPUTS, tasks=2))
+    first, second = fits
+    assert first.history == second.history and all((first.model.w[k] == second.model.w[k]).all() for k in first.model.w)
+    assert [df.columns for df in seen] == [["chunk"]] * 4
+
+
+def test_scores_of_blocks_are_those_of_all_rows():
+    model, x = FeedForward(3, TrainConfig(hidden=(4,))), np.random.default_rng(3).normal(size=(2 * neural.BLOCK + 5, 3))
+    assert model.predict(x) == pytest.approx(neural.sigmoid(model.forward(x)[0]), abs=1e-12) and model.predict(x[:0]).shape == (0,)
